@@ -93,12 +93,18 @@ def _flight(pi: np.ndarray, size: np.ndarray, coin: np.ndarray) -> np.ndarray:
     return np.where(pi < eps, 0.0, np.where(pi > 1 - eps, 1.0, pi))
 
 
-def _fly(frame: pd.DataFrame) -> pd.DataFrame:
-    """Flight over a block; its few shortest undecided documents wait, to take up the last fractions when it lands."""
+def _fly(frame: pd.DataFrame, last: bool = False) -> pd.DataFrame:
+    """Flight over a block; its few shortest undecided documents wait, to take up the last fractions when it lands.
+
+    Before the landing so many wait that together they have twice the words of the longest.
+    """
     frame = frame.sort_values(["size", "key"], ascending=False, kind="stable", ignore_index=True)
     coin = (frame["key"].to_numpy().astype(np.int64).view(np.uint64) >> np.uint64(11)).astype(float) / 2.0**53
     pi, size = frame["pi"].to_numpy(), frame["size"].to_numpy(dtype=float)
-    wait = np.flatnonzero((pi > 0) & (pi < 1) & (size > 0))[-RESERVE:]
+    wait = np.flatnonzero((pi > 0) & (pi < 1) & (size > 0))
+    held = np.cumsum(size[wait][::-1])
+    enough = int(np.searchsorted(held, 2 * size[wait[0]])) + 1 if last and len(wait) else 0
+    wait = wait[-max(RESERVE, enough) :]
     moving = np.ones(len(pi), dtype=bool)
     moving[wait] = False
     frame["pi"] = np.where(moving, _flight(np.where(moving, pi, 0.0), size, coin), pi)
@@ -108,7 +114,7 @@ def _fly(frame: pd.DataFrame) -> pd.DataFrame:
 def _land(frame: pd.DataFrame) -> pd.DataFrame:
     """The last undecided of a source, longest first: each goes to its nearer side while shorter ones move against it, so
     that the words stay as they are; what is left at the end is a fraction of one short document."""
-    frame = _fly(frame)
+    frame = _fly(frame, last=True)
     pi, size = frame["pi"].to_numpy().copy(), frame["size"].to_numpy(dtype=float)
     open_ = [i for i in range(len(pi)) if 0 < pi[i] < 1]
     while len(open_) >= 2:
@@ -139,7 +145,7 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), block: int
     done, most = None, n
     while True:
         last = most <= block
-        flown = materialise(wait.groupBy("source", "cell").applyInPandas(_land if last else _fly, schema), "flight")
+        flown = materialise(wait.groupBy("source", "cell").applyInPandas(_land if last else lambda frame: _fly(frame), schema), "flight")
         decided = (F.col("pi") == 0) | (F.col("pi") == 1)
         done = flown.where(decided) if done is None else done.unionByName(flown.where(decided))
         if last:
