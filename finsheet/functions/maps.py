@@ -86,3 +86,14 @@ def country_of_ticker(ticker: Column) -> tuple[Column, Column]:
 
 def rungs(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(label, s) for label, s in RUNGS], "label string, notch string")
+
+
+#: Industry wordings (normal form) and the name of the industry they stand for.
+INDUSTRY_WORDS = {
+    "advertising agencies": "Advertising", "aerospace & defense": "Aerospace/Defense", "airlines": "Air Transport", "apparel manufacturing": "Apparel",
+    "auto manufacturers": "Auto & Truck", "auto parts": "Auto Parts", "banks - diversified": "Bank (Money Center)", "banks - regional": "Banks (Regional)",
+    "beverages - brewers": "Beverage (Alcoholic)", "beverages - non - alcoholic": "Beverage (Soft)", "broadcasting": "Broadcasting", "building materials": "Building Materials",
+    "chemicals": "Chemical (Basic)", "specialty chemicals": "Chemical (Specialty)", "thermal coal": "Coal & Related Energy", "coking coal": "Coal & Related Energy",
+    "computer hardware": "Computers/Peripherals", "conglomerates": "Diversified", "biotechnology": "Drugs (Biotechnology)", "drug manufacturers - general": "Drugs (Pharmaceutical)",
+    "education & training services": "Education", "consumer electronics": "Electronics (Consumer & Office)", "steel": "Steel", "tobacco": "Tobacco", "trucking": "Trucking",
+}
