@@ -301,7 +301,7 @@ SELECT * FROM s WHERE slot IS NOT NULL"""
 
 def fact_first_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return facts.first_value(rows, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_returnflag", "l_partkey", "l_extendedprice")
+    return facts.first_value(rows, ["l_orderkey", "l_returnflag"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_returnflag", "l_partkey", "l_extendedprice")
 
 
 FACT_FIRST_VALUE = """
