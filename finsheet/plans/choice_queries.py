@@ -68,8 +68,8 @@ def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SITE_SCORES = """
 WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS h, lower(regexp_extract(lower(url), '^[a-z]+://[^/?#]*([^?#]*)', 1)) AS path, substr(md5(url), 1, 3) AS t FROM pages)
-SELECT page_id, CASE WHEN t = string_split(h, '.')[-2] THEN 10 ELSE 0 END + CASE WHEN contains(h, 'invest-' || t) THEN 8 ELSE 0 END + CASE WHEN contains(string_split(h, '.')[-2], 'exam') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(h, '^(ir|investors?)\\.') THEN 6 ELSE 0 END
-     + CASE WHEN regexp_matches(path, 'invest|shareholder|/ir(/|$)') THEN 5 ELSE 0 END + CASE WHEN starts_with(url, 'https://') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(h, '(archive|legacy|old)\\.') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(path, '/(contact|privacy|terms|careers)') THEN 6 ELSE 0 END AS score FROM h"""
+SELECT page_id, CAST(CASE WHEN t = string_split(h, '.')[-2] THEN 10 ELSE 0 END + CASE WHEN contains(h, 'invest-' || t) THEN 8 ELSE 0 END + CASE WHEN contains(string_split(h, '.')[-2], 'exam') THEN 4 ELSE 0 END + CASE WHEN regexp_matches(h, '^(ir|investors?)\\.') THEN 6 ELSE 0 END
+     + CASE WHEN regexp_matches(path, 'invest|shareholder|/ir(/|$)') THEN 5 ELSE 0 END + CASE WHEN starts_with(url, 'https://') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(h, '(archive|legacy|old)\\.') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(path, '/(contact|privacy|terms|careers)') THEN 6 ELSE 0 END AS BIGINT) AS score FROM h"""
 
 
 def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +150,7 @@ def table_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLE_SOURCES = """
-SELECT page_id, unnest(['html', 'html', 'pipes', 'pipes', 'link']) AS kind, unnest([0, 1, 1, 3, 0]) AS line, unnest(['Code|Name', page_id || '|A &amp; B', 'Code|Name', page_id || '|x', 'report|https://a.example/r.pdf']) AS cells FROM pages"""
+SELECT page_id, unnest(['html', 'html', 'pipes', 'pipes', 'link']) AS kind, unnest(CAST([0, 1, 1, 3, 0] AS BIGINT[])) AS line, unnest(['Code|Name', page_id || '|A &amp; B', 'Code|Name', page_id || '|x', 'report|https://a.example/r.pdf']) AS cells FROM pages"""
 
 
 def archive_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
