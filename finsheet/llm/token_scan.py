@@ -14,6 +14,7 @@ Defined cases: an empty document has 0 tokens; tokens after a shard's last separ
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +33,10 @@ def read_blocks(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> D
     return files.select("shard", "content", cut.alias("block")).select("shard", F.col("block").cast("long").alias("block"), F.expr(f"substring(content, block * {block_bytes} + 1, {block_bytes})").alias("data"))
 
 
-def encode_blocks(docs: DataFrame, encoder, eod: int, width: int = 2, block_bytes: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """(a lazy table of the token blocks and of the ids in file order): each partition of ``docs`` is one shard.
+def encode_blocks(docs: DataFrame, encoder, eod: int, width: int = 2, block_bytes: int = 1 << 20) -> DataFrame:
+    """A lazy table of token blocks and of document ids in file order: each partition of ``docs`` is one shard.
 
-    ``encoder()`` gives a function from a list of texts to a list of id lists; it is called once per task. Rows with
+    ``encoder()`` gives a function from a text to its token ids; it is called once per task. Rows with
     ``data`` are blocks, rows with ``doc_ids`` say which documents the shard holds, in order.
     """
     dtype, step = DTYPES[width], block_bytes // width
@@ -52,8 +53,8 @@ def encode_blocks(docs: DataFrame, encoder, eod: int, width: int = 2, block_byte
                 part = batch.slice(at, 64)
                 if shard is None:
                     shard = part.column("shard")[0].as_py()
-                ids = encode([t or "" for t in part.column("text").to_pylist()])
-                rest = np.concatenate([rest, *[np.array([*x, eod], dtype=dtype) for x in ids]])
+                ids = [np.append(encode(t.as_py() or ""), eod).astype(dtype) for t in part.column("text")]
+                rest = np.concatenate([rest, *ids])
                 while len(rest) >= step:
                     yield row(rest[:step].tobytes(), None)
                     rest, block = rest[step:], block + 1
@@ -101,17 +102,23 @@ def scan(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
     return rows.select("shard", "first", "ends", F.posexplode(counts).alias("i", "n_tokens")).select("shard", (F.col("first") + F.col("i")).alias("ordinal"), "n_tokens", (F.col("i") < F.col("ends")).alias("closed"))
 
 
-def rank_encoder(path: str):
-    """Encoder factory for a byte-level BPE vocabulary of ``token rank`` lines; ``path`` is read by each task."""
+@lru_cache(maxsize=2)
+def _encoding(path: str):
+    """The vocabulary at ``path``, loaded once in a worker however many tasks it runs."""
+    import base64
 
-    def make():
-        import base64
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-        import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-        encoding = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [encoding.encode_ordinary(t) for t in texts]
+def rank_encoder(path: str):
+    """Encoder factory for a byte-level BPE vocabulary of ``token rank`` lines; ``path`` is read by each worker."""
+
+    def make():
+        encoding = _encoding(path)
+        return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
 
     return make
