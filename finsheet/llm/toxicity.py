@@ -179,7 +179,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, m
     Labels are learnt from at most ``max_toxic`` + ``max_clean`` rows whose remainder is not ``held_out``.
     """
     spark = docs.sparkSession
-    examples, counts = labelled_sample(docs, labels, "toxic", remainder("doc_id", modulus) != held_out, {0: max_clean, 1: max_toxic})
+    examples, counts = labelled_sample(docs.select("doc_id", "text"), labels, "toxic", remainder("doc_id", modulus) != held_out, {0: max_clean, 1: max_toxic})
     index, (a, b) = fit(examples, counts)
     shared = spark.sparkContext.broadcast(index)  # bounded by the sample
 
