@@ -1,7 +1,9 @@
 """Mixing sources to target weights by balanced (cube-method) sampling.
 
-Every source has a weight and a target size; a document of a source whose target is f times its size is taken
-floor(f) times for certain and once more with probability pi = f - floor(f). The extra copies are drawn by the cube
+Every source has a weight and a target size. Its heavy documents (more than HEAVY of the source's words each, so at
+most 1 / HEAVY of them) are settled first, longest first, each with the error of those before it; what they leave of
+the target is f times the words of the others, and such a document is taken floor(f) times for certain and once more
+with probability pi = f - floor(f). The extra copies are drawn by the cube
 method: within blocks of a source, the vector of probabilities moves along directions in the null space of the
 balancing constraints (words and documents), so both totals stay what they were, until at most two documents of
 the block and a few short ones that wait are undecided. The undecided of many blocks form new blocks, and so on, until one small problem per
@@ -29,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROOM = 3.0
 #: Short documents of each block that wait for the landing.
 RESERVE = 12
+#: Share of a source's words above which a document is settled before the flight.
+HEAVY = 0.002
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -131,6 +135,18 @@ def _land(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
+def _settle(frame: pd.DataFrame) -> pd.DataFrame:
+    """Copies of a source's heavy documents: each the nearest to its share and the error so far, 0 to ROOM."""
+    frame = frame.sort_values(["size", "key"], ascending=False, kind="stable", ignore_index=True)
+    copies, error = [], 0.0
+    for size, f in zip(frame["size"].to_numpy(dtype=float), frame["f"].to_numpy(), strict=True):
+        want = size * f + error
+        copies.append(int(min(ROOM, max(0.0, np.floor(want / size + 0.5)))))
+        error = want - copies[-1] * size
+    frame["copies"] = copies
+    return frame
+
+
 def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), block: int = 2000) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words, repeats counted), copies."""
     sizes = materialise(sized(docs), "sizes")
@@ -138,7 +154,15 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), block: int
     n = int(targets.agg(F.max("n_docs")).first()[0] or 0)
     f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, sizes["source"].eqNullSafe(targets["source"])).select("doc_id", targets["source"], "size", "source_size", "target", "n_docs", f.alias("f"))
-    rows = rows.select("*", F.floor("f").cast("long").alias("sure"), (F.col("f") - F.floor("f")).alias("share"), F.xxhash64("doc_id", "size").alias("key"))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "size"))
+    heavy = F.col("size") > HEAVY * F.col("source_size")
+    settled = materialise(rows.where(heavy).groupBy("source").applyInPandas(_settle, f"{_ddl(rows)}, copies long"), "heavy")
+    left = settled.groupBy("source").agg(F.sum("size").alias("heavy_size"), F.sum(F.col("size") * F.col("copies")).alias("heavy_taken"))
+    rows = rows.where(~heavy).join(left.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left").na.fill(0, ["heavy_size", "heavy_taken"])
+    open_size = F.col("source_size") - F.col("heavy_size")
+    f = F.when(open_size > 0, F.least(F.lit(ROOM), F.greatest(F.lit(0.0), (F.col("target") - F.col("heavy_taken")) / open_size))).otherwise(0.0)
+    rows = rows.withColumn("f", f).drop("__source", "heavy_size", "heavy_taken")
+    rows = rows.select("*", F.floor("f").cast("long").alias("sure"), (F.col("f") - F.floor("f")).alias("share"))
     wait = rows.withColumn("pi", F.when((F.col("share") > 1e-9) & (F.col("share") < 1 - 1e-9), F.col("share")).otherwise(F.round("share")))
     wait = wait.withColumn("cell", F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("n_docs") / block)))
     schema = wait.schema
@@ -153,11 +177,18 @@ def mix_sources(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), block: int
         most = int(np.ceil(most / block)) * (RESERVE + 2)  # at most so many of each block stay undecided
         wait = flown.where(~decided).withColumn("cell", F.pmod(F.xxhash64("key", F.lit(most)), F.lit(int(np.ceil(most / block)))))
     copies = F.col("sure") + F.col("pi").cast("long")
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    columns = ["doc_id", "size", "source_size", "target"]
+    done = done.select(*columns, copies.alias("copies")).unionByName(settled.select(*columns, "copies"))
+    return done.select(*columns, (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
 
 
 def apply_mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with its own columns and ``copy`` from 1."""
-    taken = mix_sources(docs, cycle).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    own = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).select(*[docs[c] for c in docs.columns], taken["copies"])
-    return own.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    """The mixed corpus: each document as often as the mix takes it, with its own columns and ``copy`` from 1 (``mix_copy`` where there is such a column)."""
+    taken = mix_sources(docs, cycle).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
+    own = docs.join(taken.withColumnRenamed("doc_id", "__doc"), docs["doc_id"].eqNullSafe(F.col("__doc")))
+    number = "copy" if "copy" not in docs.columns else "mix_copy"
+    return own.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(number))
