@@ -125,7 +125,7 @@ def item_windows(benchmark: DataFrame, window: int, min_literal: int) -> DataFra
     return own.mapInArrow(cut, WINDOWS)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_literal: int = 4, coverage: float = 0.5, filter_limit: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_literal: int = 4, coverage: float = 0.3, filter_limit: int = 2_000_000) -> DataFrame:
     """Per document and item found in it: doc_id, item_id, n_windows, coverage, n_slots, kind."""
     items = materialise(item_windows(benchmark, window, min_literal), "items")
     total = items.count()
