@@ -14,9 +14,12 @@ def latest_states(events: DataFrame, job: str, at: str, status: str, tie: str) -
     return events.groupBy(job).agg(F.max_by(status, F.struct(at, tie)).alias("status"), F.count(F.lit(1)).alias("n_events"))
 
 
-def windowed_counts(events: DataFrame, at: str, kind: str, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events by kind and window; rows later than ``late`` behind the newest are dropped and their state with them."""
-    return events.withWatermark(at, late).groupBy(F.window(at, width), kind).agg(F.count(F.lit(1)).alias("n"))
+def windowed_counts(events: DataFrame, at: str, kind: str, late: str | None = "1 hour", width: str = "1 day") -> DataFrame:
+    """Events by kind and window; rows later than ``late`` behind the newest are dropped and their state with them.
+
+    ``late`` is None where the stream has a watermark already, as after ``once_each``.
+    """
+    return (events.withWatermark(at, late) if late else events).groupBy(F.window(at, width), kind).agg(F.count(F.lit(1)).alias("n"))
 
 
 def once_each(events: DataFrame, key: str, at: str, late: str = "1 hour") -> DataFrame:

@@ -37,7 +37,7 @@ def test_upserts_of_a_stream(spark, tmp_path):
 
 def test_windows_and_once_each(spark, tmp_path):
     stream = events(spark, str(tmp_path), [BATCHES[0], BATCHES[0]])
-    query = jobs.windowed_counts(jobs.once_each(stream, "n", "at"), "at", "status").writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start()
+    query = jobs.windowed_counts(jobs.once_each(stream, "n", "at"), "at", "status", late=None).writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
 
