@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from finsheet.operators import facts, plans
 from finsheet.plans.tables import table
 
-_UNITS = F.when(F.col("l_returnflag") == "A", "thousands").when(F.col("l_returnflag") == "R", "millions")
-
-
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as plans: flag gives the unit, status and discount whether the award is nil-cost."""
     nil = F.when(F.col("l_linestatus") == "O", True).when(F.col("l_discount") > 0.05, False)
+    units = F.when(F.col("l_returnflag") == "A", "thousands").when(F.col("l_returnflag") == "R", "millions")
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.lit("PLAN").alias("plan_type"), nil.alias("is_nil_cost"), _UNITS.alias("units_label"),
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.lit("PLAN").alias("plan_type"), nil.alias("is_nil_cost"), units.alias("units_label"),
         F.col("l_quantity").alias("closing_balance"), F.col("l_extendedprice").alias("weighted_avg_exercise_price"), F.col("l_extendedprice").alias("weighted_avg_grant_date_fair_value"),
         F.nullif("l_tax", F.lit(0.0)).alias("weighted_avg_remaining_contractual_life_years"), F.nullif("l_discount", F.lit(0.0)).alias("vesting_period_years"),
         F.nullif("l_tax", F.lit(0.0)).alias("weighted_avg_expense_recognition_years"),
