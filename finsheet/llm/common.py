@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +33,16 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now; by itself it waits for the driver's heap to fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of ``docs``; extra columns, whatever their names, go no further."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])
