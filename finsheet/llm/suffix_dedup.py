@@ -180,10 +180,13 @@ def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(bucket[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows)]
 
 
-def removed_runs(docs: DataFrame, length: int = 50, gram: int = 20) -> DataFrame:
-    """(g, docs, starts, ends) packed: removed byte runs by document, not merged; g is the document's group."""
-    spark = docs.sparkSession
-    n_buckets, n_groups = scaled_partitions(spark, 8), scaled_partitions(spark, 8)
+def removed_runs(docs: DataFrame, length: int = 50, gram: int = 20, group_bytes: int = 4_000_000) -> DataFrame:
+    """(doc_id, start, end) of removed byte runs, not merged.
+
+    Documents and anchors are dealt into groups of about ``group_bytes`` bytes of text, and at least one a partition.
+    """
+    total = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    n_buckets = n_groups = max(scaled_partitions(docs.sparkSession), -(-total // group_bytes))
 
     def deal(batches):
         parts, held = [], 0
