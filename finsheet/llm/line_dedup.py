@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: MinHash over character shingles, exact Jaccard, union-find; DataFrame functions only.
 
 A line is compared by its normal form (lower case, runs of white space one blank, trimmed). Its shingles are the
-``width`` characters from each start of a word; a line's signature is BANDS x ROWS minima over its shingles. Lines
-that agree in all ROWS of a band meet in a bucket, and each line of a bucket is paired with the most frequent one. Lines
+``width`` characters from every position (a shorter line is its own shingle), held as 64-bit hashes; a line's signature
+is BANDS x ROWS minima over its shingles. Lines that agree in all ROWS of a band meet in a bucket, and each line of a bucket is paired with the most frequent one. Lines
 that this does not link to one and the same line are also paired with each other: all pairs in buckets of up to CHUNK
 lines, in larger ones those of random chunks, so a bucket of any size costs each member the same. A group around one
 line is held together by that line and a dense group by its chunks. Pairs of which half of the minima agree are verified
@@ -29,6 +29,8 @@ from finsheet.llm.components import connected_components
 
 BANDS, ROWS = 5, 2
 CHUNK = 12
+#: Starts of shingles in a piece of a line.
+SPAN = 64
 
 
 def _normal(line):
@@ -38,13 +40,39 @@ def _normal(line):
 
 
 def _shingles(normal, width: int):
-    """Distinct shingles of a normal form: up to ``width`` characters from each start of a word."""
-    return F.array_distinct(F.regexp_extract_all(normal, F.lit(rf"(?=(\S.{{0,{width - 1}}}))\S+"), F.lit(1)))
+    """Distinct 64-bit hashes of a normal form's shingles: ``width`` characters from every position, or a shorter form itself.
+
+    Substrings are taken from pieces of SPAN starts, as finding a character costs time in proportion to its position.
+    """
+    pieces = F.regexp_extract_all(normal, F.lit(rf"(?s)(?=(.{{{width},{SPAN + width - 1}}})).{{1,{SPAN}}}"), F.lit(1))
+    hashes = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (width - 1)), lambda i: F.xxhash64(F.substr(p, i, F.lit(width))))
+    return F.when(F.length(normal) < width, F.array(F.xxhash64(normal))).otherwise(F.array_distinct(F.flatten(F.transform(pieces, hashes))))
 
 
 def _anchor(i: int) -> int:
-    """A fixed 32-bit number; minima of hash XOR anchor pick a uniformly random shingle, another for each anchor."""
-    return (((i + 1) * 0x9E3779B97F4A7C15 ^ ((i + 1) * 0xC2B2AE3D27D4EB4F >> 7)) >> 13) % 2**32 - 2**31
+    """A fixed 64-bit number; minima of hash XOR anchor pick a uniformly random shingle, another for each anchor.
+
+    The upper three bits are spread over the anchors and the next two are 0, which ``_minima`` makes use of.
+    """
+    low = ((i + 1) * 0x9E3779B97F4A7C15 ^ ((i + 1) * 0xC2B2AE3D27D4EB4F >> 7)) % 2**59
+    return ((i % 8) << 61 | low) - (2**64 if i % 8 > 3 else 0)
+
+
+def _least(hashes):
+    """For each anchor the least hash XOR anchor without its sign, as a number of 63 bits."""
+    under = lambda anchor: F.array_min(F.transform(hashes, lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(anchor)), 1)))
+    return F.array(*[under(_anchor(i)) for i in range(BANDS * ROWS)])
+
+
+def _with_minima(hashed: DataFrame) -> DataFrame:
+    """Adds m, the upper bits of the least hash XOR anchor for each anchor.
+
+    Where a hash has the anchor's upper five bits, the least one does. So hashes with other bits than 0 after the third
+    are looked at only if the rest, a quarter, leaves an anchor without such a hash.
+    """
+    some = hashed.withColumn("__some", _least(F.filter("h", lambda x: x.bitwiseAND(F.lit(3 << 59)) == 0)))
+    found = F.forall("__some", lambda x: F.coalesce(x < F.lit(1 << 58), F.lit(False)))
+    return some.withColumn("m", F.transform(F.when(found, F.col("__some")).otherwise(_least(F.col("h"))), lambda x: F.shiftright(x, 32).cast("int"))).drop("__some")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -56,10 +84,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, pos, key, size, m): a line's number of shingles and its minima; nothing is shuffled."""
-    hashed = _texts(docs).select("doc_id", "pos", "key", F.transform(_shingles(F.col("normal"), width), lambda s: F.hash(s)).alias("h"))
-    minimum = lambda anchor: F.array_min(F.transform("h", lambda x: x.bitwiseXOR(F.lit(anchor))))
-    minima = F.array(*[minimum(_anchor(i)) for i in range(BANDS * ROWS)])
-    return hashed.select("doc_id", "pos", "key", F.size("h").alias("size"), minima.alias("m"))
+    hashed = _texts(docs).select("doc_id", "pos", "key", _shingles(F.col("normal"), width).alias("h"))
+    return _with_minima(hashed).select("doc_id", "pos", "key", F.size("h").alias("size"), "m")
 
 
 def _members(sketches: DataFrame) -> DataFrame:
@@ -119,7 +145,7 @@ def similar_lines(docs: DataFrame, sketches: DataFrame, width: int = 9, threshol
     if keys.count() <= most_sent:  # checked: 8 bytes each
         keys = F.broadcast(keys)
     texts = _texts(docs).select("key", "normal").join(keys, "key", "left_semi").groupBy("key").agg(F.first("normal").alias("normal"))
-    sets = materialise(texts.select("key", F.transform(_shingles(F.col("normal"), width), lambda s: F.xxhash64(s)).alias("s")), "lines")
+    sets = materialise(texts.select("key", _shingles(F.col("normal"), width).alias("s")), "lines")
     led = materialise(_verified(led, sets, threshold), "similar")
     labels = led.select(F.col("b").alias("key"), F.col("a").alias("label")).unionAll(led.select(F.col("a").alias("key"), F.col("a").alias("label"))).groupBy("key").agg(F.min("label").alias("label"))
     of = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
