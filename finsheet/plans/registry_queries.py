@@ -144,10 +144,10 @@ SELECT s_suppkey, s_suppkey % 2 = 0 AS is_isin, left(lpad(regexp_replace(s_name,
 
 
 def industry_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types as industries: the dictionary, then the REIT prefix; what neither knows goes to the fuzzy layer."""
+    """Part types as industries: the dictionary, the REIT prefix, then the fuzzy layer."""
     raw = F.element_at(F.array(*[F.lit(x) for x in ("Banks-Regional", "REIT - Offices", "thermal  coal", "Steel", "??", "")]), (F.col("p_size") % 6 + 1).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
-    name, method = approx.industry_by_rule(F.col("raw"))
+    name, method = approx.industry(F.col("raw"))
     return rows.select("p_partkey", "raw", name.alias("industry"), method.alias("method"))
 
 
