@@ -42,16 +42,18 @@ def cascade(queries: DataFrame, registry: DataFrame, rules: list[tuple[str, str,
 
 
 def _grams(name: Column) -> Column:
-    """Distinct runs of GRAM characters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (GRAM - 1), F.lit(1))), lambda i: F.substr(name, i, F.lit(GRAM))))
+    """Distinct runs of 1 to GRAM characters."""
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - (n - 1), F.lit(1))), lambda i: F.substr(name, i, F.lit(n)))
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
 
 
 def contains_join(queries: DataFrame, registry: DataFrame, query: str, name: str) -> DataFrame:
-    """Pairs whose registry name contains the query (at least GRAM characters), without a nested loop.
+    """Pairs whose registry name contains the query (of at least one character), without a nested loop.
 
-    A name that contains the query contains the query's first gram, so the join is by equality on that gram.
+    A name that contains the query contains the query's first gram, or the whole of a shorter query, so the join is by
+    equality on that.
     """
-    left = queries.where(F.length(query) >= GRAM).withColumn("__gram", F.substring(F.upper(query), 1, GRAM))
+    left = queries.where(F.length(query) > 0).withColumn("__gram", F.substring(F.upper(query), 1, GRAM))
     right = registry.withColumn("__gram", F.explode(_grams(F.upper(F.col(name)))))
     return left.join(right, "__gram").where(F.contains(F.upper(F.col(name)), F.upper(F.col(query)))).drop("__gram")
 
@@ -71,8 +73,9 @@ def exact_then_shortest(pairs: DataFrame, query_id: str, query: str, name: str,
 
 def prefix_family(queries: DataFrame, registry: DataFrame, query: str, name: str, filed: str, query_id: str) -> DataFrame:
     """Names that start with the query: the shortest name's family, and of it the newest filing."""
-    left = queries.where(F.length(query) >= GRAM).withColumn("__gram", F.substring(F.upper(query), 1, GRAM))
-    right = registry.withColumn("__gram", F.substring(F.upper(name), 1, GRAM))
+    left = queries.where(F.length(query) > 0).withColumn("__gram", F.substring(F.upper(query), 1, GRAM))
+    starts = F.array_distinct(F.array(*[F.substring(F.upper(name), 1, n) for n in range(1, GRAM + 1)]))
+    right = registry.withColumn("__gram", F.explode(starts))
     met = left.join(right, "__gram").where(F.startswith(F.upper(F.col(name)), F.upper(F.col(query)))).drop("__gram")
     order = Window.partitionBy(query_id).orderBy(F.length(name), name, F.desc(filed))
     return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from finsheet.operators import approx
+from finsheet.operators import approx, resolve
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.6])
@@ -32,3 +32,21 @@ def test_industries_by_similarity(spark):
     name, method = approx.industry(F.col("raw"))
     got = [(r[0], r[1]) for r in spark.createDataFrame(list(enumerate(raw)), "i int, raw string").select("i", name.alias("n"), method.alias("m")).orderBy("i").select("n", "m").collect()]
     assert got == [("Advertising", "fuzzy"), ("Auto Parts", "fuzzy"), ("Steel", "dict"), ("R.E.I.T.", "dict"), ("Drugs (Biotechnology)", "fuzzy"), (None, "none"), (None, "none"), (None, "none")]
+
+
+NAMES = ["HP Inc", "3M Co", "GE", "General Electric", "Shape", "X", "3D", "", None]
+QUERIES = ["hp", "3M", "ge", "g", "x", "3", "general", "zz", ""]
+
+
+def tables(spark):
+    return spark.createDataFrame([(q,) for q in QUERIES], "q string"), spark.createDataFrame([(n, i) for i, n in enumerate(NAMES)], "n string, filed int")
+
+
+def test_short_queries_are_found_in_names(spark):
+    got = sorted((r.q, r.n) for r in resolve.contains_join(*tables(spark), "q", "n").collect())
+    assert got == sorted((q, n) for q in QUERIES for n in NAMES if q and n and q.upper() in n.upper())
+
+
+def test_short_queries_begin_names(spark):
+    got = {r.q: r.n for r in resolve.prefix_family(*tables(spark), "q", "n", "filed", "q").collect()}
+    assert got == {q: min((n for n in NAMES if n and n.upper().startswith(q.upper())), key=lambda n: (len(n), n)) for q in QUERIES if q and any(n and n.upper().startswith(q.upper()) for n in NAMES)}
