@@ -1,11 +1,12 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine of telling words over a block-max inverted index.
 
 The index holds a bounded sample of labelled rows, so it is small and goes to every task; all documents are
 queries and are scored where they are read, without a shuffle. Postings are grouped in blocks of examples. A
 query first adds up each block's largest possible cosine, scores the most promising blocks exactly, and then only
 those that could still beat its k-th best; the k found are therefore exactly the k nearest. The vector space is that of the
-words whose presence goes with the label in the sample (chi-square above CHI2); a word that says nothing about it
-would only blur the distance.
+words whose presence goes with the label in the sample (chi-square, at CHANCE over all words tested); a word that says nothing about it
+would only blur the distance. As that leaves most of a text out, the calibration also looks at the mass of the cosines as
+they are when a text's norm is taken over all its words: one telling word by chance in a long text is little evidence.
 
 Defined cases: null and empty texts, and texts that share no word with any example, get the prior's calibrated
 score and no evidence. Ties go to the earlier example. Repeated rows are scored alike; extra columns are ignored.
@@ -13,6 +14,8 @@ score and no evidence. Ties go to the earlier example. Repeated rows are scored
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +25,8 @@ from finsheet.llm.kernel import pieces, words
 from finsheet.llm.labelled import labelled_sample, remainder
 
 BLOCK = 32
-#: Chi-square of one degree of freedom at p = 0.001: words below it are not dimensions of the vector space.
-CHI2 = 10.83
+#: Chance that any word at all becomes a dimension of the vector space though it has nothing to do with the label.
+CHANCE = 0.001
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, votes double, nearest array<long>, cosine array<double>"
 
 
@@ -52,6 +55,8 @@ class BlockMaxIndex:
         n = len(ids)
         self.ids, self.labels, self.k, self.power = ids, labels.astype(float), k, power
         example = np.repeat(np.arange(n), np.diff(offsets))
+        self.every, word = np.unique(terms, return_inverse=True)
+        self.every_idf = np.log((n + 1) / (np.bincount(word, minlength=len(self.every)) + 0.5))
         if n:
             keep = self._telling(terms, example)
             terms, counts, example = terms[keep], counts[keep], example[keep]
@@ -80,7 +85,9 @@ class BlockMaxIndex:
         b, c = df - a, positive - a
         d = n - positive - b
         spread = np.maximum(df * (n - df) * positive * (n - positive), 1e-9)
-        return ((n * (a * d - b * c) ** 2 / spread > CHI2) & (df >= 3))[term]
+        tested = df >= 3
+        least = NormalDist().inv_cdf(1 - CHANCE / max(1, tested.sum()) / 2) ** 2
+        return ((n * (a * d - b * c) ** 2 / spread > least) & tested)[term]
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine to a text, best first; ``without`` is left out."""
@@ -122,28 +129,43 @@ class BlockMaxIndex:
         at = ragged(self.piece[entry], size)
         score += np.bincount(self.example[at], np.repeat(weight, size) * self.weight[at], minlength=len(score))
 
+    def told(self, terms: np.ndarray, counts: np.ndarray) -> float:
+        """Which share of a text's norm over all its words lies in the vector space."""
+        if not len(terms) or not len(self.vocabulary):
+            return 0.0
+        at = np.minimum(np.searchsorted(self.every, terms), len(self.every) - 1)
+        idf = np.where(self.every[at] == terms, self.every_idf[at], np.log((len(self.ids) + 1) / 0.5))
+        squares = ((1 + np.log(counts)) * idf) ** 2
+        return float(np.sqrt(np.sum(squares[np.isin(terms, self.vocabulary)]) / max(np.sum(squares), 1e-12)))
+
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic neighbours, each weighted by a power of its cosine; the examples' own share if there is none."""
         w = cosine**self.power
         return float(np.sum(w * self.labels[found]) / np.sum(w)) if np.sum(w) > 0 else float(self.labels.mean() if len(self.labels) else 0)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted one-variable logistic fit with a little ridge, by Newton's method."""
-    a = b = 0.0
+def evidence(vote: np.ndarray, mass: np.ndarray) -> np.ndarray:
+    """What the calibration looks at: the vote, the mass of cosines over all words (as a logarithm), and both together."""
+    m = np.log(np.maximum(mass, 1e-3)) - np.log(1e-3)
+    return np.stack([vote, m, vote * m], axis=-1)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weighted logistic fit with a little ridge, by Newton's method."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    a = np.zeros(x.shape[1])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-(a * x + b)))
-        g = np.array([np.sum(weight * (p - y) * x) + 1e-3 * a, np.sum(weight * (p - y)) + 1e-3 * b])
-        s = weight * p * (1 - p)
-        h = np.array([[np.sum(s * x * x) + 1e-3, np.sum(s * x)], [np.sum(s * x), np.sum(s) + 1e-3]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -5, 5), b - np.clip(db, -5, 5)
-        if abs(da) + abs(db) < 1e-9:
+        p = 1 / (1 + np.exp(-(x @ a)))
+        g = x.T @ (weight * (p - y)) + 1e-3 * a
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(a))
+        step = np.linalg.solve(h, g)
+        a = a - np.clip(step, -5, 5)
+        if np.abs(step).sum() < 1e-9:
             break
-    return float(a), float(b)
+    return a[:-1], float(a[-1])
 
 
-def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tuple[float, float]]:
+def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tuple[np.ndarray, float]]:
     """Index and calibration from the bounded sample; each example's vote is taken without itself."""
 
     def vectors(batches):
@@ -165,12 +187,16 @@ def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tup
         np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64),
     )
     if not rows:
-        return index, (0.0, -10.0)
-    votes = np.array([index.vote(*index.nearest(t, np.frombuffer(r.counts, dtype=np.int32), without=i)) for i, (r, t) in enumerate(zip(rows, terms, strict=True))])
+        return index, (np.zeros(3), -10.0)
+    votes, masses = np.zeros(len(rows)), np.zeros(len(rows))
+    for i, (r, t) in enumerate(zip(rows, terms, strict=True)):
+        count = np.frombuffer(r.counts, dtype=np.int32)
+        found, cosine = index.nearest(t, count, without=i)
+        votes[i], masses[i] = index.vote(found, cosine), index.told(t, count) * cosine.sum() / index.k
     y = index.labels
     taken = {c: max(1, int(np.sum(y == c))) for c in (0, 1)}
     weight = np.where(y == 1, counts.get(1, 0) / taken[1], counts.get(0, 0) / taken[0])
-    return index, logistic(votes, y, weight / max(1e-9, weight.sum()) * len(y))
+    return index, logistic(evidence(votes, masses), y, weight / max(1e-9, weight.sum()) * len(y))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 1500, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
@@ -187,15 +213,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, m
         index = shared.value
         for batch in pieces(batches):
             terms, counts, offsets = term_counts(batch.column("text"))
-            votes, near, cosines = [], [], []
+            votes, masses, near, cosines = [], [], [], []
             for i in range(batch.num_rows):
                 cut = slice(offsets[i], offsets[i + 1])
                 found, cosine = index.nearest(terms[cut], counts[cut])
                 votes.append(index.vote(found, cosine))
+                masses.append(index.told(terms[cut], counts[cut]) * float(cosine.sum()) / index.k)
                 near.append(index.ids[found[:3]].tolist())
                 cosines.append(cosine[:3].tolist())
             v = np.array(votes, dtype=float)
-            p = 1 / (1 + np.exp(-(a * v + b)))
+            p = 1 / (1 + np.exp(-(evidence(v, np.array(masses, dtype=float)) @ a + b)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(v), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))],
                 names=["doc_id", "held_out", "score", "predicted", "votes", "nearest", "cosine"],
