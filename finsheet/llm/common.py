@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/finsheet"
+#: Used only by a session of one machine that names no shared folder, as in local tests.
+LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/finsheet"
+#: At most so many keys are called hot, so they are small enough to send to every task whatever the input.
+MOST_HOT = 4000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
+    """The folder that driver and executors share, as the session names it; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    named = named or FALLBACK_CHECKPOINT_DIR
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = LOCAL_CHECKPOINT_DIR
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -37,6 +43,30 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*written: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` wrote and nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        for name in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a value of ``on`` and in ``count`` how often ``left`` has it.
+
+    Values with more than a MOST_HOT-th of the ``total`` rows (there are fewer than MOST_HOT of them) are joined by
+    sending those rows of ``right`` to every task, so no task gets all rows of a hot value. Both tables are read twice,
+    so they should be written ones. ``how`` is inner or left_semi.
+    """
+    hot = right.where(F.col(count) > max(2000, total // MOST_HOT))
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    keys = F.broadcast(hot.select(on))  # fewer than MOST_HOT rows
+    rest = left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on, how)
+    return rest.unionByName(left.join(F.broadcast(hot), on, how))
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished steps now; by itself it waits for the driver's heap to fill."""
     gc.collect()

@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (with partial sums before the shuffle) and a join, so a node with a third of all
-links is a skewed join key and nothing more. The links never leave the executors: only a count and a checksum do.
+Every step is a grouped minimum (with partial minima before the shuffle) and a join; the centre of a large star is a hot
+key of that join and goes to all tasks instead. The links never leave the executors: only a count and a checksum do.
 """
 
 from __future__ import annotations
@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsheet.llm.common import materialise
+from finsheet.llm.common import drop, hot_join, materialise
+
+
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "least")
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,12 +24,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     edges, before = materialise(edges, "links"), None
     while True:
+        n = edges.count()
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        edges = materialise(small, "links")
+        near = _least_neighbours(both)
+        low = near.select("u", F.least("u", "m").alias("m"), "degree")
+        large = hot_join(both, low, "u", "degree", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "large")
+        next_ = _least_neighbours(large)
+        small = hot_join(large, next_, "u", "degree", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        done, edges = edges, materialise(small, "links")
+        drop(done, near, large, next_)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if before == (state.n, state["sum"]):
             break

@@ -1,19 +1,23 @@
 """Fuzzy line deduplication: MinHash over character shingles, exact Jaccard, union-find; DataFrame functions only.
 
-A line is compared by its normal form (lower case, runs of white space one blank, trimmed). Its shingles are the
-``width`` characters from every position (a shorter line is its own shingle), held as 64-bit hashes; a line's signature
-is BANDS x ROWS minima over its shingles. Lines that agree in all ROWS of a band meet in a bucket, and each line of a bucket is paired with the most frequent one. Lines
-that this does not link to one and the same line are also paired with each other: all pairs in buckets of up to CHUNK
-lines, in larger ones those of random chunks, so a bucket of any size costs each member the same. A group around one
-line is held together by that line and a dense group by its chunks. Pairs of which half of the minima agree are verified
-by the exact Jaccard similarity of the sets of shingles; verified links are joined into components, and of each component
-one line stays: the first by (doc_id, position).
-
-Equal normal forms are one key throughout, so copies of a line cost one row each and are never paired.
-
-Defined cases: blank lines are no lines of text and always stay; a null text stays null; an empty text stays empty;
-repeated document ids are told apart by nothing, so ids are expected to be distinct (nulls keep all their lines);
-an empty table gives no rows; extra columns are kept by ``dedup_lines`` and ignored by ``line_report``.
+A line is compared by its normal form (lower case, runs of white space one blank, trimmed). Its shingles are the ``width``
+characters from every position (a shorter line is its own shingle). Characters are UTF-16 units, so that a shingle is a
+slice at a fixed offset; outside the basic plane a sign is two of them. A line's signature is BANDS x ROWS minima over the
+64-bit hashes of its shingles. Lines that agree in all ROWS of a band meet in a bucket.
+
+In a bucket of up to CROWD lines all pairs are candidates. In a crowded one each line is paired with the bucket's lead, and
+the lines are then dealt into buckets of their own by minima over the shingles that the lead does not have: lines that are
+alike without being like the lead must share some of those. This repeats until no bucket is crowded. It ends, as the leads'
+shingles are gone from the next round, and no pair is dropped for the size of its bucket. Candidates of which half of the
+minima agree are verified by the exact Jaccard similarity of their sets of shingles (of the characters themselves, not of
+hashes); verified links are joined into components, and of each component one line stays: the first by (doc_id, row, position).
+
+Equal normal forms are one key (a 64-bit hash) throughout, so copies of a line cost one row each and are never paired.
+
+Defined cases: blank lines are no lines of text and always stay; a null text stays null; an empty text stays empty; rows of
+one document id with different texts are different documents, told apart by a hash of the text, and equal rows lose the same
+lines; rows without an id keep all lines; an empty table gives no rows; extra columns, whatever their names, are kept by
+``dedup_lines`` and ignored by ``line_report``.
 """
 
 from __future__ import annotations
@@ -24,13 +28,17 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsheet.llm.common import materialise
+from finsheet.llm.common import drop, hot_join, materialise
 from finsheet.llm.components import connected_components
 
-BANDS, ROWS = 5, 2
-CHUNK = 12
-#: Starts of shingles in a piece of a line.
-SPAN = 64
+BANDS, ROWS = 6, 2
+MINIMA = BANDS * ROWS
+#: Lines of a bucket up to which all its pairs are candidates.
+CROWD = 12
+#: Minima over a line's shingles outside the lead, each a bucket of its own.
+DEEPER = 10
+#: Pairs of one line in a task.
+SHARE = 1000
 
 
 def _normal(line):
@@ -39,131 +47,146 @@ def _normal(line):
     return F.trim(F.when(runs, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
 
-def _shingles(normal, width: int):
-    """Distinct 64-bit hashes of a normal form's shingles: ``width`` characters from every position, or a shorter form itself.
+def _starts(width: int):
+    """Starts of the shingles of the UTF-16 form ``b``; a form of less than ``width`` characters is one shingle."""
+    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length("b") / 2).cast("int") - width))
 
-    Substrings are taken from pieces of SPAN starts, as finding a character costs time in proportion to its position.
-    """
-    pieces = F.regexp_extract_all(normal, F.lit(rf"(?s)(?=(.{{{width},{SPAN + width - 1}}})).{{1,{SPAN}}}"), F.lit(1))
-    hashes = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (width - 1)), lambda i: F.xxhash64(F.substr(p, i, F.lit(width))))
-    return F.when(F.length(normal) < width, F.array(F.xxhash64(normal))).otherwise(F.array_distinct(F.flatten(F.transform(pieces, hashes))))
 
+def _shingle(i, width: int, form="b"):
+    return F.substring(F.col(form), i * 2 + 1, F.lit(2 * width))
 
-def _anchor(i: int) -> int:
-    """A fixed 64-bit number; minima of hash XOR anchor pick a uniformly random shingle, another for each anchor.
-
-    The upper three bits are spread over the anchors and the next two are 0, which ``_minima`` makes use of.
-    """
-    low = ((i + 1) * 0x9E3779B97F4A7C15 ^ ((i + 1) * 0xC2B2AE3D27D4EB4F >> 7)) % 2**59
-    return ((i % 8) << 61 | low) - (2**64 if i % 8 > 3 else 0)
 
+def _set(form: str, width: int):
+    """Distinct shingles of a UTF-16 form."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(form) / 2).cast("int") - width))
+    return F.array_distinct(F.transform(starts, lambda i: _shingle(i, width, form)))
 
-def _least(hashes):
-    """For each anchor the least hash XOR anchor without its sign, as a number of 63 bits."""
-    under = lambda anchor: F.array_min(F.transform(hashes, lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(anchor)), 1)))
-    return F.array(*[under(_anchor(i)) for i in range(BANDS * ROWS)])
 
+def _anchor(i: int) -> int:
+    """A fixed 64-bit number; the least hash XOR anchor is of a uniformly random shingle, another for each anchor."""
+    x = ((i + 1) * 0x9E3779B97F4A7C15 ^ ((i + 1) * 0xC2B2AE3D27D4EB4F >> 7)) % 2**64
+    return x - 2**64 if x >= 2**63 else x
 
-def _with_minima(hashed: DataFrame) -> DataFrame:
-    """Adds m, the upper bits of the least hash XOR anchor for each anchor.
 
-    Where a hash has the anchor's upper five bits, the least one does. So hashes with other bits than 0 after the third
-    are looked at only if the rest, a quarter, leaves an anchor without such a hash.
-    """
-    some = hashed.withColumn("__some", _least(F.filter("h", lambda x: x.bitwiseAND(F.lit(3 << 59)) == 0)))
-    found = F.forall("__some", lambda x: F.coalesce(x < F.lit(1 << 58), F.lit(False)))
-    return some.withColumn("m", F.transform(F.when(found, F.col("__some")).otherwise(_least(F.col("h"))), lambda x: F.shiftright(x, 32).cast("int"))).drop("__some")
+def _least(i: int):
+    """The upper half of the least hash XOR anchor."""
+    return F.shiftright(F.min(F.col("h").bitwiseXOR(F.lit(_anchor(i)))), 32).cast("int")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, normal, key) of the lines that hold text; key is a 64-bit hash of the normal form."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    rows = own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "pos", _normal(F.col("line")).alias("normal"))
+    """(doc_id, row, pos, normal, key) of the lines that hold text; row tells the texts of one id apart."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text").where("doc_id is not null and text is not null")
+    rows = own.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select("doc_id", "row", "pos", _normal(F.col("line")).alias("normal"))
     return rows.where("normal <> ''").withColumn("key", F.xxhash64("normal"))
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, pos, key, size, m): a line's number of shingles and its minima; nothing is shuffled."""
-    hashed = _texts(docs).select("doc_id", "pos", "key", _shingles(F.col("normal"), width).alias("h"))
-    return _with_minima(hashed).select("doc_id", "pos", "key", F.size("h").alias("size"), "m")
-
-
-def _members(sketches: DataFrame) -> DataFrame:
-    """(bucket, key, size, m, weight) of the buckets that hold more than one key; weight is how many lines have the key."""
-    bands = [F.hash(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)]
-    every = sketches.select(F.explode(F.array(*bands)).alias("bucket"), "key")
-    shared = every.select("bucket", F.hash("key").alias("k")).groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("bucket")
-    members = materialise(every.join(shared, "bucket", "left_semi").distinct(), "members")
-    kept = sketches.select("key", "size", "m").join(members.select("key").distinct(), "key", "left_semi")
-    lines = kept.groupBy("key").agg(F.first("size").alias("size"), F.first("m").alias("m"), F.count(F.lit(1)).alias("weight"))
-    return members.join(lines, "key")
-
-
-def _likely(x, y, threshold: float):
-    """Whether two lines (structs of size and m) can be similar: their sizes allow it and half of the minima agree."""
-    agree = F.aggregate(F.zip_with(x["m"], y["m"], lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
-    return (F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"]) - 1e-9) & (agree >= BANDS * ROWS // 2)
-
-
-def _led(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): each member of a bucket as b with the bucket's most frequent line as a, where they are likely similar."""
-    line = F.struct("key", "size", "m")
-    leads = members.groupBy("bucket").agg(F.max_by(line, F.struct("weight", "key")).alias("lead"))
-    met = members.join(leads, "bucket").where(F.col("key") != F.col("lead.key")).where(_likely(line, F.col("lead"), threshold))
-    return met.select(F.col("lead.key").alias("a"), F.col("key").alias("b")).distinct()
-
-
-def _chunked(members: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: the likely pairs inside each chunk of a bucket.
-
-    A bucket of up to CHUNK keys is one chunk; a larger one is cut into chunks of about that size by a hash of the key.
-    """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    chunk = members.join(sizes, "bucket").groupBy("bucket", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
-    items = chunk.agg(F.sort_array(F.collect_list(F.struct("key", "size", "m"))).alias("items")).where("size(items) > 1")
-    later = lambda x, i: F.transform(F.filter(F.slice("items", i + 2, F.size("items")), lambda y: _likely(x, y, threshold)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
-    return items.select(F.explode(F.flatten(F.transform("items", later))).alias("p")).select("p.a", "p.b").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose sets of shingles (64-bit hashes) have the exact Jaccard similarity."""
-    left, right = sets.select(F.col("key").alias("a"), F.col("s").alias("sa")), sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(left, "a").join(right, "b")
-    return met.where(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
-
-
-def similar_lines(docs: DataFrame, sketches: DataFrame, width: int = 9, threshold: float = 0.8, most_sent: int = 2_000_000) -> DataFrame:
-    """Verified links (a, b) between distinct keys.
-
-    The keys of likely pairs go to every task while there are at most ``most_sent`` of them, else they are shuffled.
-    """
-    members = materialise(_members(sketches), "buckets")
-    led, near = materialise(_led(members, threshold), "pairs"), materialise(_chunked(members, threshold), "pairs")
-    ends = [p.select(F.col(c).alias("key")) for p in (led, near) for c in ("a", "b")]
-    keys = materialise(reduce(DataFrame.unionAll, ends).distinct(), "keys")
-    if keys.count() <= most_sent:  # checked: 8 bytes each
-        keys = F.broadcast(keys)
-    texts = _texts(docs).select("key", "normal").join(keys, "key", "left_semi").groupBy("key").agg(F.first("normal").alias("normal"))
-    sets = materialise(texts.select("key", _shingles(F.col("normal"), width).alias("s")), "lines")
-    led = materialise(_verified(led, sets, threshold), "similar")
-    labels = led.select(F.col("b").alias("key"), F.col("a").alias("label")).unionAll(led.select(F.col("a").alias("key"), F.col("a").alias("label"))).groupBy("key").agg(F.min("label").alias("label"))
-    of = lambda c: labels.select(F.col("key").alias(c), F.col("label").alias(f"label_{c}"))
-    open_ = near.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
-    return led.unionByName(materialise(_verified(open_, sets, threshold), "similar"))
+    """(doc_id, row, pos, key, m): the minima of every line; texts are hashed where they are read, only minima are shuffled."""
+    forms = _texts(docs).select("doc_id", "row", "pos", "key", F.encode("normal", "UTF-16BE").alias("b"))
+    each = forms.select("doc_id", "row", "pos", "key", "b", F.explode(_starts(width)).alias("i")).select("doc_id", "row", "pos", "key", F.xxhash64(_shingle(F.col("i"), width)).alias("h"))
+    lines = each.groupBy("doc_id", "row", "pos", "key").agg(*[_least(i).alias(f"m{i}") for i in range(MINIMA)])
+    return lines.select("doc_id", "row", "pos", "key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m"))
+
+
+def _met(members: DataFrame) -> DataFrame:
+    """(bucket, key, group, low, n) of the buckets that hold more than one key: the lead ``low`` is the smallest key, n their size."""
+    members = materialise(members, "dealt")
+    sizes = materialise(members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").drop("high"), "sizes")
+    found = materialise(hot_join(members, sizes, "bucket", "n", members.count()), "met")
+    drop(members, sizes)
+    return found
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct candidates (a, b, n): all pairs of small buckets, and lead and member of crowded ones; n bounds a's pairs in a bucket."""
+    small = met.where(f"n <= {CROWD}").groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    later = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    small = small.select(F.explode(later).alias("p")).select("p.a", "p.b", F.lit(CROWD).cast("long").alias("n"))
+    star = met.where(f"n > {CROWD} and key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"), "n")
+    return small.unionByName(star).groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _beside(pairs: DataFrame, rows: DataFrame, end: str, *columns: str) -> DataFrame:
+    """``pairs`` with the columns of ``rows`` for one end; a line with many pairs is joined in as many places as it needs."""
+    parts = F.ceil(F.col("n") / SHARE)
+    own = rows.select(F.col("key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+    if end == "b":
+        return pairs.join(own, end)
+    hubs = pairs.groupBy(end).agg(F.max(parts).alias("parts"))
+    own = own.join(hubs, end).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return pairs.withColumn("part", F.pmod(F.xxhash64("b"), parts)).join(own, [end, "part"]).drop("part")
+
+
+def _verified(pairs: DataFrame, minima: DataFrame, forms: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Links (a, b, n): half of the minima agree, and the sets of shingles have the exact Jaccard similarity."""
+    agree = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
+    likely = _beside(_beside(pairs, minima, "b", "m"), minima, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
+    likely = materialise(likely, "likely")
+    met = _beside(_beside(likely, forms, "b", "b").withColumnRenamed("b_b", "form_b"), forms, "a", "b").withColumnRenamed("b_a", "form_a")
+    met = met.select("a", "b", "n", _set("form_a", width).alias("s_a"), _set("form_b", width).alias("s_b")).withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    links = materialise(met.where(F.col("common") >= threshold * (F.size("s_a") + F.size("s_b") - F.col("common")) - 1e-9).select("a", "b", "n"), "similar")
+    drop(likely)
+    return links
+
+
+def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
+    """(group, key, h): the hashes of each line's shingles that neither its bucket's lead nor an earlier one has."""
+    pairs = crowded.select(F.col("low").alias("a"), F.col("key").alias("b"), "bucket", "group", "n")
+    hashed = lambda s: F.transform(s, lambda x: F.xxhash64(x))
+    met = _beside(pairs, forms, "a", "b").withColumnRenamed("b_a", "form_a")
+    if rests is None:
+        met = _beside(met, forms, "b", "b").withColumn("left", hashed(_set("b_b", width)))
+    else:
+        met = met.join(rests.select("group", F.col("key").alias("b"), F.col("h").alias("left")), ["group", "b"])
+    return met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.array_except("left", hashed(_set("form_a", width))).alias("h")).where("size(h) > 0")
+
+
+def _redealt(rests: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, key, group): lines that share a least hash outside the lead; buckets whose lines are all linked already are left out."""
+    least = rests.select("group", "key", F.explode("h").alias("h")).groupBy("group", "key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_anchor(MINIMA + i)))).alias(f"m{i}") for i in range(DEEPER)])
+    buckets = F.array(*[F.xxhash64("group", F.lit(i), f"m{i}") for i in range(DEEPER)])
+    dealt = materialise(least.join(labels, "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"), F.explode(buckets).alias("bucket")), "redealt")
+    open_ = materialise(dealt.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("bucket", "n"), "open")
+    out = materialise(hot_join(dealt, open_, "bucket", "n", dealt.count(), "left_semi").select("bucket", "key", "group"), "members")
+    drop(dealt, open_)
+    return out
+
+
+def similar_lines(docs: DataFrame, lines: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
+    """Verified links (a, b) between distinct keys; ``lines`` has the sketches of ``docs``."""
+    minima = materialise(lines.groupBy("key").agg(*[F.min(F.col("m")[i]).alias(f"m{i}") for i in range(MINIMA)]).select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m")), "minima")
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+    met = _met(minima.select("key", F.lit(0).cast("long").alias("group"), F.explode(bands).alias("bucket")))
+    wanted = met.select("key").distinct()
+    spot = F.struct("doc_id", "row", "pos")
+    wanted = lines.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).select("at.*")
+    forms = materialise(_texts(docs).join(wanted, ["doc_id", "row", "pos"]).select("key", F.encode("normal", "UTF-16BE").alias("b")).dropDuplicates(["key"]), "forms")
+    links, rests, first = [], None, True
+    while True:
+        links.append(_verified(_pairs(met), minima, forms, width, threshold))
+        crowded = met.where(f"n > {CROWD}")
+        if first:  # a lead's buckets in several bands are one group
+            crowded = crowded.groupBy("low", "key").agg(F.max("n").alias("n")).select(F.col("low").alias("bucket"), "low", "key", F.lit(0).cast("long").alias("group"), "n")
+        if crowded.isEmpty():
+            break
+        rests = materialise(_deeper(crowded, rests, forms, width), "rests")
+        every = reduce(DataFrame.unionByName, links)
+        ends = every.select(F.col("b").alias("key"), F.col("a").alias("label")).unionAll(every.select(F.col("a").alias("key"), F.col("a").alias("label")))
+        met, first = _met(_redealt(rests, ends.groupBy("key").agg(F.min("label").alias("label")))), False
+    return reduce(DataFrame.unionByName, links).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, pos) of each line that repeats or nearly repeats an earlier one."""
+    """(doc_id, row, pos) of each line that repeats or nearly repeats an earlier one."""
     lines = materialise(_sketches(docs, width), "sketches")
     parts = connected_components(similar_lines(docs, lines, width, threshold))
-    spot = F.struct("doc_id", "pos")
+    spot = F.struct("doc_id", "row", "pos")
     keys = lines.groupBy("key").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"))
     keys = keys.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
-    keys = materialise(keys.select("key", F.coalesce("component", "key").alias("part"), "first"), "repeated")
-    kept = keys.groupBy("part").agg(F.min("first").alias("kept"))
-    kept = keys.join(kept, "part").select("key", "kept")
-    return lines.select("doc_id", "pos", "key").join(kept, "key").where(spot != F.col("kept")).select("doc_id", "pos")
+    keys = materialise(keys.select("key", F.coalesce("component", "key").alias("part"), "first", "n"), "repeated")
+    kept = keys.groupBy("part").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("size"))
+    kept = materialise(hot_join(keys, materialise(kept, "kept"), "part", "size", keys.count()).select("key", "kept", "n"), "decided")
+    return hot_join(lines.select("doc_id", "row", "pos", "key"), kept, "key", "n", lines.count()).where(spot != F.col("kept")).select("doc_id", "row", "pos")
 
 
 def dedup_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
@@ -172,9 +195,9 @@ def dedup_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> Data
 
 
 def _cut(docs: DataFrame, width: int, threshold: float) -> DataFrame:
-    gone = removed_lines(docs, width, threshold).groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    gone = gone.select(F.col("doc_id").alias("__doc"), F.array_sort("gone").alias("__gone"))
-    own = docs.join(gone, docs["doc_id"].cast("long") == gone["__doc"], "left")
+    gone = removed_lines(docs, width, threshold).groupBy("doc_id", "row").agg(F.collect_set("pos").alias("gone"))
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), F.array_sort("gone").alias("__gone"))
+    own = docs.join(gone, (docs["doc_id"].cast("long") == gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__row"]), "left")
     # The lines between removed ones, from the end of one gap to the start of the next, so the work is linear in the text.
     gaps = F.concat(F.array(F.lit(-1)), "__gone"), F.concat("__gone", F.array(F.size(F.col("__lines"))))
     kept = F.flatten(F.transform(F.arrays_zip(gaps[0].alias("a"), gaps[1].alias("b")), lambda g: F.slice(F.col("__lines"), g["a"] + 2, g["b"] - g["a"] - 1)))

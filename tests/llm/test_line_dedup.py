@@ -13,8 +13,10 @@ def normal(line):
     return re.sub(r"\s+", " ", line.lower()).strip()
 
 
-def shingles(line):
-    return {m for m in re.findall(r"(?<!\S)(?=(\S.{0,8}))", line)}
+def shingles(line, width=9):
+    """Nine characters (UTF-16 units) from every position."""
+    form = line.encode("utf-16-be")
+    return {form[i : i + 2 * width] for i in range(0, max(1, len(form) - 2 * width + 2), 2)}
 
 
 def brute(rows, threshold=0.8):

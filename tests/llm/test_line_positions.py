@@ -8,12 +8,13 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from finsheet.llm.line_dedup import _anchor, _sketches, dedup_lines
+from finsheet.llm.line_dedup import _anchor, _sketches, dedup_lines, line_report
 
 
 def shingles(line, width=9):
     line = re.sub(r"\s+", " ", line.lower()).strip()
-    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
+    form = line.encode("utf-16-be")
+    return {form[i : i + 2 * width] for i in range(0, max(1, len(form) - 2 * width + 2), 2)}
 
 
 def kept(spark, lines):
@@ -41,12 +42,47 @@ def test_near_copies_without_blanks(spark, alphabet):
     assert kept(spark, base + near) == [*base, "", "", ""]
 
 
-def test_shingles_and_minima_are_those_of_every_position(spark):
+def test_minima_are_those_of_every_position(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("ab cdé世😀") for _ in range(n)).strip() for n in (1, 3, 8, 9, 10, 63, 64, 65, 71, 72, 73, 128, 136, 137, 400, 5000)]
     rows = {r.doc_id: r for r in _sketches(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 9).collect()}
-    every = spark.createDataFrame([(i, s) for i, x in enumerate(lines) for s in shingles(x)], "i long, s string").select("i", F.xxhash64("s").alias("h"))
+    every = spark.createDataFrame([(i, bytearray(s)) for i, x in enumerate(lines) for s in shingles(x)], "i long, s binary").select("i", F.xxhash64("s").alias("h"))
     hashes = {r.i: r.h for r in every.groupBy("i").agg(F.collect_set("h").alias("h")).collect()}
     for i, r in rows.items():
-        assert r.size == len(hashes[i])
-        assert r.m == [min((h ^ _anchor(k)) % 2**64 for h in hashes[i]) >> 33 for k in range(len(r.m))]
+        assert list(r.m) == [min(h ^ _anchor(k) for h in hashes[i]) >> 32 for k in range(len(r.m))]
+
+
+def gone(spark, texts):
+    rows = line_report(spark.createDataFrame(texts, "doc_id long, text string"))
+    return rows.agg(F.sum("n_removed")).first()[0]
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Twins (similarity 0.95) among lines that all share most of their characters (0.7): every bucket is crowded."""
+    rng = random.Random(11)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(260))
+    texts = []
+    for i in range(300):
+        own = "".join(rng.choice("klmnopqrstuv") for _ in range(50))
+        texts += [(2 * i, common + own), (2 * i + 1, common + own + rng.choice("wxyz"))]
+    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    assert alike(texts[0][1], texts[1][1]) > 0.9 and alike(texts[0][1], texts[2][1]) < 0.75
+    assert gone(spark, texts) >= 0.97 * 300
+
+
+def test_a_large_cluster_is_one_component(spark):
+    rng = random.Random(12)
+    base = "".join(rng.choice("abcdefghijkl ") for _ in range(300))
+    texts = [(i, base[:k] + "#%05d" % i + base[k:]) for i, k in enumerate(rng.choices(range(300), k=400))]
+    assert gone(spark, texts) == 399
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    texts = [(5, "a line that other documents have as well"), (5, "a line that stands nowhere else but here 42"), (3, "a line that other documents have as well")]
+    rows = dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in rows) == [(3, texts[2][1]), (5, ""), (5, texts[1][1])]
+
+
+def test_a_column_name_with_a_dot(spark):
+    rows = dedup_lines(spark.createDataFrame([(1, "x", 7)], "doc_id long, text string, `a.b` int")).collect()
+    assert [tuple(r) for r in rows] == [(1, "x", 7)]
