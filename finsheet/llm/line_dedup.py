@@ -9,8 +9,7 @@ In a bucket of up to CROWD lines all pairs are candidates. In a crowded one each
 the lines are then dealt into buckets of their own by minima over the shingles that the lead does not have: lines that are
 alike without being like the lead must share some of those. This repeats until no bucket is crowded. It ends, as the leads'
 shingles are gone from the next round, and no pair is dropped for the size of its bucket. Candidates of which half of the
-minima agree are verified by the exact Jaccard similarity of their sets of shingles (of the characters themselves, not of
-hashes); verified links are joined into components, and of each component one line stays: the first by (doc_id, row, position).
+minima agree are verified by the exact Jaccard similarity of their whole sets of shingles (as 64-bit hashes); verified links are joined into components, and of each component one line stays: the first by (doc_id, row, position).
 
 Equal normal forms are one key (a 64-bit hash) throughout, so copies of a line cost one row each and are never paired.
 
@@ -57,9 +56,9 @@ def _shingle(i, width: int, form="b"):
 
 
 def _set(form: str, width: int):
-    """Distinct shingles of a UTF-16 form."""
+    """Distinct 64-bit hashes of a UTF-16 form's shingles."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(form) / 2).cast("int") - width))
-    return F.array_distinct(F.transform(starts, lambda i: _shingle(i, width, form)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(_shingle(i, width, form))))
 
 
 def _anchor(i: int) -> int:
@@ -132,13 +131,12 @@ def _verified(pairs: DataFrame, minima: DataFrame, forms: DataFrame, width: int,
 def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
     """(group, key, h): the hashes of each line's shingles that neither its bucket's lead nor an earlier one has."""
     pairs = crowded.select(F.col("low").alias("a"), F.col("key").alias("b"), "bucket", "group", "n")
-    hashed = lambda s: F.transform(s, lambda x: F.xxhash64(x))
     met = _beside(pairs, forms, "a", "b").withColumnRenamed("b_a", "form_a")
     if rests is None:
-        met = _beside(met, forms, "b", "b").withColumn("left", hashed(_set("b_b", width)))
+        met = _beside(met, forms, "b", "b").withColumn("left", _set("b_b", width))
     else:
         met = met.join(rests.select("group", F.col("key").alias("b"), F.col("h").alias("left")), ["group", "b"])
-    return met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.array_except("left", hashed(_set("form_a", width))).alias("h")).where("size(h) > 0")
+    return met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.array_except("left", _set("form_a", width)).alias("h")).where("size(h) > 0")
 
 
 def _redealt(rests: DataFrame, labels: DataFrame) -> DataFrame:
