@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Used only by a session of one machine that names no shared folder, as in local tests.
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/finsheet"
+#: Spark's own switch for dropping an execution's shuffle files at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many keys are called hot, so they are small enough to send to every task whatever the input.
 MOST_HOT = 4000
 
@@ -34,13 +35,22 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, which cuts its lineage.
 
-    Files in that folder outlive any executor, so a lost executor costs only a re-read.
+    Files in that folder outlive any executor, so a lost executor costs only a re-read. The step's shuffle files go when
+    it is written, as nothing can read them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_UP)
+        else:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(schema).parquet(path)
 
 
 def drop(*written: DataFrame) -> None:
@@ -67,12 +77,6 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, count: str, total: int,
     return rest.unionByName(left.join(F.broadcast(hot), on, how))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now; by itself it waits for the driver's heap to fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def documents_only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of ``docs``; extra columns, whatever their names, go no further."""
     return docs.select(*[F.col(f"`{c}`") for c in columns])

@@ -5,18 +5,20 @@ is removed. All strings of that length are covered, none is sampled away:
 
 1. Each string has an anchor: of its ``gram``-byte grams the one of smallest hash. Consecutive strings of a text
    mostly share their anchor, so a text falls into segments (a run of starts with one anchor), about one for every
-   16 bytes. Equal strings have equal anchors. Anchors go, packed, to buckets by their hash, and those that occur in
-   one document only are dropped there.
-2. The segments of the others are cut from the texts and dealt by anchor. In a bucket, equal segments are one.
+   16 bytes. Equal strings have equal anchors. Documents are dealt into groups of a few MB; each group names its anchors
+   once, whatever the number of its documents that have them, and learns which of them other documents have, too.
+2. The segments of those anchors are cut from the texts. In a group equal segments are one, with the smallest id that
+   has it; their occurrences stay with the group, so that a passage of a third of all documents is one row a group.
 3. Where the segments of an anchor differ, the suffixes that start in them are sorted: a mergesort whose runs double,
    all pairs of runs at once, and whose comparisons find the common extension of two suffixes by binary search over
-   prefix polynomial hashes. Neighbours whose extension reaches ``length`` are compared byte by byte, so a hash
-   collision cannot join them; each class of equal strings knows the smallest id that has it.
-4. Removed runs go back to their documents, are merged and cut out.
+   prefix polynomial hashes. Neighbours whose extension reaches ``length`` are compared byte by byte, and so are segments
+   of equal hash, so a hash collision cannot join them; each class of equal strings knows the smallest id that has it.
+4. The smallest ids go back to the groups, where removed runs are merged and cut out.
 
 Defined cases: a null text is the empty text; a text shorter than ``length`` loses nothing; repeated strings inside
-one document do not count; documents of equal id do not count against each other; a document without an id neither
-loses bytes nor costs others any; extra columns are ignored; an empty table gives no rows.
+one document do not count; documents of equal id do not count against each other, each keeps its own text (a hash of the
+text tells them apart), and equal rows get equal results; a document without an id neither loses bytes nor costs others
+any; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsheet.llm.common import materialise, scaled_partitions
+from finsheet.llm.common import drop, materialise, scaled_partitions
 from finsheet.llm.kernel import INVERSE, mix, pieces, powers, prefix_hash, string_buffers
 
 U8 = np.uint64
@@ -171,31 +173,93 @@ def _blob(x: np.ndarray, dtype) -> bytes:
 
 
 def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype=dtype), *[np.frombuffer(v, dtype=dtype) for v in table.column(name).to_pylist()]])
+    return np.concatenate([np.zeros(0, dtype=dtype), *[np.frombuffer(v, dtype=dtype) for v in table.column(name).to_pylist() if v is not None]])
 
 
-def _by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    return [(int(bucket[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows)]
+def _split(value: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(value, its rows in order) of every value."""
+    order = np.argsort(value, kind="stable")
+    cuts = np.flatnonzero(np.diff(value[order])) + 1
+    return [(int(value[rows[0]]), rows) for rows in np.split(order, cuts) if len(rows)]
 
 
-def removed_runs(docs: DataFrame, length: int = 50, gram: int = 20, group_bytes: int = 4_000_000) -> DataFrame:
-    """(doc_id, start, end) of removed byte runs, not merged.
+def distinct_segments(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, ext: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each distinct segment, which distinct one each segment is): equal by hash, then byte by byte."""
+    prefix = prefix_hash(data)
+    mark = mix((prefix[start + size] - prefix[start]) * powers(INVERSE, len(prefix))[start] + ext.astype(np.uint64)) ^ key
+    _, one, seg = np.unique(mark, return_index=True, return_inverse=True)
+    other = start[one][seg]
+    odd = (size != size[one][seg]) | (key != key[one][seg]) | (ext != ext[one][seg])
+    shared = np.flatnonzero((other != start) & ~odd)
+    for at in range(0, len(shared), 50_000):
+        rows = shared[at : at + 50_000]
+        n = size[rows]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differs = data[np.repeat(start[rows], n) + step] != data[np.repeat(other[rows], n) + step]
+        odd[rows[np.add.reduceat(differs, np.cumsum(n) - n) > 0]] = True
+    extra = np.flatnonzero(odd)
+    seg = seg.copy()
+    seg[extra] = len(one) + np.arange(len(extra))
+    return np.append(one, extra), seg
+
+
+def constant_runs(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first, last + 1, value) of the maximal runs of one value inside each segment."""
+    seg = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    new = np.ones(len(values) + 1, dtype=bool)
+    new[1:-1] = (values[1:] != values[:-1]) | (seg[1:] != seg[:-1])
+    at = np.flatnonzero(new)
+    head, tail = at[:-1], at[1:]
+    return seg[head], head - offsets[seg[head]], tail - offsets[seg[head]], values[head]
+
+
+class Group:
+    """The documents of one group in the order of (id, hash of the text), equal rows once."""
+
+    def __init__(self, table: pa.Table):
+        ids, marks = table.column("doc_id").to_numpy(), table.column("mark").to_numpy()
+        order = np.lexsort((marks, ids))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (marks[order[1:]] != marks[order[:-1]])
+        self.row = order[new]
+        self.ids = ids[self.row]
+        self.place = np.zeros(len(order), dtype=np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        text = table.column("text").cast(pa.large_string()).combine_chunks()
+        self.texts = pa.table({"text": text.take(pa.array(self.row))})
+
+    def parts(self):
+        """(first row, bytes, offsets) of stretches of about 2 MB."""
+        at = 0
+        for batch in self.texts.to_batches():
+            for piece in pieces(iter([batch]), most=2_000_000):
+                data, offsets = string_buffers(piece.column("text"))
+                yield at, data, offsets
+                at += piece.num_rows
+
+
+def _own(docs: DataFrame, n_groups: int) -> DataFrame:
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return own.withColumn("mark", F.xxhash64("text")).withColumn("g", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(n_groups)))
 
-    Documents and anchors are dealt into groups of about ``group_bytes`` bytes of text, and at least one a partition.
-    """
-    total = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
-    n_buckets = n_groups = max(scaled_partitions(docs.sparkSession), -(-total // group_bytes))
+
+SEGMENTS = {"bucket": pa.int64(), "g": pa.int64(), **dict.fromkeys(("key", "ext", "bytes", "low", "seg", "row", "first"), pa.binary())}
+
+
+def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_buckets: int) -> DataFrame:
+    """Per group the segments that others may have, too: rows with a bucket hold distinct segments, rows without one where they occur."""
+    own = _own(docs, n_groups).where("doc_id is not null")
 
     def deal(batches):
+        """Each group's anchors once, packed by bucket; the lowest bit says whether several of its documents have it."""
         parts, held = [], 0
         for piece in pieces(batches, most=2_000_000):
             data, offsets = string_buffers(piece.column("text"))
-            doc, first, runs, at, key = anchors(data, offsets, length, gram)
-            ids, group = piece.column("doc_id").to_numpy(), piece.column("g").to_numpy()
-            parts.append((key, ids[doc], group[doc], first, runs * 64 + at))
-            held += len(doc)
+            doc, _, _, _, key = anchors(data, offsets, length, gram)
+            new = np.ones(len(doc), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+            parts.append((key[new], piece.column("g").to_numpy()[doc[new]], (np.int64(held) << 32) + doc[new]))
+            held += int(new.sum())
             if held > 1_500_000:
                 yield from packed(parts)
                 parts, held = [], 0
@@ -203,93 +267,88 @@ def removed_runs(docs: DataFrame, length: int = 50, gram: int = 20, group_bytes:
             yield from packed(parts)
 
     def packed(parts):
-        key, ids, group, first, ext = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        for bucket, rows in _by_bucket((key >> U8(32)).astype(np.int64) % n_buckets):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *[pa.array([_blob(x[rows], t)], pa.binary()) for x, t in ((key, "u8"), (ids, "i8"), (group, "u4"), (first, "u4"), (ext, "u2"))]], names=["bucket", "key", "ids", "grp", "first", "ext"])
+        key, group, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((group, key))
+        key, group, doc = key[order], group[order], doc[order]
+        head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
+        several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
+        key, mark = key[head], (group[head] * 2 + several).astype(np.uint32)
+        for bucket, rows in _split((key >> U8(32)).astype(np.int64) % n_buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([_blob(key[rows], "u8")], pa.binary()), pa.array([_blob(mark[rows], "u4")], pa.binary())], names=["bucket", "key", "grp"])
 
     def repeated(table: pa.Table) -> pa.Table:
-        key, ids, group, first, ext = (_column(table, c, t) for c, t in (("key", "u8"), ("ids", "i8"), ("grp", "u4"), ("first", "u4"), ("ext", "u2")))
+        """The anchors of each group that more than one document has."""
+        key, mark = _column(table, "key", "u8"), _column(table, "grp", "u4")
         order = np.argsort(key, kind="stable")
-        key, ids = key[order], ids[order]
+        key, mark = key[order], mark[order]
         head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=int)
-        several = np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head) if len(head) else np.zeros(0, dtype=bool)
-        keep = np.repeat(several, np.diff(np.append(head, len(key))))
-        key, ids, rows = key[keep], ids[keep], order[keep]
-        out = [(g, r) for g, r in _by_bucket(group[rows].astype(np.int64))]
-        return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), **{n: pa.array([_blob(x[r], t) for _, r in out], pa.binary()) for n, x, t in (("key", key, "u8"), ("ids", ids, "i8"), ("first", first[rows], "u4"), ("ext", ext[rows], "u2"))}})
+        size = np.diff(np.append(head, len(key)))
+        several = (size > 1) | (np.maximum.reduceat(mark & 1, head) > 0) if len(head) else np.zeros(0, dtype=bool)
+        keep = np.repeat(several, size)
+        key, group = key[keep], (mark[keep] >> 1).astype(np.int64)
+        out = _split(group)
+        return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), "key": pa.array([_blob(np.unique(key[r]), "u8") for _, r in out], pa.binary())})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Segments of a group of documents, cut from their texts; equal ones of the group travel once."""
-        key, ids, first, ext = (_column(right, c, t) for c, t in (("key", "u8"), ("ids", "i8"), ("first", "u4"), ("ext", "u2")))
-        left = left.combine_chunks()
-        empty = {"bucket": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("key", "ext", "bytes", "seg", "ids", "first")}}
-        if not len(key) or not left.num_rows:
-            return pa.table(empty)
-        data, offsets = string_buffers(pa.concat_arrays(left.column("text").chunks))
-        own = left.column("doc_id").to_numpy()
-        by = np.argsort(own, kind="stable")
-        row = by[np.searchsorted(own[by], ids)]
-        start, size = offsets[row] + first, (ext // 64).astype(np.int64) + length
-        prefix = prefix_hash(data)
-        mark = mix((prefix[start + size] - prefix[start]) * powers(INVERSE, len(prefix))[start] + ext.astype(np.uint64)) ^ key
-        _, one, seg = np.unique(mark, return_index=True, return_inverse=True)
-        dealt = _by_bucket((key[one] >> U8(32)).astype(np.int64) % n_buckets)
-        seg_bucket, local = np.zeros(len(one), dtype=np.int64), np.zeros(len(one), dtype=np.int64)
-        for bucket, segs in dealt:
-            seg_bucket[segs], local[segs] = bucket, np.arange(len(segs))
-        members = dict(_by_bucket(seg_bucket[seg]))
-        columns = {c: [] for c in empty}
-        for bucket, segs in dealt:
-            i, rows = one[segs], members[bucket]
-            take = np.repeat(start[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())
-            for name, value in (("bucket", bucket), ("key", _blob(key[i], "u8")), ("ext", _blob(ext[i], "u2")), ("bytes", data[take].tobytes()), ("seg", _blob(local[seg[rows]], "u4")), ("ids", _blob(ids[rows], "i8")), ("first", _blob(first[rows], "u4"))):
+        columns = {c: [] for c in SEGMENTS}
+        wanted = np.unique(_column(right, "key", "u8"))
+        if left.num_rows and len(wanted):
+            group, g = Group(left), int(left.column("g")[0].as_py())
+            found = [[] for _ in range(5)]  # row, first, ext, key, bytes
+            for at, data, offsets in group.parts():
+                doc, first, runs, to, key = anchors(data, offsets, length, gram)
+                hit = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
+                doc, first, runs, to, key = doc[hit], first[hit], runs[hit], to[hit], key[hit]
+                size = runs + length
+                take = np.repeat(offsets[doc] + first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                for have, x in zip(found, (doc + at, first, runs * 64 + to, key, data[take]), strict=True):
+                    have.append(x)
+            row, first, ext, key, data = (np.concatenate(x) for x in found)
+            size = ext // 64 + length
+            start = np.cumsum(size) - size
+            one, seg = distinct_segments(data, start, size, key, ext)
+            low = np.full(len(one), np.iinfo(np.int64).max)
+            np.minimum.at(low, seg, group.ids[row])
+            for bucket, segs in _split((key[one] >> U8(32)).astype(np.int64) % n_buckets):
+                i = one[segs]
+                take = np.repeat(start[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())
+                for name, value in (("bucket", bucket), ("g", g), ("key", _blob(key[i], "u8")), ("ext", _blob(ext[i], "u2")), ("bytes", data[take].tobytes()), ("low", _blob(low[segs], "i8")), ("seg", _blob(segs, "u4")), ("row", None), ("first", None)):
+                    columns[name].append(value)
+            for name, value in (("bucket", None), ("g", g), ("key", None), ("ext", None), ("bytes", None), ("low", None), ("seg", _blob(seg, "u4")), ("row", _blob(row, "u4")), ("first", _blob(first, "u4"))):
                 columns[name].append(value)
-        return pa.table({c: pa.array(v, empty[c].type) for c, v in columns.items()})
+        return pa.table({c: pa.array(v, SEGMENTS[c]) for c, v in columns.items()})
+
+    dealt = own.repartition("g").mapInArrow(deal, "bucket long, key binary, grp binary")
+    again = materialise(dealt.groupBy("bucket").applyInArrow(lambda t: repeated(t), "g long, key binary"), "anchors")
+    found = own.groupBy("g").cogroup(again.groupBy("g")).applyInArrow(cut, "bucket long, g long, key binary, ext binary, bytes binary, low binary, seg binary, row binary, first binary")
+    found = materialise(found, "segments")
+    drop(again)
+    return found
+
+
+def smallest_ids(segments: DataFrame, length: int) -> DataFrame:
+    """(g, seg, a, b, low): the starts a to b - 1 of the group's segment seg are strings whose smallest id is low."""
 
     def decide(table: pa.Table) -> pa.Table:
-        key, ext, data = _column(table, "key", "u8"), _column(table, "ext", "u2"), _column(table, "bytes", "u1")
-        counts = [len(v) // 8 for v in table.column("key").to_pylist()]
-        base = np.cumsum([0, *counts])[:-1]
-        seg = np.concatenate([np.zeros(0, dtype=np.int64), *[np.frombuffer(v, dtype="u4").astype(np.int64) + b for v, b in zip(table.column("seg").to_pylist(), base, strict=True)]])
-        ids, first = _column(table, "ids", "i8"), _column(table, "first", "u4").astype(np.int64)
-        runs, at = (ext // 64).astype(np.int64), (ext % 64).astype(np.int64)
-        size = runs + length
+        key, ext, data = _column(table, "key", "u8"), _column(table, "ext", "u2").astype(np.int64), _column(table, "bytes", "u1")
+        low, seg = _column(table, "low", "i8"), _column(table, "seg", "u4")
+        group = np.repeat(table.column("g").to_numpy(), [len(v) // 8 for v in table.column("key").to_pylist()])
+        size = ext // 64 + length
         start = np.cumsum(size) - size
-        prefix = prefix_hash(data)
-        mark = mix((prefix[start + size] - prefix[start]) * powers(INVERSE, len(prefix))[start] + ext.astype(np.uint64)) ^ key
-        _, one, same = np.unique(mark, return_index=True, return_inverse=True)
-        owner = same[seg]
+        one, same = distinct_segments(data, start, size, key, ext)
         smallest = np.full(len(one), np.iinfo(np.int64).max)
-        np.minimum.at(smallest, owner, ids)
-        low, offsets = string_minima(data, start[one], runs[one], at[one], key[one], smallest, length)
-        # Each occurrence against the smallest ids of its strings, a bounded number of occurrences at a time.
-        doc, begin, end = [], [], []
-        for a in range(0, len(seg), 500_000):
-            o, i, f = owner[a : a + 500_000], ids[a : a + 500_000], first[a : a + 500_000]
-            count = offsets[o + 1] - offsets[o]
-            row = np.repeat(np.arange(len(o)), count)
-            shift = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            gone = low[offsets[o][row] + shift] < i[row]
-            edge = np.ones(len(row) + 1, dtype=bool)
-            edge[1:-1] = (row[1:] != row[:-1]) | ~gone[:-1] | ~gone[1:]
-            head = np.flatnonzero(edge[:-1] & gone)
-            tail = np.flatnonzero(edge[1:] & gone)
-            doc.append(i[row[head]])
-            begin.append(f[row[head]] + shift[head])
-            end.append(f[row[tail]] + shift[tail] + length)
-        doc, begin, end = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (doc, begin, end))
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "start": pa.array(begin, pa.int64()), "end": pa.array(end, pa.int64())})
-
-    own = _grouped(docs, n_groups).where("doc_id is not null")
-    dealt = own.mapInArrow(deal, "bucket long, key binary, ids binary, grp binary, first binary, ext binary")
-    again = materialise(dealt.groupBy("bucket").applyInArrow(lambda t: repeated(t), "g long, key binary, ids binary, first binary, ext binary"), "anchors")
-    segments = own.groupBy("g").cogroup(again.groupBy("g")).applyInArrow(cut, "bucket long, key binary, ext binary, bytes binary, seg binary, ids binary, first binary")
-    return segments.groupBy("bucket").applyInArrow(lambda t: decide(t), "doc_id long, start long, end long")
-
-
-def _grouped(docs: DataFrame, n_groups: int) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return own.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
+        np.minimum.at(smallest, same, low)
+        values, offsets = string_minima(data, start[one], ext[one] // 64, ext[one] % 64, key[one], smallest, length)
+        owner, a, b, value = constant_runs(values, offsets)
+        count = np.bincount(owner, minlength=len(one))
+        begin = np.cumsum(count) - count
+        own = count[same]
+        take = np.repeat(begin[same] - np.cumsum(own) + own, own) + np.arange(own.sum())
+        group, seg = np.repeat(group, own), np.repeat(seg, own)
+        out = _split(group)
+        return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), **{n: pa.array([_blob(x[r], t) for _, r in out], pa.binary()) for n, x, t in (("seg", seg, "u4"), ("a", a[take], "u1"), ("b", b[take], "u1"), ("low", value[take], "i8"))}})
+
+    return segments.groupBy("bucket").applyInArrow(lambda t: decide(t), "g long, seg binary, a binary, b binary, low binary")
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,27 +361,66 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[head], reach[np.append(head[1:] - 1, len(start) - 1)]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) on request."""
-    runs = materialise(removed_runs(docs, length, gram), "runs")
-    spans = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    joined = own.join(spans, "doc_id", "left").select("doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.end").alias("ends"))
+def removed_spans(group: Group, found: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the removed spans of a group, not merged, from its occurrences and the smallest ids of their strings."""
+    seg, row, first = (_column(found, c, "u4").astype(np.int64) for c in ("seg", "row", "first"))
+    own, a, b, low = _column(found, "of", "u4").astype(np.int64), _column(found, "a", "u1").astype(np.int64), _column(found, "b", "u1").astype(np.int64), _column(found, "low", "i8")
+    order = np.argsort(own, kind="stable")
+    own, a, b, low = own[order], a[order], b[order], low[order]
+    begin, end = np.searchsorted(own, seg), np.searchsorted(own, seg, side="right")
+    out = [[np.zeros(0, dtype=np.int64)] for _ in range(3)]
+    for at in range(0, len(seg), 500_000):
+        s, n = begin[at : at + 500_000], (end - begin)[at : at + 500_000]
+        which = np.repeat(np.arange(len(s)), n)
+        run = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+        r, f = row[at : at + 500_000][which], first[at : at + 500_000][which]
+        gone = low[run] < group.ids[r]
+        for have, x in zip(out, (r[gone], (f + a[run])[gone], (f + b[run] - 1 + length)[gone]), strict=True):
+            have.append(x)
+    row, start, end = (np.concatenate(x) for x in out)
+    return row, start, end
+
+
+def suffix_dedup(docs: DataFrame, length: int = 50, gram: int = 20, group_bytes: int = 4_000_000, keep_text: bool = False) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (the remaining bytes) on request.
+
+    Documents are dealt into groups of about ``group_bytes`` bytes of text, anchors into buckets for twice as many.
+    """
+    total = docs.select(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")).agg(F.sum("n")).first()[0] or 0
+    n_groups, n_buckets = max(scaled_partitions(docs.sparkSession), -(-total // group_bytes)), max(8, -(-total // (2 * group_bytes)))
+    found = occurrences(docs, length, gram, n_groups, n_buckets)
+    lows = materialise(smallest_ids(found.where("bucket is not null"), length), "smallest")
+    blank = F.lit(None).cast("binary")
+    occurring = found.where("bucket is null").select("g", "seg", "row", "first", blank.alias("of"), blank.alias("a"), blank.alias("b"), blank.alias("low"))
+    back = occurring.unionByName(lows.select("g", blank.alias("seg"), blank.alias("row"), blank.alias("first"), F.col("seg").alias("of"), "a", "b", "low"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-
-    def finish(batches):
-        for piece in pieces(batches, most=8_000_000):
-            data, offsets = string_buffers(piece.column("text"))
-            starts, ends = piece.column("starts"), piece.column("ends")
-            rows = []
-            for i in range(piece.num_rows):
-                text = data[offsets[i] : offsets[i + 1]]
-                a, b = (merged(np.asarray(starts[i].values), np.asarray(ends[i].values)) if starts[i].is_valid else (np.zeros(0, dtype=int), np.zeros(0, dtype=int)))
-                left, right = np.append(0, b), np.append(a, len(text))
-                kept = b"".join(text[x:y].tobytes() for x, y in zip(left, right, strict=True))
-                rows.append((len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept))
-            columns = list(zip(*rows, strict=True))
-            arrays = [piece.column("doc_id"), *[pa.array(columns[j], pa.int64()) for j in range(3)], pa.array(columns[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(columns[4], pa.binary())] * keep_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
-
-    return joined.mapInArrow(finish, schema)
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows:
+            group = Group(left)
+            row, start, end = removed_spans(group, right, length)
+            order = np.argsort(row, kind="stable")
+            row, start, end = row[order], start[order], end[order]
+            cuts = np.searchsorted(row, np.arange(len(group.ids) + 1))
+            for at, data, offsets in group.parts():
+                for i in range(len(offsets) - 1):
+                    text, c = data[offsets[i] : offsets[i + 1]], slice(cuts[at + i], cuts[at + i + 1])
+                    a, b = merged(start[c], end[c])
+                    kept = b"".join(text[x:y].tobytes() for x, y in zip(np.append(0, b), np.append(a, len(text)), strict=True))
+                    rows.append((len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept if keep_text else None))
+            rows = [rows[i] for i in group.place]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+        arrays = [left.column("doc_id").combine_chunks() if left.num_rows else pa.array([], pa.int64()), *[pa.array(columns[j], pa.int64()) for j in range(3)], pa.array(columns[3], pa.string())]
+        return pa.table(arrays + [pa.array(columns[4], pa.binary())] * keep_text, names=names)
+
+    # A document without an id is in no group's occurrences; as the least id it would cost others bytes, so it is left out above.
+    own = _own(docs, n_groups)
+    return own.where("doc_id is not null").groupBy("g").cogroup(back.groupBy("g")).applyInArrow(finish, schema).unionByName(_without_id(own.where("doc_id is null"), keep_text))
+
+
+def _without_id(rows: DataFrame, keep_text: bool) -> DataFrame:
+    text = F.encode("text", "UTF-8")
+    zero = F.lit(0).cast("long")
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"), *[text.alias("kept")] * keep_text)

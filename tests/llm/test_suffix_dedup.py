@@ -35,8 +35,8 @@ def as_dict(df):
 
 
 def test_agrees_with_every_string(docs, corpus):
-    rows = [(r[0], r[1]) for r in corpus if not (r[1] and len(r[1]) > 50_000)]
-    got = as_dict(suffix_dedup(docs.where("length(text) <= 50000 or text is null")))
+    rows = [(r[0], r[1]) for r in corpus]
+    got = as_dict(suffix_dedup(docs))
     assert got == brute(rows, 50)
 
 
@@ -73,3 +73,20 @@ def test_suffix_sort_is_a_sort(seed):
     order = Suffixes(data, 50).sort(start, np.zeros(len(start), dtype=np.int64))
     keys = [data[s : s + 50].tobytes() for s in start[order]]
     assert keys == sorted(keys) and sorted(order.tolist()) == list(range(700))
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdefgh") for _ in range(300))
+    long = "".join(rng.choice("abcdefgh") for _ in range(5000)) + shared + "zzz"
+    rows = [(1, shared), (7, "q" * 60), (7, long), (7, "q" * 60), (None, shared), (9, "x" + shared)]
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id is not null").collect())
+    assert got == sorted([(300, 0, 0), (60, 0, 0), (5303, 300, 1), (60, 0, 0), (301, 300, 1)])
+
+
+def test_a_passage_of_most_documents(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = word(400)
+    rows = [(i, word(rng.randrange(30, 200)) + (passage if i % 4 else passage[rng.randrange(200) :]) + word(20)) for i in range(400)]
+    assert as_dict(suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=20_000)) == brute(rows, 50)
