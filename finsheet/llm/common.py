@@ -14,6 +14,8 @@ LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/finsheet"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: At most so many keys are called hot, so they are small enough to send to every task whatever the input.
 MOST_HOT = 4000
+#: A table of so few rows fits into one task whatever its keys.
+SMALL = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +72,7 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, count: str, total: int,
     so they should be written ones. ``how`` is inner or left_semi.
     """
     hot = right.where(F.col(count) > max(2000, total // MOST_HOT))
-    if hot.isEmpty():
+    if total <= SMALL or hot.isEmpty():
         return left.join(right, on, how)
     keys = F.broadcast(hot.select(on))  # fewer than MOST_HOT rows
     rest = left.join(keys, on, "left_anti").join(right.join(keys, on, "left_anti"), on, how)

@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsheet.llm.common import drop, hot_join, materialise
+from finsheet.llm.common import SMALL, drop, hot_join, materialise
 
 
 def _least_neighbours(edges: DataFrame) -> DataFrame:
-    return materialise(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "least")
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -25,15 +25,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges, before = materialise(edges, "links"), None
     while True:
         n = edges.count()
+        written = []
+
+        def kept(df: DataFrame, large: bool = n > SMALL, written: list = written) -> DataFrame:
+            """Large tables that a hot join reads twice are written first."""
+            if large:
+                written.append(df := materialise(df, "stars"))
+            return df
+
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _least_neighbours(both)
-        low = near.select("u", F.least("u", "m").alias("m"), "degree")
-        large = hot_join(both, low, "u", "degree", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialise(large.distinct(), "large")
-        next_ = _least_neighbours(large)
-        small = hot_join(large, next_, "u", "degree", n).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+        low = kept(_least_neighbours(both)).select("u", F.least("u", "m").alias("m"), "degree")
+        large = kept(hot_join(both, low, "u", "degree", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        small = hot_join(large, kept(_least_neighbours(large)), "u", "degree", n)
+        small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         done, edges = edges, materialise(small, "links")
-        drop(done, near, large, next_)
+        drop(done, *written)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")).first()
         if before == (state.n, state["sum"]):
             break

@@ -6,9 +6,10 @@ slice at a fixed offset; outside the basic plane a sign is two of them. A line's
 64-bit hashes of its shingles. Lines that agree in all ROWS of a band meet in a bucket.
 
 In a bucket of up to CROWD lines all pairs are candidates. In a crowded one each line is paired with the bucket's lead, and
-the lines are then dealt into buckets of their own by minima over the shingles that the lead does not have: lines that are
-alike without being like the lead must share some of those. This repeats until no bucket is crowded. It ends, as the leads'
-shingles are gone from the next round, and no pair is dropped for the size of its bucket. Candidates of which half of the
+its lines are dealt again by their other bands. What is crowded even then, and not yet linked as a whole, is dealt by minima
+over the shingles that the lead does not have: lines that are alike without being like the lead must share some of those.
+This repeats until no bucket is crowded. It ends, as the leads' shingles are gone from the next round, and no pair is
+dropped for the size of its bucket. Candidates of which half of the
 minima agree are verified by the exact Jaccard similarity of their whole sets of shingles (as 64-bit hashes); verified links are joined into components, and of each component one line stays: the first by (doc_id, row, position).
 
 Equal normal forms are one key (a 64-bit hash) throughout, so copies of a line cost one row each and are never paired.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from finsheet.llm.common import drop, hot_join, materialise
 from finsheet.llm.components import connected_components
 
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 8, 2
 MINIMA = BANDS * ROWS
 #: Lines of a bucket up to which all its pairs are candidates.
 CROWD = 12
@@ -117,17 +118,41 @@ def _beside(pairs: DataFrame, rows: DataFrame, end: str, *columns: str) -> DataF
 
 
 def _verified(pairs: DataFrame, minima: DataFrame, forms: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links (a, b, n): half of the minima agree, and the sets of shingles have the exact Jaccard similarity."""
+    """Links (a, b): half of the minima agree, and the sets of shingles have the exact Jaccard similarity."""
     agree = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
     likely = _beside(_beside(pairs, minima, "b", "m"), minima, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
     likely = materialise(likely, "likely")
     met = _beside(_beside(likely, forms, "b", "b").withColumnRenamed("b_b", "form_b"), forms, "a", "b").withColumnRenamed("b_a", "form_a")
-    met = met.select("a", "b", "n", _set("form_a", width).alias("s_a"), _set("form_b", width).alias("s_b")).withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-    links = materialise(met.where(F.col("common") >= threshold * (F.size("s_a") + F.size("s_b") - F.col("common")) - 1e-9).select("a", "b", "n"), "similar")
+    sets = F.array(F.struct(_set("form_a", width).alias("a"), _set("form_b", width).alias("b")))
+    # The generator stands between the sets and the test, so that each set is built once a pair.
+    counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("common"), (F.size(s["a"]) + F.size(s["b"])).alias("total")))
+    links = materialise(met.select("a", "b", F.inline(counts)).where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar")
     drop(likely)
     return links
 
 
+def _labels(links: list[DataFrame]) -> DataFrame:
+    """(key, label): the smallest lead that a line is linked with, itself for one that is a lead."""
+    every = reduce(DataFrame.unionByName, links)
+    ends = every.select(F.col("b").alias("key"), F.col("a").alias("label")).unionAll(every.select(F.col("a").alias("key"), F.col("a").alias("label")))
+    return ends.groupBy("key").agg(F.min("label").alias("label"))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of those buckets whose lines are not all linked to one and the same line yet."""
+    dealt = materialise(members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "labelled")
+    open_ = materialise(dealt.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("n_open")).where("one <> other").select("bucket", "n_open"), "open")
+    out = materialise(hot_join(dealt.drop("label"), open_, "bucket", "n_open", dealt.count(), "left_semi"), "members")
+    drop(dealt, open_)
+    return out
+
+
+def _by_bands(crowded: DataFrame, minima: DataFrame) -> DataFrame:
+    """(bucket, key, group): the lines of crowded buckets (``group`` is the band that made one) by each of their other bands within the bucket."""
+    other = F.filter(F.transform(_bands(), lambda band, i: F.when(i != F.col("group"), F.xxhash64("bucket", band))), lambda band: band.isNotNull())
+    return crowded.join(minima, "key").select("key", F.lit(0).cast("long").alias("group"), F.explode(other).alias("bucket")).distinct()
+
+
 def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
     """(group, key, h): the hashes of each line's shingles that neither its bucket's lead nor an earlier one has."""
     pairs = crowded.select(F.col("low").alias("a"), F.col("key").alias("b"), "bucket", "group", "n")
@@ -136,48 +161,56 @@ def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width
         met = _beside(met, forms, "b", "b").withColumn("left", _set("b_b", width))
     else:
         met = met.join(rests.select("group", F.col("key").alias("b"), F.col("h").alias("left")), ["group", "b"])
-    return met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.array_except("left", _set("form_a", width)).alias("h")).where("size(h) > 0")
+    rest = met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.explode(F.array(F.array_except("left", _set("form_a", width)))).alias("h"))
+    return rest.where(F.size("h") > 0)
 
 
-def _redealt(rests: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, key, group): lines that share a least hash outside the lead; buckets whose lines are all linked already are left out."""
+def _redealt(rests: DataFrame) -> DataFrame:
+    """(bucket, key, group): lines of a group that share a least hash of what their leads lack."""
     least = rests.select("group", "key", F.explode("h").alias("h")).groupBy("group", "key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_anchor(MINIMA + i)))).alias(f"m{i}") for i in range(DEEPER)])
     buckets = F.array(*[F.xxhash64("group", F.lit(i), f"m{i}") for i in range(DEEPER)])
-    dealt = materialise(least.join(labels, "key", "left").select("group", "key", F.coalesce("label", "key").alias("label"), F.explode(buckets).alias("bucket")), "redealt")
-    open_ = materialise(dealt.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("bucket", "n"), "open")
-    out = materialise(hot_join(dealt, open_, "bucket", "n", dealt.count(), "left_semi").select("bucket", "key", "group"), "members")
-    drop(dealt, open_)
-    return out
+    return least.select("group", "key", F.explode(buckets).alias("bucket"))
+
+
+def _bands():
+    return F.array(*[F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
-    """Verified links (a, b) between distinct keys; ``lines`` has the sketches of ``docs``."""
-    minima = materialise(lines.groupBy("key").agg(*[F.min(F.col("m")[i]).alias(f"m{i}") for i in range(MINIMA)]).select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m")), "minima")
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-    met = _met(minima.select("key", F.lit(0).cast("long").alias("group"), F.explode(bands).alias("bucket")))
-    wanted = met.select("key").distinct()
+def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
+    """Verified links (a, b) between distinct keys; ``lines`` and ``minima`` are those of ``docs``."""
+    met = _met(minima.select("key", F.posexplode(_bands()).alias("group", "bucket")))
     spot = F.struct("doc_id", "row", "pos")
-    wanted = lines.join(wanted, "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).select("at.*")
+    wanted = lines.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).select("at.*")
     forms = materialise(_texts(docs).join(wanted, ["doc_id", "row", "pos"]).select("key", F.encode("normal", "UTF-16BE").alias("b")).dropDuplicates(["key"]), "forms")
-    links, rests, first = [], None, True
+    links, rests, turn = [], None, 0
     while True:
         links.append(_verified(_pairs(met), minima, forms, width, threshold))
         crowded = met.where(f"n > {CROWD}")
-        if first:  # a lead's buckets in several bands are one group
-            crowded = crowded.groupBy("low", "key").agg(F.max("n").alias("n")).select(F.col("low").alias("bucket"), "low", "key", F.lit(0).cast("long").alias("group"), "n")
         if crowded.isEmpty():
             break
-        rests = materialise(_deeper(crowded, rests, forms, width), "rests")
-        every = reduce(DataFrame.unionByName, links)
-        ends = every.select(F.col("b").alias("key"), F.col("a").alias("label")).unionAll(every.select(F.col("a").alias("key"), F.col("a").alias("label")))
-        met, first = _met(_redealt(rests, ends.groupBy("key").agg(F.min("label").alias("label")))), False
-    return reduce(DataFrame.unionByName, links).select("a", "b")
+        if turn == 0:
+            dealt = _by_bands(crowded, minima)
+        else:
+            if turn == 1:  # a lead's buckets are one group
+                crowded = crowded.groupBy("low", "key").agg(F.max("n").alias("n")).select(F.col("low").alias("bucket"), "low", "key", F.lit(0).cast("long").alias("group"), "n")
+            done, rests = rests, materialise(_deeper(_open(crowded, _labels(links)), rests, forms, width), "rests")
+            drop(*[done] * (done is not None))
+            dealt = _redealt(rests)
+        done, met, turn = met, _met(_open(dealt, _labels(links))), turn + 1
+        drop(done)
+    drop(met, forms, *[rests] * (rests is not None))
+    return reduce(DataFrame.unionByName, links)
 
 
 def removed_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
     """(doc_id, row, pos) of each line that repeats or nearly repeats an earlier one."""
-    lines = materialise(_sketches(docs, width), "sketches")
-    parts = connected_components(similar_lines(docs, lines, width, threshold))
+    sketches = materialise(_sketches(docs, width), "sketches")
+    lines = materialise(sketches.select("doc_id", "row", "pos", "key"), "lines")
+    of_key = sketches.groupBy("key").agg(*[F.min(F.col("m")[i]).alias(f"m{i}") for i in range(MINIMA)])
+    minima = materialise(of_key.select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m")), "minima")
+    drop(sketches)
+    parts = connected_components(similar_lines(docs, lines, minima, width, threshold))
+    drop(minima)
     spot = F.struct("doc_id", "row", "pos")
     keys = lines.groupBy("key").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"))
     keys = keys.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
