@@ -150,7 +150,7 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
 def _by_bands(crowded: DataFrame, minima: DataFrame) -> DataFrame:
     """(bucket, key, group): the lines of crowded buckets (``group`` is the band that made one) by each of their other bands within the bucket."""
     other = F.filter(F.transform(_bands(), lambda band, i: F.when(i != F.col("group"), F.xxhash64("bucket", band))), lambda band: band.isNotNull())
-    return crowded.join(minima, "key").select("key", F.lit(0).cast("long").alias("group"), F.explode(other).alias("bucket")).distinct()
+    return crowded.join(minima, "key").select("key", F.explode(other).alias("again")).select(F.col("again").alias("bucket"), "key", F.lit(0).cast("long").alias("group")).distinct()
 
 
 def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
