@@ -185,8 +185,12 @@ def _split(value: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 def distinct_segments(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, ext: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row of each distinct segment, which distinct one each segment is): equal by hash, then byte by byte."""
-    prefix = prefix_hash(data)
-    mark = mix((prefix[start + size] - prefix[start]) * powers(INVERSE, len(prefix))[start] + ext.astype(np.uint64)) ^ key
+    mark = key ^ ext.astype(np.uint64)
+    for at in range(0, len(start), 10_000):  # segments lie one after another, so a stretch of them is hashed by itself
+        rows = slice(at, at + 10_000)
+        a, b = start[rows] - start[at], start[rows] - start[at] + size[rows]
+        prefix = prefix_hash(data[start[at] : start[at] + b[-1]])
+        mark[rows] ^= mix((prefix[b] - prefix[a]) * powers(INVERSE, len(prefix))[a] + ext[rows].astype(np.uint64))
     _, one, seg = np.unique(mark, return_index=True, return_inverse=True)
     other = start[one][seg]
     odd = (size != size[one][seg]) | (key != key[one][seg]) | (ext != ext[one][seg])
@@ -203,6 +207,24 @@ def distinct_segments(data: np.ndarray, start: np.ndarray, size: np.ndarray, key
     return np.append(one, extra), seg
 
 
+def all_string_minima(data: np.ndarray, start: np.ndarray, size: np.ndarray, ext: np.ndarray, key: np.ndarray, smallest: np.ndarray, length: int, most: int = 1_500_000) -> tuple[np.ndarray, np.ndarray]:
+    """``string_minima`` of any number of segments, those of a few anchors at a time: about ``most`` bytes."""
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order[1:]] != key[order[:-1]]) if len(key) else np.zeros(0, dtype=bool)
+    stretch = (np.cumsum(size[order]) // most)[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]  # an anchor goes with its first segment
+    count = ext // 64 + 1
+    offsets = np.concatenate([[0], np.cumsum(count)])
+    out = np.zeros(offsets[-1], dtype=np.int64)
+    for _, at in _split(stretch):
+        rows = order[at]
+        n = size[rows]
+        own = np.cumsum(n) - n
+        values, _ = string_minima(data[np.repeat(start[rows] - own, n) + np.arange(n.sum())], own, ext[rows] // 64, ext[rows] % 64, key[rows], smallest[rows], length)
+        c = count[rows]
+        out[np.repeat(offsets[rows] - np.cumsum(c) + c, c) + np.arange(c.sum())] = values
+    return out, offsets
+
+
 def constant_runs(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(segment, first, last + 1, value) of the maximal runs of one value inside each segment."""
     seg = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -229,10 +251,10 @@ class Group:
         self.texts = pa.table({"text": text.take(pa.array(self.row))})
 
     def parts(self):
-        """(first row, bytes, offsets) of stretches of about 2 MB."""
+        """(first row, bytes, offsets) of stretches of about 1 MB."""
         at = 0
         for batch in self.texts.to_batches():
-            for piece in pieces(iter([batch]), most=2_000_000):
+            for piece in pieces(iter([batch]), most=1_000_000):
                 data, offsets = string_buffers(piece.column("text"))
                 yield at, data, offsets
                 at += piece.num_rows
@@ -253,14 +275,14 @@ def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_bucket
     def deal(batches):
         """Each group's anchors once, packed by bucket; the lowest bit says whether several of its documents have it."""
         parts, held = [], 0
-        for piece in pieces(batches, most=2_000_000):
+        for piece in pieces(batches, most=1_000_000):
             data, offsets = string_buffers(piece.column("text"))
             doc, _, _, _, key = anchors(data, offsets, length, gram)
             new = np.ones(len(doc), dtype=bool)
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
             parts.append((key[new], piece.column("g").to_numpy()[doc[new]], (np.int64(held) << 32) + doc[new]))
             held += int(new.sum())
-            if held > 1_500_000:
+            if held > 1_000_000:
                 yield from packed(parts)
                 parts, held = [], 0
         if held:
@@ -338,7 +360,7 @@ def smallest_ids(segments: DataFrame, length: int) -> DataFrame:
         one, same = distinct_segments(data, start, size, key, ext)
         smallest = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(smallest, same, low)
-        values, offsets = string_minima(data, start[one], ext[one] // 64, ext[one] % 64, key[one], smallest, length)
+        values, offsets = all_string_minima(data, start[one], size[one], ext[one], key[one], smallest, length)
         owner, a, b, value = constant_runs(values, offsets)
         count = np.bincount(owner, minlength=len(one))
         begin = np.cumsum(count) - count
