@@ -6,11 +6,9 @@ text itself), so a caller picks one by name and none stands in for another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Texts that stand for no number.
-BLANKS = ("", "NA", "N/A", "NONE", "NULL", "-", "—")
 US = r"^-?\d{1,3}(,\d{3})+(\.\d+)?$"
 FR = r"^-?\d{1,3}([  ]\d{3})+(,\d+)?$"
 
@@ -19,11 +17,23 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the named columns (replacing its own), each evaluated once a row however often later steps name it.
+
+    A generator of one row stands between them and what follows, so the optimizer copies no long expression into
+    filters and projections.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def real(x) -> Column:
-    """Text to a finite double: commas dropped, the blank words and anything unreadable NULL."""
-    s = F.regexp_replace(F.trim(_c(x).cast("string")), ",", "")
-    v = F.when(~F.upper(s).isin(*BLANKS), s.try_cast("double"))
-    return F.when(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), v)
+    """Text to a finite double: commas dropped, the blank words and anything unreadable NULL.
+
+    The text is named once, so that a caller may use the result several times; a blank word is unreadable anyway.
+    """
+    v = F.regexp_replace(F.trim(_c(x).cast("string")), ",", "").try_cast("double")
+    return F.nanvl(v + v * 0, F.lit(None).cast("double"))
 
 
 def storable(x) -> Column:
@@ -105,8 +115,8 @@ def page_number(x) -> Column:
 def millions(x, units) -> Column:
     """Amount to millions by its unit label; an unknown or missing label means single units."""
     label = F.lower(F.trim(F.coalesce(_c(units), F.lit(""))))
-    v = real(x)
-    return F.when(label.isin("millions", "million", "mn", "m", "mln"), v).when(label.isin("thousands", "thousand", "k", "000s", "'000"), v / 1_000.0).otherwise(v / 1_000_000.0)
+    unit = F.when(label.isin("millions", "million", "mn", "m", "mln"), 1.0).when(label.isin("thousands", "thousand", "k", "000s", "'000"), 1_000.0).otherwise(1_000_000.0)
+    return real(x) / unit
 
 
 def duration_years(x) -> Column:

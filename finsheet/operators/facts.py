@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsheet.functions.coerce import duration_years, fact_number
+from finsheet.functions.coerce import duration_years, fact_number, once
 from finsheet.functions.dates import days_apart
 from finsheet.functions.maps import AWARDS
 from finsheet.functions.text import local_name
@@ -97,7 +97,7 @@ def unanimous(rows: DataFrame, key: list[str], value: str, order: list[str]) ->
 
 def slotted(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """Long table (filing, family, award, plan, field, slot, value, unit_ref), first clean value or unanimous cohort value."""
-    own = facts.withColumn("c", concept_class("concept")).where("c is not null").select("*", "c.family", "c.field").drop("c")
+    own = once(facts, c=concept_class("concept")).where("c is not null").select("*", "c.family", "c.field").drop("c")
     periods = period_choice(facts.where("period_start is not null and period_end is not null").join(filings, "filing"), ["filing"], "period_of_report")
     axis = lambda end: F.element_at(F.map_values(F.map_filter("dims", lambda k, v: k.endswith(end))), 1)
     has = lambda end: F.size(F.map_filter("dims", lambda k, v: k.endswith(end))) > 0
@@ -110,11 +110,14 @@ def slotted(facts: DataFrame, filings: DataFrame) -> DataFrame:
     value = F.coalesce(fact_number("numeric_value").cast("string"), F.col("value"))
     own = own.join(periods, "filing").withColumn("slot", slot()).withColumn("value", value).where("slot is not null and value is not null")
     key = ["filing", "family", "award", "plan", "field", "slot"]
-    rows = own.select(*key, "value", "unit_ref", "pos", (F.size("extra") > 0).alias("cohort"))
-    filled = rows.na.fill("", ["award", "plan"])
-    clean = first_value(filled.where("not cohort").drop("cohort"), key, ["pos"])
-    promoted = unanimous(filled.where("cohort").drop("cohort"), key, "value", ["pos"])
-    return clean.unionByName(promoted.join(clean.select(key), key, "left_anti"))
+    rows = own.select(*key, "value", "unit_ref", "pos", (F.size("extra") > 0).alias("cohort")).na.fill("", ["award", "plan"])
+    of = lambda cond, c: F.when(cond, F.col(c))
+    first = lambda cond: F.min_by(F.struct("value", "unit_ref", "pos"), of(cond, "pos"))
+    cohort = F.col("cohort")
+    best = rows.groupBy(*key).agg(first(~cohort).alias("clean"), first(cohort).alias("dated"), F.min(of(cohort, "value")).alias("low"), F.max(of(cohort, "value")).alias("high"))
+    # A cohort's value counts where all cohorts agree and there is no clean one.
+    chosen = F.coalesce("clean", F.when(F.col("low") == F.col("high"), F.col("dated")))
+    return best.withColumn("v", chosen).where("v is not null").select(*key, "v.value", "v.unit_ref", "v.pos")
 
 
 def merged(long: DataFrame) -> DataFrame:
@@ -125,28 +128,33 @@ def merged(long: DataFrame) -> DataFrame:
     stems = {"EmployeeStockOptionMember": "StockOption", "StockOptionMember": "StockOption", "RestrictedStockUnitsRSUMember": "RestrictedStockUnit", "RestrictedStockUnitsMember": "RestrictedStockUnit", "RestrictedStockMember": "RestrictedStock", "PerformanceSharesMember": "PerformanceShare", "PerformanceShareUnitsMember": "PerformanceShare"}
     literal = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     families = {m: "options" if m in ("EmployeeStockOptionMember", "StockOptionMember") else "rsu" for m, (_, t, _n) in AWARDS.items() if m in ("EmployeeStockOptionMember", "StockOptionMember") or t in ("RSU", "PSU", "RSP")}
-    key = ["filing", "family", "award", "plan"]
-    buckets = long.groupBy(*key).agg(F.max(F.col("field").isin(*CORE)).alias("core"))
-    buckets = buckets.withColumn("core", F.col("core") & (F.col("family") != "shared"))
+    bucket, filing = Window.partitionBy("filing", "family", "award", "plan"), Window.partitionBy("filing")
+    core = F.max(F.col("field").isin(*CORE)).over(bucket) & (F.col("family") != "shared")
+    rows = long.withColumn("core", core)
+    # The few buckets of a filing that hold a roll-forward, beside each of its rows: nothing is joined with itself.
+    rows = rows.withColumn("targets", F.array_sort(F.collect_set(F.when(F.col("core"), F.struct("family", "award", "plan"))).over(filing)))
     member = local_name("award")
-    source = buckets.where("not core").withColumn("home", F.try_element_at(literal(families), member)).withColumn("stem", F.try_element_at(literal(stems), member))
-    targets = buckets.where("core").select("filing", F.col("family").alias("t_family"), F.col("award").alias("t_award"), F.col("plan").alias("t_plan"))
-    of_family = Window.partitionBy("filing", "t_family")
-    targets = targets.withColumn("n_family", F.count(F.lit(1)).over(of_family)).withColumn("n_all", F.count(F.lit(1)).over(Window.partitionBy("filing")))
-    pairs = source.join(targets, "filing")
-    same_award, same_plan = F.col("award") == F.col("t_award"), F.col("plan") == F.col("t_plan")
+    rows = rows.withColumn("home", F.try_element_at(literal(families), member)).withColumn("stem", F.try_element_at(literal(stems), member))
     shared, tagged = F.col("family") == "shared", F.col("award") != ""
-    stem = F.col("stem").isNotNull() & F.contains(local_name("t_award"), "stem") & ~((F.col("stem") == "RestrictedStock") & local_name("t_award").contains("RestrictedStockUnit"))
-    detail_rank = F.when((F.col("family") != F.col("t_family")) | (tagged & ~F.col("home").eqNullSafe(F.col("family"))), None).when(same_award & same_plan, 1).when(tagged & same_award, 2).when(F.col("n_family") == 1, 3)
-    shared_rank = F.when(~tagged & (F.col("plan") == ""), F.when((F.col("t_family") == "options") & (F.col("n_family") == 1), 1).when(F.col("n_all") == 1, 2)).when(same_award & same_plan, 1).when(tagged & same_award, 2).when(tagged & (F.col("home") == F.col("t_family")) & (F.col("n_family") == 1), 3).when(stem, 4)
-    rank = F.when(shared, shared_rank).otherwise(detail_rank)
-    best = Window.partitionBy(*key)
-    moves = pairs.withColumn("rank", rank).where("rank is not null").withColumn("best", F.min("rank").over(best)).where("rank = best")
-    one = Window.partitionBy(*key).orderBy("t_family", "t_award", "t_plan")
-    moves = moves.withColumn("i", F.row_number().over(one)).where("i = 1 or rank = 4").select(*key, "t_family", "t_award", "t_plan")
-    moved = long.join(moves, key).select("filing", F.col("t_family").alias("family"), F.col("t_award").alias("award"), F.col("t_plan").alias("plan"), "field", "slot", "value", "unit_ref", "pos", F.when(F.col("family") == "shared", 2).otherwise(1).alias("source"))
-    core = long.join(buckets.where("core").select(key), key, "left_semi").withColumn("source", F.lit(0))
-    return first_value(core.unionByName(moved), [*key, "field", "slot"], ["source", "pos"]).drop("source")
+
+    def rank(t: Column) -> Column:
+        one_of_family = F.size(F.filter("targets", lambda x: x["family"] == t["family"])) == 1
+        same_award = F.col("award") == t["award"]
+        same = same_award & (F.col("plan") == t["plan"])
+        stem = F.col("stem").isNotNull() & F.contains(local_name(t["award"]), F.col("stem")) & ~((F.col("stem") == "RestrictedStock") & local_name(t["award"]).contains("RestrictedStockUnit"))
+        detail = F.when((F.col("family") != t["family"]) | (tagged & ~F.col("home").eqNullSafe(F.col("family"))), None).when(same, 1).when(tagged & same_award, 2).when(one_of_family, 3)
+        whole = F.when(~tagged & (F.col("plan") == ""), F.when((t["family"] == "options") & one_of_family, 1).when(F.size("targets") == 1, 2))
+        return F.when(shared, whole.when(same, 1).when(tagged & same_award, 2).when(tagged & (F.col("home") == t["family"]) & one_of_family, 3).when(stem, 4)).otherwise(detail)
+
+    met = F.filter(F.transform("targets", lambda t: F.struct(rank(t).alias("rank"), t.alias("to"))), lambda m: m["rank"].isNotNull())
+    rows = rows.withColumn("met", F.when(~F.col("core"), met)).withColumn("best", F.array_min(F.transform("met", lambda m: m["rank"])))
+    near = F.transform(F.filter("met", lambda m: m["rank"] == F.col("best")), lambda m: m["to"])
+    own = F.array(F.struct("family", "award", "plan"))
+    to = F.when(F.col("core"), own).when(F.col("best") == 4, near).otherwise(F.slice(near, 1, 1))
+    source = F.when(F.col("core"), 0).when(shared, 2).otherwise(1)
+    moved = rows.select("filing", "field", "slot", "value", "unit_ref", "pos", source.alias("source"), F.explode(to).alias("to"))
+    moved = moved.select("filing", "to.family", "to.award", "to.plan", "field", "slot", "value", "unit_ref", "pos", "source")
+    return first_value(moved, ["filing", "family", "award", "plan", "field", "slot"], ["source", "pos"]).drop("source")
 
 
 def plan_rows(long: DataFrame) -> DataFrame:

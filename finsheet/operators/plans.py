@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finsheet.functions.coerce import millions, real
+from finsheet.functions.coerce import millions, once, real
+
+#: The number fields of a plan that the strict reducer may take a strike or a maturity from.
+STRICT_FIELDS = ("weighted_avg_exercise_price", "weighted_avg_grant_date_fair_value", "vesting_period_years", "weighted_avg_expense_recognition_years", "weighted_avg_remaining_contractual_life_years")
 
 
 def classify(plans: DataFrame) -> DataFrame:
@@ -17,14 +20,12 @@ def classify(plans: DataFrame) -> DataFrame:
     Expects plan_type, is_nil_cost, units_label, closing_balance, weighted_avg_exercise_price,
     weighted_avg_grant_date_fair_value, weighted_avg_remaining_contractual_life_years, vesting_period_years.
     """
-    count = millions("closing_balance", "units_label")
-    price, fair = real("weighted_avg_exercise_price"), real("weighted_avg_grant_date_fair_value")
-    nil = F.col("is_nil_cost")
+    read = once(plans, count_mn=millions("closing_balance", "units_label"), __price=real("weighted_avg_exercise_price"), __fair=real("weighted_avg_grant_date_fair_value"), maturity_years=F.coalesce(real("weighted_avg_remaining_contractual_life_years"), real("vesting_period_years"), F.lit(4.0)))
+    nil, count = F.col("is_nil_cost"), F.col("count_mn")
     espp = F.upper(F.trim(F.coalesce("plan_type", F.lit("")))) == "ESPP"
-    kind = F.when(count.isNull() | (espp & (count <= 0)), None).when(price.isNotNull() & nil.eqNullSafe(F.lit(False)), "option").when(nil.eqNullSafe(F.lit(True)), "rsu")
-    strike = F.when(kind == "option", price).when(kind == "rsu", F.coalesce(F.nullif(fair, F.lit(0.0)), F.lit(0.1)))
-    maturity = F.coalesce(real("weighted_avg_remaining_contractual_life_years"), real("vesting_period_years"), F.lit(4.0))
-    return plans.withColumns({"count_mn": count, "strike": strike, "maturity_years": maturity, "kind": kind}).where("kind is not null")
+    kind = F.when(count.isNull() | (espp & (count <= 0)), None).when(F.col("__price").isNotNull() & nil.eqNullSafe(F.lit(False)), "option").when(nil.eqNullSafe(F.lit(True)), "rsu")
+    strike = F.when(F.col("kind") == "option", F.col("__price")).when(F.col("kind") == "rsu", F.coalesce(F.nullif(F.col("__fair"), F.lit(0.0)), F.lit(0.1)))
+    return read.withColumn("kind", kind).where("kind is not null").withColumn("strike", strike).drop("__price", "__fair")
 
 
 def sanitise(rows: DataFrame) -> DataFrame:
@@ -34,12 +35,14 @@ def sanitise(rows: DataFrame) -> DataFrame:
 
 def strict(plans: DataFrame) -> DataFrame:
     """Like ``classify`` without made-up values: strike and maturity may be NULL and each says where it came from."""
-    nil = F.col("is_nil_cost")
-    chain = lambda *names: F.coalesce(*[F.when(real(n).isNotNull(), F.struct(real(n).alias("value"), F.lit(n).alias("field"))) for n in names])
-    strike = F.when(nil.eqNullSafe(F.lit(True)), chain("weighted_avg_grant_date_fair_value")).otherwise(chain("weighted_avg_exercise_price"))
-    maturity = F.when(nil.eqNullSafe(F.lit(True)), chain("vesting_period_years", "weighted_avg_expense_recognition_years")).otherwise(chain("weighted_avg_remaining_contractual_life_years", "vesting_period_years"))
-    rows = plans.withColumns({"count_mn": millions("closing_balance", "units_label"), "s": strike, "m": maturity, "kind": F.when(nil, "rsu").otherwise("option")})
-    return rows.where("count_mn > 0").select("*", F.col("s.value").alias("strike"), F.col("s.field").alias("strike_field"), F.col("m.value").alias("maturity_years"), F.col("m.field").alias("maturity_field")).drop("s", "m")
+    nil = F.col("is_nil_cost").eqNullSafe(F.lit(True))
+    numbers = {"count_mn": millions("closing_balance", "units_label"), **{f"__{n}": real(n) for n in STRICT_FIELDS}}
+    read = once(plans, **numbers)
+    chain = lambda *names: F.coalesce(*[F.when(F.col(f"__{n}").isNotNull(), F.struct(F.col(f"__{n}").alias("value"), F.lit(n).alias("field"))) for n in names])
+    strike = F.when(nil, chain("weighted_avg_grant_date_fair_value")).otherwise(chain("weighted_avg_exercise_price"))
+    maturity = F.when(nil, chain("vesting_period_years", "weighted_avg_expense_recognition_years")).otherwise(chain("weighted_avg_remaining_contractual_life_years", "vesting_period_years"))
+    rows = read.where("count_mn > 0").withColumns({"s": strike, "m": maturity, "kind": F.when(F.col("is_nil_cost"), "rsu").otherwise("option")})
+    return rows.select("*", F.col("s.value").alias("strike"), F.col("s.field").alias("strike_field"), F.col("m.value").alias("maturity_years"), F.col("m.field").alias("maturity_field")).drop("s", "m", *[f"__{n}" for n in STRICT_FIELDS])
 
 
 def top_plans(rows: DataFrame, by: list[str], tie: list[str], n: int = 3) -> DataFrame:
@@ -60,6 +63,27 @@ def rollforward_ok(gap: Column, closing, relative: float = 0.01, absolute: float
     return gap <= F.greatest(F.abs(F.col(closing) if isinstance(closing, str) else closing) * relative, F.lit(absolute))
 
 
+def prior_rollforward_gap(opening, granted, exercised, lapsed, closing, vested) -> Column:
+    """Smallest absolute gap of the two prior-year formulas, without and with the vested units."""
+    return rollforward_gap(opening, granted, exercised, lapsed, closing, vested)
+
+
+def years_meet(prior_closing, opening) -> Column:
+    """Whether the prior year ends where this year starts, within 1 % and one unit; NULL where either is missing."""
+    p, o = (F.col(x) if isinstance(x, str) else x for x in (prior_closing, opening))
+    return F.abs(p - o) <= F.greatest(F.abs(o) * 0.01, F.lit(1.0))
+
+
+def negative_flow(exercised, lapsed, vested) -> Column:
+    """Whether a flow that is printed as a positive number is negative."""
+    return F.least(*[F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(0.0)) for x in (exercised, lapsed, vested)]) < 0
+
+
+def over_exercisable(exercisable, closing) -> Column:
+    """Whether more is exercisable than there is; false where either is missing."""
+    return F.coalesce((F.col(exercisable) if isinstance(exercisable, str) else exercisable) > (F.col(closing) if isinstance(closing, str) else closing), F.lit(False))
+
+
 def math_check(opening, granted, exercised, lapsed, closing) -> Column:
     """The report's own check: one formula, one unit of tolerance."""
     gap = F.abs(F.col(opening) + F.coalesce(granted, F.lit(0.0)) - F.coalesce(exercised, F.lit(0.0)) - F.coalesce(lapsed, F.lit(0.0)) - F.col(closing))
@@ -116,7 +140,7 @@ def completeness(rows: DataFrame, plan: str, checks: dict[str, Column], plans: l
 def parameter_matrix(rows: DataFrame, plan: str, parameters: list[str], plans: list) -> DataFrame:
     """Parameters down, plans across; parameters without a value are left out."""
     long = rows.select(F.col(plan).alias("plan"), F.explode(F.create_map(*[x for p in parameters for x in (F.lit(p), F.col(p).cast("double"))])).alias("parameter", "value"))
-    return long.where("value is not null").groupBy("parameter").pivot("plan", plans).agg(F.first("value"))
+    return long.where("value is not null").groupBy("parameter").pivot("plan", plans).agg(F.min("value"))
 
 
 def filled_columns(df: DataFrame, always: list[str]) -> DataFrame:

@@ -20,32 +20,131 @@ def tally(buckets: DataFrame, totals: DataFrame, by: list[str], amount: str, tot
     return sums.join(totals, by).withColumn("gap", gap).withColumn("tolerance", tolerance(F.col("n"), F.col(total))).withColumn("balanced", F.abs("gap") <= F.col("tolerance"))
 
 
-def nearest_bucket(buckets: DataFrame, gaps: DataFrame, by: list[str], bucket: str, amount: str, within: float = 0.01) -> DataFrame:
-    """For each gap the bucket whose amount is nearest to its size, if within the given share of it."""
-    far = F.abs(F.abs(F.col(amount)) - F.abs("gap"))
-    met = gaps.join(buckets, by).where(far <= within * F.abs("gap"))
-    return met.groupBy(*by).agg(F.min_by(bucket, F.struct(far, bucket)).alias("suspect"))
+def side_entries(buckets: DataFrame, memo: DataFrame, counted: dict[str, list[str]]) -> DataFrame:
+    """Every entry that a side's sum counts: its buckets, and the memo fields that ``counted`` names for the side.
+
+    Both tables are (by..., side, section, bucket, amount), the memo table without side: a field may count on both.
+    """
+    sides = [memo.where(F.col("bucket").isin(fields)).withColumn("side", F.lit(side)) for side, fields in counted.items()]
+    out = buckets
+    for rows in sides:
+        out = out.unionByName(rows)
+    return out
+
+
+def item_label(label) -> tuple[Column, Column, Column]:
+    """(side, core, section) of an item label such as ``[ASSET] Inventories (current)``; what is not tagged is empty text."""
+    text = F.col(label) if isinstance(label, str) else label
+    side = F.regexp_extract(text, r"^\[(ASSET|LIABILITY|EQUITY)\]", 1)
+    rest = F.when(side != "", F.regexp_replace(text, r"^\[[A-Z]+\]\s*", "")).otherwise(text)
+    mark = F.regexp_extract(rest, r" \((current|non-current)\)$", 1)
+    return side, F.trim(F.regexp_replace(rest, r" \((current|non-current)\)$", "")), F.replace(mark, F.lit("-"), F.lit("_"))
+
+
+def bare_label(label) -> Column:
+    """The core of an item label in lower case."""
+    return F.lower(item_label(label)[1])
+
+
+def _about(gap: Column) -> Column:
+    """How far a value may lie from a gap that it explains: one per cent in whole units, one at least."""
+    return F.greatest(F.lit(1.0), F.bround(F.abs(gap) * 0.01, 0))
+
+
+def nearest_bucket(buckets: DataFrame, gaps: DataFrame, by: list[str], bucket: str, amount: str) -> DataFrame:
+    """For each surplus the specific bucket whose amount explains it; zero buckets and those for the rest explain nothing."""
+    far = F.abs(F.col(amount) - F.col("gap"))
+    own = buckets.where(~F.col(bucket).startswith("other_") & (F.col(amount) != 0))
+    met = gaps.where("gap > 0").join(own, by).where(far <= _about(F.col("gap")))
+    return met.groupBy(*by).agg(F.min_by(F.struct(F.col(bucket).alias("suspect"), F.col(amount).alias("suspect_amount")), F.struct(far, F.col(bucket))).alias("b")).select(*by, "b.suspect", "b.suspect_amount")
+
+
+def contra_line(lines: DataFrame, gaps: DataFrame, by: list[str], side: str, label: str, value: str) -> DataFrame:
+    """For each surplus the printed negative line of its size: (by, contra, contra_value). Lines without a side tag count on both sides."""
+    tag, core, _ = item_label(label)
+    far = F.abs(F.abs(F.col(value)) - F.col("gap"))
+    keys = [c for c in by if c != side]
+    met = gaps.where("gap > 0").join(lines.where(F.col(value) < 0).withColumns({"__tag": tag, "__core": core}), keys)
+    met = met.where(((F.col("__tag") == "") | (F.col("__tag") == F.when(F.col(side) == "assets", "ASSET").otherwise("LIABILITY"))) & (far <= _about(F.col("gap"))))
+    best = met.groupBy(*by).agg(F.min_by(F.struct(F.col("__core").alias("contra"), F.col(value).alias("contra_value")), F.struct(far, F.col("__core"), F.col(value))).alias("b"))
+    return best.select(*by, "b.contra", "b.contra_value")
+
+
+def diagnose(checked: DataFrame, suspects: DataFrame, contras: DataFrame, by: list[str]) -> DataFrame:
+    """What is wrong with each side: a surplus is a double count, or a dropped negative line where one explains it and no
+    bucket does; a shortfall is a line that was not mapped."""
+    kind = F.when(F.col("balanced"), "balanced").when(F.col("gap") <= 0, "missing").when(F.col("suspect").isNull() & F.col("contra").isNotNull(), "missing_negative").otherwise("double_count")
+    rows = checked.join(suspects, by, "left").join(contras, by, "left")
+    return rows.withColumn("diagnosis", kind).withColumns({c: F.when(~F.col("balanced") & (F.col("suspect").isNull() | F.lit(not c.startswith("contra"))), F.col(c)) for c in ("suspect", "suspect_amount", "contra", "contra_value")})
 
 
-def diagnose(checked: DataFrame, suspects: DataFrame, by: list[str]) -> DataFrame:
-    """Unbalanced sides: a surplus that equals a bucket is a double count, another one or a shortfall is something missing."""
-    kind = F.when(F.col("balanced"), "balanced").when((F.col("gap") > 0) & F.col("suspect").isNotNull(), "double_count").when(F.col("gap") > 0, "missing_negative").otherwise("missing")
-    return checked.join(suspects, by, "left").withColumn("diagnosis", kind)
+def diagnosis_text(side: Column, gap: Column, kind: Column, name: Column) -> Column:
+    """The diagnosis as a sentence with thousands separators."""
+    size = F.format_number(F.abs(gap), 2)
+    over = F.concat(F.lit("over by "), size)
+    said = F.when(kind == "missing", F.concat(F.lit("under by "), size, F.lit("; a printed line is not mapped")))
+    said = said.when(kind == "missing_negative", F.concat(over, F.lit("; the negative line '"), name, F.lit("' is left out")))
+    said = said.when((kind == "double_count") & name.isNotNull(), F.concat(over, F.lit("; "), name, F.lit(" is counted twice"))).when(kind == "double_count", F.concat(over, F.lit("; a line is counted twice")))
+    return F.concat(side, F.lit(": "), F.coalesce(said, F.lit("balanced")))
 
 
 def overused(used: DataFrame, printed: DataFrame, key: list[str]) -> DataFrame:
-    """Values used more often than they are printed."""
+    """Printed values that are used more often than they are printed."""
     a = used.groupBy(*key).agg(F.count(F.lit(1)).alias("n_used"))
     b = printed.groupBy(*key).agg(F.count(F.lit(1)).alias("n_printed"))
-    return a.join(b, key, "left").withColumn("n_printed", F.coalesce("n_printed", F.lit(0))).where("n_used > n_printed")
+    return a.join(b, key).where("n_used > n_printed")
 
 
-def backed(buckets: DataFrame, lines: DataFrame, key: list[str], amount: str, value: str, slack: float = 0.5) -> DataFrame:
-    """Zero every bucket that neither a labelled line nor the sum of them equals; ``key`` says which lines are its own."""
-    own = lines.groupBy(*key).agg(F.collect_set(F.bround(value, 2)).alias("__values"), F.sum(value).alias("__sum"))
-    met = buckets.join(own, key, "left")
-    ok = F.exists("__values", lambda v: F.abs(v - F.col(amount)) <= slack) | (F.abs(F.col("__sum") - F.col(amount)) <= slack)
-    return met.withColumn(amount, F.when(F.coalesce(ok, F.lit(False)), F.col(amount)).otherwise(0.0)).drop("__values", "__sum")
+#: Labels of current tax liabilities.
+TAX_LABELS = ("taxes", "income taxes payable", "income tax payable")
+
+
+def regroup_tax(buckets: DataFrame, lines: DataFrame, by: list[str], label: str, value: str) -> DataFrame:
+    """Move current tax from ``other_current`` to ``deferred`` where the sums prove that it sits there; adds ``moved``.
+
+    ``buckets`` has (by, deferred, other_current). The move takes place if ``deferred`` equals the current tax and deferred
+    lines without the tax lines, and ``other_current`` holds at least the tax lines.
+    """
+    side, core, section = item_label(label)
+    name = F.rtrim(F.regexp_replace(F.lower(core), r"[:\s]+$", ""))
+    own = lines.withColumns({"__side": side, "__section": section, "__name": name}).where((F.col("__side") == "LIABILITY") & (F.col("__section") == "current") & (F.col(value) != 0))
+    tax = F.sum(F.when(F.col("__name").isin(*TAX_LABELS), F.col(value)))
+    like = F.sum(F.when(F.contains("__name", F.lit("tax")) | F.contains("__name", F.lit("deferred")), F.col(value)))
+    sums = own.groupBy(*by).agg(tax.alias("__tax"), like.alias("__like"))
+    fits = (F.abs(F.col("deferred") - (F.col("__like") - F.col("__tax"))) <= 0.01) & (F.col("other_current") >= F.col("__tax"))
+    moved = F.when(F.coalesce(fits, F.lit(False)), F.col("__tax")).otherwise(0.0)
+    rows = buckets.join(sums, by, "left").withColumn("moved", moved)
+    return rows.withColumns({"deferred": F.col("deferred") + F.col("moved"), "other_current": F.col("other_current") - F.col("moved")}).drop("__tax", "__like")
+
+
+def dumped(buckets: DataFrame, totals: DataFrame, by: list[str], bucket: str, amount: str, total: str, share: float = 0.6) -> DataFrame:
+    """(by, bucket, share) of buckets for the rest that hold over 60 % of a positive total while no specific bucket is filled."""
+    rest = F.col(bucket).startswith("other_")
+    sums = buckets.groupBy(*by).agg(F.max(F.when(~rest & (F.coalesce(F.col(amount), F.lit(0.0)) != 0), True)).alias("__specific"))
+    met = buckets.where(rest).join(sums.where("__specific is null").drop("__specific"), by).join(totals, by)
+    return met.where((F.col(total) > 0) & (F.col(amount) > share * F.col(total))).select(*by, F.col(bucket).alias("bucket"), (F.col(amount) / F.col(total)).alias("share"))
+
+
+def schema_faults(names: DataFrame, by: list[str], name: str, wanted: list[str]) -> DataFrame:
+    """(by, missing, unexpected): what each result's field names lack and have beyond the wanted ones; exact results drop out."""
+    own = names.groupBy(*by).agg(F.collect_set(name).alias("__own"))
+    asked = F.array(*[F.lit(w) for w in wanted])
+    rows = own.select(*by, F.array_sort(F.array_except(asked, "__own")).alias("missing"), F.array_sort(F.array_except("__own", asked)).alias("unexpected"))
+    return rows.where((F.size("missing") > 0) | (F.size("unexpected") > 0))
+
+
+#: Words of the lines that may back an equity-like bucket.
+EQUITY_TERMS = {"preferred_stock": ("preferred",), "mezzanine_equity": ("mezzanine", "redeemable", "temporary equity", "preferred")}
+
+
+def backed(buckets: DataFrame, lines: DataFrame, by: list[str], bucket: str, amount: str, label: str, value: str, terms: dict[str, tuple[str, ...]] = EQUITY_TERMS) -> DataFrame:
+    """Zero every bucket of ``terms`` that no printed line with one of its words, nor all those lines together, equals."""
+    low = F.lower(label)
+    of = F.filter(F.array(*[F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in terms.items()]), lambda n: n.isNotNull())
+    own = lines.select(*by, F.explode(of).alias(bucket), F.col(value).alias("__v")).groupBy(*by, bucket).agg(F.collect_set("__v").alias("__values"), F.sum("__v").alias("__sum"))
+    met = buckets.join(own, [*by, bucket], "left")
+    ok = F.array_contains("__values", F.col(amount)) | (F.col("__sum") == F.col(amount))
+    return met.withColumn(amount, F.when(F.col(bucket).isin(*terms) & ~F.coalesce(ok, F.lit(False)), 0.0).otherwise(F.col(amount))).drop("__values", "__sum")
 
 
 def better_side(first: DataFrame, retry: DataFrame, by: list[str], gap: str) -> DataFrame:
@@ -90,13 +189,24 @@ def carry_sections(lines: DataFrame, by: list[str], order: str, side: Column, se
     return rows.drop("__side", "__section", "__total", "__changed", "__run", "__after")
 
 
-def parents(lines: DataFrame, by: list[str], order: str, value: str, most: int = 8, slack: float = 1.0) -> DataFrame:
-    """Lines whose next few lines add up to them: (by, order, n_parts). The fewest parts (at least two) win."""
+def parents(lines: DataFrame, by: list[str], order: str, label: str, value: str, kept: dict[str, bool], most: int = 8) -> DataFrame:
+    """Hierarchies of a parent line and the lines after it that add up to it: (by, parent, order, n_parts, keep_parent).
+
+    Only lines whose bare label is in ``kept`` are parents, the first of each label in a sheet; ``kept`` says whether the parent
+    or its parts stay. The fewest lines win whose sum comes within max(2, n) of the parent, before the sum runs past it.
+    """
     w = Window.partitionBy(*by).orderBy(order)
     ahead = F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(w.rowsBetween(1, most))
-    counts = F.array(*[F.when((F.size("__ahead") >= k) & (F.abs(F.aggregate(F.slice("__ahead", 1, k), F.lit(0.0), lambda a, v: a + v) - F.col(value)) <= slack), k) for k in range(2, most + 1)])
-    rows = lines.withColumn("__ahead", ahead).withColumn("n_parts", F.array_min(counts))
-    return rows.where("n_parts is not null and " + value + " <> 0").select(*by, order, "n_parts")
+    upto = lambda k: F.aggregate(F.slice("__ahead", 1, k), F.lit(0.0), lambda a, v: a + v)
+    tolerance_ = [F.lit(float(max(2, k))) for k in range(1, most + 1)]
+    has = lambda k: F.size("__ahead") >= k
+    hit = F.array_min(F.array(*[F.when(has(k) & (F.abs(upto(k) - F.col(value)) <= tolerance_[k - 1]), k) for k in range(1, most + 1)]))
+    past = F.array_min(F.array(*[F.when(has(k) & (upto(k) > F.col(value) + tolerance_[k - 1]), k) for k in range(1, most + 1)]))
+    rows = lines.withColumns({"__ahead": ahead, "parent": bare_label(label)})
+    rows = rows.where(F.col("parent").isin(*kept)).withColumn("__first", F.min(order).over(Window.partitionBy(*by, "parent"))).where(F.col(order) == F.col("__first"))
+    rows = rows.where(F.col(value) != 0).withColumns({"n_parts": hit, "__past": past}).where(F.col("n_parts").isNotNull() & (F.col("__past").isNull() | (F.col("__past") > F.col("n_parts"))))
+    keep = F.try_element_at(F.create_map(*[F.lit(x) for kv in kept.items() for x in kv]), F.col("parent"))
+    return rows.select(*by, "parent", order, F.col("n_parts").cast("long").alias("n_parts"), keep.alias("keep_parent"))
 
 
 def debt(current: Column, long_term: Column) -> tuple[Column, Column, Column]:

@@ -101,17 +101,27 @@ SELECT user_id, strftime(day, '%Y-%m-%d') AS day, round(opening, 2) AS opening,
 
 
 def rollforward_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ledger(spark, sf_dir).withColumn("closing", F.col("closing") + 40 * (F.col("user_id") % 3))
+    """Every user's days as years, the day before as the prior year: closings of some users are off, some flows are negative."""
+    days = Window.partitionBy("user_id").orderBy("day")
+    rows = _ledger(spark, sf_dir).withColumn("closing", F.col("closing") + 40 * (F.col("user_id") % 3)).withColumn("lapsed", F.when(F.col("user_id") % 11 == 0, -F.col("lapsed")).otherwise(F.col("lapsed")))
+    before = {f"prior_{c}": F.lag(c).over(days) for c in ("opening", "granted", "exercised", "lapsed", "closing", "vested")}
+    rows = rows.withColumns(before).withColumn("exercisable", F.col("granted") * 2)
     gap = F.bround(plans.rollforward_gap("opening", "granted", "exercised", "lapsed", "closing", "vested", "settled"), 2)
-    warned = plans.warnings((~plans.rollforward_ok(gap, "closing"), "rollforward"), (F.col("exercised") > F.col("opening") + F.col("granted"), "overdrawn"), (F.col("closing") < 0, "negative"))
+    prior = F.bround(plans.prior_rollforward_gap("prior_opening", "prior_granted", "prior_exercised", "prior_lapsed", "prior_closing", "prior_vested"), 2)
+    warned = plans.warnings(
+        (~plans.rollforward_ok(gap, "closing"), "rollforward"), (~plans.rollforward_ok(prior, "prior_closing"), "prior rollforward"), (~plans.years_meet("prior_closing", "opening"), "years do not meet"),
+        (plans.negative_flow("exercised", "lapsed", "vested"), "negative flow"), (plans.over_exercisable("exercisable", "closing"), "over exercisable"),
+    )
     return rows.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), gap.alias("gap"), F.concat_ws("; ", warned).alias("warnings")).where("warnings <> ''")
 
 
 ROLLFORWARD_MISMATCH = f"""
-WITH l AS (SELECT user_id, day, granted, exercised, opening, closing + 40 * (user_id % 3) AS closing, opening + granted - exercised - lapsed AS b, vested, coalesce(settled, 0.0) AS settled FROM ({_LEDGER_SQL})),
-g AS (SELECT *, round(least(abs(b - closing), abs(b - vested - closing), abs(b - settled - closing), abs(b - vested - settled - closing)), 2) AS gap FROM l),
-w AS (SELECT user_id, strftime(day, '%Y-%m-%d') AS day, gap, concat_ws('; ', CASE WHEN gap > greatest(abs(closing) * 0.01, 1.0) THEN 'rollforward' END,
-             CASE WHEN exercised > opening + granted THEN 'overdrawn' END, CASE WHEN closing < 0 THEN 'negative' END) AS warnings FROM g)
+WITH l AS (SELECT user_id, day, opening, granted, exercised, CASE WHEN user_id % 11 = 0 THEN -lapsed ELSE lapsed END AS lapsed, vested, coalesce(settled, 0.0) AS settled, closing + 40 * (user_id % 3) AS closing FROM ({_LEDGER_SQL})),
+b AS (SELECT *, opening + granted - exercised - lapsed AS b FROM l),
+g AS (SELECT *, round_even(least(abs(b - closing), abs(b - vested - closing), abs(b - settled - closing), abs(b - vested - settled - closing)), 2) AS gap,
+             lag(round_even(least(abs(b - closing), abs(b - vested - closing)), 2)) OVER d AS prior_gap, lag(closing) OVER d AS prior_closing FROM b WINDOW d AS (PARTITION BY user_id ORDER BY day)),
+w AS (SELECT user_id, strftime(day, '%Y-%m-%d') AS day, gap, concat_ws('; ', CASE WHEN gap > greatest(abs(closing) * 0.01, 1.0) THEN 'rollforward' END, CASE WHEN prior_gap > greatest(abs(prior_closing) * 0.01, 1.0) THEN 'prior rollforward' END,
+             CASE WHEN abs(prior_closing - opening) > greatest(abs(opening) * 0.01, 1.0) THEN 'years do not meet' END, CASE WHEN least(exercised, lapsed, vested) < 0 THEN 'negative flow' END, CASE WHEN granted * 2 > closing THEN 'over exercisable' END) AS warnings FROM g)
 SELECT * FROM w WHERE warnings <> ''"""
 
 

@@ -12,28 +12,43 @@ _CENTS = "decimal(18,2)"
 
 
 def _buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(nation, side, bucket, amount): segments are buckets, positive balances are assets."""
-    rows = table(spark, sf_dir, "customer").select("c_nationkey", F.when(F.col("c_acctbal") >= 0, "assets").otherwise("liabilities").alias("side"), F.col("c_mktsegment").alias("bucket"), F.col("c_acctbal").cast(_CENTS).alias("amount"))
+    """(nation, side, bucket, amount): segments are buckets, one of them for the rest; positive balances are assets."""
+    side = F.when(F.col("c_acctbal") >= 0, "assets").otherwise("liabilities")
+    bucket = F.when(F.col("c_mktsegment") == "MACHINERY", F.concat(F.lit("other_"), side)).otherwise(F.lower("c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", side.alias("side"), bucket.alias("bucket"), F.abs("c_acctbal").cast(_CENTS).alias("amount"))
     return rows.groupBy("c_nationkey", "side", "bucket").agg(F.sum("amount").cast("double").alias("amount"))
 
 
 _BUCKET_SQL = """
-    SELECT c_nationkey, CASE WHEN c_acctbal >= 0 THEN 'assets' ELSE 'liabilities' END AS side, c_mktsegment AS bucket, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM customer GROUP BY ALL"""
+    SELECT c_nationkey, side, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'other_' || side ELSE lower(c_mktsegment) END AS bucket, CAST(sum(CAST(abs(c_acctbal) AS DECIMAL(18,2))) AS DOUBLE) AS amount
+    FROM (SELECT *, CASE WHEN c_acctbal >= 0 THEN 'assets' ELSE 'liabilities' END AS side FROM customer) GROUP BY ALL"""
 
 
-def _printed(buckets: DataFrame) -> DataFrame:
-    """Totals as printed: of every third nation too low by its largest bucket, of every third other one too high by 5 %."""
-    sums = buckets.groupBy("c_nationkey", "side").agg(F.sum(F.col("amount").cast(_CENTS)).cast("double").alias("s"), F.max("amount").alias("m"))
-    return sums.select("c_nationkey", "side", F.bround(F.when(F.col("c_nationkey") % 3 == 0, F.col("s") - F.col("m")).when(F.col("c_nationkey") % 3 == 1, F.col("s") * 1.05).otherwise(F.col("s")), 2).alias("total"))
+def _contra_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as printed lines of their nation; every second one is tagged with a side."""
+    label = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("[ASSET] "), "s_name", F.lit(" (current)"))).otherwise(F.col("s_name"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), label.alias("label"), F.col("s_acctbal").alias("value"))
 
 
+def _printed(buckets: DataFrame, lines: DataFrame) -> DataFrame:
+    """Totals as printed, by nation: a bucket counted twice, a shortfall, a negative line left out, the rest counted twice, or in order."""
+    sums = buckets.groupBy("c_nationkey", "side").agg(F.sum(F.col("amount").cast(_CENTS)).cast("double").alias("s"), F.max(F.when(~F.col("bucket").startswith("other_"), F.col("amount"))).alias("m"), F.max(F.when(F.col("bucket").startswith("other_"), F.col("amount"))).alias("o"))
+    low = lines.groupBy("c_nationkey").agg(F.min("value").alias("low"))
+    turn = F.col("c_nationkey") % 5
+    total = F.when(turn == 0, F.col("s") - F.coalesce("m", F.lit(0.0))).when(turn == 1, F.col("s") * 1.05).when(turn == 2, F.col("s") + F.least(F.lit(0.0), F.coalesce("low", F.lit(0.0)))).when(turn == 3, F.col("s") - F.coalesce("o", F.lit(0.0))).otherwise(F.col("s"))
+    return sums.join(low, "c_nationkey", "left").select("c_nationkey", "side", F.bround(total, 2).alias("total"))
+
+
+_LINES_SQL = """
+    SELECT s_nationkey AS c_nationkey, CASE WHEN s_suppkey % 2 = 0 THEN 'ASSET' ELSE '' END AS tag, s_name AS core, s_acctbal AS value FROM supplier"""
 _PRINTED_SQL = f"""
-    SELECT c_nationkey, side, round_even(CASE c_nationkey % 3 WHEN 0 THEN s - m WHEN 1 THEN s * 1.05 ELSE s END, 2) AS total
-    FROM (SELECT c_nationkey, side, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS s, max(amount) AS m FROM ({_BUCKET_SQL}) GROUP BY ALL)"""
+    SELECT c_nationkey, side, round_even(CASE c_nationkey % 5 WHEN 0 THEN s - coalesce(m, 0) WHEN 1 THEN s * 1.05 WHEN 2 THEN s + least(0, coalesce(low, 0)) WHEN 3 THEN s - coalesce(o, 0) ELSE s END, 2) AS total
+    FROM (SELECT c_nationkey, side, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS s, max(amount) FILTER (bucket NOT LIKE 'other%') AS m, max(amount) FILTER (bucket LIKE 'other%') AS o FROM ({_BUCKET_SQL}) GROUP BY ALL)
+    LEFT JOIN (SELECT c_nationkey, min(value) AS low FROM ({_LINES_SQL}) GROUP BY ALL) USING (c_nationkey)"""
 
 
-def _checked(buckets: DataFrame) -> DataFrame:
-    return sheet.tally(buckets, _printed(buckets), ["c_nationkey", "side"], "amount", "total")
+def _checked(buckets: DataFrame, lines: DataFrame) -> DataFrame:
+    return sheet.tally(buckets, _printed(buckets, lines), ["c_nationkey", "side"], "amount", "total")
 
 
 _CHECK_SQL = f"""
@@ -42,7 +57,7 @@ _CHECK_SQL = f"""
 
 
 def tally_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _checked(_buckets(spark, sf_dir))
+    rows = _checked(_buckets(spark, sf_dir), _contra_lines(spark, sf_dir))
     return rows.select("c_nationkey", "side", F.bround("computed", 2).alias("computed"), "total", F.bround("gap", 2).alias("gap"), F.bround("tolerance", 2).alias("tolerance"), "balanced")
 
 
@@ -50,16 +65,90 @@ TALLY_CHECK = f"""SELECT c_nationkey, side, round_even(computed, 2) AS computed,
 
 
 def gap_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    buckets = _buckets(spark, sf_dir)
-    checked, by = _checked(buckets), ["c_nationkey", "side"]
-    suspects = sheet.nearest_bucket(buckets, checked.where("not balanced").select(*by, "gap"), by, "bucket", "amount")
-    return sheet.diagnose(checked, suspects, by).select(*by, "suspect", "diagnosis")
+    buckets, lines, by = _buckets(spark, sf_dir), _contra_lines(spark, sf_dir), ["c_nationkey", "side"]
+    checked = _checked(buckets, lines)
+    gaps = checked.where("not balanced").select(*by, "gap")
+    rows = sheet.diagnose(checked, sheet.nearest_bucket(buckets, gaps, by, "bucket", "amount"), sheet.contra_line(lines, gaps, by, "side", "label", "value"), by)
+    text = sheet.diagnosis_text(F.col("side"), F.col("gap"), F.col("diagnosis"), F.coalesce("suspect", "contra"))
+    return rows.select(*by, "suspect", F.bround("suspect_amount", 2).alias("suspect_amount"), "contra", "contra_value", "diagnosis", text.alias("message"))
 
 
 GAP_DIAGNOSIS = f"""
 WITH k AS ({_CHECK_SQL}),
-s AS (SELECT c_nationkey, side, arg_min(bucket, (abs(abs(amount) - abs(gap)), bucket)) AS suspect FROM k JOIN ({_BUCKET_SQL}) USING (c_nationkey, side) WHERE NOT balanced AND abs(abs(amount) - abs(gap)) <= 0.01 * abs(gap) GROUP BY ALL)
-SELECT c_nationkey, side, suspect, CASE WHEN balanced THEN 'balanced' WHEN gap > 0 AND suspect IS NOT NULL THEN 'double_count' WHEN gap > 0 THEN 'missing_negative' ELSE 'missing' END AS diagnosis FROM k LEFT JOIN s USING (c_nationkey, side)"""
+g AS (SELECT *, greatest(1.0, round_even(abs(gap) * 0.01, 0)) AS near FROM k WHERE NOT balanced AND gap > 0),
+s AS (SELECT c_nationkey, side, arg_min(bucket, (abs(amount - gap), bucket)) AS suspect, arg_min(amount, (abs(amount - gap), bucket)) AS suspect_amount
+      FROM g JOIN ({_BUCKET_SQL}) USING (c_nationkey, side) WHERE bucket NOT LIKE 'other%' AND amount <> 0 AND abs(amount - gap) <= near GROUP BY ALL),
+c AS (SELECT c_nationkey, side, arg_min(core, (abs(-value - gap), core, value)) AS contra, arg_min(value, (abs(-value - gap), core, value)) AS contra_value
+      FROM g JOIN ({_LINES_SQL}) USING (c_nationkey) WHERE value < 0 AND (tag = '' OR side = 'assets') AND abs(-value - gap) <= near GROUP BY ALL),
+d AS (SELECT c_nationkey, side, gap, suspect, round_even(suspect_amount, 2) AS suspect_amount, CASE WHEN suspect IS NULL THEN contra END AS contra, CASE WHEN suspect IS NULL THEN contra_value END AS contra_value,
+             CASE WHEN balanced THEN 'balanced' WHEN gap <= 0 THEN 'missing' WHEN suspect IS NULL AND contra IS NOT NULL THEN 'missing_negative' ELSE 'double_count' END AS diagnosis
+      FROM k LEFT JOIN s USING (c_nationkey, side) LEFT JOIN c USING (c_nationkey, side))
+SELECT c_nationkey, side, suspect, suspect_amount, contra, contra_value, diagnosis, side || ': ' || CASE diagnosis WHEN 'balanced' THEN 'balanced' WHEN 'missing' THEN 'under by ' || format('{{:,.2f}}', abs(gap)) || '; a printed line is not mapped'
+       WHEN 'missing_negative' THEN 'over by ' || format('{{:,.2f}}', abs(gap)) || '; the negative line ' || chr(39) || contra || chr(39) || ' is left out'
+       ELSE 'over by ' || format('{{:,.2f}}', abs(gap)) || '; ' || coalesce(suspect || ' is counted twice', 'a line is counted twice') END AS message FROM d"""
+
+
+def tax_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as current liabilities of a customer: their status is the kind of line, every second customer's tax sits in the wrong bucket."""
+    kinds = F.element_at(F.create_map(*[F.lit(x) for kv in {"P": "Income taxes payable:", "O": "Deferred income", "F": "Accounts payable"}.items() for x in kv]), F.col("o_orderstatus"))
+    section = F.when(F.col("o_orderkey") % 7 == 0, " (non-current)").otherwise(" (current)")
+    lines = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("[LIABILITY] "), kinds, section).alias("label"), F.floor("o_totalprice").cast("double").alias("value"), F.col("o_orderstatus").alias("kind"), (F.col("o_orderkey") % 7 != 0).alias("current"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("current") & (F.col("kind") == kind), F.col("value"))), F.lit(0.0))
+    sums = lines.groupBy("o_custkey").agg(of("P").alias("tax"), of("O").alias("late"), of("F").alias("rest"))
+    wrong = F.when(F.col("o_custkey") % 2 == 0, F.col("tax")).otherwise(0.0)
+    buckets = sums.select("o_custkey", (F.col("late") + F.col("tax") - wrong).alias("deferred"), (F.col("rest") + wrong).alias("other_current"))
+    return sheet.regroup_tax(buckets, lines.drop("kind", "current"), ["o_custkey"], "label", "value")
+
+
+TAX_REGROUP = """
+WITH l AS (SELECT o_custkey, o_orderstatus AS k, floor(o_totalprice) AS v FROM orders WHERE o_orderkey % 7 <> 0),
+s AS (SELECT o_custkey, coalesce(sum(v) FILTER (k = 'P'), 0.0) AS tax, coalesce(sum(v) FILTER (k = 'O'), 0.0) AS late, coalesce(sum(v) FILTER (k = 'F'), 0.0) AS rest, count(*) FILTER (k = 'P') AS n FROM l GROUP BY o_custkey),
+a AS (SELECT DISTINCT o_custkey FROM orders),
+m AS (SELECT a.o_custkey, coalesce(tax, 0.0) AS tax, coalesce(late, 0.0) AS late, coalesce(rest, 0.0) AS rest, CASE WHEN o_custkey % 2 = 0 AND n > 0 THEN tax ELSE 0.0 END AS moved FROM a LEFT JOIN s USING (o_custkey))
+SELECT o_custkey, late + tax AS deferred, rest AS other_current, moved FROM m"""
+
+
+def other_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose bucket for the rest holds nearly everything; the status of an order is its bucket."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderstatus") == "O", "other_assets").when(F.col("o_orderstatus") == "P", "other_current_assets").otherwise("receivables").alias("bucket"), F.col("o_totalprice").cast(_CENTS).alias("v"))
+    buckets = orders.groupBy("o_custkey", "bucket").agg(F.sum("v").cast("double").alias("amount"))
+    totals = orders.groupBy("o_custkey").agg(F.sum("v").cast("double").alias("total"))
+    return sheet.dumped(buckets, totals, ["o_custkey"], "bucket", "amount", "total").select("o_custkey", "bucket", F.bround("share", 6).alias("share"))
+
+
+OTHER_SANITY = """
+WITH o AS (SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 'other_assets' WHEN 'P' THEN 'other_current_assets' ELSE 'receivables' END AS bucket, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders),
+b AS (SELECT o_custkey, bucket, CAST(sum(v) AS DOUBLE) AS amount FROM o GROUP BY ALL), t AS (SELECT o_custkey, CAST(sum(v) AS DOUBLE) AS total, count(*) FILTER (bucket = 'receivables') AS n FROM o GROUP BY o_custkey)
+SELECT o_custkey, bucket, round_even(amount / total, 6) AS share FROM b JOIN t USING (o_custkey) WHERE n = 0 AND bucket LIKE 'other%' AND total > 0 AND amount > 0.6 * total"""
+
+
+def side_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each side's sum counts: buckets and the memo fields of the side, one of which counts on both."""
+    memo = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("c_nationkey"), F.element_at(F.array(F.lit("custodial"), F.lit("client_cash"), F.lit("leases")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("bucket"), F.abs("s_acctbal").cast(_CENTS).alias("amount"))
+    memo = memo.groupBy("c_nationkey", "bucket").agg(F.sum("amount").cast("double").alias("amount"))
+    rows = sheet.side_entries(_buckets(spark, sf_dir), memo, {"assets": ["custodial", "client_cash"], "liabilities": ["custodial", "leases"]})
+    return rows.groupBy("c_nationkey", "side").agg(F.count_if(F.col("amount") != 0).alias("entries"), F.sum(F.col("amount").cast(_CENTS)).cast("double").alias("sum"))
+
+
+SIDE_ENTRIES = f"""
+WITH m AS (SELECT s_nationkey AS c_nationkey, ['custodial', 'client_cash', 'leases'][s_suppkey % 3 + 1] AS bucket, CAST(sum(CAST(abs(s_acctbal) AS DECIMAL(18,2))) AS DOUBLE) AS amount FROM supplier GROUP BY ALL),
+e AS (SELECT c_nationkey, side, amount FROM ({_BUCKET_SQL}) UNION ALL SELECT c_nationkey, 'assets', amount FROM m WHERE bucket <> 'leases' UNION ALL SELECT c_nationkey, 'liabilities', amount FROM m WHERE bucket <> 'client_cash')
+SELECT c_nationkey, side, count(*) FILTER (amount <> 0) AS entries, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS sum FROM e GROUP BY c_nationkey, side"""
+
+
+def schema_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose fields are not exactly the wanted ones."""
+    names = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("result"), F.when(F.col("c_custkey") % 9 == 0, F.col("c_mktsegment")).otherwise(F.lower("c_mktsegment")).alias("name"))
+    rows = sheet.schema_faults(names, ["result"], "name", ["automobile", "building", "furniture", "household", "machinery", "vehicles"])
+    return rows.select("result", F.array_join("missing", ",").alias("missing"), F.array_join("unexpected", ",").alias("unexpected"))
+
+
+SCHEMA_SHAPE = """
+WITH n AS (SELECT DISTINCT c_custkey % 40 AS result, CASE WHEN c_custkey % 9 = 0 THEN c_mktsegment ELSE lower(c_mktsegment) END AS name FROM customer),
+w AS (SELECT unnest(['automobile', 'building', 'furniture', 'household', 'machinery', 'vehicles']) AS name),
+m AS (SELECT result, string_agg(w.name, ',' ORDER BY w.name) AS missing FROM (SELECT DISTINCT result FROM n) r, w WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.result = r.result AND n.name = w.name) GROUP BY result),
+u AS (SELECT result, string_agg(name, ',' ORDER BY name) AS unexpected FROM n WHERE name NOT IN (SELECT name FROM w) GROUP BY result)
+SELECT result, coalesce(missing, '') AS missing, coalesce(unexpected, '') AS unexpected FROM m FULL JOIN u USING (result)"""
 
 
 def chain_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +159,7 @@ def chain_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAIN_DUPLICATES = """
 WITH c AS (SELECT l_partkey, l_quantity, count(*) FILTER (l_linestatus = 'F') AS n_used, count(*) FILTER (l_linestatus = 'O') AS n_printed FROM lineitem GROUP BY ALL)
-SELECT * FROM c WHERE n_used > n_printed"""
+SELECT * FROM c WHERE n_printed > 0 AND n_used > n_printed"""
 
 
 def better_side(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,18 +176,21 @@ SELECT o_custkey, side, total, gap, run FROM r WHERE k = 1"""
 
 
 def equity_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A segment's bucket stands only if one of its customers, or all together, carries its amount."""
-    customers = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_mktsegment").alias("bucket"), F.col("c_acctbal").alias("value"))
-    claim = F.when(F.col("c_nationkey") % 2 == 0, F.sum(F.col("value").cast(_CENTS)).cast("double")).otherwise(F.bround(F.max("value") * 2, 2))
-    buckets = customers.groupBy("c_nationkey", "bucket").agg(claim.alias("amount"))
-    kept = sheet.backed(buckets, customers.withColumn("value", F.col("value").cast(_CENTS).cast("double")), ["c_nationkey", "bucket"], "amount", "value")
-    return kept.select("c_nationkey", "bucket", F.bround("amount", 2).alias("amount"))
+    """Equity-like buckets of a nation, claimed as the largest or the sum of its labelled lines or as an invented amount."""
+    word = F.element_at(F.array(F.lit("Preferred shares"), F.lit("Redeemable interests"), F.lit("Common stock"), F.lit("Temporary equity")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    lines = table(spark, sf_dir, "customer").select("c_nationkey", word.alias("label"), F.floor("c_acctbal").cast("double").alias("value"))
+    preferred, mezzanine = F.col("label") == "Preferred shares", F.col("label") != "Common stock"
+    sums = lines.groupBy("c_nationkey").agg(F.max(F.when(preferred, F.col("value"))).alias("p"), F.sum(F.when(mezzanine, F.col("value"))).alias("m"))
+    claim = F.expr("stack(3, 'preferred_stock', p + if(c_nationkey % 2 = 0, 0D, 0.25D), 'mezzanine_equity', m + if(c_nationkey % 3 = 0, 0D, 0.25D), 'common_equity', 7D) as (bucket, amount)")
+    return sheet.backed(sums.select("c_nationkey", claim), lines, ["c_nationkey"], "bucket", "amount", "label", "value")
 
 
 EQUITY_GUARD = """
-WITH c AS (SELECT c_nationkey, c_mktsegment AS bucket, c_acctbal AS value FROM customer),
-b AS (SELECT c_nationkey, bucket, CASE WHEN c_nationkey % 2 = 0 THEN CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) ELSE round_even(max(value) * 2, 2) END AS amount, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS s, list(value) AS v FROM c GROUP BY c_nationkey, bucket)
-SELECT c_nationkey, bucket, CASE WHEN abs(s - amount) <= 0.5 OR len(list_filter(v, lambda x: abs(x - amount) <= 0.5)) > 0 THEN round_even(amount, 2) ELSE 0.0 END AS amount FROM b"""
+WITH l AS (SELECT c_nationkey, c_custkey % 4 AS k, floor(c_acctbal) AS v FROM customer),
+s AS (SELECT c_nationkey, max(v) FILTER (k = 0) AS p, sum(v) FILTER (k <> 2) AS m FROM l GROUP BY ALL)
+SELECT c_nationkey, 'preferred_stock' AS bucket, CASE WHEN c_nationkey % 2 = 0 AND p IS NOT NULL THEN p ELSE 0.0 END AS amount FROM s
+UNION ALL SELECT c_nationkey, 'mezzanine_equity', CASE WHEN c_nationkey % 3 = 0 AND m IS NOT NULL THEN m ELSE 0.0 END FROM s
+UNION ALL SELECT c_nationkey, 'common_equity', 7.0 FROM s"""
 
 
 def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,16 +244,17 @@ SELECT conv_id, turn, side, last_value(mark IGNORE NULLS) OVER (PARTITION BY con
 
 
 def parent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders in key order per customer, rounded to tens of thousands: lines that the next few add up to."""
-    lines = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.floor(F.col("o_totalprice") / 10000) * 1.0).cast("double").alias("value"))
-    return sheet.parents(lines, ["o_custkey"], "o_orderkey", "value", most=4, slack=1.0).select("o_custkey", "o_orderkey", F.col("n_parts").cast("long").alias("n_parts"))
+    """Orders in key order per customer, rounded to tens of thousands; a priority is the label, two of them are parents."""
+    lines = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("[ASSET] "), "o_orderpriority").alias("label"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("value"))
+    return sheet.parents(lines, ["o_custkey"], "o_orderkey", "label", "value", {"1-urgent": True, "5-low": False}, most=4)
 
 
 PARENT_LINES = """
-WITH o AS (SELECT o_custkey, o_orderkey, floor(o_totalprice / 10000) AS v FROM orders),
-w AS (SELECT *, lead(v, 1) OVER k AS a, lead(v, 2) OVER k AS b, lead(v, 3) OVER k AS c, lead(v, 4) OVER k AS d FROM o WINDOW k AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
-n AS (SELECT o_custkey, o_orderkey, v, CASE WHEN abs(a + b - v) <= 1 THEN 2 WHEN abs(a + b + c - v) <= 1 THEN 3 WHEN abs(a + b + c + d - v) <= 1 THEN 4 END AS n_parts FROM w)
-SELECT o_custkey, o_orderkey, CAST(n_parts AS BIGINT) AS n_parts FROM n WHERE n_parts IS NOT NULL AND v <> 0"""
+WITH o AS (SELECT o_custkey, o_orderkey, lower(o_orderpriority) AS parent, floor(o_totalprice / 10000) AS v FROM orders),
+w AS (SELECT *, lead(v, 1) OVER k AS a, lead(v, 2) OVER k AS b, lead(v, 3) OVER k AS c, lead(v, 4) OVER k AS d, min(o_orderkey) OVER (PARTITION BY o_custkey, parent) AS f FROM o WINDOW k AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+n AS (SELECT *, CASE WHEN abs(a - v) <= 2 THEN 1 WHEN a > v + 2 THEN NULL WHEN abs(a + b - v) <= 2 THEN 2 WHEN a + b > v + 2 THEN NULL WHEN abs(a + b + c - v) <= 3 THEN 3 WHEN a + b + c > v + 3 THEN NULL WHEN abs(a + b + c + d - v) <= 4 THEN 4 END AS n_parts
+      FROM w WHERE o_orderkey = f AND v <> 0 AND parent IN ('1-urgent', '5-low'))
+SELECT o_custkey, parent, o_orderkey, CAST(n_parts AS BIGINT) AS n_parts, parent = '1-urgent' AS keep_parent FROM n WHERE n_parts IS NOT NULL"""
 
 
 def printed_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
