@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a failure message contains, in the order tried, and its code.
 FAILURES = (
     (("no relevant pages",), "NO_PAGES"),
-    (("anthropic_api_key", "together_api_key", "api key", "api_key"), "CONFIG"),
+    (("api key", "api_key"), "CONFIG"),
     (("company for",), "NOT_FOUND"),
     (("could not confidently identify", "could not resolve an ir site", "no gate-passing annual report", "could not find an annual report", "fetch failed", "resolve failed"), "NO_REPORT"),
 )
@@ -51,3 +51,14 @@ def failure_code(message: Column) -> Column:
             found = found & F.contains(low, F.lit("could not find a"))
         code = code.when(found, name)
     return code.otherwise("UNKNOWN")
+
+
+def keep_all_on_failures(rows: DataFrame, by: list[str], failed: str, keep: str, most: int = 5) -> DataFrame:
+    """Where ``most`` or more rows of a group failed the classifier is taken to be down: all its rows are kept, with a reason."""
+    down = F.count_if(F.col(failed)).over(Window.partitionBy(*by)) >= most
+    return rows.withColumn("__down", down).withColumns({keep: F.col("__down") | F.col(keep), "reason": F.when(F.col("__down"), F.lit("classifier-down"))}).drop("__down")
+
+
+def evicted(rows: DataFrame, written: str, now: Column, ttl_seconds: int) -> DataFrame:
+    """What a write leaves of a cache: entries that have not outlived their time."""
+    return rows.where(F.unix_timestamp(now) - F.unix_timestamp(written) <= ttl_seconds)
