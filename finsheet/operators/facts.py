@@ -22,6 +22,10 @@ OPTION_FIELDS = {
     "outstanding_number": "OptionsOutstandingNumber$",
     "outstanding_waep": "OptionsOutstandingWeightedAverageExercisePrice$",
     "granted": "OptionsGrantsInPeriod(Gross|Net)?$",
+    "granted_waep": "OptionsGrantsInPeriodWeightedAverageExercisePrice$",
+    "granted_wagdfv": "OptionsGrantsInPeriodWeightedAverageGrantDateFairValue$",
+    "exercised_waep": "OptionsExercisesInPeriodWeightedAverageExercisePrice$",
+    "forfeited_waep": "OptionsForfeituresInPeriodWeightedAverageExercisePrice$",
     "exercised": "(OptionsExercisesInPeriod|StockIssuedDuringPeriodSharesStockOptionsExercised)$",
     "forfeited": "OptionsForfeituresInPeriod$",
     "expired": "OptionsExpirationsInPeriod$",
@@ -35,6 +39,9 @@ UNIT_FIELDS = {
     "nonvested_wagdfv": "EquityInstrumentsOtherThanOptionsNonvestedWeightedAverageGrantDateFairValue$",
     "granted": "EquityInstrumentsOtherThanOptionsGrantsInPeriod(Gross)?$",
     "vested": "EquityInstrumentsOtherThanOptionsVestedInPeriod$",
+    "granted_wagdfv": "EquityInstrumentsOtherThanOptionsGrantsInPeriodWeightedAverageGrantDateFairValue$",
+    "vested_wagdfv": "EquityInstrumentsOtherThanOptionsVestedInPeriodWeightedAverageGrantDateFairValue$",
+    "forfeited_wagdfv": "EquityInstrumentsOtherThanOptionsForfeituresWeightedAverageGrantDateFairValue$",
     "forfeited": "EquityInstrumentsOtherThanOptionsForfeit(ed|ures)InPeriod$",
 }
 SHARED_FIELDS = {
@@ -59,6 +66,28 @@ def concept_class(concept) -> Column:
     return F.coalesce(own, *pick("shared", SHARED_FIELDS))
 
 
+def is_plan_information(text) -> Column:
+    """Whether a text block is the table of plans authorised, which is no award note."""
+    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")).rlike(r"(?i)equity\s+compensation\s+plan\s+information")
+
+
+def with_closing_counts(facts: DataFrame, filings: DataFrame) -> DataFrame:
+    """Filings with a share count at an instant near their report date; the others are not worth reading."""
+    counts = facts.where(F.col("concept").rlike("(?i)(?:OptionsOutstandingNumber|NonvestedNumber)$") & F.col("period_instant").isNotNull()).select("filing", "period_instant")
+    near = counts.join(filings, "filing").where(days_apart("period_instant", "period_of_report") <= 15).select("filing").distinct()
+    return filings.join(near, "filing", "left_semi")
+
+
+def families_first(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Buckets in reading order: option buckets before the others, then by award; adds turn (from 1)."""
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("family") != "options", "award", "plan")))
+
+
+def flow_size(x) -> Column:
+    """Size of a flow as it is printed: without its sign."""
+    return F.abs(F.col(x) if isinstance(x, str) else x)
+
+
 def period_choice(durations: DataFrame, by: list[str], report: str) -> DataFrame:
     """Per filing the current duration (the longest that ends near the report date) and the comparable prior one.
 

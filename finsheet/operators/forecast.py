@@ -23,12 +23,18 @@ def year_end_month(points: DataFrame, by: list[str], ms: str, pos: str) -> DataF
 
 
 def pivot_periods(points: DataFrame, by: list[str], ms: str, series: str, value: str, metrics: list[str], places: dict[str, int] | None = None) -> DataFrame:
-    """Periods down, metrics across, each rounded half-even to its places (0 unless given)."""
+    """Periods down, metrics across, each rounded half-even to its places (0 unless given); of several points of a period the last counts."""
     period = points.withColumn("period", epoch_month(ms))
-    wide = period.groupBy(*by, "period").pivot(series, metrics).agg(F.first(value))
+    wide = period.groupBy(*by, "period").pivot(series, metrics).agg(F.max_by(value, ms))
     return wide.select(*by, "period", *[F.bround(m, (places or {}).get(m, 0)).alias(m) for m in metrics])
 
 
+def annual_points(points: DataFrame, months: DataFrame, by: list[str], ms: str) -> DataFrame:
+    """The points in each group's year-end month (``fye_month`` of ``months``); interim ones go, groups without a month keep all."""
+    month = F.substring(epoch_month(ms), 6, 2).cast("int")
+    return points.join(months, by, "left").where(F.col("fye_month").isNull() | (month == F.col("fye_month"))).drop("fye_month")
+
+
 def with_actuals(forecast: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:
     """Forecast rows and the actual rows of periods that the forecast has not."""
     return forecast.unionByName(actual.join(forecast.select(key), key, "left_anti"), allowMissingColumns=True)

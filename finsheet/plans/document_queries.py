@@ -16,33 +16,34 @@ _TIERS = {
 
 
 def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages: which may hold the note, and why."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    body = F.col("text")
+    """Documents as pages: which may hold the note, and why. A null text is an empty page."""
+    body = F.coalesce("text", F.lit(""))
     ok, reason = filings.candidate_page(filings.tier_hits(body, _TIERS), body, F.lower(body).rlike(r"\d[\d,.]+"))
-    return docs.select("doc_id", ok.alias("candidate"), reason.alias("reason"))
+    return table(spark, sf_dir, "documents").select("doc_id", ok.alias("candidate"), reason.alias("reason"))
 
 
 def _tier_sql(name: str) -> str:
-    return " + ".join(f"CASE WHEN contains({'lower(text)' if p.isascii() else 'text'}, '{p}') THEN 1 ELSE 0 END" for p in _TIERS[name])
+    found = ", ".join(f"CASE WHEN contains({'lower(text)' if p.isascii() else 'text'}, '{p}') THEN '{p}' END" for p in _TIERS[name])
+    return f"list_filter([{found}], lambda x: x IS NOT NULL)"
 
 
 PAGE_CANDIDATES = f"""
-WITH d AS (SELECT doc_id, text, {", ".join(f"{_tier_sql(k)} AS {k}" for k in _TIERS)}, regexp_matches(lower(text), '\\d[\\d,.]+') AND length(text) >= 100 AS tabled FROM documents WHERE text IS NOT NULL),
-r AS (SELECT doc_id, length(text) AS n, concat_ws('; ', CASE WHEN title > 0 THEN 'note title' END, CASE WHEN code > 0 THEN 'plan code' END, CASE WHEN valuation > 0 THEN 'valuation' END, CASE WHEN rollforward >= 3 THEN 'roll-forward' END,
-    CASE WHEN generic > 0 AND tabled THEN 'generic with table' END, CASE WHEN header > 0 AND tabled THEN 'header with table' END, CASE WHEN "foreign" > 0 THEN 'other language' END, CASE WHEN rollforward > 0 AND (generic > 0 OR header > 0) THEN 'roll-forward with context' END) AS reason FROM d)
-SELECT doc_id, n >= 100 AND reason <> '' AS candidate, reason FROM r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, {", ".join(f"{_tier_sql(k)} AS h_{k}" for k in _TIERS)}, regexp_matches(lower(text), '\\d[\\d,.]+') AS tabled FROM t),
+r AS (SELECT doc_id, length(text) AS n, concat_ws('; ', 'note-title:' || trim(h_title[1]), 'plan-code:' || trim(h_code[1]), 'valuation:' || trim(h_valuation[1]),
+    CASE WHEN len(h_rollforward) >= 3 THEN 'rollforward×' || len(h_rollforward) WHEN len(h_rollforward) > 0 AND len(h_generic) + len(h_header) > 0 THEN 'rollforward×' || len(h_rollforward) || '+keyword' END,
+    CASE WHEN tabled THEN 'generic+table:' || trim(h_generic[1]) END, CASE WHEN tabled THEN 'header+table:' || trim(h_header[1]) END, 'non-en:' || trim(h_foreign[1])) AS reason FROM d)
+SELECT doc_id, n >= 100 AND reason <> '' AS candidate, CASE WHEN reason = '' THEN '(no match)' ELSE reason END AS reason FROM r"""
 
 
 def digit_density_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null")
     cut = text.head_and_tail("text", dense=0.01, long=900, short=500, tail=300)
-    return docs.select("doc_id", F.length(cut).cast("long").alias("n"), F.md5(cut).alias("digest"), F.bround(text.digit_density("text"), 6).alias("density"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(cut).cast("long").alias("n"), F.md5(cut).alias("digest"), F.bround(text.digit_density("text"), 6).alias("density"))
 
 
 DIGIT_DENSITY_TRUNC = """
-WITH d AS (SELECT doc_id, text, length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) AS x FROM documents WHERE text IS NOT NULL AND length(text) > 0),
-h AS (SELECT *, CASE WHEN x > 0.01 THEN 900 ELSE 500 END AS h FROM d UNION ALL SELECT doc_id, text, NULL, 500 FROM documents WHERE text = ''),
+WITH d AS (SELECT doc_id, text, CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^0-9]', '', 'g')) / length(text) END AS x FROM documents),
+h AS (SELECT *, CASE WHEN x > 0.01 THEN 900 ELSE 500 END AS h FROM d),
 c AS (SELECT doc_id, x, CASE WHEN length(text) <= h + 300 THEN text ELSE substr(text, 1, h) || chr(10) || '[...]' || chr(10) || right(text, 300) END AS t FROM h)
 SELECT doc_id, length(t) AS n, md5(t) AS digest, round_even(x, 6) AS density FROM c"""
 
@@ -183,29 +184,29 @@ FIRST_DOCUMENTS = """SELECT n_chars, source, min(doc_id) AS doc_id, arg_min_null
 
 def value_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers printed in documents that equal a part's price at one of three scales."""
-    docs = table(spark, sf_dir, "documents").where("text is not null")
+    docs = table(spark, sf_dir, "documents")
     tokens = docs.select("doc_id", F.lit(1).alias("k"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1)))).alias("word"))
-    tokens = tokens.withColumn("token", coerce.word_number("word")).where("token < 1e9")
+    tokens = tokens.withColumn("token", coerce.word_number("word")).where("token is not null")
     prices = table(spark, sf_dir, "part").select(F.lit(1).alias("k"), "p_retailprice").distinct()
     met = filings.value_evidence(tokens, prices, ["k"], "token", "p_retailprice", scales=(1.0, 10.0, 1000.0))
     return met.select("doc_id", "word", "p_retailprice", "scale")
 
 
 VALUE_EVIDENCE = r"""
-WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)', 1)) AS word FROM documents), t AS (SELECT *, CAST(word AS DOUBLE) AS t FROM w WHERE length(word) <= 15 AND CAST(word AS DOUBLE) < 1e9),
+WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)', 1)) AS word FROM documents), t AS (SELECT *, CAST(word AS DOUBLE) AS t FROM w WHERE length(word) <= 15),
 p AS (SELECT DISTINCT p_retailprice, unnest([1.0, 10.0, 1000.0]) AS scale FROM part)
 SELECT doc_id, word, p_retailprice, CAST(scale AS DOUBLE) AS scale FROM t JOIN p ON abs(t - abs(p_retailprice) / CAST(scale AS DOUBLE)) < 0.005 WHERE NOT (t < 10 AND t = floor(t))"""
 
 
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text is not null and lang in ('fr', 'es', 'en')")
+    docs = table(spark, sf_dir, "documents")
     plain = text.fold("text")
     return docs.select("doc_id", F.md5(plain).alias("digest"), F.length(text.squeeze("text")).cast("long").alias("n"))
 
 
 ACCENT_FOLD = r"""
 SELECT doc_id, md5(lower(translate(replace(replace(text, '’', ''''), chr(160), ' '), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY'))) AS digest,
-       length(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS n FROM documents WHERE text IS NOT NULL AND lang IN ('fr', 'es', 'en')"""
+       length(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS n FROM documents"""
 
 
 def years_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
