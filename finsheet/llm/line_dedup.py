@@ -5,12 +5,13 @@ characters from every position (a shorter line is its own shingle). Characters a
 slice at a fixed offset; outside the basic plane a sign is two of them. A line's signature is BANDS x ROWS minima over the
 64-bit hashes of its shingles. Lines that agree in all ROWS of a band meet in a bucket.
 
-In a bucket of up to CROWD lines all pairs are candidates. In a crowded one each line is paired with the bucket's lead, and
-its lines are dealt again by their other bands. What is crowded even then, and not yet linked as a whole, is dealt by minima
-over the shingles that the lead does not have: lines that are alike without being like the lead must share some of those.
-This repeats until no bucket is crowded. It ends, as the leads' shingles are gone from the next round, and no pair is
-dropped for the size of its bucket. Candidates of which half of the
-minima agree are verified by the exact Jaccard similarity of their whole sets of shingles (as 64-bit hashes); verified links are joined into components, and of each component one line stays: the first by (doc_id, row, position).
+First each line of a bucket is paired with the bucket's lead. Lines that this does not link to one and the same line are
+paired with each other in buckets of up to CROWD lines; the lines of larger ones are dealt again by their other bands. What
+is crowded even then is dealt by minima over the shingles that the lead does not have: lines that are alike without being
+like the lead must share some of those. This repeats until no bucket is crowded. It ends, as the leads' shingles are gone
+from the next round, and no pair is dropped for the size of its bucket. Candidates of which half of the minima agree are
+verified by the exact Jaccard similarity of their whole sets of shingles (as 64-bit hashes); verified links are joined into
+components, and of each component one line stays: the first by (doc_id, row, position).
 
 Equal normal forms are one key (a 64-bit hash) throughout, so copies of a line cost one row each and are never paired.
 
@@ -88,22 +89,28 @@ def _sketches(docs: DataFrame, width: int) -> DataFrame:
     return lines.select("doc_id", "row", "pos", "key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m"))
 
 
-def _met(members: DataFrame) -> DataFrame:
-    """(bucket, key, group, low, n) of the buckets that hold more than one key: the lead ``low`` is the smallest key, n their size."""
-    members = materialise(members, "dealt")
-    sizes = materialise(members.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").drop("high"), "sizes")
-    found = materialise(hot_join(members, sizes, "bucket", "n", members.count()), "met")
-    drop(members, sizes)
+def _met(members: DataFrame, written: bool = False) -> DataFrame:
+    """The rows (bucket, key, group, label) of buckets that hold lines not linked to one and the same line yet, beside the
+    bucket's lead ``low`` (its smallest key), the lead's label and the bucket's size n."""
+    dealt = members if written else materialise(members, "dealt")
+    sizes = dealt.groupBy("bucket").agg(F.min("key").alias("low"), F.min_by("label", "key").alias("low_label"), F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("n"))
+    sizes = materialise(sizes.where("one <> other").drop("one", "other"), "sizes")
+    found = materialise(hot_join(dealt, sizes, "bucket", "n", dealt.count()), "met")
+    drop(sizes, *[dealt] * (not written))
     return found
 
 
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct candidates (a, b, n): all pairs of small buckets, and lead and member of crowded ones; n bounds a's pairs in a bucket."""
-    small = met.where(f"n <= {CROWD}").groupBy("bucket").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    later = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    small = small.select(F.explode(later).alias("p")).select("p.a", "p.b", F.lit(CROWD).cast("long").alias("n"))
-    star = met.where(f"n > {CROWD} and key <> low").select(F.col("low").alias("a"), F.col("key").alias("b"), "n")
-    return small.unionByName(star).groupBy("a", "b").agg(F.max("n").alias("n"))
+def _star(met: DataFrame) -> DataFrame:
+    """(a, b, n): the lead and each member with another label; n bounds a's pairs in a bucket."""
+    return met.where("key <> low and label <> low_label").select(F.col("low").alias("a"), F.col("key").alias("b"), "n")
+
+
+def _all_pairs(met: DataFrame) -> DataFrame:
+    """(a, b, n): the pairs of members with different labels in buckets of up to CROWD lines."""
+    small = met.where(f"n <= {CROWD}").groupBy("bucket").agg(F.array_sort(F.collect_set(F.struct("key", "label"))).alias("lines"))
+    later = lambda x, i: F.filter(F.slice("lines", i + 2, F.size("lines")), lambda y: y["label"] != x["label"])
+    pairs = F.flatten(F.transform("lines", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))))
+    return small.select(F.explode(pairs).alias("p")).select("p.a", "p.b", F.lit(CROWD).cast("long").alias("n"))
 
 
 def _beside(pairs: DataFrame, rows: DataFrame, end: str, *columns: str) -> DataFrame:
@@ -117,34 +124,30 @@ def _beside(pairs: DataFrame, rows: DataFrame, end: str, *columns: str) -> DataF
     return pairs.withColumn("part", F.pmod(F.xxhash64("b"), parts)).join(own, [end, "part"]).drop("part")
 
 
-def _verified(pairs: DataFrame, minima: DataFrame, forms: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links (a, b): half of the minima agree, and the sets of shingles have the exact Jaccard similarity."""
+def _verified(pairs: DataFrame, tested: list[DataFrame], minima: DataFrame, forms: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, tested pairs): of the pairs not tested yet those of which half of the minima agree are tested by their sets."""
+    pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
+    for done in tested:
+        pairs = pairs.join(done, ["a", "b"], "left_anti")
     agree = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
     likely = _beside(_beside(pairs, minima, "b", "m"), minima, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
     likely = materialise(likely, "likely")
-    met = _beside(_beside(likely, forms, "b", "b").withColumnRenamed("b_b", "form_b"), forms, "a", "b").withColumnRenamed("b_a", "form_a")
-    sets = F.array(F.struct(_set("form_a", width).alias("a"), _set("form_b", width).alias("b")))
-    # The generator stands between the sets and the test, so that each set is built once a pair.
-    counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["a"], s["b"])).alias("common"), (F.size(s["a"]) + F.size(s["b"])).alias("total")))
+    keys = likely.select(F.col("b").alias("key")).unionAll(likely.select(F.col("a").alias("key"))).distinct()
+    sets = materialise(forms.join(keys, "key", "left_semi").select("key", _set("b", width).alias("s")), "sets")
+    met = _beside(_beside(likely, sets, "b", "s"), sets, "a", "s")
+    # The generator stands between the intersection and the test, so that it is made once a pair.
+    counts = F.array(F.struct(F.size(F.array_intersect("s_a", "s_b")).alias("common"), (F.size("s_a") + F.size("s_b")).alias("total")))
     links = materialise(met.select("a", "b", F.inline(counts)).where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar")
-    drop(likely)
-    return links
+    drop(sets)
+    return links, likely.select("a", "b")
 
 
-def _labels(links: list[DataFrame]) -> DataFrame:
-    """(key, label): the smallest lead that a line is linked with, itself for one that is a lead."""
+def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
+    """``members`` with label: the smallest lead that a line is linked with, or itself."""
     every = reduce(DataFrame.unionByName, links)
     ends = every.select(F.col("b").alias("key"), F.col("a").alias("label")).unionAll(every.select(F.col("a").alias("key"), F.col("a").alias("label")))
-    return ends.groupBy("key").agg(F.min("label").alias("label"))
-
-
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of those buckets whose lines are not all linked to one and the same line yet."""
-    dealt = materialise(members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key")), "labelled")
-    open_ = materialise(dealt.groupBy("bucket").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("n_open")).where("one <> other").select("bucket", "n_open"), "open")
-    out = materialise(hot_join(dealt.drop("label"), open_, "bucket", "n_open", dealt.count(), "left_semi"), "members")
-    drop(dealt, open_)
-    return out
+    labels = ends.groupBy("key").agg(F.min("label").alias("label"))
+    return members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
 def _by_bands(crowded: DataFrame, minima: DataFrame) -> DataFrame:
@@ -178,27 +181,46 @@ def _bands():
 
 def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
     """Verified links (a, b) between distinct keys; ``lines`` and ``minima`` are those of ``docs``."""
-    met = _met(minima.select("key", F.posexplode(_bands()).alias("group", "bucket")))
+    met = _met(minima.select("key", F.col("key").alias("label"), F.posexplode(_bands()).alias("group", "bucket")), written=True)
     spot = F.struct("doc_id", "row", "pos")
     wanted = lines.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).select("at.*")
     forms = materialise(_texts(docs).join(wanted, ["doc_id", "row", "pos"]).select("key", F.encode("normal", "UTF-16BE").alias("b")).dropDuplicates(["key"]), "forms")
-    links, rests, turn = [], None, 0
+    links, tested, rests, turn = [], [], None, 0
+
+    def verify(pairs: DataFrame) -> None:
+        found, looked_at = _verified(pairs, tested, minima, forms, width, threshold)
+        links.append(found)
+        tested.append(looked_at)
+
+    verify(_star(met))
+    again = _met(_labelled(met.select("bucket", "key", "group"), links))
+    drop(met)
+    met = again
     while True:
-        links.append(_verified(_pairs(met), minima, forms, width, threshold))
         crowded = met.where(f"n > {CROWD}")
-        if crowded.isEmpty():
-            break
-        if turn == 0:
-            dealt = _by_bands(crowded, minima)
+        pairs = _all_pairs(met) if turn == 0 else _all_pairs(met).unionByName(_star(crowded))
+        deeper = not crowded.isEmpty()
+        if turn == 0 and deeper:  # the pairs of small buckets go with those of the crowded ones' other bands
+            again = _met(_labelled(_by_bands(crowded, minima), links))
+            pairs = pairs.unionByName(_all_pairs(again)).unionByName(_star(again.where(f"n > {CROWD}")))
+            crowded = again.where(f"n > {CROWD}")
+            verify(pairs)
+            # A lead's buckets are one group from here on.
+            crowded = crowded.groupBy("low", "key").agg(F.max("n").alias("n")).select(F.col("low").alias("bucket"), "key", F.lit(0).cast("long").alias("group"))
+            drop(met)
+            met = _met(_labelled(crowded, links))
+            drop(again)
+            crowded = met.where(f"n > {CROWD}")
         else:
-            if turn == 1:  # a lead's buckets are one group
-                crowded = crowded.groupBy("low", "key").agg(F.max("n").alias("n")).select(F.col("low").alias("bucket"), "low", "key", F.lit(0).cast("long").alias("group"), "n")
-            done, rests = rests, materialise(_deeper(_open(crowded, _labels(links)), rests, forms, width), "rests")
-            drop(*[done] * (done is not None))
-            dealt = _redealt(rests)
-        done, met, turn = met, _met(_open(dealt, _labels(links))), turn + 1
-        drop(done)
-    drop(met, forms, *[rests] * (rests is not None))
+            verify(pairs)
+        if not deeper or crowded.isEmpty():
+            break
+        done, rests = rests, materialise(_deeper(crowded, rests, forms, width), "rests")
+        drop(*[done] * (done is not None))
+        again = _met(_labelled(_redealt(rests), links))
+        drop(met)
+        met, turn = again, turn + 1
+    drop(met, forms, *tested, *[rests] * (rests is not None))
     return reduce(DataFrame.unionByName, links)
 
 
