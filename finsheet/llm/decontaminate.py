@@ -1,8 +1,10 @@
 """Benchmark decontamination by template windows.
 
 A text is read as a template: numbers, names and the units that follow numbers become typed placeholders, every other
-word is itself in lower case. Windows of ``window`` template tokens of the documents are hash-joined with those of
-the benchmark items (an item shorter than that is one window of all its tokens). Where windows line up, the values
+word is itself in lower case. A number with its separators (1,250.75) is one placeholder, and so is a name of several words
+(New York); its value is all of it. Windows of ``window`` template tokens of the documents are hash-joined with those of
+the benchmark items (an item shorter than that is one window of all its tokens). Windows are compared by
+two independent 64-bit hashes of their tokens. Where windows line up, the values
 behind the placeholders must go together one to one: the same item value always meets the same document value and the
 other way round. An item is found in a document when windows of consistent alignments cover at least
 ``coverage`` of the item; with equal values it is ``verbatim``, else ``reparameterised``.
@@ -36,6 +38,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SENTENCE = np.zeros(256, dtype=bool)
 _SENTENCE[[10, 33, 34, 46, 58, 63]] = True
+_PLACE = np.uint64(0xD1B54A32D192ED03)
+_CHECK = np.uint64(0x8CB92BA72F3D8DD7)
 NUMBER, NAME, UNIT = mix(np.array([11, 12, 13], dtype=np.uint64))
 
 
@@ -78,11 +82,23 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     unit = after & ~number
     unit[unit] = np.isin(own[unit], _UNIT_HASHES)
     token = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, own)))
-    return token, np.where(number | name | unit, own, np.uint64(0)), first
+    # Words one byte apart go together: digits around a separator, capitalised words around a blank or dash.
+    glued = np.zeros(len(starts), dtype=bool)
+    if len(starts) > 1:
+        gap = np.where(starts[1:] - ends[:-1] == 1, data[np.minimum(ends[:-1], len(data) - 1)], 0)
+        glued[1:] = (number[1:] & number[:-1] & ((gap == 44) | (gap == 46))) | (name[1:] & name[:-1] & ((gap == 32) | (gap == 45)))
+        glued[first[:-1][first[:-1] < len(starts)]] = False
+    heads = np.flatnonzero(~glued)
+    if not len(heads):
+        return token, np.zeros(0, dtype=np.uint64), first
+    place = (np.arange(len(starts)) - np.repeat(heads, np.diff(np.append(heads, len(starts))))).astype(np.uint64)
+    value = np.add.reduceat(mix(own + place * _PLACE), heads) | np.uint64(1)
+    before_word = np.concatenate([[0], np.cumsum(~glued)])
+    return token[heads], np.where((number | name | unit)[heads], value, np.uint64(0)), before_word[first]
 
 
 def windows(texts: pa.Array, lengths: list[int], min_literal: int) -> tuple[np.ndarray, ...]:
-    """(text, position, hash, length, values) of all windows of the given lengths; values is windows x longest."""
+    """(text, position, hash, length, first token, second hash) of all windows of the given lengths, and the values of all tokens."""
     token, value, first = template(texts)
     count = np.diff(first)
     literal = np.concatenate([[0], np.cumsum(value == 0)])
@@ -95,19 +111,19 @@ def windows(texts: pa.Array, lengths: list[int], min_literal: int) -> tuple[np.n
         at = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + first[doc]
         at_doc = at - first[doc]
         good = literal[at + n] - literal[at] >= min(min_literal, n)
-        parts.append((doc[good], at_doc[good], window_hash(token, n)[at[good]] + np.uint64(n), np.full(good.sum(), n), at[good]))
+        parts.append((doc[good], at_doc[good], window_hash(token, n)[at[good]] + np.uint64(n), np.full(good.sum(), n), at[good], window_hash(mix(token ^ _CHECK), n)[at[good]]))
     if not parts:
-        return (*[np.zeros(0, dtype=np.int64)] * 2, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), value)
-    return (*[np.concatenate([p[i] for p in parts]) for i in range(5)], value)
+        return (*[np.zeros(0, dtype=np.int64)] * 2, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), value)
+    return (*[np.concatenate([p[i] for p in parts]) for i in range(6)], value)
 
 
-WINDOWS = "id long, pos int, hash long, slots array<long>"
+WINDOWS = "id long, pos int, hash long, again long, slots array<long>"
 
 
 def _rows(ids, found: tuple[np.ndarray, ...], keep: np.ndarray) -> pa.RecordBatch:
-    doc, pos, hashes, n, at, value = found
+    doc, pos, hashes, n, at, again, value = found
     slots = [value[a : a + k].view(np.int64).tolist() if value[a : a + k].any() else [] for a, k in zip(at[keep].tolist(), n[keep].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[keep])), pa.array(pos[keep], pa.int32()), pa.array(hashes[keep].view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], names=["id", "pos", "hash", "slots"])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(doc[keep])), pa.array(pos[keep], pa.int32()), pa.array(hashes[keep].view(np.int64)), pa.array(again[keep].view(np.int64)), pa.array(slots, pa.list_(pa.int64()))], names=["id", "pos", "hash", "again", "slots"])
 
 
 def item_windows(benchmark: DataFrame, window: int, min_literal: int) -> DataFrame:
@@ -148,8 +164,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_lit
     short = bool(items.groupBy("id").count().where("count = 1").limit(1).count())
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     hits = own.mapInArrow(scan, WINDOWS)
-    side = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"))
-    met = hits.join(side, "hash").select(
+    side = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "again", F.col("slots").alias("item_slots"))
+    met = hits.join(side, ["hash", "again"]).select(
         F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("line_up"),
         F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: p["i"] != 0).alias("pairs"),
     )
@@ -164,4 +180,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_lit
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents in which no benchmark item is found, whole and with their columns; null ids are kept."""
     gone = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -187,8 +187,10 @@ def _ddl(df: DataFrame) -> str:
 
 
 def apply_mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """The mixed corpus: each document as often as the mix takes it, with its own columns and ``copy`` from 1 (``mix_copy`` where there is such a column)."""
+    """The mixed corpus: each document as often as the mix takes it, with its own columns and ``copy`` from 1 (with ``mix_`` in front as often as such a column is there)."""
     taken = mix_sources(docs, cycle).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies"))
     own = docs.join(taken.withColumnRenamed("doc_id", "__doc"), docs["doc_id"].eqNullSafe(F.col("__doc")))
-    number = "copy" if "copy" not in docs.columns else "mix_copy"
-    return own.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(number))
+    number = "copy"
+    while number in docs.columns:
+        number = f"mix_{number}"
+    return own.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias(number))

@@ -235,4 +235,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, m
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Documents that are not rejected as toxic, whole and with their columns; null ids are kept."""
     rejected = toxicity_scores(docs, labels, threshold=threshold).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(rejected, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -67,3 +67,25 @@ def test_empty_tables(spark, benchmark, empty):
     assert contaminated(empty, benchmark).count() == 0
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert contaminated(docs, benchmark.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        ("Mr Smith and Anna walk 4 km to Paris and then 12 km to Rome with Bob", "Mr Jones and Clara walk 5 km to Lyon and then 13 km to Nice with Tom"),
+        ("Mr Smith and Anna walk 4 km to Paris and then 12 km to Rome with Bob", "Mr Jones and Clara walk 5 km to New York and then 13 km to Los Angeles with Tom"),
+        ("Mr Smith and Anna walk 4 km to Paris and then 12 km to Rome with Bob", "Mr Jones and Clara walk 5.5 km to Lyon and then 1,250.75 km to Nice with Tom"),
+        ("a shop sells 1,250 pens at 3.5 euros each to Anna Maria Lopez and 7 more to Bob", "a shop sells 90 pens at 4 euros each to Peter and 12.25 more to Mary Ann Smith"),
+    ],
+)
+def test_numbers_and_names_of_several_words(spark, item, text):
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"It was so. {text}. and after it"), (2, "nothing of the kind is said here, by anyone, at any length at all")], "doc_id long, text string")
+    rows = contaminated(docs, items).collect()
+    assert [(r.doc_id, r.kind) for r in rows] == [(1, "reparameterised")] and rows[0].coverage == 1.0
+
+
+def test_values_must_go_together(spark):
+    items = spark.createDataFrame([(1, "we take 4 km to Paris and 4 km back from Paris to where we were before")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "we take 9 km to New York and 9 km back from New York to where we were before"), (2, "we take 9 km to New York and 8 km back from San Diego to where we were before")], "doc_id long, text string")
+    assert [r.doc_id for r in contaminated(docs, items).where("coverage = 1").collect()] == [1]
