@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from finsheet.llm.llm_queries import END_OF_DOCUMENT, VOCABULARY, op6_token_counts
-from finsheet.llm.token_scan import rank_encoder, read_blocks, scan
+from finsheet.llm.token_scan import rank_encoder, read_blocks, scan, write_flat
 
 EOD = 9
 
@@ -59,3 +59,31 @@ def test_query_agrees_with_the_tokenizer(spark, sf):
     want = {r.doc_id: len(encode(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     assert {r.doc_id: r.n_tokens for r in op6_token_counts(spark, sf).collect()} == want
     assert END_OF_DOCUMENT > max(int(x) for t in ("one two", "été") for x in encode(t))
+
+
+def test_ranges_of_many_stretches(spark, tmp_path, monkeypatch):
+    """A file of more ranges than a stretch holds, with documents over several stretches."""
+    from finsheet.llm import token_scan
+
+    monkeypatch.setattr(token_scan, "STRETCH", 3)
+    rng = np.random.default_rng(5)
+    sizes = [*rng.integers(0, 9, 40).tolist(), 90, 0, 0, 55, 3]
+    ids = np.concatenate([np.append(rng.integers(0, EOD, n), EOD) for n in sizes] + [np.ones(7)])
+    ids.astype("<u2").tofile(tmp_path / "a.bin")
+    got = sorted((r.ordinal, r.n_tokens, r.closed) for r in scan(read_blocks(spark, str(tmp_path), 8), EOD).collect())
+    assert got == [(i, n, True) for i, n in enumerate(sizes)] + [(len(sizes), 7, False)]
+
+
+def test_ranges_that_cut_a_token_raise(spark, tmp_path):
+    np.arange(10, dtype="<u2").tofile(tmp_path / "a.bin")
+    with pytest.raises(Exception, match="cuts a token"):
+        scan(read_blocks(spark, str(tmp_path), 5), EOD).collect()
+
+
+def test_very_long_null_and_repeated_documents(spark):
+    rows = [(1, "a b " * 50_000), (2, None), (2, ""), (3, "x"), (3, "x")]
+    encode = rank_encoder(VOCABULARY)()
+    folder, order = write_flat(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), rank_encoder(VOCABULARY), END_OF_DOCUMENT)
+    counts = [r.n_tokens for r in scan(read_blocks(spark, folder, 4096), END_OF_DOCUMENT).collect()]
+    assert sorted(counts) == sorted(len(encode(t or "")) for _, t in rows)
+    assert sorted(i for r in order.collect() for i in r.doc_ids) == [1, 2, 2, 3, 3]
