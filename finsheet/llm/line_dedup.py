@@ -29,7 +29,7 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsheet.llm.common import drop, hot_join, materialise
+from finsheet.llm.common import SMALL, drop, hot_join, materialise
 from finsheet.llm.components import connected_components
 
 BANDS, ROWS = 8, 2
@@ -40,6 +40,8 @@ CROWD = 12
 DEEPER = 10
 #: Pairs of one line in a task.
 SHARE = 1000
+#: Turns in which many pairs are tested.
+SLICES = 4
 
 
 def _normal(line):
@@ -124,22 +126,28 @@ def _beside(pairs: DataFrame, rows: DataFrame, end: str, *columns: str) -> DataF
     return pairs.withColumn("part", F.pmod(F.xxhash64("b"), parts)).join(own, [end, "part"]).drop("part")
 
 
-def _verified(pairs: DataFrame, tested: list[DataFrame], minima: DataFrame, forms: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(links, tested pairs): of the pairs not tested yet those of which half of the minima agree are tested by their sets."""
+def _verified(pairs: DataFrame, tested: list[DataFrame], forms: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, tested pairs): of the pairs not tested yet those of which half of the minima agree are tested by their sets.
+
+    Many pairs are tested in SLICES turns, as the sets beside them take room.
+    """
     pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
     for done in tested:
         pairs = pairs.join(done, ["a", "b"], "left_anti")
     agree = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
-    likely = _beside(_beside(pairs, minima, "b", "m"), minima, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
+    likely = _beside(_beside(pairs, forms, "b", "m"), forms, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
     likely = materialise(likely, "likely")
     keys = likely.select(F.col("b").alias("key")).unionAll(likely.select(F.col("a").alias("key"))).distinct()
     sets = materialise(forms.join(keys, "key", "left_semi").select("key", _set("b", width).alias("s")), "sets")
-    met = _beside(_beside(likely, sets, "b", "s"), sets, "a", "s")
     # The generator stands between the intersection and the test, so that it is made once a pair.
     counts = F.array(F.struct(F.size(F.array_intersect("s_a", "s_b")).alias("common"), (F.size("s_a") + F.size("s_b")).alias("total")))
-    links = materialise(met.select("a", "b", F.inline(counts)).where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar")
+    turns, links = SLICES if likely.count() > SMALL else 1, []
+    for turn in range(turns):
+        own = likely.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
+        met = _beside(_beside(own, sets, "b", "s"), sets, "a", "s").select("a", "b", F.inline(counts))
+        links.append(materialise(met.where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar"))
     drop(sets)
-    return links, likely.select("a", "b")
+    return reduce(DataFrame.unionByName, links), likely.select("a", "b")
 
 
 def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -150,10 +158,10 @@ def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
     return members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
 
-def _by_bands(crowded: DataFrame, minima: DataFrame) -> DataFrame:
+def _by_bands(crowded: DataFrame, forms: DataFrame) -> DataFrame:
     """(bucket, key, group): the lines of crowded buckets (``group`` is the band that made one) by each of their other bands within the bucket."""
     other = F.filter(F.transform(_bands(), lambda band, i: F.when(i != F.col("group"), F.xxhash64("bucket", band))), lambda band: band.isNotNull())
-    return crowded.join(minima, "key").select("key", F.explode(other).alias("again")).select(F.col("again").alias("bucket"), "key", F.lit(0).cast("long").alias("group")).distinct()
+    return crowded.join(forms.select("key", "m"), "key").select("key", F.explode(other).alias("again")).select(F.col("again").alias("bucket"), "key", F.lit(0).cast("long").alias("group")).distinct()
 
 
 def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
@@ -180,15 +188,18 @@ def _bands():
 
 
 def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
-    """Verified links (a, b) between distinct keys; ``lines`` and ``minima`` are those of ``docs``."""
+    """Verified links (a, b) between distinct keys; ``lines`` and ``minima`` (which goes when it is used) are those of ``docs``."""
     met = _met(minima.select("key", F.col("key").alias("label"), F.posexplode(_bands()).alias("group", "bucket")), written=True)
     spot = F.struct("doc_id", "row", "pos")
-    wanted = lines.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).select("at.*")
-    forms = materialise(_texts(docs).join(wanted, ["doc_id", "row", "pos"]).select("key", F.encode("normal", "UTF-16BE").alias("b")).dropDuplicates(["key"]), "forms")
+    keys = met.select("key").distinct()
+    first = lines.join(keys, "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).join(minima.join(keys, "key", "left_semi"), "key").select("at.*", "m")
+    texts = _texts(docs).join(first, ["doc_id", "row", "pos"]).select("key", "m", F.encode("normal", "UTF-16BE").alias("b"))
+    forms = materialise(texts.dropDuplicates(["key"]), "forms")
+    drop(minima)
     links, tested, rests, turn = [], [], None, 0
 
     def verify(pairs: DataFrame) -> None:
-        found, looked_at = _verified(pairs, tested, minima, forms, width, threshold)
+        found, looked_at = _verified(pairs, tested, forms, width, threshold)
         links.append(found)
         tested.append(looked_at)
 
@@ -201,7 +212,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: i
         pairs = _all_pairs(met) if turn == 0 else _all_pairs(met).unionByName(_star(crowded))
         deeper = not crowded.isEmpty()
         if turn == 0 and deeper:  # the pairs of small buckets go with those of the crowded ones' other bands
-            again = _met(_labelled(_by_bands(crowded, minima), links))
+            again = _met(_labelled(_by_bands(crowded, forms), links))
             pairs = pairs.unionByName(_all_pairs(again)).unionByName(_star(again.where(f"n > {CROWD}")))
             crowded = again.where(f"n > {CROWD}")
             verify(pairs)
@@ -232,7 +243,6 @@ def removed_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> Da
     minima = materialise(of_key.select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m")), "minima")
     drop(sketches)
     parts = connected_components(similar_lines(docs, lines, minima, width, threshold))
-    drop(minima)
     spot = F.struct("doc_id", "row", "pos")
     keys = lines.groupBy("key").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"))
     keys = keys.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
