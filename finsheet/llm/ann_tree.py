@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample and holds centres only; every vector is then dealt to its leaf, and a leaf of
-many vectors is cut into cells, so no leaf is one task's whole work. A query walks the tree with a priority queue of
+The tree is fitted on a bounded sample and holds centres only; every vector is then dealt to its leaf. A leaf of many
+vectors is cut into cells and the queries that visit it into parts, so one task has at most about ``cell`` vectors and
+``cell`` queries. A query walks the tree with a priority queue of
 squared distances to centres and so gets the leaves in best-bin-first order; how many it visits is widened, on a
 bounded set of calibration queries answered by brute force, until their recall reaches the target. Distances are
 exact Euclidean distances in double precision.
@@ -147,27 +148,31 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
     dealt = vectors.mapInArrow(deal, "vec_id long, v array<double>, leaf long")
     sizes = dealt.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / cell).alias("cells"))
     cells = {r.leaf: int(r.cells) for r in sizes.collect()}  # one row per leaf of the bounded tree
-    cells_of = F.element_at(F.create_map(*[F.lit(x) for kv in cells.items() for x in kv]), F.col("leaf"))
+    literal = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    cells_of = F.element_at(literal(cells), F.col("leaf"))
     dealt = materialise(dealt.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.lit(9)), cells_of)), "leaves")
 
     def search(queries: DataFrame, visits: int, candidates: DataFrame) -> DataFrame:
         """``queries`` against the leaves they visit; each cell answers with its own k best."""
 
         def walk(batches):
+            """Which leaves each query visits; the vectors are added by Spark, once a visit."""
             for b in batches:
-                for i, q in enumerate(stack(b.column("v")) if b.num_rows else []):
-                    leaves = [x for x in shared.value.order(q, visits) if x in cells]
-                    at = [(x, c) for x in leaves for c in range(cells[x])]
-                    m = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column("vec_id")[i].as_py()] * m, pa.int64()), pa.array([q] * m, pa.list_(pa.float64())), pa.array([x for x, _ in at], pa.int64()), pa.array([c for _, c in at], pa.int64())], names=["query_id", "q", "leaf", "cell"])
+                leaves = [[x for x in shared.value.order(q, visits) if x in cells] for q in (stack(b.column("v")) if b.num_rows else [])]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "q", "leaves"])
 
         def answer(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(v):
                 return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
             return best_k(np.stack(q["q"].to_numpy()), q["query_id"].to_numpy(), np.stack(v["v"].to_numpy()), v["vec_id"].to_numpy(), k)
 
-        asked = queries.mapInArrow(walk, "query_id long, q array<double>, leaf long, cell long")
-        found = asked.groupBy("leaf", "cell").cogroup(candidates.groupBy("leaf", "cell")).applyInPandas(answer, RESULT)
+        walked = materialise(queries.mapInArrow(walk, "query_id long, q array<double>, leaves array<long>"), "walked")
+        visiting = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # one row per leaf of the bounded tree
+        parts = F.coalesce(F.try_element_at(literal({r.leaf: -(-int(r["count"]) // cell) for r in visiting} or {-1: 1}), F.col("leaf")), F.lit(1))
+        asked = walked.select("query_id", "q", F.explode("leaves").alias("leaf")).withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(21)), parts))
+        asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), cells_of - 1)))
+        vectors_of = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        found = asked.groupBy("leaf", "cell", "part").cogroup(vectors_of.groupBy("leaf", "cell", "part")).applyInPandas(answer, RESULT)
         return _top(found, k)
 
     queries = vectors.where(is_query)
