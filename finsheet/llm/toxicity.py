@@ -1,12 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine of telling words over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
 The index holds a bounded sample of labelled rows, so it is small and goes to every task; all documents are
 queries and are scored where they are read, without a shuffle. Postings are grouped in blocks of examples. A
 query first adds up each block's largest possible cosine, scores the most promising blocks exactly, and then only
-those that could still beat its k-th best; the k found are therefore exactly the k nearest. The vector space is that of the
-words whose presence goes with the label in the sample (chi-square, at CHANCE over all words tested); a word that says nothing about it
-would only blur the distance. As that leaves most of a text out, the calibration also looks at the mass of the cosines as
-they are when a text's norm is taken over all its words: one telling word by chance in a long text is little evidence.
+those that could still beat its k-th best; the k found are therefore exactly the k nearest.
+
+A word's weight is its TF-IDF times how much its presence says about the label in the sample: FLOOR, and the size of its log
+odds, faded out where that is less than about SURE standard errors. Every word of a text counts, also those
+that no example has, and norms are taken over all of them. The calibration looks at the votes and the mass of the cosines:
+little of a text in common with any example is little evidence.
 
 Defined cases: null and empty texts, and texts that share no word with any example, get the prior's calibrated
 score and no evidence. Ties go to the earlier example. Repeated rows are scored alike; extra columns are ignored.
@@ -14,8 +16,6 @@ score and no evidence. Ties go to the earlier example. Repeated rows are scored
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from finsheet.llm.kernel import pieces, words
 from finsheet.llm.labelled import labelled_sample, remainder
 
-BLOCK = 32
-#: Chance that any word at all becomes a dimension of the vector space though it has nothing to do with the label.
-CHANCE = 0.001
+BLOCK = 256
+#: Standard errors at which a word's log odds count by half, and the weight of every word beside them.
+SURE, FLOOR = 3.0, 0.03
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, votes double, nearest array<long>, cosine array<double>"
 
 
@@ -55,14 +55,11 @@ class BlockMaxIndex:
         n = len(ids)
         self.ids, self.labels, self.k, self.power = ids, labels.astype(float), k, power
         example = np.repeat(np.arange(n), np.diff(offsets))
-        self.every, word = np.unique(terms, return_inverse=True)
-        self.every_idf = np.log((n + 1) / (np.bincount(word, minlength=len(self.every)) + 0.5))
-        if n:
-            keep = self._telling(terms, example)
-            terms, counts, example = terms[keep], counts[keep], example[keep]
         self.vocabulary, term = np.unique(terms, return_inverse=True)
-        self.idf = np.log((n + 1) / (np.bincount(term, minlength=len(self.vocabulary)) + 0.5))
-        weight = (1 + np.log(counts)) * self.idf[term]
+        df = np.bincount(term, minlength=len(self.vocabulary))
+        self.worth = np.log((n + 1) / (df + 0.5)) * self._relevance(term, example, df)
+        self.unknown = np.log((n + 1) / 0.5) * FLOOR
+        weight = (1 + np.log(counts)) * self.worth[term]
         norm = np.sqrt(np.bincount(example, weight**2, minlength=n))
         weight = weight / np.maximum(norm, 1e-12)[example]
         order = np.lexsort((example, term))
@@ -76,18 +73,14 @@ class BlockMaxIndex:
         self.term_piece = np.searchsorted(term[self.piece[:-1]], np.arange(len(self.vocabulary) + 1))
         self.blocks = -(-n // BLOCK) if n else 0
 
-    def _telling(self, terms: np.ndarray, example: np.ndarray) -> np.ndarray:
-        """Which postings are of words whose presence depends on the label."""
-        _, term = np.unique(terms, return_inverse=True)
+    def _relevance(self, term: np.ndarray, example: np.ndarray, df: np.ndarray) -> np.ndarray:
+        """Weight of each word from its log odds in the two classes, FLOOR at least."""
         n, positive = len(self.labels), self.labels.sum()
-        df = np.bincount(term)
-        a = np.bincount(term, self.labels[example])
-        b, c = df - a, positive - a
-        d = n - positive - b
-        spread = np.maximum(df * (n - df) * positive * (n - positive), 1e-9)
-        tested = df >= 3
-        least = NormalDist().inv_cdf(1 - CHANCE / max(1, tested.sum()) / 2) ** 2
-        return ((n * (a * d - b * c) ** 2 / spread > least) & tested)[term]
+        a = np.bincount(term, self.labels[example], minlength=len(df))
+        odds = np.log((a + 0.5) / (positive + 1)) - np.log((df - a + 0.5) / (n - positive + 1))
+        sure = (np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (df - a + 0.5)) / SURE) ** 4
+        told = np.abs(odds) * sure / (1 + sure)
+        return FLOOR + told / max(told.max(initial=0.0), 1e-12)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine to a text, best first; ``without`` is left out."""
@@ -97,9 +90,8 @@ class BlockMaxIndex:
         known = self.vocabulary[at] == terms
         if not known.any():
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at = at[known]
-        weight = (1 + np.log(counts[known])) * self.idf[at]
-        weight = weight / np.sqrt(np.sum(weight**2))
+        every = (1 + np.log(counts)) * np.where(known, self.worth[at], self.unknown)
+        at, weight = at[known], every[known] / np.sqrt(np.sum(every**2))
         size = self.term_piece[at + 1] - self.term_piece[at]
         entry = ragged(self.term_piece[at], size)
         if not len(entry):
@@ -129,15 +121,6 @@ class BlockMaxIndex:
         at = ragged(self.piece[entry], size)
         score += np.bincount(self.example[at], np.repeat(weight, size) * self.weight[at], minlength=len(score))
 
-    def told(self, terms: np.ndarray, counts: np.ndarray) -> float:
-        """Which share of a text's norm over all its words lies in the vector space."""
-        if not len(terms) or not len(self.vocabulary):
-            return 0.0
-        at = np.minimum(np.searchsorted(self.every, terms), len(self.every) - 1)
-        idf = np.where(self.every[at] == terms, self.every_idf[at], np.log((len(self.ids) + 1) / 0.5))
-        squares = ((1 + np.log(counts)) * idf) ** 2
-        return float(np.sqrt(np.sum(squares[np.isin(terms, self.vocabulary)]) / max(np.sum(squares), 1e-12)))
-
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         """Share of toxic neighbours, each weighted by a power of its cosine; the examples' own share if there is none."""
         w = cosine**self.power
@@ -145,22 +128,29 @@ class BlockMaxIndex:
 
 
 def evidence(vote: np.ndarray, mass: np.ndarray) -> np.ndarray:
-    """What the calibration looks at: the vote, the mass of cosines over all words (as a logarithm), and both together."""
+    """What the calibration looks at: the vote, the mass of the cosines (as a logarithm), and both together."""
     m = np.log(np.maximum(mass, 1e-3)) - np.log(1e-3)
     return np.stack([vote, m, vote * m], axis=-1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weighted logistic fit with a little ridge, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> tuple[np.ndarray, float]:
+    """Weighted logistic fit with a little ridge, by Newton's method with halved steps, so that it also ends where the classes part."""
     x = np.hstack([x, np.ones((len(x), 1))])
     a = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-(x @ a)))
-        g = x.T @ (weight * (p - y)) + 1e-3 * a
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(a))
-        step = np.linalg.solve(h, g)
-        a = a - np.clip(step, -5, 5)
-        if np.abs(step).sum() < 1e-9:
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.sum(weight * (np.logaddexp(0, z) - y * z)) + ridge / 2 * b @ b)
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ a, -500, 500)))
+        g = x.T @ (weight * (p - y)) + ridge * a
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(a))
+        step, share, here = np.linalg.solve(h, g), 1.0, loss(a)
+        while share > 1e-9 and loss(a - share * step) > here:
+            share /= 2
+        a = a - share * step
+        if np.abs(share * step).sum() < 1e-9:
             break
     return a[:-1], float(a[-1])
 
@@ -178,7 +168,7 @@ def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tup
             )
 
     rows = examples.select("doc_id", "label", "text").mapInArrow(lambda it: vectors(pieces(it)), "doc_id long, label int, terms binary, counts binary").collect()
-    # Like examples next to each other: by class, then by the rarest of their words' hashes, so that blocks are narrow.
+    # Examples of a class next to each other, so that the words of one class fill few blocks.
     rows.sort(key=lambda r: (r.label, r.doc_id))
     terms = [np.frombuffer(r.terms, dtype=np.uint64) for r in rows]
     index = BlockMaxIndex(
@@ -192,7 +182,7 @@ def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tup
     for i, (r, t) in enumerate(zip(rows, terms, strict=True)):
         count = np.frombuffer(r.counts, dtype=np.int32)
         found, cosine = index.nearest(t, count, without=i)
-        votes[i], masses[i] = index.vote(found, cosine), index.told(t, count) * cosine.sum() / index.k
+        votes[i], masses[i] = index.vote(found, cosine), cosine.sum() / index.k
     y = index.labels
     taken = {c: max(1, int(np.sum(y == c))) for c in (0, 1)}
     weight = np.where(y == 1, counts.get(1, 0) / taken[1], counts.get(0, 0) / taken[0])
@@ -218,7 +208,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, m
                 cut = slice(offsets[i], offsets[i + 1])
                 found, cosine = index.nearest(terms[cut], counts[cut])
                 votes.append(index.vote(found, cosine))
-                masses.append(index.told(terms[cut], counts[cut]) * float(cosine.sum()) / index.k)
+                masses.append(float(cosine.sum()) / index.k)
                 near.append(index.ids[found[:3]].tolist())
                 cosines.append(cosine[:3].tolist())
             v = np.array(votes, dtype=float)

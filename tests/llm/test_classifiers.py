@@ -84,7 +84,7 @@ def test_block_max_search_is_exact():
         cut = slice(offsets[i], offsets[i + 1])
         at = np.searchsorted(index.vocabulary, terms[cut])
         ok = (at < len(index.vocabulary)) & (index.vocabulary[np.minimum(at, len(index.vocabulary) - 1)] == terms[cut])
-        dense[i, at[ok]] = (1 + np.log(counts[cut][ok])) * index.idf[at[ok]]
+        dense[i, at[ok]] = (1 + np.log(counts[cut][ok])) * index.worth[at[ok]]
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-12)
     for i in range(0, 300, 17):
         cut = slice(offsets[i], offsets[i + 1])
