@@ -225,3 +225,16 @@ def independent_total(candidates: DataFrame, references: DataFrame, by: list[str
     met = candidates.join(references, by).where(F.abs(F.col("candidate") - F.col("reference")) <= slack * F.abs("reference"))
     best = met.groupBy(*by).agg(F.min_by(F.struct("candidate", "reference"), F.struct("candidate_pos", "reference_pos")).alias("b"))
     return best.select(*by, "b.candidate", "b.reference")
+
+
+def pairwise_sums(left: Column, right: Column) -> Column:
+    """Sums of two number arrays place by place, as far as both go."""
+    return F.filter(F.zip_with(left, right, lambda a, b: a + b), lambda v: v.isNotNull())
+
+
+def equity_candidates(printed: Column, of_page: Column, tagged: Column) -> Column:
+    """Equity values to try, once each: the printed total, those of the page, tagged lines from the last up, then their sum."""
+    total = F.when(F.size(tagged) > 0, F.array(F.aggregate(tagged, F.lit(0.0), lambda a, v: a + v))).otherwise(F.array().cast("array<double>"))
+    every = F.concat(F.array(printed.cast("double")), of_page)
+    every = F.concat(F.filter(every, lambda v: v.isNotNull() & (v != 0)), F.reverse(tagged), total)
+    return F.array_distinct(every)

@@ -7,7 +7,7 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finsheet.plans import award_queries, choice_queries, document_queries, market_queries, registry_queries, sheet_queries, state_queries
+from finsheet.plans import award_queries, choice_queries, document_queries, market_queries, registry_queries, report_queries, sheet_queries, state_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -22,5 +22,5 @@ def _register(module: ModuleType) -> None:
                 ORACLE_SQL[name] = sql
 
 
-for _module in (award_queries, sheet_queries, registry_queries, document_queries, choice_queries, state_queries, market_queries):
+for _module in (award_queries, sheet_queries, registry_queries, document_queries, choice_queries, state_queries, market_queries, report_queries):
     _register(_module)
