@@ -56,13 +56,14 @@ def _starts(width: int):
 
 
 def _shingle(i, width: int, form="b"):
-    return F.substring(F.col(form), i * 2 + 1, F.lit(2 * width))
+    return F.substring(F.col(form) if isinstance(form, str) else form, i * 2 + 1, F.lit(2 * width))
 
 
-def _set(form: str, width: int):
-    """Distinct 64-bit hashes of a UTF-16 form's shingles."""
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(form) / 2).cast("int") - width))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(_shingle(i, width, form))))
+def _set(normal: str, width: int):
+    """Distinct 64-bit hashes of a normal form's shingles."""
+    form = F.encode(F.col(normal), "UTF-16BE")
+    hashes = F.transform(F.array(form), lambda b: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(b) / 2).cast("int") - width)), lambda i: F.xxhash64(_shingle(i, width, b))))
+    return F.array_distinct(F.get(hashes, F.lit(0)))
 
 
 def _anchor(i: int) -> int:
@@ -138,7 +139,7 @@ def _verified(pairs: DataFrame, tested: list[DataFrame], forms: DataFrame, width
     likely = _beside(_beside(pairs, forms, "b", "m"), forms, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
     likely = materialise(likely, "likely")
     keys = likely.select(F.col("b").alias("key")).unionAll(likely.select(F.col("a").alias("key"))).distinct()
-    sets = materialise(forms.join(keys, "key", "left_semi").select("key", _set("b", width).alias("s")), "sets")
+    sets = materialise(forms.join(keys, "key", "left_semi").select("key", _set("t", width).alias("s")), "sets")
     # The generator stands between the intersection and the test, so that it is made once a pair.
     counts = F.array(F.struct(F.size(F.array_intersect("s_a", "s_b")).alias("common"), (F.size("s_a") + F.size("s_b")).alias("total")))
     turns, links = SLICES if likely.count() > SMALL else 1, []
@@ -167,12 +168,12 @@ def _by_bands(crowded: DataFrame, forms: DataFrame) -> DataFrame:
 def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
     """(group, key, h): the hashes of each line's shingles that neither its bucket's lead nor an earlier one has."""
     pairs = crowded.select(F.col("low").alias("a"), F.col("key").alias("b"), "bucket", "group", "n")
-    met = _beside(pairs, forms, "a", "b").withColumnRenamed("b_a", "form_a")
+    met = _beside(pairs, forms, "a", "t")
     if rests is None:
-        met = _beside(met, forms, "b", "b").withColumn("left", _set("b_b", width))
+        met = _beside(met, forms, "b", "t").withColumn("left", _set("t_b", width))
     else:
         met = met.join(rests.select("group", F.col("key").alias("b"), F.col("h").alias("left")), ["group", "b"])
-    rest = met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.explode(F.array(F.array_except("left", _set("form_a", width)))).alias("h"))
+    rest = met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.explode(F.array(F.array_except("left", _set("t_a", width)))).alias("h"))
     return rest.where(F.size("h") > 0)
 
 
@@ -193,8 +194,8 @@ def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: i
     spot = F.struct("doc_id", "row", "pos")
     keys = met.select("key").distinct()
     first = lines.join(keys, "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).join(minima.join(keys, "key", "left_semi"), "key").select("at.*", "m")
-    texts = _texts(docs).join(first, ["doc_id", "row", "pos"]).select("key", "m", F.encode("normal", "UTF-16BE").alias("b"))
-    forms = materialise(texts.dropDuplicates(["key"]), "forms")
+    texts = _texts(docs).join(first, ["doc_id", "row", "pos"]).dropDuplicates(["doc_id", "row", "pos"])  # rows may be repeated
+    forms = materialise(texts.select("key", "m", F.col("normal").alias("t")), "forms")
     drop(minima)
     links, tested, rests, turn = [], [], None, 0
 
