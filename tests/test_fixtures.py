@@ -117,9 +117,11 @@ def test_industries(spark, raw, name):
     assert one(spark, approx.industry_by_rule(F.col("x"))[0], x=raw) == name
 
 
-def test_rating_in_context():
-    assert approx._rating_in("A company. Its S&P credit rating is BBB+ with a stable outlook; AA once.") == ("BBB+", "Stable")
-    assert approx._rating_in("A note with no such thing") == (None, None)
+def test_rating_in_context(spark):
+    texts = [(1, "A company. Its S&P credit rating is BBB+ with a stable outlook; AA once."), (2, "A note with no such thing"), (3, None), (4, "AA far before. " + "x " * 120 + "outlook: negative for the A rating")]
+    got = {r.k: (r.token, r.outlook) for r in approx.ratings(spark.createDataFrame(texts, "k long, t string"), "k", "t").collect()}
+    assert got == {1: ("BBB+", "Stable"), 4: ("A", "Negative")}
+
 
 
 @pytest.mark.parametrize(("name", "score"), [("2025財務年度中期報告", -27), ("2025年度報告", 50), ("2025年報", 50), ("2025綜合財務報表", 52), ("2024年度報告", 43), ("2025季度業績公告", -7 - 45)])
