@@ -62,7 +62,7 @@ def concept_class(concept) -> Column:
     name = local_name(concept)
     pick = lambda family, table: [F.when(name.rlike(f"(?i){p}"), F.struct(F.lit(family).alias("family"), F.lit(f).alias("field"))) for f, p in table.items()]
     units = F.lower(name).contains("otherthanoptions")
-    own = F.when(units, F.coalesce(*pick("rsu", UNIT_FIELDS))).otherwise(F.coalesce(*pick("options", OPTION_FIELDS)))
+    own = F.when(units, F.coalesce(*pick("rsu", UNIT_FIELDS))).otherwise(F.coalesce(*pick("option", OPTION_FIELDS)))
     return F.coalesce(own, *pick("shared", SHARED_FIELDS))
 
 
@@ -80,7 +80,7 @@ def with_closing_counts(facts: DataFrame, filings: DataFrame) -> DataFrame:
 
 def families_first(rows: DataFrame, by: list[str]) -> DataFrame:
     """Buckets in reading order: option buckets before the others, then by award; adds turn (from 1)."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("family") != "options", "award", "plan")))
+    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("family") != "option", "award", "plan")))
 
 
 def flow_size(x) -> Column:
@@ -156,7 +156,7 @@ def merged(long: DataFrame) -> DataFrame:
     """
     stems = {"EmployeeStockOptionMember": "StockOption", "StockOptionMember": "StockOption", "RestrictedStockUnitsRSUMember": "RestrictedStockUnit", "RestrictedStockUnitsMember": "RestrictedStockUnit", "RestrictedStockMember": "RestrictedStock", "PerformanceSharesMember": "PerformanceShare", "PerformanceShareUnitsMember": "PerformanceShare"}
     literal = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    families = {m: "options" if m in ("EmployeeStockOptionMember", "StockOptionMember") else "rsu" for m, (_, t, _n) in AWARDS.items() if m in ("EmployeeStockOptionMember", "StockOptionMember") or t in ("RSU", "PSU", "RSP")}
+    families = {m: "option" if m in ("EmployeeStockOptionMember", "StockOptionMember") else "rsu" for m, (_, t, _n) in AWARDS.items() if m in ("EmployeeStockOptionMember", "StockOptionMember") or t in ("RSU", "PSU", "RSP")}
     bucket, filing = Window.partitionBy("filing", "family", "award", "plan"), Window.partitionBy("filing")
     core = F.max(F.col("field").isin(*CORE)).over(bucket) & (F.col("family") != "shared")
     rows = long.withColumn("core", core)
@@ -172,7 +172,7 @@ def merged(long: DataFrame) -> DataFrame:
         same = same_award & (F.col("plan") == t["plan"])
         stem = F.col("stem").isNotNull() & F.contains(local_name(t["award"]), F.col("stem")) & ~((F.col("stem") == "RestrictedStock") & local_name(t["award"]).contains("RestrictedStockUnit"))
         detail = F.when((F.col("family") != t["family"]) | (tagged & ~F.col("home").eqNullSafe(F.col("family"))), None).when(same, 1).when(tagged & same_award, 2).when(one_of_family, 3)
-        whole = F.when(~tagged & (F.col("plan") == ""), F.when((t["family"] == "options") & one_of_family, 1).when(F.size("targets") == 1, 2))
+        whole = F.when(~tagged & (F.col("plan") == ""), F.when((t["family"] == "option") & one_of_family, 1).when(F.size("targets") == 1, 2))
         return F.when(shared, whole.when(same, 1).when(tagged & same_award, 2).when(tagged & (F.col("home") == t["family"]) & one_of_family, 3).when(stem, 4)).otherwise(detail)
 
     met = F.filter(F.transform("targets", lambda t: F.struct(rank(t).alias("rank"), t.alias("to"))), lambda m: m["rank"].isNotNull())

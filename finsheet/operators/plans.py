@@ -15,7 +15,7 @@ STRICT_FIELDS = ("weighted_avg_exercise_price", "weighted_avg_grant_date_fair_va
 
 
 def classify(plans: DataFrame) -> DataFrame:
-    """Plans that are options or nil-cost awards, with count_mn, strike, maturity_years and kind; the rest go.
+    """Plans with an exercise price or nil-cost awards, with count_mn, strike, maturity_years and kind; the rest go.
 
     Expects plan_type, is_nil_cost, units_label, closing_balance, weighted_avg_exercise_price,
     weighted_avg_grant_date_fair_value, weighted_avg_remaining_contractual_life_years, vesting_period_years.

@@ -131,7 +131,7 @@ SELECT source, lang, doc_id, CAST(score AS BIGINT) AS score, CAST(kinds AS BIGIN
 
 def exhibit_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exhibits with the award note where the first document of a company lacks it."""
-    note = "The weighted-average exercise\n price of options granted, exercised and forfeited"
+    note = "The weighted-average exercise\n price of awards granted, exercised and forfeited"
     text = F.when(F.col("o_orderkey") % 5 < 2, note).when(F.col("o_orderkey") % 5 == 2, "granted and vested, no price").otherwise("weighted average grant-date fair value of awards")
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderkey").alias("doc"), text.alias("text"), F.concat(F.element_at(F.array(F.lit("ex"), F.lit("R"), F.lit("FilingSummary")), (F.col("o_orderkey") % 3 + 1).cast("int")), F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 7 == 0, ".txt").otherwise(".htm")).alias("name"))
     first = rows.groupBy("company").agg(F.min("doc").alias("first"))

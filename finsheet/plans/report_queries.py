@@ -146,12 +146,12 @@ SELECT k AS o_orderkey, array_to_string(equity, ',') AS equity, (100 + c) || ',2
 def note_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets in reading order, the size of their flow, and whether a text block is the plan table."""
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus", "l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("q"))
-    rows = rows.select("l_orderkey", F.when(F.col("l_linestatus") == "O", "options").otherwise("rsu").alias("family"), F.col("l_returnflag").alias("award"), F.lit("").alias("plan"), F.when(F.col("l_returnflag") == "R", -F.col("q")).otherwise(F.col("q")).alias("flow"))
+    rows = rows.select("l_orderkey", F.when(F.col("l_linestatus") == "O", "option").otherwise("rsu").alias("family"), F.col("l_returnflag").alias("award"), F.lit("").alias("plan"), F.when(F.col("l_returnflag") == "R", -F.col("q")).otherwise(F.col("q")).alias("flow"))
     block = F.concat(F.lit("Equity  Compensation\nPlan "), F.when(F.col("award") == "A", "Information").otherwise("Note"))
     ordered = facts.families_first(rows, ["l_orderkey"])
     return ordered.select("l_orderkey", "family", "award", F.col("turn").cast("long").alias("turn"), facts.flow_size("flow").alias("flow"), facts.is_plan_information(block).alias("skipped"))
 
 
 NOTE_FILTERS = """
-WITH r AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'options' ELSE 'rsu' END AS family, l_returnflag AS award, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS flow FROM lineitem GROUP BY ALL)
-SELECT l_orderkey, family, award, row_number() OVER (PARTITION BY l_orderkey ORDER BY family <> 'options', award) AS turn, flow, award = 'A' AS skipped FROM r"""
+WITH r AS (SELECT l_orderkey, CASE WHEN l_linestatus = 'O' THEN 'option' ELSE 'rsu' END AS family, l_returnflag AS award, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS flow FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, family, award, row_number() OVER (PARTITION BY l_orderkey ORDER BY family <> 'option', award) AS turn, flow, award = 'A' AS skipped FROM r"""
