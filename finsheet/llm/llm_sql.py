@@ -5,7 +5,7 @@ from __future__ import annotations
 #: Every string of 50 bytes of every text, as hexadecimal digits.
 OP2 = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-s as (select doc_id, i, substr(h, 2 * i + 1, 100) as string from d, unnest(range(0, length(h) // 2 - 49)) as t(i)),
+s as (select doc_id, unnest(range(0, length(h) // 2 - 49)) as i, unnest(list_transform(range(0, length(h) // 2 - 49), lambda i: substr(h, 2 * i + 1, 100))) as string from d),
 m as (select string, min(doc_id) as low from s group by string),
 r as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 else 0 end as new from s join m using (string) where low < doc_id),
 n as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from r),
