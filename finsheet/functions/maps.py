@@ -42,6 +42,7 @@ CURRENCIES = {
     "$": "USD", "US$": "USD", "USD": "USD", "DOLLARS": "USD", "€": "EUR", "EUR": "EUR", "EURO": "EUR", "EUROS": "EUR", "£": "GBP", "GBP": "GBP",
     "PENCE": "GBP", "¥": "JPY", "JPY": "JPY", "YEN": "JPY", "RMB": "CNY", "CNY": "CNY", "HK$": "HKD", "HKD": "HKD", "₹": "INR", "INR": "INR",
     "R$": "BRL", "BRL": "BRL", "DKK": "DKK", "KR": "DKK", "CHF": "CHF", "C$": "CAD", "CAD": "CAD", "A$": "AUD", "AUD": "AUD", "NT$": "TWD", "TWD": "TWD",
+    "S$": "SGD", "SGD": "SGD", "₩": "KRW", "KRW": "KRW", "WON": "KRW", "MXN": "MXN", "PESOS": "MXN", "R": "ZAR", "ZAR": "ZAR", "RAND": "ZAR", "NZ$": "NZD", "NZD": "NZD",
 }
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from finsheet.functions import codes
-from finsheet.operators import markets, state
+from finsheet.functions import codes, coerce, dates, maps, text
+from finsheet.operators import choice, facts, markets, plans, resolve, state
 from finsheet.plans.tables import table
 
 _FORMS = ("10-K", "10-Q", "8-K", "120", "160", "A001", "40-F")
@@ -251,3 +251,63 @@ def classifier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CLASSIFIER_FALLBACK = """
 SELECT user_id, event_id, n >= 5 OR event_type = 'purchase' AS keep, CASE WHEN n >= 5 THEN 'classifier-down' END AS reason FROM (SELECT *, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id) AS n FROM events)"""
+
+
+_NAMES = ("Acme Holdings PLC", "Beta & Sons, Inc.", "Gamma Ltd", "Delta")
+_MEMBERS = ("us-gaap:RestrictedStockMember", "x:LongTermIncentive2024PlanMember", "Plain")
+_AMOUNTS = ("12", " 3.7 ", "1,200", "n/a", "yes", "$ 12 + 3", "about 12", "-")
+_MONEY = ("US$", "€", "₩", "S$", "FURLONG", "YEN")
+
+
+def helper_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, members, amounts, currencies, years and dates of small forms, picked by key, through the small helpers."""
+    key = F.col("p_partkey")
+    amount, first = _nth(_AMOUNTS, key), F.when(key % 3 == 0, key % 2)
+    lei = F.concat(F.lpad(key.cast("string"), 18, "A"), F.when(key % 2 == 0, "42").otherwise("4X"))
+    second = choice.keep_second_pass(F.array(F.lit(1), F.lit(2)), F.when(key % 4 < 3, F.sequence(F.lit(1), (key % 4 + 1).cast("int"))).otherwise(F.array(F.lit(9))))
+    day = lambda s: F.lit(s).cast("date")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.strip_legal(_nth(_NAMES, key)).alias("name"), text.member_label(_nth(_MEMBERS, key)).alias("member"), text.is_lei(lei).alias("lei"), dates.roc_year((key % 200 + 1911).cast("int")).cast("long").alias("roc"),
+        dates.is_fresh(F.date_sub(day("2025-06-30"), (key % 400).cast("int")), day("2025-06-30")).alias("fresh"), coerce.storable_int(amount).cast("long").alias("whole"), coerce.storable_bool(amount).alias("flag"), coerce.tally_warning(amount).alias("warning"),
+        coerce.truthy(first, key % 5).cast("long").alias("truthy"), maps.mapped(_nth(_MONEY, key), maps.CURRENCIES).alias("currency"), F.size(second).cast("long").alias("plans"),
+    )
+
+
+HELPER_FORMS = """
+SELECT p_partkey, ['Acme Holdings', 'Beta & Sons', 'Gamma', 'Delta'][p_partkey % 4 + 1] AS name, ['Restricted Stock', 'Long Term Incentive2024 Plan', 'Plain'][p_partkey % 3 + 1] AS member, p_partkey % 2 = 0 AS lei, p_partkey % 200 AS roc, p_partkey % 400 <= 280 AS fresh,
+       [12, 3, NULL, NULL, NULL, NULL, NULL, NULL][p_partkey % 8 + 1] AS whole, CASE WHEN p_partkey % 8 = 4 THEN TRUE END AS flag, CASE p_partkey % 8 WHEN 3 THEN 'unreadable amount: n/a' WHEN 4 THEN 'unreadable amount: yes' WHEN 6 THEN 'unreadable amount: about 12' END AS warning,
+       CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 1 THEN 1 ELSE p_partkey % 5 END AS truthy, ['USD', 'EUR', 'KRW', 'SGD', NULL, 'JPY'][p_partkey % 6 + 1] AS currency, [2, 2, 3, 2][p_partkey % 4 + 1] AS plans FROM part"""
+
+
+def domain_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate domains that score well and are not on the block list."""
+    host = F.concat(F.lit("site"), (F.col("p_partkey") % 50).cast("string"), F.lit(".example"))
+    candidates = table(spark, sf_dir, "part").select("p_partkey", host.alias("domain"), (F.col("p_size") * 2).alias("score"))
+    blocked = table(spark, sf_dir, "supplier").select(F.concat(F.lit("site"), (F.col("s_suppkey") * 3).cast("string"), F.lit(".example")).alias("domain"))
+    return resolve.suggest_domains(candidates, blocked, "score", "domain").select("p_partkey", "domain", F.col("score").cast("long").alias("score"))
+
+
+DOMAIN_SUGGESTIONS = """
+SELECT p_partkey, 'site' || p_partkey % 50 || '.example' AS domain, CAST(p_size * 2 AS BIGINT) AS score FROM part WHERE p_size * 2 >= 75 AND p_partkey % 50 NOT IN (SELECT s_suppkey * 3 FROM supplier)"""
+
+
+def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of an order's lines, 0 where nothing is filled."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("granted"), F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("long")).alias("lapsed"))
+    return plans.totals(rows, ["l_orderkey"], ["granted", "lapsed"])
+
+
+PLAN_TOTALS = """
+SELECT l_orderkey, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS total_granted, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'R'), 0) AS BIGINT) AS total_lapsed FROM lineitem GROUP BY l_orderkey"""
+
+
+def closing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filings worth reading: those with a share count at an instant near their report date."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("filing"), F.when(F.col("o_orderkey") % 4 == 0, "x:OptionsOutstandingNumber").when(F.col("o_orderkey") % 4 == 1, "x:NonvestedNumber").otherwise("x:Revenue").alias("concept"), F.to_date("o_orderdate").alias("period_instant"))
+    filings = rows.groupBy("filing").agg(F.max("period_instant").alias("period_of_report"))
+    return facts.with_closing_counts(rows, filings).select("filing")
+
+
+CLOSING_COUNTS = """
+WITH f AS (SELECT o_custkey AS filing, max(CAST(o_orderdate AS DATE)) AS r FROM orders GROUP BY 1)
+SELECT DISTINCT filing FROM f JOIN orders ON o_custkey = filing WHERE o_orderkey % 4 IN (0, 1) AND abs(date_diff('day', CAST(o_orderdate AS DATE), r)) <= 15"""
