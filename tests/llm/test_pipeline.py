@@ -44,3 +44,15 @@ def test_awkward_documents_pass_through(docs, spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, SF).collect(), stage(spark, docs, SF).schema)
     assert docs.count() > 0
+
+
+def test_empty_tables_pass_through(spark, tmp_path):
+    """Empty documents, labels and benchmark: every stage gives an empty table with the columns it should have."""
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{i}"))
+        assert docs.count() == 0 and docs.columns == (columns + ["copy"] if name == "mixing" else columns)
