@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints/finsheet"
 #: Spark's own switch for dropping an execution's shuffle files at its end.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of intermediate tables end in a hexadecimal name of their own.
+OWN_FOLDER = re.compile(r"-[0-9a-f]{32}(?:/|$)")
 #: At most so many keys are called hot, so they are small enough to send to every task whatever the input.
 MOST_HOT = 4000
 #: A table of so few rows fits into one task whatever its keys.
@@ -56,12 +58,14 @@ def materialise(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def drop(*written: DataFrame) -> None:
-    """Delete the files of tables that ``materialise`` wrote and nothing reads any more."""
+    """Delete the files of tables that ``materialise`` or the pipeline wrote and nothing reads any more; others stay."""
     for df in written:
         spark = df.sparkSession
         for name in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name.rsplit("/", 1)[0])
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            folder = name.rsplit("/", 1)[0]
+            if OWN_FOLDER.search(folder):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: str, count: str, total: int, how: str = "inner") -> DataFrame:
