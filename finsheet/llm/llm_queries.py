@@ -16,12 +16,17 @@ from finsheet.llm.line_dedup import line_report
 from finsheet.llm.mixing import mix_sources
 from finsheet.llm.ngram_join import ngram_classes
 from finsheet.llm.quality_fm import quality_scores
+from finsheet.llm.resampling import resample
 from finsheet.llm.suffix_dedup import suffix_dedup
 from finsheet.llm.token_scan import rank_encoder, read_blocks, scan, write_flat
 from finsheet.llm.toxicity import toxicity_scores
+from finsheet.llm.url_filters import RULE, judged
+from finsheet.llm.vector_codes import vector_codes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END_OF_DOCUMENT = 50256
+#: Host, path and verdict of the rules that pages are judged by.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +76,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, RULE))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontamination, op2_suffix_dedup, op3_line_dedup, op4_nearest_neighbours, op5_mixing, op6_token_counts, op7_quality, op8_toxicity, op9_ngram_join, op10_language)
+    for f in (op1_decontamination, op2_suffix_dedup, op3_line_dedup, op4_nearest_neighbours, op5_mixing, op6_token_counts, op7_quality, op8_toxicity, op9_ngram_join, op10_language, op11_url_filters, op12_vector_codes, op13_resampling)
 }
 
 #: The others are not said by SQL (hash-drawn choices, fitted models, tokenizers, approximate search): the tests hold each
 #: against brute force instead.
-ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": llm_sql.OP2, "op3_line_dedup": llm_sql.OP3, "op9_ngram_join": llm_sql.OP9}
+ORACLE_SQL: dict[str, str] = {"op2_suffix_dedup": llm_sql.OP2, "op3_line_dedup": llm_sql.OP3, "op9_ngram_join": llm_sql.OP9, "op11_url_filters": llm_sql.OP11, "op12_vector_codes": llm_sql.OP12, "op13_resampling": llm_sql.OP13}
