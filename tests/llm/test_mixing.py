@@ -78,6 +78,35 @@ def test_flight_keeps_both_totals():
     assert ((out > 0) & (out < 1)).sum() <= 2
 
 
+@pytest.mark.parametrize("n", [50, 500, 5000])
+def test_documents_and_words_are_both_kept(spark, n):
+    """No document bypasses the flight: the totals of both are kept but for the landing, whatever share one document has."""
+    rng = np.random.default_rng(n)
+    rows = [(i, "w " * int(min(20_000, rng.pareto(1.0) * 30 + 1)), "ab"[i % 3 > 0]) for i in range(n)]
+    out = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block=800).collect()
+    source = {i: s for i, _, s in rows}
+    for s in "ab":
+        own = [r for r in out if source[r.doc_id] == s]
+        f = own[0].target / own[0].source_size
+        assert abs(sum(r.copies for r in own) - f * len(own)) < 1 + 1e-6
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(20, 0.004 * own[0].target)
+        assert {int(f) <= r.copies <= int(f) + 1 for r in own} == {True}
+
+
+def test_repeated_rows_and_ids_keep_the_targets(spark):
+    """Rows of one id, alike or not, are mixed each on its own, also where the corpus is written."""
+    rows = [(7, "w " * 20, "a")] * 90 + [(7, "w " * (5 + i), "a") for i in range(60)] + [(None, "v " * 9, "b")] * 50 + [(i, "u " * 11, "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {}
+    for r in mix_sources(docs).collect():
+        want[(r.doc_id, r.size)] = want.get((r.doc_id, r.size), 0) + r.copies
+    got = {}
+    for r in apply_mix(docs).collect():
+        key = (r.doc_id, len(r.text.split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_empty_table_and_no_words(spark, empty):
     assert mix_sources(empty).count() == 0
     rows = mix_sources(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id long, text string, source string")).collect()
