@@ -5,10 +5,12 @@ queries and are scored where they are read, without a shuffle. Postings are grou
 query first adds up each block's largest possible cosine, scores the most promising blocks exactly, and then only
 those that could still beat its k-th best; the k found are therefore exactly the k nearest.
 
-A word's weight is its TF-IDF times how much its presence says about the label in the sample: FLOOR, and the size of its log
+A word's weight is its TF-IDF times how much its presence says about the label in the sample: a floor, and the size of its log
 odds, faded out where that is less than about SURE standard errors. Every word of a text counts, also those
 that no example has, and norms are taken over all of them. The calibration looks at the votes and the mass of the cosines:
-little of a text in common with any example is little evidence.
+little of a text in common with any example is little evidence. The floor (1 is plain TF-IDF) and the number of neighbours are
+chosen by cross-validation within the sample, from GRID, by the loss of the calibrated score; the calibration is that of the
+votes that the sample's rows get from the other folds. Held-out rows are never looked at.
 
 Defined cases: null and empty texts, and texts that share no word with any example, get the prior's calibrated
 score and no evidence. Ties go to the earlier example. Repeated rows are scored alike; extra columns are ignored.
@@ -25,8 +27,10 @@ from finsheet.llm.kernel import pieces, words
 from finsheet.llm.labelled import labelled_sample, remainder
 
 BLOCK = 256
-#: Standard errors at which a word's log odds count by half, and the weight of every word beside them.
-SURE, FLOOR = 3.0, 0.03
+#: Standard errors at which a word's log odds count by half.
+SURE = 3.0
+#: (floor, neighbours) tried, in order of preference where they lose alike; folds of the cross-validation.
+GRID, FOLDS = ((1.0, 15), (0.1, 15), (0.1, 41), (0.03, 15), (0.03, 41)), 4
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, votes double, nearest array<long>, cosine array<double>"
 
 
@@ -51,14 +55,14 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of the examples by term, cut at blocks of BLOCK examples, with the largest weight of each piece."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, counts: np.ndarray, offsets: np.ndarray, k: int = 15, power: float = 2.0):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, terms: np.ndarray, counts: np.ndarray, offsets: np.ndarray, k: int = 15, floor: float = 0.1, power: float = 2.0):
         n = len(ids)
-        self.ids, self.labels, self.k, self.power = ids, labels.astype(float), k, power
+        self.ids, self.labels, self.k, self.floor, self.power = ids, labels.astype(float), k, floor, power
         example = np.repeat(np.arange(n), np.diff(offsets))
         self.vocabulary, term = np.unique(terms, return_inverse=True)
         df = np.bincount(term, minlength=len(self.vocabulary))
         self.worth = np.log((n + 1) / (df + 0.5)) * self._relevance(term, example, df)
-        self.unknown = np.log((n + 1) / 0.5) * FLOOR
+        self.unknown = np.log((n + 1) / 0.5) * floor
         weight = (1 + np.log(counts)) * self.worth[term]
         norm = np.sqrt(np.bincount(example, weight**2, minlength=n))
         weight = weight / np.maximum(norm, 1e-12)[example]
@@ -74,13 +78,13 @@ class BlockMaxIndex:
         self.blocks = -(-n // BLOCK) if n else 0
 
     def _relevance(self, term: np.ndarray, example: np.ndarray, df: np.ndarray) -> np.ndarray:
-        """Weight of each word from its log odds in the two classes, FLOOR at least."""
+        """Weight of each word from its log odds in the two classes, the floor at least, 1 at most."""
         n, positive = len(self.labels), self.labels.sum()
         a = np.bincount(term, self.labels[example], minlength=len(df))
         odds = np.log((a + 0.5) / (positive + 1)) - np.log((df - a + 0.5) / (n - positive + 1))
         sure = (np.abs(odds) / np.sqrt(1 / (a + 0.5) + 1 / (df - a + 0.5)) / SURE) ** 4
         told = np.abs(odds) * sure / (1 + sure)
-        return FLOOR + told / max(told.max(initial=0.0), 1e-12)
+        return self.floor + (1 - self.floor) * told / max(told.max(initial=0.0), 1e-12)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest positive cosine to a text, best first; ``without`` is left out."""
@@ -155,8 +159,34 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
     return a[:-1], float(a[-1])
 
 
+class Sample:
+    """The bounded sample as arrays; examples of a class are next to each other, so that the words of one class fill few blocks."""
+
+    def __init__(self, rows: list):
+        rows = sorted(rows, key=lambda r: (r.label, r.doc_id))
+        self.ids, self.labels = np.array([r.doc_id for r in rows], dtype=np.int64), np.array([r.label for r in rows], dtype=np.int64)
+        self.terms = [np.frombuffer(r.terms, dtype=np.uint64) for r in rows]
+        self.counts = [np.frombuffer(r.counts, dtype=np.int32) for r in rows]
+        self.fold = np.arange(len(rows)) % FOLDS
+
+    def index(self, use: np.ndarray, floor: float, k: int) -> BlockMaxIndex:
+        at = np.flatnonzero(use)
+        join = lambda parts, kind: np.concatenate([parts[i] for i in at] or [np.zeros(0, dtype=kind)])
+        offsets = np.concatenate([[0], np.cumsum([len(self.terms[i]) for i in at])]).astype(np.int64)
+        return BlockMaxIndex(self.ids[at], self.labels[at], join(self.terms, np.uint64), join(self.counts, np.int32), offsets, k, floor)
+
+    def out_of_fold(self, fold: int, floor: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(examples of the fold, their votes, their masses) from an index of the other folds."""
+        index, own = self.index(self.fold != fold, floor, k), np.flatnonzero(self.fold == fold)
+        votes, masses = np.zeros(len(own)), np.zeros(len(own))
+        for j, i in enumerate(own):
+            found, cosine = index.nearest(self.terms[i], self.counts[i])
+            votes[j], masses[j] = index.vote(found, cosine), cosine.sum() / k
+        return own, votes, masses
+
+
 def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tuple[np.ndarray, float]]:
-    """Index and calibration from the bounded sample; each example's vote is taken without itself."""
+    """Index and calibration from the bounded sample, its floor and neighbours chosen by cross-validation in tasks."""
 
     def vectors(batches):
         for batch in batches:
@@ -167,26 +197,35 @@ def fit(examples: DataFrame, counts: dict[int, int]) -> tuple[BlockMaxIndex, tup
                 names=["doc_id", "label", "terms", "counts"],
             )
 
-    rows = examples.select("doc_id", "label", "text").mapInArrow(lambda it: vectors(pieces(it)), "doc_id long, label int, terms binary, counts binary").collect()
-    # Examples of a class next to each other, so that the words of one class fill few blocks.
-    rows.sort(key=lambda r: (r.label, r.doc_id))
-    terms = [np.frombuffer(r.terms, dtype=np.uint64) for r in rows]
-    index = BlockMaxIndex(
-        np.array([r.doc_id for r in rows], dtype=np.int64), np.array([r.label for r in rows], dtype=np.int64),
-        np.concatenate(terms or [np.zeros(0, dtype=np.uint64)]), np.concatenate([np.frombuffer(r.counts, dtype=np.int32) for r in rows] or [np.zeros(0, dtype=np.int32)]),
-        np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int64),
-    )
-    if not rows:
-        return index, (np.zeros(3), -10.0)
-    votes, masses = np.zeros(len(rows)), np.zeros(len(rows))
-    for i, (r, t) in enumerate(zip(rows, terms, strict=True)):
-        count = np.frombuffer(r.counts, dtype=np.int32)
-        found, cosine = index.nearest(t, count, without=i)
-        votes[i], masses[i] = index.vote(found, cosine), cosine.sum() / index.k
-    y = index.labels
+    spark = examples.sparkSession
+    sample = Sample(examples.select("doc_id", "label", "text").mapInArrow(lambda it: vectors(pieces(it)), "doc_id long, label int, terms binary, counts binary").collect())
+    if not len(sample.ids):
+        return sample.index(np.zeros(0, dtype=bool), *GRID[0][:1], GRID[0][1]), (np.zeros(3), -10.0)
+    shared = spark.sparkContext.broadcast(sample)  # bounded by the sample
+
+    def trial(batches):
+        for batch in batches:
+            for n in batch.column("id").to_pylist():
+                floor, k = GRID[n // FOLDS]
+                own, votes, masses = shared.value.out_of_fold(n % FOLDS, floor, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n // FOLDS)), pa.array(own), pa.array(votes), pa.array(masses)], names=["choice", "example", "vote", "mass"])
+
+    trials = len(GRID) * FOLDS
+    seen = spark.range(0, trials, 1, trials).mapInArrow(trial, "choice long, example long, vote double, mass double").toPandas()  # a row an example and choice
+    y = sample.labels
     taken = {c: max(1, int(np.sum(y == c))) for c in (0, 1)}
     weight = np.where(y == 1, counts.get(1, 0) / taken[1], counts.get(0, 0) / taken[0])
-    return index, logistic(evidence(votes, masses), y, weight / max(1e-9, weight.sum()) * len(y))
+    weight = weight / max(1e-9, weight.sum()) * len(y)
+    best = None
+    for choice, (floor, k) in enumerate(GRID):
+        own = seen[seen["choice"] == choice].sort_values("example")
+        x = evidence(own["vote"].to_numpy(), own["mass"].to_numpy())
+        a, b = logistic(x, y, weight)
+        z = x @ a + b
+        loss = float(np.sum(weight * (np.logaddexp(0, z) - y * z)))
+        if best is None or loss < best[0]:
+            best = loss, floor, k, (a, b)
+    return sample.index(np.ones(len(y), dtype=bool), best[1], best[2]), best[3]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, max_toxic: int = 1000, max_clean: int = 1500, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
