@@ -95,10 +95,10 @@ def gains(corpus: DataFrame, target: DataFrame, buckets: int) -> DataFrame:
 def weights(packed: DataFrame, words: DataFrame, table: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_features, weight) from blocks, the dictionary and the gains of buckets."""
     known = materialise(words.join(F.broadcast(table), "bucket").select("word", "gain", "blocks"), "gains")  # as many rows as buckets
-    held = materialise(packed.select("block", F.posexplode("words").alias("i", "word")), "held")
-    joined = hot_join(held, known, "word", "blocks", held.count())
+    held = packed.select("block", F.posexplode("words").alias("i", "word"))  # read again rather than written: a block has few words beside its texts
+    joined = hot_join(held, known, "word", "blocks", packed.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0])
     of_block = materialise(joined.groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "gain"))), lambda x: x["gain"]).alias("gains")), "block_gains")
-    drop(known, held)
+    drop(known)
 
     def score(batches):
         for batch in batches:
