@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsheet.functions import maps, text
-from finsheet.operators import approx, resolve
+from finsheet.operators import approx, resolve, similarity
 from finsheet.plans.tables import table
 
 _TOKENS = [s for s, _ in maps.LADDER] + [m for _, m in maps.LADDER] + ["XX"]
@@ -163,6 +163,31 @@ def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return approx.similar_names(queries, names, "typed", "p_name", 0.8)
 
 
+def token_set_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers ask for the part of their number by a misspelt name with its words turned round; all part names that are alike as sets of words (80 and more)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"))
+    asked = F.concat_ws(" ", F.element_at(F.split("name", " "), 3), F.regexp_replace(F.element_at(F.split("name", " "), 1), "[aeiou]$|l$", ""), F.element_at(F.split("name", " "), 2))
+    queries = table(spark, sf_dir, "supplier").join(part, F.col("s_suppkey") == F.col("p_partkey")).select(asked.alias("asked"))
+    return similarity.alike_as_sets(queries, part, "asked", "name", 80).select("query", "name", F.bround("ratio", 4).alias("ratio"))
+
+
+TOKEN_SET_MATCH = r"""
+WITH p AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS name FROM part),
+q AS (SELECT DISTINCT string_split(name, ' ')[3] || ' ' || regexp_replace(string_split(name, ' ')[1], '[aeiou]$|l$', '') || ' ' || string_split(name, ' ')[2] AS query FROM supplier JOIN p ON s_suppkey = p_partkey),
+n AS (SELECT DISTINCT name FROM p),
+f AS (SELECT s, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(replace(lower(s), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda w: w <> ''))) AS w FROM (SELECT query AS s FROM q UNION SELECT name FROM n)),
+m AS (SELECT query, name, a.w AS x, b.w AS y FROM q JOIN f a ON a.s = query CROSS JOIN n JOIN f b ON b.s = name),
+d AS (SELECT query, name, len(list_filter(x, lambda w: list_contains(y, w))) AS shared, len(x) AS nx, len(y) AS ny, array_to_string(list_filter(x, lambda w: list_contains(y, w)), ' ') AS s,
+    array_to_string(list_filter(x, lambda w: NOT list_contains(y, w)), ' ') AS l, array_to_string(list_filter(y, lambda w: NOT list_contains(x, w)), ' ') AS r FROM m),
+e AS (SELECT DISTINCT l, r FROM d WHERE l <> '' AND r <> ''),
+k AS (SELECT l, r, list_reduce(list_prepend((1::BIGINT << length(l)) - 1, list_transform(string_split(r, ''), lambda c: -1 - list_sum(list_transform(range(0, length(l)), lambda i: CASE WHEN l[i + 1] = c THEN 1::BIGINT << i ELSE 0 END)))),
+    lambda v, t: ((v + (v & (-1 - t))) | (v - (v & (-1 - t)))) & ((1::BIGINT << length(l)) - 1)) AS v FROM e),
+c AS (SELECT l, r, length(l) - bit_count(v) AS common FROM k),
+g AS (SELECT query, name, shared, nx, ny, length(s) AS s, length(s) + CASE WHEN shared > 0 THEN 1 ELSE 0 END + length(d.l) AS one, length(s) + CASE WHEN shared > 0 THEN 1 ELSE 0 END + length(d.r) AS two, coalesce(common, 0) AS common FROM d LEFT JOIN c ON c.l = d.l AND c.r = d.r),
+z AS (SELECT query, name, CASE WHEN nx = 0 OR ny = 0 THEN 0 WHEN shared > 0 AND (shared = nx OR shared = ny) THEN 100.0 ELSE greatest(200.0 * (s + CASE WHEN shared > 0 THEN 1 ELSE 0 END + common) / (one + two), CASE WHEN shared > 0 THEN 200.0 * s / (s + least(one, two)) ELSE 0 END) END AS ratio FROM g)
+SELECT query, name, round_even(CAST(ratio AS DOUBLE), 4) AS ratio FROM z WHERE ratio >= 80 - 1e-9"""
+
+
 def rating_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings said in texts: documents with a sentence about one put in front."""
     k = F.col("doc_id")
