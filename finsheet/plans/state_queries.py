@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsheet.functions import text
-from finsheet.operators import state
+from finsheet.operators import state, tree
 from finsheet.plans.tables import table
 
 
@@ -65,6 +65,48 @@ JSON_PROPS = """
 SELECT event_type, count(json_extract(props, '$.k')) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS largest FROM events GROUP BY event_type"""
 
 
+def _nested_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(o_custkey, json): a customer's orders with their lines as one JSON text."""
+    line = F.struct(F.col("l_partkey").alias("part"), F.struct(F.col("l_extendedprice").alias("price"), F.col("l_tax").alias("tax")).alias("amount"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    order = F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"), "lines")
+    return orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.collect_list(order).alias("orders")).alias("book"))).alias("json"))
+
+
+def tree_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' orders as JSON texts: every value under the keys price and tax, wherever it stands, by the shape of its path."""
+    found = tree.under_key(tree.nodes(_nested_orders(spark, sf_dir), ["o_custkey"], F.col("json")), F.col("key").isin("price", "tax"))
+    shape = F.regexp_replace("path", r"\[[0-9]+\]", "[]")
+    amount = F.try_variant_get("value", "$", "double")
+    return found.groupBy("o_custkey", shape.alias("shape"), F.col("depth").cast("long").alias("depth")).agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum(amount), 2).alias("total"))
+
+
+TREE_WALK = """
+WITH v AS (SELECT o_custkey, '$.book.orders[].price' AS shape, 4 AS depth, o_totalprice AS x FROM orders
+    UNION ALL SELECT o_custkey, '$.book.orders[].lines[].amount.price', 7, l_extendedprice FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+    UNION ALL SELECT o_custkey, '$.book.orders[].lines[].amount.tax', 7, l_tax FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
+SELECT o_custkey, shape, CAST(depth AS BIGINT) AS depth, count(*) AS n, round_even(sum(x), 2) AS total FROM v GROUP BY ALL"""
+
+
+def state_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that carry a customer's orders as the state of a script: the block that holds a series, wherever it is, and its points."""
+    ms = (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) * 1000).cast("string")
+    points = table(spark, sf_dir, "orders").groupBy("o_custkey", ms.alias("ms")).agg(F.max("o_totalprice").alias("v"))
+    points = points.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(F.struct("ms", "v"))).alias("revenue"))
+    blob = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("x"), F.struct(F.col("revenue").alias("merged_revenue"), F.lit("y").alias("note")).alias("future"))).alias("company")))
+    pages = table(spark, sf_dir, "pages").join(points, F.col("page_id") == F.col("o_custkey"))
+    pages = pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit("<script>window.__STATE__ = "), blob, F.lit(";</script>")).alias("html"))
+    found = tree.state_nodes(pages, ["page_id"], "html")
+    block = tree.holders(found, ["page_id"], "merged_revenue")
+    return tree.series(found, ["page_id"], block, {"merged_revenue": "revenue"}).groupBy("page_id", "series").agg(F.count(F.lit(1)).alias("points"), F.max("ms").alias("newest"), F.max_by("value", "ms").alias("value"))
+
+
+STATE_WALK = """
+WITH o AS (SELECT o_custkey, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) * 1000 AS ms, max(o_totalprice) AS v FROM orders GROUP BY ALL)
+SELECT page_id, 'revenue' AS series, count(*) AS points, max(ms) AS newest, arg_max(v, ms) AS value FROM pages JOIN o ON o_custkey = page_id GROUP BY page_id"""
+
+
 def cache_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries per namespace and day."""
     return table(spark, sf_dir, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("entries"), F.count_distinct("user_id").alias("users"))
