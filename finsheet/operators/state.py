@@ -34,6 +34,30 @@ def job_states(events: DataFrame, job: str, at: str, status: str, tie: str) -> D
     return events.groupBy(job).agg(F.max_by(status, F.struct(at, tie)).alias("status"), F.count(F.lit(1)).alias("n_events"), span.alias("seconds"))
 
 
+def job_lives(events: DataFrame, job: str, at: str, stage: str, cost: str, tie: str, timeout_seconds: int, final: tuple[str, ...], as_of: Column | None = None) -> DataFrame:
+    """(job, started, ended, status, n_events, cost, stages): what became of each job, times in epoch milliseconds.
+
+    A job lives from its first event to a ``final`` stage, or until ``timeout_seconds`` have passed without one, when it is evicted;
+    later events of that id are another job. status is the final stage, ``expired``, or ``open`` where the time is not up at
+    ``as_of`` (the newest event unless given). stages has the milliseconds spent in each stage, until the next event or the end.
+    """
+    order, timeout = Window.partitionBy(job).orderBy("__ms", tie), timeout_seconds * 1000
+    rows = events.select(job, stage, cost, tie, F.unix_millis(F.col(at).cast("timestamp")).alias("__ms")).where("__ms is not null")
+    before = F.lag(F.struct("__ms", F.col(stage).alias("s"))).over(order)
+    first = before.isNull() | (F.col("__ms") - before["__ms"] > timeout) | F.coalesce(before["s"].isin(*final), F.lit(False))
+    rows = rows.withColumn("__first", first.cast("int")).withColumn("__life", F.sum("__first").over(order))
+    following = F.lead("__ms").over(Window.partitionBy(job, "__life").orderBy("__ms", tie))
+    ends = F.coalesce(F.col(stage).isin(*final), F.lit(False))
+    stays = F.coalesce(following - F.col("__ms"), F.when(ends, 0).otherwise(timeout))
+    each = rows.withColumn("__stays", stays.cast("long"))
+    part = each.groupBy(job, "__life", stage).agg(F.sum("__stays").alias("ms"), F.min("__ms").alias("started"), F.max(F.struct("__ms", tie)).alias("last"), F.count(F.lit(1)).alias("n"), F.sum(cost).alias("c"))
+    life = part.groupBy(job, "__life").agg(F.min("started").alias("started"), F.max(F.struct("last", stage)).alias("end"), F.sum("n").alias("n_events"), F.sum("c").alias("cost"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(stage).cast("string"), F.lit("")).alias("stage"), "ms")))).alias("stages"))
+    now = F.unix_millis(as_of.cast("timestamp")) if as_of is not None else F.lit(rows.agg(F.max("__ms")).first()[0])  # one number
+    over, due = F.coalesce(F.col(f"end.{stage}").isin(*final), F.lit(False)), F.col("end.last.__ms") + timeout
+    status = F.when(over, F.col(f"end.{stage}")).when(due < now, "expired").otherwise("open")
+    return life.select(job, "started", F.when(over, F.col("end.last.__ms")).when(due < now, due).alias("ended"), status.alias("status"), "n_events", "cost", "stages")
+
+
 def cost(rows: DataFrame, by: list[str], tokens_in: Column, tokens_out: Column, price_in: float, price_out: float, places: int = 4) -> DataFrame:
     """Tokens and cost (prices per million tokens, rounded half-even)."""
     total = F.sum(tokens_in), F.sum(tokens_out)

@@ -6,34 +6,46 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finsheet.functions import coerce, dates, text
-from finsheet.operators import approx, filings
+from finsheet.operators import approx, filings, patterns
 from finsheet.plans.tables import table
 
-_TIERS = {
-    "title": ["the of the", "le la"], "code": ["ing and"], "valuation": ["model", "vola"], "rollforward": ["in", "on", "er", "en"],
-    "generic": ["sh", "ou"], "header": ["that", "der "], "foreign": ["ß", "ñ"],
-}
+_TIERS = ("title", "code", "valuation", "rollforward", "generic", "header", "foreign")
 
 
-def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages: which may hold the note, and why. A null text is an empty page."""
-    body = F.coalesce("text", F.lit(""))
-    ok, reason = filings.candidate_page(filings.tier_hits(body, _TIERS), body, F.lower(body).rlike(r"\d[\d,.]+"))
-    return table(spark, sf_dir, "documents").select("doc_id", ok.alias("candidate"), reason.alias("reason"))
-
+def _benchmark_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tier, pos, pattern): every third pair of neighbouring words of the benchmark, dealt to the tiers in turn."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    pairs = F.transform(F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: i % 3 == 1), lambda i: F.struct(i.alias("i"), F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))
+    each = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) > 1").select("item_id", F.explode(pairs).alias("p"))
+    kept = each.where("length(p.a) >= 3 and length(p.b) >= 3").groupBy("p.a", "p.b").agg(F.min(F.struct("item_id", "p.i")).alias("at"))
+    tier = F.element_at(F.array(*[F.lit(t) for t in _TIERS]), ((F.col("at.item_id") + F.col("at.i")) % len(_TIERS) + 1).cast("int"))
+    return kept.select(tier.alias("tier"), (F.col("at.item_id") * 100_000 + F.col("at.i")).alias("pos"), F.concat("a", F.lit(r"[ \n]+"), "b").alias("pattern"))
 
-def _tier_sql(name: str) -> str:
-    found = ", ".join(f"CASE WHEN contains({'lower(text)' if p.isascii() else 'text'}, '{p}') THEN '{p}' END" for p in _TIERS[name])
-    return f"list_filter([{found}], lambda x: x IS NOT NULL)"
 
-
-PAGE_CANDIDATES = f"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-d AS (SELECT doc_id, text, {", ".join(f"{_tier_sql(k)} AS h_{k}" for k in _TIERS)}, regexp_matches(lower(text), '\\d[\\d,.]+') AS tabled FROM t),
-r AS (SELECT doc_id, length(text) AS n, concat_ws('; ', 'note-title:' || trim(h_title[1]), 'plan-code:' || trim(h_code[1]), 'valuation:' || trim(h_valuation[1]),
-    CASE WHEN len(h_rollforward) >= 3 THEN 'rollforward×' || len(h_rollforward) WHEN len(h_rollforward) > 0 AND len(h_generic) + len(h_header) > 0 THEN 'rollforward×' || len(h_rollforward) || '+keyword' END,
-    CASE WHEN tabled THEN 'generic+table:' || trim(h_generic[1]) END, CASE WHEN tabled THEN 'header+table:' || trim(h_header[1]) END, 'non-en:' || trim(h_foreign[1])) AS reason FROM d)
-SELECT doc_id, n >= 100 AND reason <> '' AS candidate, CASE WHEN reason = '' THEN '(no match)' ELSE reason END AS reason FROM r"""
+def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages, some hundred patterns of the benchmark as the landed table: which may hold the note, and why. A null text is an empty page."""
+    found = patterns.matcher(_benchmark_patterns(spark, sf_dir))
+    pages = coerce.once(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), hits=patterns.pattern_hits(F.col("text"), found))
+    ok, reason = filings.candidate_page(patterns.tiers_of(F.col("hits"), _TIERS), F.col("text"), F.col("text").rlike(r"\d[\d,.]+"))
+    return coerce.once(pages, verdict=F.struct(ok.alias("candidate"), reason.alias("reason"))).select("doc_id", "verdict.*")
+
+
+PAGE_CANDIDATES = r"""
+WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+e AS (SELECT item_id, unnest(range(1, len(w), 3)) AS i, w FROM b),
+k AS (SELECT w[i] AS a, w[i + 1] AS b, min((item_id, i)) AS m FROM e WHERE length(w[i]) >= 3 AND length(w[i + 1]) >= 3 GROUP BY ALL),
+p AS (SELECT ['title', 'code', 'valuation', 'rollforward', 'generic', 'header', 'foreign'][(m[1] + m[2]) % 7 + 1] AS tier, m[1] * 100000 + m[2] AS pos, a, b FROM k),
+t AS (SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents),
+f AS (SELECT doc_id, tier, pos, regexp_extract(low, a || '[ \n]+' || b) AS hit FROM t JOIN p ON contains(low, a) AND contains(low, b)),
+h AS (SELECT doc_id, tier, list(hit ORDER BY pos) AS h FROM f WHERE hit <> '' GROUP BY ALL),
+d AS (SELECT doc_id, text, regexp_matches(text, '\d[\d,.]+') AS tabled, {columns} FROM t),
+n AS (SELECT *, coalesce(len(rollforward), 0) AS r, coalesce(len(generic), 0) + coalesce(len(header), 0) AS c FROM d),
+r AS (SELECT doc_id, length(text) AS n, concat_ws('; ', 'note-title:' || title[1], 'plan-code:' || code[1], 'valuation:' || valuation[1],
+    CASE WHEN r >= 3 THEN 'rollforward×' || r WHEN r > 0 AND c > 0 THEN 'rollforward×' || r || '+keyword' END,
+    CASE WHEN tabled THEN 'generic+table:' || generic[1] END, CASE WHEN tabled THEN 'header+table:' || header[1] END, 'non-en:' || "foreign"[1]) AS reason FROM n)
+SELECT doc_id, n >= 100 AND reason <> '' AS candidate, CASE WHEN reason = '' THEN '(no match)' ELSE reason END AS reason FROM r""".replace(
+    "{columns}", ", ".join(f"(SELECT h FROM h WHERE h.doc_id = t.doc_id AND tier = '{x}') AS \"{x}\"" for x in _TIERS)
+)
 
 
 def digit_density_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,27 @@ JOB_STATE = """
 SELECT event_id % 500 AS job, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n_events, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM events GROUP BY 1"""
 
 
+def job_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as jobs: how each ended, and how long it was in which stage."""
+    lives = state.job_lives(table(spark, sf_dir, "events"), "user_id", "ts", "event_type", "value", "event_id", 4 * 3600, ("purchase", "error"))
+    stages = F.array_join(F.transform(F.map_entries("stages"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return lives.select("user_id", "started", "ended", "status", "n_events", F.bround("cost", 2).alias("cost"), stages.alias("stages"))
+
+
+JOB_LIVES = """
+WITH e AS (SELECT user_id, event_id, event_type AS s, value, epoch_us(ts) // 1000 AS ms FROM events),
+b AS (SELECT *, lag(ms) OVER w AS before, lag(s) OVER w AS stage FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+f AS (SELECT *, CASE WHEN before IS NULL OR ms - before > 14400000 OR stage IN ('purchase', 'error') THEN 1 ELSE 0 END AS first FROM b),
+l AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS life FROM f),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id, life ORDER BY ms, event_id) AS next FROM l),
+d AS (SELECT user_id, life, s, CAST(sum(CASE WHEN next IS NOT NULL THEN next - ms WHEN s IN ('purchase', 'error') THEN 0 ELSE 14400000 END) AS BIGINT) AS ms FROM n GROUP BY ALL),
+g AS (SELECT user_id, life, string_agg(s || '=' || ms, ' ' ORDER BY s) AS stages FROM d GROUP BY ALL),
+a AS (SELECT user_id, life, min(ms) AS started, max(ms) AS last, arg_max(s, (ms, event_id)) AS s, count(*) AS n_events, sum(value) AS cost FROM n GROUP BY ALL),
+t AS (SELECT max(ms) AS now FROM e)
+SELECT user_id, started, CASE WHEN s IN ('purchase', 'error') THEN last WHEN last + 14400000 < now THEN last + 14400000 END AS ended, CASE WHEN s IN ('purchase', 'error') THEN s WHEN last + 14400000 < now THEN 'expired' ELSE 'open' END AS status,
+       n_events, round_even(cost, 2) AS cost, stages FROM a JOIN g USING (user_id, life), t"""
+
+
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = ("No relevant pages in it", "Missing API key", "Could not find a Danish company for 'X'", "Fetch failed: 404", "something else", "could not find an annual report on this site")
     message = F.element_at(F.array(*[F.lit(m) for m in messages]), (F.col("event_id") % 6 + 1).cast("int"))
