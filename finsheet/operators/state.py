@@ -20,12 +20,16 @@ def fresh(cached_at: Column, as_of: Column, ttl_seconds: int) -> Column:
     return F.lit(True) if ttl_seconds <= 0 else age <= ttl_seconds
 
 
+def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The latest row of each key."""
+    rest = [c for c in rows.columns if c not in key]
+    best = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__u"))
+    return best.select(*key, *[F.col(f"__u.{c}").alias(c) for c in rest])
+
+
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Old and new entries, the latest of each key."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in key]
-    best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__u"))
-    return best.select(*key, *[F.col(f"__u.{c}").alias(c) for c in rest])
+    return latest(old.unionByName(new, allowMissingColumns=True), key, order)
 
 
 def job_states(events: DataFrame, job: str, at: str, status: str, tie: str) -> DataFrame:

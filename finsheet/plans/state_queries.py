@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from finsheet.functions import text
 from finsheet.operators import state, tree
 from finsheet.plans.tables import table
+from finsheet.sources import keyed
 
 
 def cache_ttl_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,18 @@ WITH e AS (SELECT substr(sha256(event_type || chr(0) || user_id), 1, 32) AS key,
 SELECT key, event_id, value FROM e WHERE k = 1"""
 
 
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as three batches of a keyed table (in no order of their ids): the newest event of each user and type."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    kept = keyed.KeyedTable(spark, keyed.scratch(spark, "keyed"), ["user_id", "event_type"], ["event_id"], buckets=16)
+    for i in range(3):
+        kept.upsert(events.where(F.col("event_id") % 3 == (2 * i) % 3))
+    return kept.read()
+
+
+KEYED_UPSERT = "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY ALL"
+
+
 def job_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("job"), F.col("ts").cast("timestamp").alias("at"), "event_type", "event_id")
     return state.job_states(events, "job", "at", "event_type", "event_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from finsheet.operators.state import upsert
+from finsheet.sources.keyed import KeyedTable
 
 
 def latest_states(events: DataFrame, job: str, at: str, status: str, tie: str) -> DataFrame:
@@ -99,14 +99,10 @@ def job_lives_stream(events: DataFrame, job: str, at: str, stage: str, cost: str
     return own.groupBy("job").transformWithStateInPandas(_Lives(timeout_seconds * 1000, final), schema, "append", "eventTime")
 
 
-def upsert_stream(events: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str]) -> StreamingQuery:
-    """Keep a table of the latest row per key, one version per micro-batch under ``path``; stops when the input is read."""
+def upsert_stream(events: DataFrame, path: str, checkpoint: str, key: list[str], order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Keep a keyed table of the latest row per key; a micro-batch touches only the buckets of its keys. Stops when the input is read."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark, old = batch.sparkSession, None
-        if number:
-            old = spark.read.parquet(f"{path}/{number - 1}")
-        merged = upsert(old, batch, key, order) if old is not None else upsert(batch.limit(0), batch, key, order)
-        merged.write.mode("overwrite").parquet(f"{path}/{number}")
+        KeyedTable(batch.sparkSession, path, key, order, buckets).upsert(batch, number)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from finsheet.operators import state
 from finsheet.sources import readers, writers
+from finsheet.sources.keyed import KeyedTable
 from finsheet.streaming import jobs
 
 EVENT = "job string, at timestamp, status string, n int"
@@ -31,8 +32,8 @@ def test_latest_states_of_a_stream(spark, tmp_path):
 def test_upserts_of_a_stream(spark, tmp_path):
     query = jobs.upsert_stream(events(spark, str(tmp_path), BATCHES), f"{tmp_path}/out", f"{tmp_path}/ck", ["job"], ["at", "n"])
     query.awaitTermination(120)
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir())
-    assert {(r.job, r.status) for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()} == {("a", "completed"), ("b", "failed")}
+    assert query.exception() is None
+    assert {(r.job, r.status) for r in KeyedTable(spark, f"{tmp_path}/out", ["job"], ["at", "n"]).read().collect()} == {("a", "completed"), ("b", "failed")}
 
 
 def test_windows_and_once_each(spark, tmp_path):
