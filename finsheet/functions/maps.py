@@ -23,20 +23,12 @@ EXCHANGES = {
     "BSE": "India", "BVMF": "Brazil", "TWSE": "Taiwan", "IDX": "Indonesia", "TASE": "Israel", "KLSE": "Malaysia", "SET": "Thailand",
     "OCSE": "Denmark", "EPA": "France", "ETR": "Germany", "AMS": "Netherlands", "BIT": "Italy", "BME": "Spain", "ASX": "Australia",
 }
-#: Standard award members as (label, plan type, nil cost).
+#: Plan type and nil cost of the standard award members; their names follow from the members (``text.member_label``).
 AWARDS = {
-    "EmployeeStockOptionMember": ("Stock Options", "ESOP", False),
-    "StockOptionMember": ("Stock Options", "ESOP", False),
-    "RestrictedStockUnitsRSUMember": ("Restricted Stock Units", "RSU", True),
-    "RestrictedStockUnitsMember": ("Restricted Stock Units", "RSU", True),
-    "RestrictedStockMember": ("Restricted Stock", "RSP", True),
-    "PerformanceSharesMember": ("Performance Share Units", "PSU", True),
-    "PerformanceShareUnitsMember": ("Performance Share Units", "PSU", True),
-    "EmployeeStockMember": ("Employee Stock Purchase Plan", "ESPP", False),
-    "StockAppreciationRightsSARSMember": ("Stock Appreciation Rights", "SAR", False),
-    "WarrantMember": ("Warrants", "WARRANT", False),
-    "PhantomShareUnitsPSUsMember": ("Phantom Share Units", "OTHER", True),
-}
+    "EmployeeStockOptionMember": ("ESOP", False), "StockOptionMember": ("ESOP", False), "RestrictedStockUnitsRSUMember": ("RSU", True), "RestrictedStockUnitsMember": ("RSU", True),
+    "RestrictedStockMember": ("RSP", True), "PerformanceSharesMember": ("PSU", True), "PerformanceShareUnitsMember": ("PSU", True), "EmployeeStockMember": ("ESPP", False),
+    "StockAppreciationRightsSARSMember": ("SAR", False), "WarrantMember": ("WARRANT", False), "PhantomShareUnitsPSUsMember": ("OTHER", True),
+}
 #: How a currency is written to its ISO code.
 CURRENCIES = {
     "$": "USD", "US$": "USD", "USD": "USD", "DOLLARS": "USD", "€": "EUR", "EUR": "EUR", "EURO": "EUR", "EUROS": "EUR", "£": "GBP", "GBP": "GBP",
@@ -98,7 +90,7 @@ INDUSTRY_WORDS = {
     "computer hardware": "Computers/Peripherals", "conglomerates": "Diversified", "biotechnology": "Drugs (Biotechnology)", "drug manufacturers - general": "Drugs (Pharmaceutical)",
     "education & training services": "Education", "consumer electronics": "Electronics (Consumer & Office)", "steel": "Steel", "tobacco": "Tobacco", "trucking": "Trucking",
 }
-#: All names that an industry can be given.
+#: All names that an industry can be given, a published list.
 INDUSTRIES = [
     "Advertising", "Aerospace/Defense", "Air Transport", "Apparel", "Auto & Truck", "Auto Parts", "Bank (Money Center)", "Banks (Regional)",
     "Beverage (Alcoholic)", "Beverage (Soft)", "Broadcasting", "Brokerage & Investment Banking", "Building Materials", "Business & Consumer Services",

@@ -156,7 +156,7 @@ def merged(long: DataFrame) -> DataFrame:
     """
     stems = {"EmployeeStockOptionMember": "StockOption", "StockOptionMember": "StockOption", "RestrictedStockUnitsRSUMember": "RestrictedStockUnit", "RestrictedStockUnitsMember": "RestrictedStockUnit", "RestrictedStockMember": "RestrictedStock", "PerformanceSharesMember": "PerformanceShare", "PerformanceShareUnitsMember": "PerformanceShare"}
     literal = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    families = {m: "option" if m in ("EmployeeStockOptionMember", "StockOptionMember") else "rsu" for m, (_, t, _n) in AWARDS.items() if m in ("EmployeeStockOptionMember", "StockOptionMember") or t in ("RSU", "PSU", "RSP")}
+    families = {m: "option" if m in ("EmployeeStockOptionMember", "StockOptionMember") else "rsu" for m, (t, _) in AWARDS.items() if m in ("EmployeeStockOptionMember", "StockOptionMember") or t in ("RSU", "PSU", "RSP")}
     bucket, filing = Window.partitionBy("filing", "family", "award", "plan"), Window.partitionBy("filing")
     core = F.max(F.col("field").isin(*CORE)).over(bucket) & (F.col("family") != "shared")
     rows = long.withColumn("core", core)

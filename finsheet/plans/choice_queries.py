@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,15 +118,28 @@ def _statement_text(k):
 
 
 def printed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = _statement_text(F.col("p_partkey"))
-    assets, liabilities, equity = statement.printed_totals(F.col("text"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    return rows.select("p_partkey", assets.alias("assets"), liabilities.alias("liabilities"), equity.alias("equity"), statement.unit_label(F.col("text")).alias("unit"))
+    """Totals of statements printed in eight ways: grouping, languages, the order of columns, and liabilities from both together."""
+    k = F.col("p_partkey")
+    us, dots = F.format_number(F.lit(1_000_000) + k, 0), F.replace(F.format_number(F.lit(2_000_000) + k, 0), F.lit(","), F.lit("."))
+    forms = [
+        F.concat(F.lit("2024 2023\ntotal assets $ "), us, F.lit(" 9,999\ntotal liabilities 12,000 1\ntotal equity 3,000")),
+        F.concat(F.lit("2023 2024\ntotal assets $ 9,999   $ "), us, F.lit("\ntotal liabilities and stockholders' equity 8,888 "), us, F.lit("\ntotal stockholders' equity 4,000 5,000")),
+        F.lit("total de l'actif 37 825\ntotal du passif courant 1 000\ntotal du passif 20 100\ntotal des capitaux propres 17 725"),
+        F.concat(F.lit("jumlah aset lancar 1.000\njumlah aset "), dots, F.lit("\njumlah liabilitas jangka pendek 5.000\njumlah liabilitas 6.000\njumlah ekuitas 7.000")),
+        F.concat(F.lit("total assets (note 7) 12,345\nsee total assets "), us),
+        F.concat(F.lit("fy2022 fy2023\ntotal assets 1,111 2,222\ntotal liabilities, redeemable stock and equity 3,333 4,444\ntotal equity 1,000 1,500")),
+        F.lit("nothing here 1,234"),
+        F.concat(F.lit("total actifs non courants 5 000\ntotal actif 6 000\ntotal capitaux propres et passifs 6 000\ntotal capitaux propres 2 500")),
+    ]
+    text = reduce(lambda held, i: held.when(k % 8 == i, forms[i]), range(1, 8), F.when(k % 8 == 0, forms[0]))
+    return statement.printed_totals(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text").select("p_partkey", "assets", "liabilities", "equity")
 
 
 PRINTED_TOTALS = """
-SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1000000 + p_partkey WHEN 1 THEN 37825 WHEN 2 THEN 1000000 + p_partkey END AS assets, CASE p_partkey % 4 WHEN 0 THEN 600000 + p_partkey WHEN 1 THEN 20100 WHEN 2 THEN 600000 + p_partkey END AS liabilities,
-       CASE p_partkey % 4 WHEN 0 THEN 400000 WHEN 1 THEN 17725 WHEN 2 THEN 400000 END AS equity, CASE p_partkey % 4 WHEN 0 THEN 'in thousands' WHEN 1 THEN 'in millions' WHEN 2 THEN 'in thousands' END AS unit FROM part"""
+WITH p AS (SELECT p_partkey, p_partkey % 8 AS k, 1000000 + p_partkey AS us FROM part)
+SELECT p_partkey, CAST(CASE k WHEN 0 THEN us WHEN 1 THEN us WHEN 2 THEN 37825 WHEN 3 THEN us + 1000000 WHEN 4 THEN us WHEN 5 THEN 2222 WHEN 7 THEN 6000 END AS BIGINT) AS assets,
+       CAST(CASE k WHEN 0 THEN 12000 WHEN 1 THEN us - 5000 WHEN 2 THEN 20100 WHEN 3 THEN 6000 WHEN 5 THEN 2944 WHEN 7 THEN 3500 END AS BIGINT) AS liabilities,
+       CAST(CASE k WHEN 0 THEN 3000 WHEN 1 THEN 5000 WHEN 2 THEN 17725 WHEN 3 THEN 7000 WHEN 5 THEN 1500 WHEN 7 THEN 2500 END AS BIGINT) AS equity FROM p"""
 
 
 def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finsheet.functions import coerce, dates, text
+from finsheet.functions import coerce, dates, signals, text
 from finsheet.operators import approx, filings, patterns
 from finsheet.plans.tables import table
 
@@ -91,23 +91,35 @@ WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS u FR
 SELECT page_id, url, min(pos) AS pos FROM x GROUP BY page_id, url"""
 
 
+_ANCHORS = (
+    "Annual report 2025", "2025年報", "Q3FY26 interim results", "Audited consolidated financial statements 2019", "ESG report 2024", "Slides", "2025財務年度中期報告", "form 10-k 2024 english",
+    "FY2025 Report", "AFS 2023", "MD&A FY'24", "環境、社會及管治報告 2024", "pre_260512-1e", "3Q26 results", "Unaudited half_year summary", "", "Group report FY 19", "Notice of AGM 2025",
+)
+
+
 def link_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses with report-like names, scored as of 2026; each once with its best score."""
-    k = F.col("page_id")
-    name = F.element_at(F.array(*[F.lit(x) for x in ("Annual report 2025", "2025年報", "Q3FY26 interim results", "Audited consolidated financial statements 2019", "ESG report 2024", "Slides", "2025財務年度中期報告", "form 10-k 2024 english")]), (k % 8 + 1).cast("int"))
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", name.alias("anchor"))
-    scored = rows.withColumn("score", filings.document_score(F.col("anchor"), F.lit(".pdf"), 2026))
-    best = filings.best_per_url(scored, [], "url", "score", ["page_id"])
+    name = F.element_at(F.array(*[F.lit(x) for x in _ANCHORS]), (F.col("page_id") % len(_ANCHORS) + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", name.alias("anchor"), F.concat("url", F.when(F.col("page_id") % 5 > 0, ".pdf").otherwise("")).alias("path"))
+    best = filings.best_per_url(filings.document_scores(rows, "anchor", "path", 2026), [], "url", "score", ["page_id"])
     return best.select("url", "page_id", F.col("score").cast("long").alias("score"))
 
 
 def _score_sql() -> str:
-    total = lambda t: " + ".join(f"CASE WHEN regexp_matches(b, '{p}') THEN {w} ELSE 0 END" for p, w in t)
-    return f"""
-WITH p AS (SELECT page_id, url, lower(['Annual report 2025', '2025年報', 'Q3FY26 interim results', 'Audited consolidated financial statements 2019', 'ESG report 2024', 'Slides', '2025財務年度中期報告', 'form 10-k 2024 english'][page_id % 8 + 1] || ' .pdf') AS b FROM pages),
-s AS (SELECT page_id, url, b, {total(filings.FOR)} AS plus, {total(filings.AGAINST)} AS minus, CAST(regexp_extract(b, '((?:19|20)\\d{{2}})', 1) AS VARCHAR) AS y FROM p),
-a AS (SELECT *, plus - minus + CASE WHEN regexp_matches(b, 'english|/en[-/]') THEN 8 ELSE 0 END + CASE WHEN y = '' THEN 0 ELSE greatest(-40, 25 - 7 * (2026 - CAST(NULLIF(y, '') AS INTEGER))) END AS s FROM s),
-g AS (SELECT *, CASE WHEN plus = 0 THEN least(s, 5) ELSE s END AS s1 FROM a), h AS (SELECT *, CASE WHEN minus > plus AND plus < 20 THEN least(s1, 0) ELSE s1 END AS score FROM g)
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    any_of = lambda words: "(" + " OR ".join(f"contains(w, {quoted(x)})" for x in words) + ")"
+    total = lambda t: " + ".join(f"CASE WHEN {any_of(words)} THEN {weight} ELSE 0 END" for weight, words in t)
+    return rf"""
+WITH p AS (SELECT page_id, url, lower([{", ".join(quoted(x) for x in _ANCHORS)}][page_id % {len(_ANCHORS)} + 1] || ' ' || url || CASE WHEN page_id % 5 > 0 THEN '.pdf' ELSE '' END) AS b FROM pages),
+t AS (SELECT page_id, url, b, ' ' || trim(regexp_replace(b, '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g')) || ' ' AS w FROM p),
+s AS (SELECT *, {total(signals.FOR)} + CASE WHEN regexp_matches(w, ' report (fy)?20\d\d') OR regexp_matches(w, '20\d\d report ') THEN 22 ELSE 0 END + CASE WHEN regexp_matches(w, ' fy20\d\d ') THEN 8 ELSE 0 END AS plus,
+    {total(signals.AGAINST[1:-1])} + CASE WHEN {any_of(signals.AGAINST[0][1])} OR regexp_matches(w, ' ([1-4]q\d\d|q[1-4](fy|\d\d)|fy\d\d\d?\d?q[1-4])') THEN 45 ELSE 0 END
+      + CASE WHEN {any_of(signals.AGAINST[-1][1])} OR regexp_matches(w, '[環环]境.{{0,4}}社[會会]') THEN 40 ELSE 0 END + CASE WHEN regexp_matches(w, ' pre \d') THEN 35 ELSE 0 END AS minus,
+    list_max(list_concat(list_filter(list_transform(list_filter(string_split(regexp_replace(w, '[^0-9]+', ' ', 'g'), ' '), lambda n: length(n) = 4), lambda n: CAST(n AS INTEGER)), lambda y: y BETWEEN 1900 AND 2099),
+      list_transform(regexp_extract_all(w, 'fy ?(\d\d\d?\d?)', 1), lambda n: CASE WHEN length(n) = 2 THEN 2000 + CAST(n AS INTEGER) ELSE CAST(n AS INTEGER) END))) AS y FROM t),
+a AS (SELECT *, plus - minus + CASE WHEN contains(w, ' en ') OR contains(w, 'english') THEN 8 ELSE 0 END + CASE WHEN y IS NULL THEN 0 ELSE greatest(-40, 25 - 7 * (2026 - y)) END AS s FROM s),
+g AS (SELECT *, CASE WHEN plus = 0 THEN least(s, 5) ELSE s END AS s1 FROM a),
+h AS (SELECT *, CASE WHEN NOT ({" OR ".join(f"contains(b, {quoted(x)})" for x in signals.DOCUMENTS)}) THEN -100 WHEN minus > plus AND plus < 20 THEN least(s1, 0) ELSE s1 END AS score FROM g)
 SELECT url, arg_max(page_id, (score, page_id)) AS page_id, CAST(max(score) AS BIGINT) AS score FROM h GROUP BY url"""
 
 

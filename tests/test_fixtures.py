@@ -124,11 +124,21 @@ def test_rating_in_context(spark):
 
 
 
-@pytest.mark.parametrize(("name", "score"), [("2025財務年度中期報告", -27), ("2025年度報告", 50), ("2025年報", 50), ("2025綜合財務報表", 52), ("2024年度報告", 43), ("2025季度業績公告", -7 - 45)])
+@pytest.mark.parametrize(
+    ("name", "score"),
+    [
+        ("2025年度報告", 50), ("2025年報", 50), ("2025綜合財務報表", 52), ("2024年度報告", 43), ("2025財務年度中期報告", -27), ("2025季度業績公告", -52), ("Siemens Report FY2025", 22 + 8 + 18), ("AFS 2019", 30 - 24), ("Q3FY26 results", 25 - 45),
+        ("presentation FY2025 English", -1), ("English 2026", 5), ("10-K 2025", 25 + 18), ("/pre_260512-1e", -35), ("Unaudited 2025", 35 + 18), ("FY'24 annual report", 30 + 11), ("download 1999 quarterly", -40 - 45),
+    ],
+)
 def test_document_scores(spark, name, score):
-    assert one(spark, filings.document_score(F.col("x"), F.lit(".pdf"), 2026), x=name) <= max(score, 0) + 52
-    if "中期" not in name and "季度" not in name:
-        assert one(spark, filings.document_score(F.col("x"), F.lit(".pdf"), 2026), x=name) == score
+    links = spark.createDataFrame([(name, "/a/x.pdf")], "anchor string, path string")
+    assert filings.document_scores(links, "anchor", "path", 2026).first().score == score
+
+
+def test_what_is_no_document_is_out(spark):
+    links = spark.createDataFrame([("Annual report 2025", "/annual-report.html"), ("Annual report 2025", "/doc/7"), (None, None)], "anchor string, path string")
+    assert [r.score for r in filings.document_scores(links, "anchor", "path", 2026).collect()] == [-100, 30 + 22 + 18, -100]
 
 
 def test_carry_sections(spark):
