@@ -327,8 +327,11 @@ def margin_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     comps = F.array(F.concat(F.lit("Alpha ~$"), F.format_string("%d.5", k % 7 + 1), F.lit("B revenue ~"), (k % 30).cast("string"), F.lit("% margin")), F.lit("Beta with no figures"))
     history = F.array(F.struct(F.lit("FY2023").alias("period"), F.lit(900.0).alias("revenue")), F.struct(F.lit("TTM 2024").alias("period"), ((k % 9) * 1000.0).alias("revenue")))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("FAST_GROWER", "ASSET_PLAY", "STALWART", "OTHER")]), (k % 4 + 1).cast("int"))
-    error = margin.judgement_error(F.col("target"), kind, F.when(k % 11 == 0, "none").otherwise("high"), F.when(k % 2 == 0, 0.01).otherwise(0.25), F.lit(0.1), F.when(k % 3 == 0, None).otherwise(0.3), F.lit(0.2), eps, k % 6 == 1, comps, margin.ttm_revenue(history), F.when(k % 13 == 0, " ").otherwise("because"))
-    return rows.select("c_custkey", F.coalesce(error, F.lit("accepted")).alias("error"))
+    out = margin.judged(
+        rows, target=F.col("target"), classification=kind, confidence=F.when(k % 11 == 0, "none").otherwise("high"), us_anchor=F.when(k % 2 == 0, 0.01).otherwise(0.25), global_anchor=F.lit(0.1),
+        mature_anchor=F.when(k % 3 == 0, None).otherwise(0.3), past_average=F.lit(0.2), eps=eps, driver=k % 6 == 1, comps=comps, subject_revenue=margin.ttm_revenue(history), rationale=F.when(k % 13 == 0, " ").otherwise("because"),
+    )
+    return out.select("c_custkey", F.coalesce("error", F.lit("accepted")).alias("error"))
 
 
 MARGIN_RULES = """

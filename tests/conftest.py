@@ -19,7 +19,9 @@ from pyspark.sql import SparkSession  # noqa: E402
 def spark(tmp_path_factory):
     conf = {
         "spark.master": "local[4]", "spark.driver.memory": "4g", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC",
-        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")), "spark.local.dir": str(tmp_path_factory.mktemp("local")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
+        "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
+        "spark.sql.codegen.fallback": "false", "spark.sql.codegen.factoryMode": "CODEGEN_ONLY",  # generated code that does not compile fails a test
+        "spark.local.dir": str(tmp_path_factory.mktemp("local")), "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
     }
     session = SparkSession.builder.config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

@@ -83,8 +83,9 @@ BASE = {"target": 0.20, "kind": "FAST_GROWER", "comps": ["Alnylam ~$2.4B revenue
 def test_margin_rules(spark, change, error):
     j = BASE | change
     lit = F.lit
-    column = margin.judgement_error(lit(j["target"]), lit(j["kind"]), lit("medium"), lit(0.0108), lit(-0.0043), lit(0.295), lit(-0.49), F.array(*[lit(x) for x in (-1.35, -0.60, -0.05, 0.55)]), lit(True), F.array(*[lit(c) for c in j["comps"]]), lit(1058.2), lit("because"))
-    assert one(spark, column) == error
+    given = {"target": lit(j["target"]), "classification": lit(j["kind"]), "confidence": lit("medium"), "us_anchor": lit(0.0108), "global_anchor": lit(-0.0043), "mature_anchor": lit(0.295), "past_average": lit(-0.49)}
+    given |= {"eps": F.array(*[lit(x) for x in (-1.35, -0.60, -0.05, 0.55)]), "driver": lit(True), "comps": F.array(*[lit(c) for c in j["comps"]]), "subject_revenue": lit(1058.2), "rationale": lit("because")}
+    assert margin.judged(spark.range(1), **given).first().error == error
 
 
 @pytest.mark.parametrize(("raw", "number"), [("12,470", 12470), ("1 013,5", 1013.5), ("845 + 5 829", 6674), ("532 + -34292", -33760), ("—", 0), ("n.a.", 0), (None, 0), ("$ 12", 12)])
