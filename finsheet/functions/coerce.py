@@ -68,10 +68,40 @@ def plain_number(s: Column) -> Column:
     return F.when(t.rlike(US), F.regexp_replace(t, ",", "")).when(t.rlike(FR), F.regexp_replace(F.regexp_replace(t, "[  ]", ""), ",", ".")).otherwise(F.when(t.rlike(r"^-?\d+,\d{1,2}$"), F.regexp_replace(t, ",", ".")).otherwise(t))
 
 
+def signs_folded(x) -> Column:
+    """Runs of signs become one: a plus beside another sign goes, two minuses are a plus."""
+    s = _c(x)
+    for _ in range(2):
+        for run, sign in ((r"\+\s*(?=[+-])", ""), (r"-\s*-", "+"), (r"-\s*\+", "-")):
+            s = F.regexp_replace(s, run, sign)
+    return s
+
+
+#: An amount in a text of JSON, and two or more of them with signs between, from what opens a value to what ends it.
+_AMOUNT = r"[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?"
+_SUM = rf"(?<=[:\[,]\s{{0,8}})([-+]?\s*{_AMOUNT}(?:\s*[-+][-+\s]*{_AMOUNT})+)(?=\s*(?:[,\]}}]|$))"
+
+
+def json_sums(x) -> Column:
+    """Text of JSON in which sums such as ``845 + 5,829 - 3`` are what they come to; what stands inside strings stays."""
+    parts = F.regexp_extract_all(_c(x), F.lit(r'("(?:[^"\\]++|\\.)*+"|[^"]+|")'), F.lit(1))
+
+    def total(chain: Column) -> Column:
+        terms = F.regexp_extract_all(signs_folded(chain), F.lit(rf"([-+]?\s*{_AMOUNT})"), F.lit(1))
+        value = F.aggregate(terms, F.lit(0.0), lambda held, t: held + F.regexp_replace(t, r"[\s,+]", "").try_cast("double"))
+        return F.when((value == F.floor(value)) & (F.abs(value) < 9e15), value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+    def outside(part: Column) -> Column:
+        sums, rest = F.regexp_extract_all(part, F.lit(_SUM), F.lit(1)), F.split(part, _SUM)
+        return F.when(F.size(sums) == 0, part).otherwise(F.array_join(F.transform(F.arrays_zip(rest.alias("r"), F.concat(F.transform(sums, total), F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["r"], z["s"])), ""))
+
+    return F.when(_c(x).isNotNull(), F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(outside(p))), ""))
+
+
 def tally_number(x) -> Column:
     """Printed amount to double for a tally: currency signs dropped, ``a + b - c`` chains added up, missing is 0."""
     s = F.trim(F.regexp_replace(_c(x).cast("string"), "[$€]", ""))
-    terms = F.regexp_extract_all(F.regexp_replace(s, r"\+\s*-", "-"), F.lit(r"([+-]?\s*\d[\d,.  ]*)"), F.lit(1))
+    terms = F.regexp_extract_all(signs_folded(s), F.lit(r"([+-]?\s*\d[\d,.  ]*)"), F.lit(1))
     numbers = F.transform(terms, lambda t: plain_number(F.regexp_replace(F.regexp_replace(F.trim(t), r"^([+-])\s*", "$1"), r"^\+", "")).try_cast("double"))
     total = F.aggregate(numbers, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
     return F.when(s.isNull() | s.isin("", "-", "—"), 0.0).otherwise(F.coalesce(plain_number(s).try_cast("double"), F.when(s.rlike(r"^[\d\s+\-.,  ]+$"), total), F.lit(0.0)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finsheet.operators import facts, plans
+from finsheet.operators import facts, merge, plans
 from finsheet.plans.tables import table
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,6 +177,33 @@ SELECT o_custkey, arg_min(o_totalprice, o_orderkey) FILTER (o_orderstatus = 'F')
        arg_min(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY o_custkey"""
 
 
+def deep_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as extraction batches of a customer, their lines as plans: plans of one name and type are one, with inputs field by field and tranches by month."""
+    n = F.col("l_linenumber")
+    plan = F.struct(
+        F.when(n % 2 == 0, F.lower("l_returnflag")).otherwise(F.concat(F.lit(" "), "l_returnflag")).alias("plan_name"), F.col("l_linestatus").alias("plan_type"), F.when(n % 3 == 0, F.col("l_quantity")).alias("closing"),
+        F.struct(F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("rate"), F.when(n > 3, F.struct(F.when(F.col("l_tax") > 0.04, F.col("l_tax")).alias("tax"))).alias("more")).alias("inputs"),
+        F.create_map(F.lit("line"), n.cast("long"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")), F.col("l_partkey").cast("long")).alias("notes"),
+        F.array(F.struct(F.when(n % 4 > 0, F.date_format("l_shipdate", "yyyy-MM")).alias("month"), F.col("l_quantity").cast("long").alias("shares"))).alias("tranches"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(merge.in_order(F.collect_list(F.struct(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("o"), plan.alias("r")))).alias("plans"))
+    batches = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("standard")).join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    keyed = {"plans": merge.Keyed("plan_name", "plan_type", merge=True), "plans[].tranches": merge.Keyed("month", merge=False)}
+    whole = merge.merge_records(batches, ["o_custkey"], ["o_orderkey"], keyed)
+    each = whole.select("o_custkey", "standard", F.posexplode("plans").alias("pos", "p"))
+    shares = F.aggregate("p.tranches", F.lit(0).cast("long"), lambda a, t: a + t["shares"])
+    return each.select("o_custkey", "standard", F.col("pos").cast("long").alias("pos"), "p.plan_name", "p.plan_type", "p.closing", "p.inputs.rate", "p.inputs.more.tax", F.size("p.tranches").cast("long").alias("tranches"), shares.alias("shares"), F.col("p.notes")["line"].alias("line"), F.col("p.notes")["s1"].alias("s1"))
+
+
+DEEP_MERGE = """
+WITH l AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, l_linenumber AS n, l_returnflag AS f, lower(l_returnflag) AS k, l_linestatus AS t, l_quantity AS q, l_discount AS d, l_tax AS x, l_partkey, l_suppkey, CASE WHEN l_linenumber % 4 > 0 THEN strftime(l_shipdate, '%Y-%m') END AS m FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, k, t, m ORDER BY i) AS seen FROM l),
+a AS (SELECT o_custkey, k, t, min(i) AS i, arg_min(CASE WHEN n % 2 = 0 THEN k ELSE ' ' || f END, i) AS plan_name, arg_min(q, i) FILTER (n % 3 = 0) AS closing, arg_min(d, i) FILTER (d > 0.05) AS rate, arg_min(x, i) FILTER (n > 3 AND x > 0.04) AS tax,
+      count(*) FILTER (m IS NULL OR seen = 1) AS tranches, CAST(sum(q) FILTER (m IS NULL OR seen = 1) AS BIGINT) AS shares, arg_min(n, i) AS line, arg_min(l_partkey, i) FILTER (l_suppkey % 3 = 1) AS s1 FROM s GROUP BY ALL),
+h AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F') AS standard FROM orders GROUP BY o_custkey)
+SELECT o_custkey, standard, row_number() OVER (PARTITION BY o_custkey ORDER BY i) - 1 AS pos, plan_name, t AS plan_type, closing, rate, tax, tranches, shares, line, s1 FROM a JOIN h USING (o_custkey)"""
+
+
 def tranche_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers as batches: tranches of the first batch, and later ones of a ship date not seen before."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 5, F.date_format("l_shipdate", "yyyy-MM")).alias("grant_month"), F.col("l_quantity").cast("long").alias("shares"))

@@ -263,6 +263,19 @@ SELECT p_partkey, CASE WHEN k = 0 THEN v END AS real, CASE WHEN k = 0 AND NOT g
        CASE k WHEN 0 THEN v WHEN 1 THEN -v WHEN 2 THEN 0 WHEN 5 THEN v END AS cell, CASE k WHEN 0 THEN v WHEN 1 THEN -v END AS token, CASE k WHEN 0 THEN v WHEN 1 THEN v WHEN 5 THEN v END AS word, CASE k WHEN 0 THEN v WHEN 1 THEN -v END AS page FROM p"""
 
 
+def json_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' lines as answers with sums in place of numbers: the repaired text parsed, and what its values come to."""
+    line = F.concat(F.lit('{"q": '), F.concat_ws(" + ", F.col("l_quantity").cast("int").cast("string"), F.concat(F.lit("-"), F.col("l_linenumber").cast("string")), F.format_number("l_extendedprice", 2)), F.lit(', "note": "1 + 2: 3", "t": '), F.concat_ws(" - ", F.col("l_partkey").cast("string"), F.concat(F.lit("-"), F.col("l_suppkey").cast("string"))), F.lit("}"))
+    text = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.concat(F.lit('{"lines": ['), F.array_join(F.array_sort(F.collect_list(line)), ", "), F.lit("]}")).alias("raw"))
+    fixed = coerce.once(text, parsed=F.from_json(coerce.json_sums("raw"), "lines array<struct<q double, note string, t long>>"))
+    each = fixed.select("l_orderkey", F.explode_outer("parsed.lines").alias("x"))
+    return each.groupBy("l_orderkey").agg(F.count("x.q").alias("n"), F.bround(F.sum("x.q"), 2).alias("q"), F.sum("x.t").alias("t"), F.count_if(F.col("x.note") == "1 + 2: 3").alias("notes"))
+
+
+JSON_SUMS = """
+SELECT l_orderkey, count(*) AS n, round_even(sum(CAST(l_quantity AS INTEGER) - l_linenumber + round(l_extendedprice, 2)), 2) AS q, CAST(sum(l_partkey + l_suppkey) AS BIGINT) AS t, count(*) AS notes FROM lineitem GROUP BY l_orderkey"""
+
+
 def realign_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels taken from conversations' turns, found again in the turns' lines by a cursor that only moves forward."""
     turns = table(spark, sf_dir, "conversations")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finsheet.functions.coerce import json_sums
+
 PLAN = "plan_name string, plan_type string, is_nil_cost boolean, units_label string, opening_balance double, closing_balance double, granted double, exercised double, lapsed double, weighted_avg_exercise_price double, weighted_avg_grant_date_fair_value double, weighted_avg_remaining_contractual_life_years double, vesting_period_years double, tranches array<struct<grant_date: string, outstanding: double, exercise_price: double>>"
 EXTRACTION = f"company string, period string, currency string, plans array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in PLAN.split(', tranches')[0].split(','))}, tranches: array<struct<grant_date: string, outstanding: double, exercise_price: double>>>>"
 
@@ -75,11 +77,12 @@ def archived_reports(files: DataFrame, path: str) -> DataFrame:
 
 
 def loose_json(text: Column) -> Column:
-    """JSON object out of an answer: as it is, inside a code fence, the outermost braces, without trailing commas; else NULL."""
+    """JSON object out of an answer: as it is, inside a code fence, the outermost braces, with plain quotes, without trailing commas, with whole numbers for sums; else NULL."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
     braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    tidy = F.regexp_replace(braces, r",(\s*[}\]])", "$1")
-    tries = [F.when(t != "", F.try_parse_json(t)) for t in (text, fenced, braces, tidy, repaired_numbers(tidy))]
+    quoted = F.translate(braces, "\u201c\u201d\u201e\u201f", '""""')
+    tidy = F.regexp_replace(quoted, r",(\s*[}\]])", "$1")
+    tries = [F.when(t != "", F.try_parse_json(t)) for t in (text, fenced, braces, quoted, tidy, repaired_numbers(tidy), json_sums(repaired_numbers(tidy)))]
     return F.coalesce(*tries).cast("string")
 
 
