@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finsheet.functions import coerce, dates, signals, text
-from finsheet.operators import approx, filings, patterns
+from finsheet.operators import filings, patterns, realign
 from finsheet.plans.tables import table
 
 _TIERS = ("title", "code", "valuation", "rollforward", "generic", "header", "foreign")
@@ -277,8 +277,24 @@ SELECT l_orderkey, count(*) AS n, round_even(sum(CAST(l_quantity AS INTEGER) - l
 
 
 def realign_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels taken from conversations' turns, found again in the turns' lines by a cursor that only moves forward."""
+    """Each turn's first three words as a label, found again in the conversation's lines by a cursor that only moves forward."""
     turns = table(spark, sf_dir, "conversations")
-    lines = turns.select("conv_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text"), "turn").select("conv_id", (F.col("turn") * 1000 + F.col("i")).alias("line_no"), "text")
-    labels = turns.select("conv_id", F.col("turn").alias("pos"), F.substring("text", 1, 12).alias("label"))
-    return approx.realign(labels, lines, "conv_id")
+    lines = turns.select("conv_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "text"), "turn").select("conv_id", (F.col("turn") * 100_000 + F.col("i")).alias("line_no"), "text")
+    labels = turns.select("conv_id", F.col("turn").alias("pos"), F.array_join(F.slice(F.split(F.trim(realign.as_words(F.coalesce("text", F.lit("")))), " "), 1, 3), "-").alias("label"))
+    found = realign.pair(labels, lines, "conv_id")
+    return found.select("conv_id", "pos", "label", "line_no", F.get("numbers", F.lit(0)).alias("value"))
+
+
+REALIGN_LABELS = r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations),
+x AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM t),
+n AS (SELECT conv_id, list(turn * 100000 + i ORDER BY turn, i) AS nos, list(line ORDER BY turn, i) AS lines, list(' ' || trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' ORDER BY turn, i) AS forms FROM x GROUP BY conv_id),
+l AS (SELECT conv_id, turn AS pos, array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), 1, 3), '-') AS label FROM t),
+k AS (SELECT conv_id, pos, label, ' ' || trim(regexp_replace(lower(label), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' AS w, row_number() OVER (PARTITION BY conv_id ORDER BY pos, label) AS r FROM l),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS found FROM n
+    UNION ALL
+    SELECT conv_id, r, CASE WHEN hit > 0 THEN cursor + hit ELSE cursor END, CASE WHEN hit > 0 THEN cursor + hit END
+    FROM (SELECT w.conv_id, k.r, w.cursor, CASE WHEN length(k.w) >= 6 THEN coalesce(list_position(list_transform(list_slice(n.forms, w.cursor + 1, len(n.forms)), lambda f: contains(f, k.w)), true), 0) ELSE 0 END AS hit FROM w JOIN k ON k.conv_id = w.conv_id AND k.r = w.r + 1 JOIN n ON n.conv_id = w.conv_id)),
+f AS (SELECT k.conv_id, k.pos, k.label, nos[w.found] AS line_no, lower(lines[w.found]) AS line, replace(trim(k.w), ' ', '[^\p{L}\p{N}]+') AS p FROM k JOIN w ON w.conv_id = k.conv_id AND w.r = k.r JOIN n ON n.conv_id = k.conv_id),
+v AS (SELECT *, regexp_extract(regexp_extract(line, '(?:^|[^\p{L}\p{N}])' || p || '($|[^\p{L}\p{N}][^\p{L}]*)', 1), '(\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?)', 1) AS num FROM f)
+SELECT conv_id, pos, label, line_no, CASE WHEN num <> '' THEN CASE WHEN starts_with(num, '(') AND ends_with(num, ')') THEN -1.0 ELSE 1.0 END * TRY_CAST(regexp_replace(replace(num, ',', ''), '^\((.*)\)$', '\1') AS DOUBLE) END AS value FROM v"""

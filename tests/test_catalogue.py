@@ -54,15 +54,5 @@ def test_stated_ratings_are_read(spark, sf):
         assert (r.outlook == "Stable") == (r.doc_id % 2 == 0)
 
 
-def test_labels_are_found_again(spark, sf):
-    rows = QUERIES["realign_labels"](spark, sf).collect()
-    by_conversation = {}
-    for r in rows:
-        by_conversation.setdefault(r.conv_id, []).append(r)
-    for own in by_conversation.values():
-        at = [r.line_no for r in sorted(own, key=lambda r: r.pos) if r.line_no is not None]
-        assert at == sorted(set(at))
-
-
 def test_years_in_markup(spark, sf):
     assert all((r.n == 0) == (r.latest is None) for r in QUERIES["years_printed"](spark, sf).collect())
