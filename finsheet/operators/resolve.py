@@ -81,22 +81,54 @@ def prefix_family(queries: DataFrame, registry: DataFrame, query: str, name: str
     return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def wild(x: Column) -> Column:
+    """``_`` for every sign that is no letter, digit or blank, so that an apostrophe and a hyphen are one."""
+    return F.regexp_replace(x, r"[^0-9A-Za-z%\s]", "_")
+
+
 def variants(query: Column) -> Column:
-    """Spellings to try in order: as typed, without accents, without a legal ending; repeats go."""
+    """Spellings to try in order: as typed, without accents, with ``_`` for any punctuation, without a legal ending, and that with ``_``; repeats go."""
     plain = fold(query)
     bare = F.trim(F.regexp_replace(plain, r"\s+(s\.?a\.?s?|s\.?e\.?|a\.?g\.?|n\.?v\.?|b\.?v\.?|s\.?p\.?a\.?|plc|asa|ab|a/s|oyj|oy|gmbh|kgaa|sca)\.?\s*$", ""))
-    spellings = F.array(query, plain, F.when(F.length(bare) >= 3, bare))
+    short = F.when((F.length(bare) >= 3) & (bare != plain), bare)
+    spellings = F.array(query, plain, wild(plain), short, wild(short))
     return F.array_distinct(F.filter(spellings, lambda v: v.isNotNull()))
 
 
 def first_variant(queries: DataFrame, registry: DataFrame, query: str, name: str, query_id: str, tie: list[str]) -> DataFrame:
-    """Each query by its first spelling that equals a registry name, case and accents aside."""
+    """Each query by its first spelling that equals a registry name, case and accents aside; ``_`` stands for any one sign of punctuation."""
     tried = queries.select(query_id, F.posexplode(variants(F.col(query))).alias("tried", "spelling"))
-    met = tried.join(registry, fold("spelling") == fold(name))
+    keys = F.array_distinct(F.array(fold(name), wild(fold(name))))
+    met = tried.withColumn("__key", fold("spelling")).join(registry.withColumn("__key", F.explode(keys)), "__key").drop("__key")
     order = Window.partitionBy(query_id).orderBy("tried", *tie)
     return met.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
+def names_in_texts(texts: DataFrame, names: DataFrame, key: str, text: str, name: str, stop: tuple[str, ...] = (), shortest: int = 4, distinctive: int = 5) -> DataFrame:
+    """(key, name, via): names that texts hold, as one word made of all theirs (``slug``) or by each of their telling words (``words``).
+
+    A name's words have ``shortest`` letters or digits and are not on the stop list; those of ``distinctive`` are telling, or all
+    where none is so long. Only words of names are kept of the texts, and a text meets a name by its rarest telling word or its
+    slug, so a word that every name has is no key. Names without words match nothing; equal rows are found once.
+    """
+    words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(F.col(c)), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    own = F.filter(words(name), lambda w: (F.length(w) >= shortest) & ~w.isin(*stop, ""))
+    wanted = names.where(F.col(name).isNotNull()).select(F.col(name).alias("name"), own.alias("w")).distinct().where("size(w) > 0")
+    telling = F.filter("w", lambda w: F.length(w) >= distinctive)
+    wanted = wanted.select("name", F.array_distinct(F.when(F.size(telling) > 0, telling).otherwise(F.col("w"))).alias("need"), F.array_join("w", "").alias("slug"))
+    each = wanted.select("name", F.explode("need").alias("word"))
+    vocabulary = each.select("word").unionAll(wanted.select("slug")).distinct()
+    held = texts.select(F.col(key).alias("key"), F.explode(F.array_distinct(words(text))).alias("word")).join(vocabulary, "word", "left_semi").distinct()
+    seen = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(seen, "word").groupBy("name").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    near = held.join(rarest, "word").select("key", "name")
+    counted = near.join(each, "name").join(held, ["key", "word"]).groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"))
+    whole = counted.join(wanted.select("name", F.size("need").alias("need")), "name").where("n = need").select("key", "name", F.lit(1).alias("rank"))
+    glued = held.join(wanted.select("name", F.col("slug").alias("word")), "word").select("key", "name", F.lit(0).alias("rank"))
+    best = whole.unionByName(glued).groupBy("key", "name").agg(F.min("rank").alias("rank"))
+    return best.select(F.col("key").alias(key), F.col("name").alias(name), F.when(F.col("rank") == 0, "slug").otherwise("words").alias("via"))
+
+
 def token_subset_pairs(left: DataFrame, right: DataFrame, left_name: str, right_name: str, shortest: int = 3) -> DataFrame:
     """Pairs of names where one token set contains the other.
 

@@ -227,6 +227,36 @@ def independent_total(candidates: DataFrame, references: DataFrame, by: list[str
     return best.select(*by, "b.candidate", "b.reference")
 
 
+def confirmed_total(candidates: DataFrame, references: DataFrame, by: list[str]) -> DataFrame:
+    """(by, candidate, reference, label): the first candidate that a reference confirms which rests on none of its facts.
+
+    ``candidates`` has (by, pos, candidate, facts), ``references`` (by, pos, reference, n_lines, label, facts); facts is the set of
+    printed values that a number was made of, so that nothing confirms itself. They agree within the tolerance of a tally of as
+    many lines. Candidates and references are tried in the order of pos.
+    """
+    a = candidates.select(*by, F.col("pos").alias("__c"), "candidate", F.col("facts").alias("__cf"))
+    b = references.select(*by, F.col("pos").alias("__r"), "reference", "n_lines", "label", F.col("facts").alias("__rf"))
+    near = F.abs(F.col("candidate") - F.col("reference")) <= tolerance(F.col("n_lines").cast("double"), F.col("candidate"))
+    met = a.join(b, by).where(near & ~F.arrays_overlap("__cf", "__rf"))
+    best = met.groupBy(*by).agg(F.min_by(F.struct("candidate", "reference", "label"), F.struct("__c", "__r")).alias("b"))
+    return best.select(*by, "b.*")
+
+
+def liabilities_only(totals: DataFrame, equity: DataFrame, references: DataFrame, by: list[str]) -> DataFrame:
+    """``totals`` (by, assets, liabilities) with the liabilities of a grand total taken apart: adds liabilities, warning.
+
+    Where printed liabilities equal assets they hold equity too. They become assets less the first equity value (``equity``: by,
+    pos, equity, facts) between none and all of the assets that a reference confirms; without one they stay, with a warning.
+    """
+    grand = totals.where((F.col("assets") != 0) & (F.col("assets") == F.col("liabilities"))).select(*by, "assets")
+    tried = grand.join(equity, by).where((F.col("equity") > 0) & (F.col("equity") < F.col("assets")))
+    tried = tried.select(*by, "pos", F.round(F.col("assets") - F.col("equity"), 3).alias("candidate"), F.array_union("facts", F.array(F.lit("assets"))).alias("facts"))
+    sound = confirmed_total(tried, references, by)
+    marked = totals.join(grand.select(*by, F.lit(True).alias("__grand")), by, "left").join(sound, by, "left")
+    warning = F.when(F.col("candidate").isNotNull(), F.concat(F.lit("grand total taken apart, confirmed by "), "label")).when(F.col("__grand"), "grand total, no equity confirmed")
+    return marked.withColumn("liabilities", F.coalesce("candidate", "liabilities")).withColumn("warning", warning).drop("__grand", "candidate", "reference", "label")
+
+
 def pairwise_sums(left: Column, right: Column) -> Column:
     """Sums of two number arrays place by place, as far as both go."""
     return F.filter(F.zip_with(left, right, lambda a, b: a + b), lambda v: v.isNotNull())

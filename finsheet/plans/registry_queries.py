@@ -97,15 +97,41 @@ SELECT query, p_name, filed FROM r WHERE k = 1"""
 
 
 def name_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier names with accents or a legal ending still find their row by the first spelling that does."""
+    """Supplier names with accents, other punctuation or a legal ending still find their row by the first spelling that does."""
     registry = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    typed = F.when(F.col("s_suppkey") % 3 == 0, F.replace("s_name", F.lit("Supplier"), F.lit("Suppliér"))).when(F.col("s_suppkey") % 3 == 1, F.concat("s_name", F.lit(" SpA"))).otherwise(F.col("s_name"))
+    k = F.col("s_suppkey") % 5
+    typed = F.when(k == 0, F.replace("s_name", F.lit("Supplier"), F.lit("Suppliér"))).when(k == 1, F.concat("s_name", F.lit(" SpA"))).when(k == 2, F.replace("s_name", F.lit("#"), F.lit("'"))).when(k == 3, F.concat(F.replace("s_name", F.lit("#"), F.lit("-")), F.lit(" PLC"))).otherwise(F.col("s_name"))
     queries = registry.select(F.col("s_suppkey").alias("q"), typed.alias("typed"))
     return resolve.first_variant(queries, registry, "typed", "s_name", "q", ["s_suppkey"]).select("q", F.col("tried"), "spelling", "s_suppkey")
 
 
 NAME_VARIANTS = """
-SELECT s_suppkey AS q, CAST(CASE WHEN s_suppkey % 3 = 1 THEN 2 ELSE 0 END AS INTEGER) AS tried, CASE s_suppkey % 3 WHEN 0 THEN replace(s_name, 'Supplier', 'Suppliér') WHEN 1 THEN lower(s_name) ELSE s_name END AS spelling, s_suppkey FROM supplier"""
+WITH s AS (SELECT s_suppkey AS k, CASE s_suppkey % 5 WHEN 0 THEN replace(s_name, 'Supplier', 'Suppliér') WHEN 1 THEN s_name || ' SpA' WHEN 2 THEN replace(s_name, '#', chr(39)) WHEN 3 THEN replace(s_name, '#', '-') || ' PLC' ELSE s_name END AS q FROM supplier),
+f AS (SELECT *, lower(replace(q, 'é', 'e')) AS p FROM s),
+g AS (SELECT *, CASE WHEN regexp_matches(p, ' (spa|plc)$') THEN regexp_replace(p, ' (spa|plc)$', '') END AS b FROM f),
+v AS (SELECT k, unnest([q, p, regexp_replace(p, '[^0-9a-z ]', '_', 'g'), b, regexp_replace(b, '[^0-9a-z ]', '_', 'g')]) AS spelling, unnest([0, 1, 2, 3, 4]) AS i FROM g),
+d AS (SELECT k, spelling, min(i) AS i FROM v WHERE spelling IS NOT NULL GROUP BY ALL),
+e AS (SELECT k, spelling, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS tried FROM d),
+r AS (SELECT e.k, tried, spelling, s_suppkey FROM e JOIN supplier ON lower(replace(spelling, 'é', 'e')) IN (lower(s_name), regexp_replace(lower(s_name), '[^0-9a-z ]', '_', 'g')))
+SELECT k AS q, CAST(min(tried) AS INTEGER) AS tried, arg_min(spelling, (tried, s_suppkey)) AS spelling, arg_min(s_suppkey, (tried, s_suppkey)) AS s_suppkey FROM r GROUP BY k"""
+
+
+def names_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of three words out of the benchmark, some glued or with a stop word, found in documents."""
+    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+    three = F.slice("w", 2, 3)
+    name = F.when(F.col("item_id") % 3 == 0, F.array_join(three, "")).when(F.col("item_id") % 3 == 1, F.concat(F.array_join(three, " "), F.lit(" Limited"))).otherwise(F.array_join(three, "-"))
+    names = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).select(name.alias("name"))
+    return resolve.names_in_texts(table(spark, sf_dir, "documents"), names, "doc_id", "text", "name", stop=("limited",))
+
+
+NAMES_IN_TEXTS = """
+WITH b AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')[2:4] AS w FROM benchmark),
+n AS (SELECT DISTINCT CASE item_id % 3 WHEN 0 THEN array_to_string(w, '') WHEN 1 THEN array_to_string(w, ' ') || ' Limited' ELSE array_to_string(w, '-') END AS name FROM b),
+t AS (SELECT name, list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) >= 4 AND x <> 'limited') AS w FROM n),
+u AS (SELECT name, array_to_string(w, '') AS slug, CASE WHEN len(list_filter(w, lambda x: length(x) >= 5)) > 0 THEN list_filter(w, lambda x: length(x) >= 5) ELSE w END AS need FROM t WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, list_distinct(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) AS w FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, name, CASE WHEN max(CASE WHEN list_contains(w, slug) THEN 1 ELSE 0 END) = 1 THEN 'slug' ELSE 'words' END AS via FROM d JOIN u ON list_contains(w, slug) OR list_has_all(w, need) GROUP BY doc_id, name"""
 
 
 def token_subset_match(spark: SparkSession, sf_dir: str) -> DataFrame:
