@@ -10,7 +10,7 @@ paired with each other in buckets of up to CROWD lines; the lines of larger ones
 is crowded even then is dealt by minima over the shingles that the lead does not have: lines that are alike without being
 like the lead must share some of those. This repeats until no bucket is crowded. It ends, as the leads' shingles are gone
 from the next round, and no pair is dropped for the size of its bucket. Candidates of which half of the minima agree are
-verified by the exact Jaccard similarity of their whole sets of shingles (as 64-bit hashes); verified links are joined into
+verified by the exact Jaccard similarity of their whole sets of shingles (as 64-bit hashes, made where the pair is); verified links are joined into
 components, and of each component one line stays: the first by (doc_id, row, position).
 
 Equal normal forms are one key (a 64-bit hash) throughout, so copies of a line cost one row each and are never paired.
@@ -29,10 +29,10 @@ from operator import or_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finsheet.llm.common import SMALL, drop, hot_join, materialise
+from finsheet.llm.common import drop, hot_join, materialise
 from finsheet.llm.components import connected_components
 
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 8, 3
 MINIMA = BANDS * ROWS
 #: Lines of a bucket up to which all its pairs are candidates.
 CROWD = 12
@@ -40,8 +40,8 @@ CROWD = 12
 DEEPER = 10
 #: Pairs of one line in a task.
 SHARE = 1000
-#: Turns in which many pairs are tested.
-SLICES = 4
+#: Keys or buckets up to which they are sent to every task (some 20 MB); more are joined.
+SENT = 500_000
 
 
 def _normal(line):
@@ -84,12 +84,19 @@ def _texts(docs: DataFrame) -> DataFrame:
     return rows.where("normal <> ''").withColumn("key", F.xxhash64("normal"))
 
 
-def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, row, pos, key, m): the minima of every line; texts are hashed where they are read, only minima are shuffled."""
-    forms = _texts(docs).select("doc_id", "row", "pos", "key", F.encode("normal", "UTF-16BE").alias("b"))
-    each = forms.select("doc_id", "row", "pos", "key", "b", F.explode(_starts(width)).alias("i")).select("doc_id", "row", "pos", "key", F.xxhash64(_shingle(F.col("i"), width)).alias("h"))
-    lines = each.groupBy("doc_id", "row", "pos", "key").agg(*[_least(i).alias(f"m{i}") for i in range(MINIMA)])
-    return lines.select("doc_id", "row", "pos", "key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m"))
+def _minima(docs: DataFrame, width: int) -> DataFrame:
+    """(key, m): the minima of every distinct line; texts are hashed where they are read, only minima are shuffled."""
+    forms = _texts(docs).select("key", F.encode("normal", "UTF-16BE").alias("b"))
+    each = forms.select("key", "b", F.explode(_starts(width)).alias("i")).select("key", F.xxhash64(_shingle(F.col("i"), width)).alias("h"))
+    lines = each.groupBy("key").agg(*[_least(i).alias(f"m{i}") for i in range(MINIMA)])
+    return lines.select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m"))
+
+
+def _forms(docs: DataFrame, keys: DataFrame, minima: DataFrame) -> DataFrame:
+    """(key, m, t): minima and normal form of the given lines; the texts are read again and only theirs go further."""
+    few = keys.count() <= SENT
+    own = _texts(docs).select("key", F.col("normal").alias("t")).join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    return own.groupBy("key").agg(F.first("t").alias("t")).join(minima, "key").select("key", "m", "t")
 
 
 def _met(members: DataFrame, written: bool = False) -> DataFrame:
@@ -98,7 +105,10 @@ def _met(members: DataFrame, written: bool = False) -> DataFrame:
     dealt = members if written else materialise(members, "dealt")
     sizes = dealt.groupBy("bucket").agg(F.min("key").alias("low"), F.min_by("label", "key").alias("low_label"), F.min("label").alias("one"), F.max("label").alias("other"), F.count(F.lit(1)).alias("n"))
     sizes = materialise(sizes.where("one <> other").drop("one", "other"), "sizes")
-    found = materialise(hot_join(dealt, sizes, "bucket", "n", dealt.count()), "met")
+    if sizes.count() <= SENT:
+        found = materialise(dealt.join(F.broadcast(sizes), "bucket"), "met")
+    else:
+        found = materialise(hot_join(dealt, sizes, "bucket", "n", dealt.count()), "met")
     drop(sizes, *[dealt] * (not written))
     return found
 
@@ -130,7 +140,7 @@ def _beside(pairs: DataFrame, rows: DataFrame, end: str, *columns: str) -> DataF
 def _verified(pairs: DataFrame, tested: list[DataFrame], forms: DataFrame, width: int, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links, tested pairs): of the pairs not tested yet those of which half of the minima agree are tested by their sets.
 
-    Many pairs are tested in SLICES turns, as the sets beside them take room.
+    Sets are made of the texts beside the pair, so that no set is written or shuffled.
     """
     pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
     for done in tested:
@@ -138,17 +148,13 @@ def _verified(pairs: DataFrame, tested: list[DataFrame], forms: DataFrame, width
     agree = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
     likely = _beside(_beside(pairs, forms, "b", "m"), forms, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
     likely = materialise(likely, "likely")
-    keys = likely.select(F.col("b").alias("key")).unionAll(likely.select(F.col("a").alias("key"))).distinct()
-    sets = materialise(forms.join(keys, "key", "left_semi").select("key", _set("t", width).alias("s")), "sets")
-    # The generator stands between the intersection and the test, so that it is made once a pair.
+    both = _beside(_beside(likely, forms, "b", "t"), forms, "a", "t")
+    # Generators stand before the sets' use, so that each is made once a pair.
+    sets = both.select("a", "b", F.inline(F.array(F.struct(_set("t_a", width).alias("s_a"), _set("t_b", width).alias("s_b")))))
     counts = F.array(F.struct(F.size(F.array_intersect("s_a", "s_b")).alias("common"), (F.size("s_a") + F.size("s_b")).alias("total")))
-    turns, links = SLICES if likely.count() > SMALL else 1, []
-    for turn in range(turns):
-        own = likely.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == turn)
-        met = _beside(_beside(own, sets, "b", "s"), sets, "a", "s").select("a", "b", F.inline(counts))
-        links.append(materialise(met.where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar"))
-    drop(sets)
-    return reduce(DataFrame.unionByName, links), likely.select("a", "b")
+    met = sets.select("a", "b", F.inline(counts))
+    links = materialise(met.where(F.col("common") >= threshold * (F.col("total") - F.col("common")) - 1e-9).select("a", "b"), "similar")
+    return links, likely.select("a", "b")
 
 
 def _labelled(members: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -188,14 +194,12 @@ def _bands():
     return F.array(*[F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
-    """Verified links (a, b) between distinct keys; ``lines`` and ``minima`` (which goes when it is used) are those of ``docs``."""
+def similar_lines(docs: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
+    """Verified links (a, b) between distinct keys; ``minima`` (which goes when it is used) are those of ``docs``."""
     met = _met(minima.select("key", F.col("key").alias("label"), F.posexplode(_bands()).alias("group", "bucket")), written=True)
-    spot = F.struct("doc_id", "row", "pos")
-    keys = met.select("key").distinct()
-    first = lines.join(keys, "key", "left_semi").groupBy("key").agg(F.min(spot).alias("at")).join(minima.join(keys, "key", "left_semi"), "key").select("at.*", "m")
-    texts = _texts(docs).join(first, ["doc_id", "row", "pos"]).dropDuplicates(["doc_id", "row", "pos"])  # rows may be repeated
-    forms = materialise(texts.select("key", "m", F.col("normal").alias("t")), "forms")
+    keys = materialise(met.select("key").distinct(), "keys")
+    forms = materialise(_forms(docs, keys, minima), "forms")
+    drop(keys)
     drop(minima)
     links, tested, rests, turn = [], [], None, 0
 
@@ -238,12 +242,9 @@ def similar_lines(docs: DataFrame, lines: DataFrame, minima: DataFrame, width: i
 
 def removed_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
     """(doc_id, row, pos) of each line that repeats or nearly repeats an earlier one."""
-    sketches = materialise(_sketches(docs, width), "sketches")
-    lines = materialise(sketches.select("doc_id", "row", "pos", "key"), "lines")
-    of_key = sketches.groupBy("key").agg(*[F.min(F.col("m")[i]).alias(f"m{i}") for i in range(MINIMA)])
-    minima = materialise(of_key.select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m")), "minima")
-    drop(sketches)
-    parts = connected_components(similar_lines(docs, lines, minima, width, threshold))
+    minima = materialise(_minima(docs, width), "minima")
+    parts = connected_components(similar_lines(docs, minima, width, threshold))
+    lines = materialise(_texts(docs).select("doc_id", "row", "pos", "key"), "lines")
     spot = F.struct("doc_id", "row", "pos")
     keys = lines.groupBy("key").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"))
     keys = keys.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")

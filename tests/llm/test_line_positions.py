@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from finsheet.llm.line_dedup import _anchor, _sketches, dedup_lines, line_report
+from finsheet.llm.line_dedup import _anchor, _minima, _texts, dedup_lines, line_report
 
 
 def shingles(line, width=9):
@@ -45,7 +45,8 @@ def test_near_copies_without_blanks(spark, alphabet):
 def test_minima_are_those_of_every_position(spark):
     rng = random.Random(4)
     lines = ["".join(rng.choice("ab cdé世😀") for _ in range(n)).strip() for n in (1, 3, 8, 9, 10, 63, 64, 65, 71, 72, 73, 128, 136, 137, 400, 5000)]
-    rows = {r.doc_id: r for r in _sketches(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), 9).collect()}
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in _texts(docs).select("doc_id", "key").join(_minima(docs, 9), "key").collect()}
     every = spark.createDataFrame([(i, bytearray(s)) for i, x in enumerate(lines) for s in shingles(x)], "i long, s binary").select("i", F.xxhash64("s").alias("h"))
     hashes = {r.i: r.h for r in every.groupBy("i").agg(F.collect_set("h").alias("h")).collect()}
     for i, r in rows.items():
