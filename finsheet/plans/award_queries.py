@@ -246,14 +246,14 @@ UNION ALL SELECT 'TOTAL', CAST(n AS BIGINT), amount, 1.0 FROM t"""
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per nation: total, the largest customer and its share, how many are nil, the sorted list of segments."""
-    rows = table(spark, sf_dir, "customer").where("c_acctbal > 0")
+    rows = table(spark, sf_dir, "customer")
     total = F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double")
     return rows.groupBy("c_nationkey").agg(total.alias("total"), F.max_by("c_name", F.struct("c_acctbal", "c_custkey")).alias("largest"), F.bround(F.max("c_acctbal") / total, 6).alias("largest_share"), F.count_if(F.col("c_acctbal") < 1000).alias("small"), F.array_join(F.sort_array(F.collect_set("c_mktsegment")), ", ").alias("segments"))
 
 
 INSIGHTS = """
 SELECT c_nationkey, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS total, arg_max(c_name, (c_acctbal, c_custkey)) AS largest, round_even(max(c_acctbal) / CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE), 6) AS largest_share,
-       count(*) FILTER (c_acctbal < 1000) AS small, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS segments FROM customer WHERE c_acctbal > 0 GROUP BY c_nationkey"""
+       count(*) FILTER (c_acctbal < 1000) AS small, string_agg(DISTINCT c_mktsegment, ', ' ORDER BY c_mktsegment) AS segments FROM customer GROUP BY c_nationkey"""
 
 
 def completeness_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,25 +359,26 @@ GROUP BY l_orderkey HAVING count(*) FILTER (l_linestatus = 'F') = 0 AND count(DI
 
 
 def detail_merge_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers attach to the largest customer of their nation, else of their region, else overall."""
+    """Suppliers attach to the largest customer of their nation and trade, else of their region, else overall; every seventh has no region."""
     nation = table(spark, sf_dir, "nation")
-    customers = table(spark, sf_dir, "customer").where("c_acctbal > 9000").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    suppliers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_nationkey").alias("k1"), F.col("n_regionkey").alias("k2"), F.lit(0).alias("k3"))
-    best = lambda key, i: customers.groupBy(key.alias("key")).agg(F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias(f"t{i}"))
-    keys = (F.col("c_nationkey"), F.col("n_regionkey"), F.lit(0))
-    out = suppliers
-    for i, key in enumerate(keys, 1):
-        out = out.join(best(key, i).withColumnRenamed("key", f"k{i}"), f"k{i}", "left")
+    customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    trade = F.element_at(F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD", "NONE")]), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    suppliers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.struct(F.col("s_nationkey").alias("n"), trade.alias("t")).alias("k1"), F.when(F.col("s_suppkey") % 7 > 0, F.col("n_regionkey")).alias("k2"))
+    largest = F.max_by("c_custkey", F.struct("c_acctbal", "c_custkey"))
+    by = lambda key, i: customers.groupBy(key.alias(f"k{i}")).agg(largest.alias(f"t{i}"))
+    overall = customers.agg(largest).first()[0]  # one number
+    out = suppliers.join(by(F.struct(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("t")), 1), "k1", "left").join(by(F.col("n_regionkey"), 2), "k2", "left")
     level = F.when(F.col("t1").isNotNull(), "nation").when(F.col("t2").isNotNull(), "region").otherwise("all")
-    return out.select("s_suppkey", F.coalesce("t1", "t2", "t3").alias("target"), level.alias("level"))
+    return out.select("s_suppkey", F.coalesce("t1", "t2", F.lit(overall)).alias("target"), level.alias("level"))
 
 
 DETAIL_MERGE_CASCADE = """
-WITH c AS (SELECT c_custkey, c_acctbal, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000),
-a AS (SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS t FROM c GROUP BY 1), b AS (SELECT n_regionkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS t FROM c GROUP BY 1),
-d AS (SELECT arg_max(c_custkey, (c_acctbal, c_custkey)) AS t FROM c)
+WITH c AS (SELECT c_custkey, c_acctbal, c_nationkey, c_mktsegment, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey),
+a AS (SELECT c_nationkey, c_mktsegment, arg_max(c_custkey, (c_acctbal, c_custkey)) AS t FROM c GROUP BY ALL), b AS (SELECT n_regionkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS t FROM c GROUP BY ALL),
+d AS (SELECT arg_max(c_custkey, (c_acctbal, c_custkey)) AS t FROM c),
+s AS (SELECT s_suppkey, s_nationkey, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'MACHINERY', 'HOUSEHOLD', 'NONE'][s_suppkey % 6 + 1] AS trade, CASE WHEN s_suppkey % 7 > 0 THEN n_regionkey END AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT s_suppkey, coalesce(a.t, b.t, d.t) AS target, CASE WHEN a.t IS NOT NULL THEN 'nation' WHEN b.t IS NOT NULL THEN 'region' ELSE 'all' END AS level
-FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN a ON a.c_nationkey = s_nationkey LEFT JOIN b ON b.n_regionkey = nation.n_regionkey CROSS JOIN d"""
+FROM s LEFT JOIN a ON a.c_nationkey = s_nationkey AND a.c_mktsegment = trade LEFT JOIN b ON b.n_regionkey = region CROSS JOIN d"""
 
 
 def facts_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,11 @@ def years_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("page_id", dates.latest_year("html").cast("long").alias("latest"), F.size(dates.years_in("html")).cast("long").alias("n"))
 
 
+YEARS_PRINTED = r"""
+WITH y AS (SELECT page_id, list_filter(list_transform(list_filter(regexp_extract_all(html, '[0-9]+'), lambda n: length(n) = 4 AND (starts_with(n, '19') OR starts_with(n, '20'))), lambda n: CAST(n AS BIGINT)), lambda n: n BETWEEN 1990 AND 2100) AS y FROM pages)
+SELECT page_id, list_max(y) AS latest, len(y) AS n FROM y"""
+
+
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classifier answers made of parts, read back."""
     p = F.col("p_partkey")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finsheet.functions import codes, coerce, dates, maps, text
-from finsheet.operators import choice, facts, markets, plans, resolve, state
+from finsheet.operators import choice, facts, markets, merge, plans, resolve, state
 from finsheet.plans.tables import table
 
 _FORMS = ("10-K", "10-Q", "8-K", "120", "160", "A001", "40-F")
@@ -97,11 +97,11 @@ SELECT company, year, doc, row_number() OVER (PARTITION BY company, year ORDER B
 
 def newest_year_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the newest year that a company has any of, not older than five years."""
-    return markets.newest_year(_filings(spark, sf_dir).where("doc % 3 = 0").select("company", "year", "doc"), ["company"], "year", 1998, 3)
+    return markets.newest_year(_filings(spark, sf_dir).select("company", "year", "doc"), ["company"], "year", 1998, 3)
 
 
 NEWEST_YEAR_DOCS = f"""
-WITH f AS (SELECT * FROM ({_FILINGS}) WHERE doc % 3 = 0 AND year BETWEEN 1995 AND 1998) SELECT company, year, doc FROM (SELECT *, max(year) OVER (PARTITION BY company) AS top FROM f) WHERE year = top"""
+WITH f AS (SELECT * FROM ({_FILINGS}) WHERE year BETWEEN 1995 AND 1998) SELECT company, year, doc FROM (SELECT *, max(year) OVER (PARTITION BY company) AS top FROM f) WHERE year = top"""
 
 
 def newest_release(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,19 +228,18 @@ SELECT page_id, nullif(trim(string_split(string_split(trim(regexp_replace(coales
 
 
 def nested_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of an order's first and second line merged: what the first has stands."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_returnflag", "l_linestatus", F.col("l_suppkey").cast("string").alias("l_mode")), F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("x"))
-    entry = F.create_map(F.lit("flag"), F.when(F.col("x.l_returnflag") != "N", F.col("x.l_returnflag")), F.lit("status"), F.col("x.l_linestatus"), F.concat(F.lit("mode"), F.col("l_linenumber").cast("string")), F.col("x.l_mode"))
-    both = rows.groupBy("l_orderkey").agg(F.max(F.when(F.col("l_linenumber") == 1, F.struct(F.lit(1).alias("i"), F.to_json(entry).alias("m")))).alias("a"), F.max(F.when(F.col("l_linenumber") == 2, F.struct(F.lit(1).alias("i"), F.to_json(entry).alias("m")))).alias("b"))
-    as_map = lambda c: F.from_json(F.col(f"{c}.m"), "map<string,string>")
-    merged = codes.merged_map(as_map("a"), as_map("b"))
-    return both.select("l_orderkey", *[F.try_element_at(merged, F.lit(k)).alias(k) for k in ("flag", "status", "mode1", "mode2")])
+    """Maps of all lines of an order merged in their order: what an earlier one has stands."""
+    least = F.min_by(F.struct("l_returnflag", "l_linestatus", "l_suppkey"), F.struct("l_partkey", "l_suppkey", "l_quantity"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(least.alias("x"))
+    entry = F.create_map(F.lit("flag"), F.when(F.col("x.l_returnflag") != "N", F.col("x.l_returnflag")), F.lit("status"), F.col("x.l_linestatus"), F.concat(F.lit("mode"), F.col("l_linenumber").cast("string")), F.col("x.l_suppkey").cast("string"))
+    lines = rows.groupBy("l_orderkey").agg(merge.in_order(F.collect_list(F.struct(F.col("l_linenumber").alias("o"), entry.alias("r")))).alias("maps"))
+    merged = F.aggregate(F.slice("maps", 2, F.size("maps")), F.get("maps", F.lit(0)), codes.merged_map)
+    return lines.select("l_orderkey", merged.alias("m")).select("l_orderkey", F.size("m").cast("long").alias("n"), *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("flag", "status", "mode1", "mode2", "mode7")])
 
 
 NESTED_MERGE = """
-WITH r AS (SELECT l_orderkey, l_linenumber, arg_min({'f': CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, 's': l_linestatus, 'm': CAST(l_suppkey AS VARCHAR)}, (l_partkey, l_suppkey, l_quantity)) AS x FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
-a AS (SELECT l_orderkey, x FROM r WHERE l_linenumber = 1), b AS (SELECT l_orderkey, x FROM r WHERE l_linenumber = 2)
-SELECT l_orderkey, coalesce(a.x.f, b.x.f) AS flag, coalesce(a.x.s, b.x.s) AS status, a.x.m AS mode1, b.x.m AS mode2 FROM a FULL JOIN b USING (l_orderkey)"""
+WITH r AS (SELECT l_orderkey, l_linenumber AS n, arg_min({'f': CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, 's': l_linestatus, 'm': CAST(l_suppkey AS VARCHAR)}, (l_partkey, l_suppkey, l_quantity)) AS x FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, 2 + count(*) AS n, arg_min(x.f, n) FILTER (x.f IS NOT NULL) AS flag, arg_min(x.s, n) FILTER (x.s IS NOT NULL) AS status, max(x.m) FILTER (n = 1) AS mode1, max(x.m) FILTER (n = 2) AS mode2, max(x.m) FILTER (n = 7) AS mode7 FROM r GROUP BY l_orderkey"""
 
 
 def classifier_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:

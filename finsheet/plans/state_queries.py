@@ -69,12 +69,12 @@ SELECT user_id, started, CASE WHEN s IN ('purchase', 'error') THEN last WHEN las
 def error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = ("No relevant pages in it", "Missing API key", "Could not find a Danish company for 'X'", "Fetch failed: 404", "something else", "could not find an annual report on this site")
     message = F.element_at(F.array(*[F.lit(m) for m in messages]), (F.col("event_id") % 6 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").where("event_type = 'error'").withColumn("code", state.failure_code(message))
+    rows = table(spark, sf_dir, "events").withColumn("code", state.failure_code(message))
     return rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
 ERROR_CODES = """
-WITH e AS (SELECT event_id, ['NO_PAGES', 'CONFIG', 'NOT_FOUND', 'NO_REPORT', 'UNKNOWN', 'NO_REPORT'][event_id % 6 + 1] AS code FROM events WHERE event_type = 'error')
+WITH e AS (SELECT event_id, ['NO_PAGES', 'CONFIG', 'NOT_FOUND', 'NO_REPORT', 'UNKNOWN', 'NO_REPORT'][event_id % 6 + 1] AS code FROM events)
 SELECT code, count(*) AS n, min(event_id) AS first FROM e GROUP BY code"""
 
 
