@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -257,6 +259,12 @@ def liabilities_only(totals: DataFrame, equity: DataFrame, references: DataFrame
     return marked.withColumn("liabilities", F.coalesce("candidate", "liabilities")).withColumn("warning", warning).drop("__grand", "candidate", "reference", "label")
 
 
+def final_values(tables: list[DataFrame], by: list[str]) -> DataFrame:
+    """(by, values): the set of every non-zero number in any of the tables (by, amount), without signs and to four places."""
+    every = reduce(DataFrame.unionByName, [t.select(*by, F.round(F.abs("amount"), 4).alias("v")) for t in tables])
+    return every.groupBy(*by).agg(F.array_sort(F.collect_set(F.when(F.col("v") != 0, F.col("v")))).alias("values"))
+
+
 def pairwise_sums(left: Column, right: Column) -> Column:
     """Sums of two number arrays place by place, as far as both go."""
     return F.filter(F.zip_with(left, right, lambda a, b: a + b), lambda v: v.isNotNull())

@@ -68,6 +68,18 @@ def cost(rows: DataFrame, by: list[str], tokens_in: Column, tokens_out: Column,
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), total[0].alias("tokens_in"), total[1].alias("tokens_out"), F.bround(total[0] / 1e6 * price_in + total[1] / 1e6 * price_out, places).alias("cost"))
 
 
+def listing(jobs: DataFrame, by: list[str], status: str) -> DataFrame:
+    """Per group how many jobs there are, and how many of each status as a map."""
+    counted = jobs.groupBy(*by, status).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*by).agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(status).cast("string"), F.lit("")), "n")))).alias("by_status"))
+
+
+def counters(calls: DataFrame, by: list[str], kind: str, credits: dict[str, int], otherwise: int) -> DataFrame:
+    """Calls of each group and the credits they cost by their kind."""
+    price = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in credits.items() for x in kv]), F.col(kind)), F.lit(otherwise))
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), F.sum(price).cast("long").alias("credits"))
+
+
 def failure_code(message: Column) -> Column:
     low = F.lower(F.coalesce(message, F.lit("")))
     code = F

@@ -204,6 +204,15 @@ h AS (SELECT o_custkey, arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstat
 SELECT o_custkey, standard, row_number() OVER (PARTITION BY o_custkey ORDER BY i) - 1 AS pos, plan_name, t AS plan_type, closing, rate, tax, tranches, shares, line, s1 FROM a JOIN h USING (o_custkey)"""
 
 
+def report_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report's columns that hold anything: one that no order fills is left out, the key stays."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") < 0, F.col("o_totalprice")).alias("refund"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("final"), F.lit(None).cast("string").alias("note"))
+    return plans.filled_columns(rows, ["o_orderkey"])
+
+
+REPORT_COLUMNS = "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS final FROM orders"
+
+
 def tranche_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line numbers as batches: tranches of the first batch, and later ones of a ship date not seen before."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 5, F.date_format("l_shipdate", "yyyy-MM")).alias("grant_month"), F.col("l_quantity").cast("long").alias("shares"))

@@ -154,6 +154,34 @@ WITH p AS (SELECT p_partkey // 10 AS doc, p_partkey % 10 AS page, p_partkey % 4
 SELECT doc, min(page) AS page, 'accepted' AS match FROM p GROUP BY doc"""
 
 
+def contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages of documents of twenty: the pages about those that a contents page names."""
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 3, F.concat(F.lit("Contents\nConsolidated Balance Sheet ..... "), (5 + k % 17).cast("string"), F.lit("\nCash flows 9"))).otherwise(F.lit("balance sheet of no page\n12"))
+    pages = table(spark, sf_dir, "part").select(F.floor(k / 20).alias("doc"), (k % 20).alias("page"), text.alias("text"), F.lit(19).cast("long").alias("last"))
+    return statement.contents_ranges(pages, ["doc"], "page", "text", "balance sheet", "last")
+
+
+CONTENTS_PAGES = """
+WITH n AS (SELECT p_partkey // 20 AS doc, 5 + p_partkey % 17 AS n FROM part WHERE p_partkey % 20 < 10 AND p_partkey % 4 = 3), r AS (SELECT doc, unnest(range(n - 1, n + 4)) AS page FROM n)
+SELECT DISTINCT doc, page FROM r WHERE page BETWEEN 0 AND 19"""
+
+
+def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as chosen pages of lines: text with the rows of the strict table, or of the lenient one where that has none."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.array(F.col("l_linenumber").cast("string"), F.col("l_returnflag")))).alias("cells"))
+    none = F.array().cast("array<array<string>>")
+    pages = lines.select("l_orderkey", F.concat(F.lit("page "), F.col("l_orderkey").cast("string")).alias("text"), readers.table_cells(F.when(F.col("l_orderkey") % 3 == 0, none).when(F.col("l_orderkey") % 3 == 1, F.col("cells")), F.when(F.col("l_orderkey") % 3 < 2, F.slice("cells", 1, 1))).alias("cells"))
+    chosen = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return readers.selected_pages(pages, chosen, ["l_orderkey"], "text", "cells").select("l_orderkey", "text", readers.has_number(F.coalesce("cells", none)).alias("numbered"))
+
+
+SELECTED_PAGES = """
+WITH d AS (SELECT DISTINCT l_orderkey, l_linenumber AS n, l_returnflag AS f FROM lineitem), r AS (SELECT l_orderkey, n || ' | ' || f AS r, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(n AS VARCHAR), f) AS i FROM d),
+c AS (SELECT l_orderkey, string_agg(r, chr(10) ORDER BY i) FILTER (l_orderkey % 3 = 1 OR (l_orderkey % 3 = 0 AND i = 1)) AS cells FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, concat_ws(chr(10), 'page ' || l_orderkey, cells) AS text, false AS numbered FROM c JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'"""
+
+
 def table_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows read from markup and from pipe tables, counted per page."""
     k = F.col("page_id")

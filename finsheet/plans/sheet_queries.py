@@ -252,6 +252,19 @@ SELECT l_orderkey, round_even(CASE WHEN d IS NOT NULL THEN d WHEN l_orderkey % 4
        CASE WHEN d IS NOT NULL THEN 'grand total taken apart, confirmed by ' || CASE WHEN l_orderkey % 2 = 0 THEN 'the first line' ELSE 'later lines' END WHEN l_orderkey % 4 > 0 THEN 'grand total, no equity confirmed' END AS warning FROM t LEFT JOIN m USING (l_orderkey)"""
 
 
+def final_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct amounts of an order in its header and its lines, without signs."""
+    header = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.explode(F.array(-F.col("l_quantity"), F.col("l_discount"), F.col("l_quantity"))).alias("amount"))
+    values = sheet.final_values([header, lines], ["o_orderkey"])
+    return values.select("o_orderkey", F.size("values").cast("long").alias("n"), F.bround(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 2).alias("total"))
+
+
+FINAL_VALUES = """
+WITH v AS (SELECT o_orderkey, round(abs(o_totalprice), 4) AS v FROM orders UNION SELECT l_orderkey, round(abs(l_quantity), 4) FROM lineitem UNION SELECT l_orderkey, round(abs(l_discount), 4) FROM lineitem)
+SELECT o_orderkey, count(*) FILTER (v <> 0) AS n, round_even(coalesce(sum(v) FILTER (v <> 0), 0), 2) AS total FROM v GROUP BY o_orderkey"""
+
+
 def section_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as lines: a user turn opens a side by its parity, a long text is a section heading, a short one ends the section."""
     lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))

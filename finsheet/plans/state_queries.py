@@ -78,6 +78,34 @@ WITH e AS (SELECT event_id, ['NO_PAGES', 'CONFIG', 'NOT_FOUND', 'NO_REPORT', 'UN
 SELECT code, count(*) AS n, min(event_id) AS first FROM e GROUP BY code"""
 
 
+def job_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as jobs: how many, and how many of each kind."""
+    listed = state.listing(table(spark, sf_dir, "events"), ["user_id"], "event_type")
+    return listed.select("user_id", "total", *[F.coalesce(F.try_element_at("by_status", F.lit(k)), F.lit(0)).alias(k) for k in ("click", "purchase", "error")])
+
+
+JOB_LISTING = """
+SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'error') AS error FROM events GROUP BY user_id"""
+
+
+def call_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as fetches: views cost five credits, clicks two, others one."""
+    return state.counters(table(spark, sf_dir, "events"), ["user_id"], "event_type", {"view": 5, "click": 2}, 1)
+
+
+CALL_COUNTERS = "SELECT user_id, count(*) AS calls, CAST(sum(CASE event_type WHEN 'view' THEN 5 WHEN 'click' THEN 2 ELSE 1 END) AS BIGINT) AS credits FROM events GROUP BY user_id"
+
+
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a write at the newest event's time leaves of a cache of two days."""
+    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("at"))
+    now = events.agg(F.max("at")).first()[0]  # one value
+    return state.evicted(events, "at", F.lit(now), 2 * 86_400).select("event_id")
+
+
+CACHE_EVICTION = "SELECT event_id FROM events, (SELECT max(ts) AS now FROM events) WHERE floor(epoch(now)) - floor(epoch(ts)) <= 2 * 86400"
+
+
 def cost_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "role", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n"))
     side = lambda r: F.when(F.col("role") == r, F.col("n")).otherwise(0)
