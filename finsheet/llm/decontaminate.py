@@ -1,8 +1,10 @@
 """Benchmark decontamination by template windows.
 
 A text is read as a template: numbers, names and the units that follow numbers become typed placeholders, every other
-word is itself in lower case. A number with its separators (1,250.75) is one placeholder, and so is a name of several words
-(New York); its value is all of it. Windows of ``window`` template tokens of the documents are hash-joined with those of
+word is itself in lower case. A number is digits, with its separators (1,250.75), or a number word; a name is a word, or several
+(New York), in lower case but for its first letter. The first word of a sentence is read so too, as nothing tells whether it is
+a name: it is a placeholder in the item and in its copies alike, and must go together like the others. The value of a
+placeholder is all of it. Windows of ``window`` template tokens of the documents are hash-joined with those of
 the benchmark items (an item shorter than that is one window of all its tokens). Windows are compared by
 two independent 64-bit hashes of their tokens. Where windows line up, the values
 behind the placeholders must go together one to one: the same item value always meets the same document value and the
@@ -34,10 +36,11 @@ UNITS = (
     "percent degree degrees celsius fahrenheit volt volts watt watts joule joules newton newtons pascal hz mph kph euros eur usd"
 ).split()
 
+#: Number words.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split()
+
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_SENTENCE = np.zeros(256, dtype=bool)
-_SENTENCE[[10, 33, 34, 46, 58, 63]] = True
 _PLACE = np.uint64(0xD1B54A32D192ED03)
 _CHECK = np.uint64(0x8CB92BA72F3D8DD7)
 NUMBER, NAME, UNIT = mix(np.array([11, 12, 13], dtype=np.uint64))
@@ -58,6 +61,7 @@ def _word_hash(word: str) -> np.uint64:
 
 
 _UNIT_HASHES = np.array([_word_hash(u) for u in UNITS], dtype=np.uint64) | np.uint64(1)
+_NUMBER_HASHES = np.array([_word_hash(u) for u in NUMBER_WORDS], dtype=np.uint64) | np.uint64(1)
 
 
 def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,16 +71,12 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     low = _fold(data)
     own = mix(span_hash(prefix_hash(low), starts, ends)) | np.uint64(1)
     first = np.searchsorted(starts, offsets)
-    opens = np.zeros(len(starts), dtype=bool)
-    opens[first[:-1][first[:-1] < len(starts)]] = True
-    stops = np.concatenate([[0], np.cumsum(_SENTENCE[data])])
-    before = np.concatenate([[0], ends[:-1]])[: len(starts)]
-    opens |= stops[starts] > stops[before]
-    number = (data[starts] >= 48) & (data[starts] <= 57) if len(starts) else np.zeros(0, dtype=bool)
+    digits = (data[starts] >= 48) & (data[starts] <= 57) if len(starts) else np.zeros(0, dtype=bool)
+    number = digits | np.isin(own, _NUMBER_HASHES)
     changed = np.concatenate([[0], np.cumsum(low != data)])
     upper = changed[ends] - changed[starts]
     head = (low[starts] != data[starts]) | ((data[starts] == 0xC3) & (low[np.minimum(starts + 1, len(data) - 1)] != data[np.minimum(starts + 1, len(data) - 1)])) if len(starts) else number
-    name = head & ~opens & (upper == 1) & (ends - starts > 1)
+    name = head & (upper == 1) & (ends - starts > 1) & ~number
     after = np.zeros(len(starts), dtype=bool)
     after[1:] = number[:-1]
     unit = after & ~number
@@ -86,7 +86,7 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     glued = np.zeros(len(starts), dtype=bool)
     if len(starts) > 1:
         gap = np.where(starts[1:] - ends[:-1] == 1, data[np.minimum(ends[:-1], len(data) - 1)], 0)
-        glued[1:] = (number[1:] & number[:-1] & ((gap == 44) | (gap == 46))) | (name[1:] & name[:-1] & ((gap == 32) | (gap == 45)))
+        glued[1:] = (digits[1:] & digits[:-1] & ((gap == 44) | (gap == 46))) | (name[1:] & name[:-1] & ((gap == 32) | (gap == 45)))
         glued[first[:-1][first[:-1] < len(starts)]] = False
     heads = np.flatnonzero(~glued)
     if not len(heads):

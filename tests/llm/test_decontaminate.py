@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
-from finsheet.llm.decontaminate import contaminated, drop_contaminated
+from finsheet.llm.decontaminate import NUMBER_WORDS, UNITS, contaminated, drop_contaminated
 
 ITEM = "a train leaves the station with 40 passengers and after 25 minutes it has met Alice who paid 40 dollars for the very same ticket as before"
 OTHER = "there are twelve large baskets in the kitchen and every basket holds exactly seven ripe apples from the old garden"
@@ -89,3 +92,89 @@ def test_values_must_go_together(spark):
     items = spark.createDataFrame([(1, "we take 4 km to Paris and 4 km back from Paris to where we were before")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "we take 9 km to New York and 9 km back from New York to where we were before"), (2, "we take 9 km to New York and 8 km back from San Diego to where we were before")], "doc_id long, text string")
     assert [r.doc_id for r in contaminated(docs, items).where("coverage = 1").collect()] == [1]
+
+
+def tokens(text):
+    """[(token, value or None)] by one word after the other."""
+    words, out, last = list(re.finditer("[0-9A-Za-z_\x80-\U0010ffff]+", text)), [], None
+    for i, m in enumerate(words):
+        w, low = m[0], m[0].lower()
+        before = words[i - 1] if i else None
+        gap = text[before.end() : m.start()] if before else None
+        digits = w[0].isdigit() and w[0].isascii()
+        number = digits or low in NUMBER_WORDS
+        name = not number and len(w.encode()) > 1 and w[0] != low[0] and w[1:] == low[1:]
+        unit = bool(before) and (before[0][0].isdigit() or before[0].lower() in NUMBER_WORDS) and not number and not name and low in UNITS
+        kind = "number" if number else "name" if name else "unit" if unit else None
+        glued = last == ("digits" if digits else kind) and ((digits and gap in (",", ".")) or (name and gap in (" ", "-")))
+        if glued:
+            out[-1] = (out[-1][0], (*out[-1][1], low))
+        else:
+            out.append((f"<{kind}>", (low,)) if kind else (low, None))
+        last = "digits" if digits else kind
+    return out
+
+
+def brute(docs, items, window=8, least=4, coverage=0.3):
+    """{(doc, item): (windows, coverage, kind)} by comparing every window of every document with every one of every item."""
+    found = {}
+    for i, item in items:
+        own = tokens(item)
+        n = min(window, len(own))
+        cut = lambda t, n: [(p, t[p : p + n]) for p in range(len(t) - n + 1) if sum(v is None for _, v in t[p : p + n]) >= min(least, n)]
+        mine = cut(own, n) if n >= min(least, window) else []
+        for d, text in docs:
+            lines = {}
+            for p, w in cut(tokens(text), n):
+                for q, v in mine:
+                    if [x for x, _ in w] == [x for x, _ in v]:
+                        at, pairs = lines.setdefault(p - q, (set(), set()))
+                        at.add(q)
+                        pairs |= {(b, a) for (_, a), (_, b) in zip(w, v, strict=True) if b is not None}
+            good = [(at, pairs) for at, pairs in lines.values() if len(pairs) == len({b for b, _ in pairs}) == len({a for _, a in pairs})]
+            windows = set().union(*[at for at, _ in good])
+            if good and len(windows) / len(mine) >= coverage:
+                found[d, i] = len(windows), round(len(windows) / len(mine), 9), "verbatim" if all(a == b for _, pairs in good for a, b in pairs) else "reparameterised"
+    return found
+
+
+def test_against_every_window_of_every_text(spark):
+    """Items with numbers, units and names anywhere, also at the start of sentences; copies with other values, cut short or inconsistent."""
+    rng = random.Random(11)
+    plain = "the train leaves a small red station and meets old friends who pay for more tickets than before while it rains on green hills".split()
+    names, units = ["Alice", "Bob", "Clara", "New York", "São Paulo", "Émile"], ["km", "minutes", "dollars"]
+
+    def shape():
+        out = []
+        for _ in range(rng.randrange(3, 40)):
+            out.append(rng.choice(["w", "w", "w", "w", "n", "u", "a", "."]) + str(rng.randrange(3)))
+        return [rng.choice(plain) if x[0] == "w" else x for x in out]
+
+    def text(form, values):
+        words, opens = [], True
+        for x in form:
+            kind = x if re.fullmatch(r"[nua.]\d", x) else None
+            if kind and kind[0] == ".":
+                words, opens = [*words[:-1], words[-1] + "."] if words else words, True
+                continue
+            w = {"n": lambda: values[kind], "u": lambda: f"{values['n' + kind[1]]} {units[int(kind[1])]}", "a": lambda: values[kind]}[kind[0]]() if kind else x
+            words.append(w.capitalize() if opens and not kind else w)
+            opens = False
+        return " ".join(words)
+
+    draw = lambda: {**{f"n{k}": rng.choice([str(rng.randrange(2, 900)), "1,250.5", "seven", "Twelve"]) for k in range(3)}, **dict(zip(("a0", "a1", "a2"), rng.sample(names, 3), strict=True))}
+    forms = [shape() for _ in range(25)]
+    items = [(i, text(f, draw())) for i, f in enumerate(forms)]
+    docs = []
+    for i, f in enumerate(forms):
+        docs += [(10 * i, items[i][1]), (10 * i + 1, f"Some say so. {text(f, draw())} And more"), (10 * i + 2, text(f[: len(f) // 2], draw()) + " " + text(shape(), draw())), (10 * i + 3, text(f, draw()) + " " + text(f, draw()))]
+    got = {(r.doc_id, r.item_id): (r.n_windows, round(r.coverage, 9), r.kind) for r in contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert got == want and {k for *_, k in want.values()} == {"verbatim", "reparameterised"}
+
+
+def test_a_changed_problem_of_three_sentences_is_covered_whole(spark):
+    item = "Alice buys 12 red apples at the market on the hill. Bob gives her three more of them before noon. Paris is where they eat all of the apples together with friends."
+    copy = "Clara buys 30 red apples at the market on the hill. David gives her five more of them before noon. Rome is where they eat all of the apples together with friends."
+    rows = contaminated(spark.createDataFrame([(1, copy)], "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.kind, r.coverage) for r in rows] == [("reparameterised", 1.0)]
