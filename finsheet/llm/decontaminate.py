@@ -4,7 +4,8 @@ A text is read as a template: numbers, names and the units that follow numbers b
 word is itself in lower case. A number is digits, with its separators (1,250.75), or a number word; a name is a word, or several
 (New York), in lower case but for its first letter. The first word of a sentence is read so too, as nothing tells whether it is
 a name: it is a placeholder in the item and in its copies alike, and must go together like the others. The value of a
-placeholder is all of it. Windows of ``window`` template tokens of the documents are hash-joined with those of
+placeholder is all of it. Items that hold names are read a second time without any, for copies in capitals or in lower case
+throughout, which show none; an item counts as found by the reading that covers more of it. Windows of ``window`` template tokens of the documents are hash-joined with those of
 the benchmark items (an item shorter than that is one window of all its tokens). Windows are compared by
 two independent 64-bit hashes of their tokens. Where windows line up, the values
 behind the placeholders must go together one to one: the same item value always meets the same document value and the
@@ -64,7 +65,7 @@ _UNIT_HASHES = np.array([_word_hash(u) for u in UNITS], dtype=np.uint64) | np.ui
 _NUMBER_HASHES = np.array([_word_hash(u) for u in NUMBER_WORDS], dtype=np.uint64) | np.uint64(1)
 
 
-def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def template(texts: pa.Array, names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(template token hashes, hashes of the values behind placeholders or 0, offsets by text)."""
     data, offsets = string_buffers(texts)
     starts, ends = word_spans(data, offsets)
@@ -76,7 +77,7 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     changed = np.concatenate([[0], np.cumsum(low != data)])
     upper = changed[ends] - changed[starts]
     head = (low[starts] != data[starts]) | ((data[starts] == 0xC3) & (low[np.minimum(starts + 1, len(data) - 1)] != data[np.minimum(starts + 1, len(data) - 1)])) if len(starts) else number
-    name = head & (upper == 1) & (ends - starts > 1) & ~number
+    name = head & (upper == 1) & (ends - starts > 1) & ~number & names
     after = np.zeros(len(starts), dtype=bool)
     after[1:] = number[:-1]
     unit = after & ~number
@@ -97,9 +98,9 @@ def template(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token[heads], np.where((number | name | unit)[heads], value, np.uint64(0)), before_word[first]
 
 
-def windows(texts: pa.Array, lengths: list[int], min_literal: int) -> tuple[np.ndarray, ...]:
+def windows(texts: pa.Array, lengths: list[int], min_literal: int, names: bool = True) -> tuple[np.ndarray, ...]:
     """(text, position, hash, length, first token, second hash) of all windows of the given lengths, and the values of all tokens."""
-    token, value, first = template(texts)
+    token, value, first = template(texts, names)
     count = np.diff(first)
     literal = np.concatenate([[0], np.cumsum(value == 0)])
     parts = []
@@ -127,18 +128,25 @@ def _rows(ids, found: tuple[np.ndarray, ...], keep: np.ndarray) -> pa.RecordBatc
 
 
 def item_windows(benchmark: DataFrame, window: int, min_literal: int) -> DataFrame:
-    """Windows of the items; an item shorter than ``window`` tokens is one window of its own length."""
+    """Windows of the items, with reading 0 (names) and, for items that hold names, 1 (none); an item shorter than ``window`` tokens is one window of its own length."""
 
     def cut(batches):
         for batch in pieces(batches):
-            found = windows(batch.column("text"), list(range(1, window + 1)), min_literal)
-            _, _, first = template(batch.column("text"))
-            count = np.diff(first)[found[0]]
-            keep = np.flatnonzero((found[3] == np.minimum(count, window)) & (found[3] >= min(min_literal, window)))
-            yield _rows(batch.column("id"), found, keep)
+            texts = batch.column("text")
+            plain = [template(texts, names)[2] for names in (True, False)]
+            tokens = [template(texts, names)[0] for names in (True, False)]
+            for reading, names in enumerate((True, False)):
+                found = windows(texts, list(range(1, window + 1)), min_literal, names)
+                count = np.diff(plain[reading])[found[0]]
+                keep = (found[3] == np.minimum(count, window)) & (found[3] >= min(min_literal, window))
+                if reading:
+                    named = np.concatenate([[0], np.cumsum(tokens[0] == NAME)])[plain[0]]
+                    keep &= (np.diff(named) > 0)[found[0]]
+                rows = _rows(batch.column("id"), found, np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, reading, dtype=np.int32))], names=[*rows.schema.names, "reading"])
 
     own = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    return own.mapInArrow(cut, WINDOWS)
+    return own.mapInArrow(cut, f"{WINDOWS}, reading int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_literal: int = 4, coverage: float = 0.3, filter_limit: int = 2_000_000) -> DataFrame:
@@ -160,21 +168,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_lit
                 keep = np.flatnonzero(have[at] == found[2]) if len(have) else keep[:0]
             yield _rows(batch.column("id"), found, keep)
 
-    sizes = items.groupBy("id").agg(F.countDistinct("pos").alias("of"))
-    short = bool(items.groupBy("id").count().where("count = 1").limit(1).count())
+    sizes = items.groupBy(F.col("id").alias("item_id"), "reading").agg(F.countDistinct("pos").alias("of"))
+    short = bool(items.groupBy("id", "reading").count().where("count = 1").limit(1).count())
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     hits = own.mapInArrow(scan, WINDOWS)
-    side = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "again", F.col("slots").alias("item_slots"))
+    side = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", "again", "reading", F.col("slots").alias("item_slots"))
     met = hits.join(side, ["hash", "again"]).select(
-        F.col("id").alias("doc_id"), "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("line_up"),
+        F.col("id").alias("doc_id"), "item_id", "reading", "item_pos", (F.col("pos") - F.col("item_pos")).alias("line_up"),
         F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda p: p["i"] != 0).alias("pairs"),
     )
-    aligned = met.groupBy("doc_id", "item_id", "line_up").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    aligned = met.groupBy("doc_id", "item_id", "reading", "line_up").agg(F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.i")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.d"))))
     aligned = aligned.where(one_to_one).withColumn("same", F.forall("pairs", lambda p: p["i"] == p["d"]))
-    found = aligned.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"), F.min("same").alias("same"))
-    covered = F.col("n_windows") / F.col("of")
-    return found.join(sizes.withColumnRenamed("id", "item_id"), "item_id").where(covered >= coverage).select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), covered.alias("coverage"), F.col("n_slots").cast("int").alias("n_slots"), F.when(F.col("same"), "verbatim").otherwise("reparameterised").alias("kind"))
+    found = aligned.groupBy("doc_id", "item_id", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("n_windows"), F.max(F.size("pairs")).alias("n_slots"), F.min("same").alias("same"))
+    covered = found.join(sizes, ["item_id", "reading"]).withColumn("coverage", F.col("n_windows") / F.col("of")).where(F.col("coverage") >= coverage)
+    best = covered.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "coverage", "n_slots", "same"), F.struct("coverage", -F.col("reading"))).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.n_windows").cast("long").alias("n_windows"), "b.coverage", F.col("b.n_slots").cast("int").alias("n_slots"), F.when(F.col("b.same"), "verbatim").otherwise("reparameterised").alias("kind"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
