@@ -16,13 +16,15 @@ RUNGS = (
     ("A1/A+", "A+"), ("A2/A", "A"), ("A3/A-", "A-"), ("Baa2/BBB", "BBB"), ("Ba1/BB+", "BB+"), ("Ba2/BB", "BB"), ("B1/B+", "B+"),
     ("B2/B", "B"), ("B3/B-", "B-"), ("Caa/CCC", "CCC"), ("Ca2/CC", "CC"), ("C2/C", "C"), ("D2/D", "D"),
 )
-#: Exchange prefix of a ticker to its country.
-EXCHANGES = {
-    "NYSE": "United States", "NASDAQ": "United States", "AMEX": "United States", "LSE": "United Kingdom", "TSX": "Canada", "TSXV": "Canada",
-    "TSE": "Japan", "KRX": "South Korea", "KOSDAQ": "South Korea", "HKEX": "Hong Kong", "SSE": "China", "SZSE": "China", "NSE": "India",
-    "BSE": "India", "BVMF": "Brazil", "TWSE": "Taiwan", "IDX": "Indonesia", "TASE": "Israel", "KLSE": "Malaysia", "SET": "Thailand",
-    "OCSE": "Denmark", "EPA": "France", "ETR": "Germany", "AMS": "Netherlands", "BIT": "Italy", "BME": "Spain", "ASX": "Australia",
+#: Exchange prefixes of tickers by country; prefixes that two countries use (TSE, OSE) are left out.
+PREFIXES = {
+    "United States": ("NYSE", "NASDAQ", "NAS", "AMEX", "ARCA", "BATS"), "United Kingdom": ("LSE", "LON"), "Canada": ("TSX", "TSXV", "CVE"), "Japan": ("TYO", "JPX"), "South Korea": ("KRX", "KOSDAQ", "KOSE"),
+    "China": ("SHSE", "SZSE", "SHA", "SHE"), "Hong Kong": ("HKSE", "HKG", "SEHK", "HKEX"), "Taiwan": ("TPE", "TWSE", "ROCO"), "India": ("NSE", "BSE", "BOM"), "Indonesia": ("IDX", "JKT"), "Israel": ("TASE", "TLV"),
+    "Malaysia": ("KLSE", "MYX"), "Thailand": ("SET", "BKK"), "Brazil": ("BOVESPA", "BVMF", "SAO"), "Germany": ("XETRA", "ETR", "FRA", "XTER"), "Singapore": ("SGX",), "Mexico": ("BMV", "MEX"), "Australia": ("ASX",),
+    "Denmark": ("CPH", "OMXC"), "France": ("EPA", "PAR"), "Netherlands": ("AMS",), "Italy": ("BIT", "MIL"), "Spain": ("BME", "MCE", "MAD"), "Sweden": ("STO",), "Finland": ("HEL",), "Norway": ("OSL",), "Belgium": ("EBR", "BRU"),
+    "Austria": ("VIE", "WBAG"), "Portugal": ("LIS", "ELI"), "Poland": ("WSE", "WAR"), "Greece": ("ATH",), "Ireland": ("ISE",),
 }
+EXCHANGES = {prefix: country for country, prefixes in PREFIXES.items() for prefix in prefixes}
 #: Plan type and nil cost of the standard award members; their names follow from the members (``text.member_label``).
 AWARDS = {
     "EmployeeStockOptionMember": ("ESOP", False), "StockOptionMember": ("ESOP", False), "RestrictedStockUnitsRSUMember": ("RSU", True), "RestrictedStockUnitsMember": ("RSU", True),

@@ -33,14 +33,21 @@ SELECT c_custkey, token, rung, CASE WHEN token IN (SELECT sp FROM l) AND token I
 RATING_SNAP = _rating_sql()
 
 
+_PREFIXES = [*(x + ":" for x in maps.EXCHANGES), "nasdaq:", "TSE:", "ZZZ:", ""]
+
+
 def exchange_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix = F.element_at(F.array(*[F.lit(x) for x in ("LSE:", "nasdaq:", "ZZZ:", "")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(prefix, F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.lit("Denmark").alias("given"))
+    """Suppliers' tickers with every prefix in turn; one that is unknown or that two countries use leaves the given country."""
+    prefix = F.element_at(F.array(*[F.lit(x) for x in _PREFIXES]), (F.col("s_suppkey") % len(_PREFIXES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(prefix, F.lit("T"), F.col("s_suppkey").cast("string")).alias("ticker"), F.lit("Iceland").alias("given"))
     return resolve.with_country(rows, "ticker", "given").select("s_suppkey", "bare_ticker", "country")
 
 
-EXCHANGE_PREFIX = """
-SELECT s_suppkey, 'T' || s_suppkey AS bare_ticker, ['United Kingdom', 'United States', 'Denmark', 'Denmark'][s_suppkey % 4 + 1] AS country FROM supplier"""
+_LISTED = ", ".join(f"('{c}', [{', '.join(repr(x) for x in p)}])" for c, p in maps.PREFIXES.items())
+EXCHANGE_PREFIX = f"""
+WITH c AS (SELECT country, unnest(prefixes) AS prefix FROM (VALUES {_LISTED}) AS v(country, prefixes)),
+s AS (SELECT s_suppkey, [{", ".join(repr(x) for x in _PREFIXES)}][s_suppkey % {len(_PREFIXES)} + 1] AS p FROM supplier)
+SELECT s_suppkey, 'T' || s_suppkey AS bare_ticker, coalesce(country, 'Iceland') AS country FROM s LEFT JOIN c ON prefix = upper(rtrim(p, ':'))"""
 
 
 def resolve_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
