@@ -178,15 +178,16 @@ SELECT s_suppkey, s_suppkey % 2 = 0 AS is_isin, left(lpad(regexp_replace(s_name,
 
 def industry_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types as industries: the dictionary, the REIT prefix, then the fuzzy layer."""
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("Banks-Regional", "REIT - Offices", "thermal  coal", "Steel", "??", "")]), (F.col("p_size") % 6 + 1).cast("int"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("Banks-Regional", "REIT - Offices", "thermal  coal", "Steel", "??", "", "Semiconductors", "Homebuildings", "Green Renewable Energy")]), (F.col("p_size") % 9 + 1).cast("int"))
     rows = table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
     name, method = approx.industry(F.col("raw"))
     return rows.select("p_partkey", "raw", name.alias("industry"), method.alias("method"))
 
 
 INDUSTRY_MAP = """
-SELECT p_partkey, ['Banks-Regional', 'REIT - Offices', 'thermal  coal', 'Steel', '??', ''][p_size % 6 + 1] AS raw, ['Banks (Regional)', 'R.E.I.T.', 'Coal & Related Energy', 'Steel', NULL, NULL][p_size % 6 + 1] AS industry,
-       ['dict', 'dict', 'dict', 'dict', 'none', 'none'][p_size % 6 + 1] AS method FROM part"""
+WITH w AS (SELECT unnest(range(0, 9)) AS k, unnest(['Banks-Regional', 'REIT - Offices', 'thermal  coal', 'Steel', '??', '', 'Semiconductors', 'Homebuildings', 'Green Renewable Energy']) AS raw,
+    unnest(['Banks (Regional)', 'R.E.I.T.', 'Coal & Related Energy', 'Steel', NULL, NULL, 'Semiconductor', 'Homebuilding', 'Green & Renewable Energy']) AS industry, unnest(['dict', 'dict', 'dict', 'dict', 'none', 'none', 'fuzzy', 'fuzzy', 'fuzzy']) AS method)
+SELECT p_partkey, raw, industry, method FROM part JOIN w ON p_size % 9 = k"""
 
 
 def fuzzy_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
