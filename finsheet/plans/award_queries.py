@@ -390,6 +390,35 @@ SELECT s_suppkey, coalesce(a.t, b.t, d.t) AS target, CASE WHEN a.t IS NOT NULL T
 FROM s LEFT JOIN a ON a.c_nationkey = s_nationkey AND a.c_mktsegment = trade LEFT JOIN b ON b.n_regionkey = region CROSS JOIN d"""
 
 
+def dimensional_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as filings whose facts have award and plan axes: details without a plan and shared inputs find their bucket, a fact with an axis too many is left out."""
+    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.count(F.lit(1)).alias("n"))
+    award, plan = F.lit("us-gaap:AwardTypeAxis"), F.lit("us-gaap:PlanNameAxis")
+    units, options = F.lit("us-gaap:RestrictedStockUnitsRSUMember"), F.lit("us-gaap:EmployeeStockOptionMember")
+    prefix, day = "us-gaap:ShareBasedCompensationArrangementByShareBasedPaymentAward", lambda s: F.lit(s).cast("date")
+    of_units, years = F.create_map(award, units), (1 + F.col("l_orderkey") % 4).cast("string")
+    rows = [  # concept, text, number, at an instant, axes
+        ("EquityInstrumentsOtherThanOptionsNonvestedNumber", None, F.lit(9e9), True, F.create_map(award, units, plan, F.lit("x:PlanMember"), F.lit("srt:RangeAxis"), F.lit("srt:MaximumMember"))),
+        ("EquityInstrumentsOtherThanOptionsNonvestedNumber", None, F.col("q") * 1000, True, F.create_map(award, units, plan, F.lit("x:PlanMember"))),
+        ("EquityInstrumentsOtherThanOptionsNonvestedWeightedAverageGrantDateFairValue", None, F.col("high"), True, of_units),
+        ("AwardVestingPeriod1", F.concat(F.lit("P"), years, F.lit("Y")), F.lit(None).cast("double"), False, of_units),
+        ("OptionsOutstandingNumber", None, F.col("n") * 10_000.0, True, F.create_map(award, options)),
+        ("OptionsOutstandingWeightedAverageExercisePrice", None, F.col("low"), True, F.create_map(award, options)),
+        ("OptionsOutstandingWeightedAverageRemainingContractualTerm1", F.lit("P5Y6M"), F.lit(None).cast("double"), False, F.create_map().cast("map<string,string>")),
+    ]
+    entry = lambda i, c, t, v, instant, dims: F.struct(F.lit(i).cast("long").alias("pos"), F.lit(prefix + c).alias("concept"), F.coalesce(t, v.cast("string")).alias("value") if t is not None else v.cast("string").alias("value"), v.cast("double").alias("numeric_value"), F.lit("shares").alias("unit_ref"), (F.lit(None).cast("date") if instant else day("2025-01-01")).alias("period_start"), (F.lit(None).cast("date") if instant else day("2025-12-31")).alias("period_end"), (day("2025-12-31") if instant else F.lit(None).cast("date")).alias("period_instant"), dims.alias("dims"))
+    tagged = sums.select(F.col("l_orderkey").cast("string").alias("filing"), F.explode(F.array(*[entry(i, *row) for i, row in enumerate(rows)])).alias("f")).select("filing", "f.*")
+    filings = sums.select(F.col("l_orderkey").cast("string").alias("filing"), day("2025-12-31").alias("period_of_report"))
+    out = facts.plan_rows_of(tagged, filings)
+    return out.select("filing", "kind", F.col("rank").cast("long").alias("rank"), F.bround("count_mn", 6).alias("count_mn"), "strike", "maturity_years")
+
+
+DIMENSIONAL_FACTS = """
+WITH s AS (SELECT l_orderkey AS k, sum(l_quantity) * 1000 / 1e6 AS u, max(l_extendedprice) AS high, min(l_extendedprice) AS low, count(*) * 10000.0 / 1e6 AS o FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT k, 'rsu' AS kind, u AS c, high AS strike, 1.0 + k % 4 AS maturity_years FROM s UNION ALL SELECT k, 'option', o, low, 5.5 FROM s)
+SELECT CAST(k AS VARCHAR) AS filing, kind, row_number() OVER (PARTITION BY k ORDER BY c DESC, kind) AS rank, round_even(CAST(c AS DOUBLE), 6) AS count_mn, strike, CAST(maturity_years AS DOUBLE) AS maturity_years FROM r"""
+
+
 def facts_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from tagged facts to strict rows: each order is a filing, each line item a tagged fact."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag")
