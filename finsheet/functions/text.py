@@ -115,13 +115,6 @@ def head_and_tail(x, dense: float = 0.10, long: int = 3500, short: int = 2500, t
     return F.when(F.length(_c(x)) <= head + tail, _c(x)).otherwise(F.concat(F.substring(_c(x), F.lit(1), head), F.lit("\n[...]\n"), F.right(_c(x), F.lit(tail))))
 
 
-def hits(x, patterns: Iterable[str]) -> Column:
-    """First match of each pattern that matches, in pattern order; plain patterns see lower case, others the text itself."""
-    raw, low = _c(x), F.lower(_c(x))
-    found = [F.nullif(F.regexp_extract(low if p.isascii() else raw, f"({p})", 1), F.lit("")) for p in patterns]
-    return F.filter(F.array(*found), lambda v: v.isNotNull())
-
-
 def verdict(x) -> Column:
     """(keep, confidence, reason) of a page classifier's answer; anything unclear keeps the page with low confidence."""
     s = _c(x)
