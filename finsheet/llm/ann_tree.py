@@ -4,8 +4,10 @@ The tree is fitted on a bounded sample and holds centres only; every vector is t
 vectors is cut into cells and the queries that visit it into parts, so one task has at most about ``cell`` vectors and
 ``cell`` queries. A query walks the tree with a priority queue of
 squared distances to centres and so gets the leaves in best-bin-first order; how many it visits is widened, on a
-bounded set of calibration queries answered by brute force, until their recall reaches the target. Distances are
-exact Euclidean distances in double precision.
+bounded set of calibration queries answered by brute force, until their recall reaches the target. A mean recall says
+nothing of the single query, so each then visits whatever other leaf lies no farther than its k-th find (distance to
+the centre less the radius of the leaf's rows), which leaves no nearer vector out. Distances are exact Euclidean
+distances in double precision.
 
 Defined cases: vectors that are null, of another length than most, all zero, or hold null or non-finite components
 take no part; a query has all candidates if there are fewer than k; ties go to the smaller id; repeated vectors are
@@ -50,15 +52,18 @@ class KMeansTree:
                 self.children.append([])
                 self.leaf.append(-1)
         self.centre = np.stack(self.centre)
+        self.leaf_centre = np.stack([c for _, c in sorted((n, tuple(c)) for n, c in zip(self.leaf, self.centre, strict=True) if n >= 0)])
 
     @staticmethod
     def _split(x: np.ndarray, k: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+        middle = x.mean(axis=0)  # squares of rows far from zero would drown their differences
+        x = x - middle
         c = np.unique(x[rng.choice(len(x), min(k, len(x)), replace=False)], axis=0)
         for _ in range(12):
             near = np.argmin((c**2).sum(axis=1) - 2 * x @ c.T, axis=1)
             c = np.stack([x[near == j].mean(axis=0) if (near == j).any() else c[j] for j in range(len(c))])
         near = np.argmin((c**2).sum(axis=1) - 2 * x @ c.T, axis=1)
-        return [(c[j], x[near == j]) for j in range(len(c)) if (near == j).any()]
+        return [(c[j] + middle, x[near == j] + middle) for j in range(len(c)) if (near == j).any()]
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each vector: the nearest child at every level."""
@@ -70,8 +75,8 @@ class KMeansTree:
             if not kids:
                 out[rows] = self.leaf[node]
                 continue
-            c = self.centre[kids]
-            near = np.argmin((c**2).sum(axis=1) - 2 * x[rows] @ c.T, axis=1)
+            c = self.centre[kids] - self.centre[node]
+            near = np.argmin((c**2).sum(axis=1) - 2 * (x[rows] - self.centre[node]) @ c.T, axis=1)
             todo += [(kid, rows[near == j]) for j, kid in enumerate(kids) if (near == j).any()]
         return out
 
@@ -91,6 +96,15 @@ class KMeansTree:
             out.append(self.leaf[node])
         return out
 
+    def off_centre(self, x: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Distance of each vector to the centre of its leaf."""
+        return np.sqrt(((x - self.leaf_centre[leaf]) ** 2).sum(axis=1))
+
+    def within(self, q: np.ndarray, reach: float, radius: np.ndarray) -> np.ndarray:
+        """Leaves that can hold a vector no farther than ``reach``, given the radius of each leaf's rows."""
+        d = np.sqrt(((self.leaf_centre - q) ** 2).sum(axis=1))
+        return np.flatnonzero(~(d - radius > reach + 1e-9 * (d + radius)))
+
 
 def best_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """Each query's k nearest of ``vectors`` but itself, ties to the smaller id, by exact differences."""
@@ -98,11 +112,10 @@ def best_k(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids:
     order = np.argsort(ids, kind="stable")
     vectors, ids = vectors[order], ids[order]
     for q, own in zip(queries, query_ids, strict=True):
-        d = ((vectors - q) ** 2).sum(axis=1)
-        d[ids == own] = np.inf
+        others = np.flatnonzero(ids != own)
+        d = ((vectors - q) ** 2).sum(axis=1)[others]  # infinite where squares overflow, a candidate all the same
         near = np.argsort(d, kind="stable")[:k] if len(d) <= 4 * k else _smallest(d, k)
-        near = near[np.isfinite(d[near])]
-        found.append(pd.DataFrame({"query_id": own, "vec_id": ids[near], "score": np.sqrt(d[near])}))
+        found.append(pd.DataFrame({"query_id": own, "vec_id": ids[others[near]], "score": np.sqrt(d[near])}))
     return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
@@ -143,22 +156,36 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
     def deal(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(shared.value.assign(stack(b.column("v"))))], names=["vec_id", "v", "leaf"])
-
-    dealt = vectors.mapInArrow(deal, "vec_id long, v array<double>, leaf long")
-    sizes = dealt.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / cell).alias("cells"))
-    cells = {r.leaf: int(r.cells) for r in sizes.collect()}  # one row per leaf of the bounded tree
+                x = stack(b.column("v"))
+                leaf = shared.value.assign(x)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaf), pa.array(shared.value.off_centre(x, leaf))], names=["vec_id", "v", "leaf", "off"])
+
+    dealt = materialise(vectors.mapInArrow(deal, "vec_id long, v array<double>, leaf long, off double"), "dealt")
+    sizes = dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / cell).alias("cells"), F.max("off").alias("radius")).collect()  # one row per leaf of the bounded tree
+    cells, radius = {r.leaf: int(r.cells) for r in sizes}, np.zeros(tree.leaves)
+    for r in sizes:
+        radius[r.leaf] = r.radius
     literal = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     cells_of = F.element_at(literal(cells), F.col("leaf"))
-    dealt = materialise(dealt.withColumn("cell", F.pmod(F.xxhash64("vec_id", F.lit(9)), cells_of)), "leaves")
+    dealt = dealt.select("vec_id", "v", "leaf", F.pmod(F.xxhash64("vec_id", F.lit(9)), cells_of).alias("cell"))
 
     def search(queries: DataFrame, visits: int, candidates: DataFrame) -> DataFrame:
-        """``queries`` against the leaves they visit; each cell answers with its own k best."""
+        """``queries`` against the leaves they visit; each cell answers with its own k best.
+
+        With a column ``reach`` they visit the leaves within it that are not among their first ``visits``.
+        """
+        further = "reach" in queries.columns
+        keys = [F.col(c).cast("long").alias(c) for c in ("leaf", "cell", "part")]  # a cogroup meets keys of one type only: an int hashes unlike a long
 
         def walk(batches):
             """Which leaves each query visits; the vectors are added by Spark, once a visit."""
             for b in batches:
-                leaves = [[x for x in shared.value.order(q, visits) if x in cells] for q in (stack(b.column("v")) if b.num_rows else [])]
+                q = stack(b.column("v")) if b.num_rows else []
+                leaves = [shared.value.order(x, visits) for x in q]
+                if further:
+                    reach = b.column("reach").to_numpy(zero_copy_only=False)
+                    leaves = [np.setdiff1d(shared.value.within(x, r, radius), own).tolist() for x, r, own in zip(q, reach, leaves, strict=True)]
+                leaves = [[x for x in own if x in cells] for own in leaves]
                 yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(leaves, pa.list_(pa.int64()))], names=["query_id", "q", "leaves"])
 
         def answer(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -170,8 +197,8 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
         visiting = walked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # one row per leaf of the bounded tree
         parts = F.coalesce(F.try_element_at(literal({r.leaf: -(-int(r["count"]) // cell) for r in visiting} or {-1: 1}), F.col("leaf")), F.lit(1))
         asked = walked.select("query_id", "q", F.explode("leaves").alias("leaf")).withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(21)), parts))
-        asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), cells_of - 1)))
-        vectors_of = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), cells_of - 1))).select("query_id", "q", *keys)
+        vectors_of = candidates.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("vec_id", "v", *keys)
         found = asked.groupBy("leaf", "cell", "part").cogroup(vectors_of.groupBy("leaf", "cell", "part")).applyInPandas(answer, RESULT)
         return _top(found, k)
 
@@ -195,7 +222,13 @@ def nearest(table: DataFrame, is_query, k: int = 10, id_column: str = "vec_id",
             if got >= recall * wanted:
                 break
             visits = min(tree.leaves, visits * 2)
-    return search(queries, visits, dealt).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = search(queries, visits, dealt)
+    if visits < tree.leaves:
+        found = materialise(found, "first")
+        reach = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reach"))
+        rest = queries.join(reach, "vec_id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+        found = _top(found.drop("rank").unionByName(search(rest, visits, dealt).drop("rank")), k)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:

@@ -59,3 +59,23 @@ def test_tree_orders_every_leaf_once():
     tree = KMeansTree(x, 4, 50)
     assert sorted(tree.order(x[0], 10**6)) == list(range(tree.leaves))
     assert set(tree.assign(x)) <= set(range(tree.leaves))
+
+
+def test_rare_scattered_rows_among_dense_ones(spark):
+    """Nine tenths in tight groups meet the calibration's mean; the scattered tenth must find its nearest as well."""
+    rng = np.random.default_rng(5)
+    dense = np.repeat(rng.normal(0, 0.01, (36, 16)), 100, axis=0) + rng.normal(0, 1e-4, (3600, 16))
+    x = np.concatenate([dense, rng.normal(0, 10, (400, 16))])[rng.permutation(4000)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = as_dict(nearest(table, "vec_id % 20 = 0", leaf_size=25)), brute(list(range(4000)), x, list(range(0, 4000, 20)))
+    assert {q: [v for v, _ in got[q]] for q in got} == {q: [v for v, _ in want[q]] for q in want}
+
+
+def test_rows_far_from_zero_and_beyond_squares(spark):
+    rng = np.random.default_rng(6)
+    x = 1e8 + rng.normal(0, 1, (1500, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got, want = as_dict(nearest(table, "vec_id % 30 = 0", leaf_size=25)), brute(list(range(1500)), x, list(range(0, 1500, 30)))
+    assert {q: [v for v, _ in got[q]] for q in got} == {q: [v for v, _ in want[q]] for q in want}
+    huge = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1e200, 0.0]), (2, [2.0, 0.0]), (3, [-1e200, 0.0])], "vec_id long, embedding array<double>")
+    assert as_dict(nearest(huge, "vec_id % 100 = 0")) == {0: [(2, 1.0), (1, float("inf")), (3, float("inf"))]}
