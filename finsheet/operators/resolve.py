@@ -51,11 +51,13 @@ def contains_join(queries: DataFrame, registry: DataFrame, query: str, name: str
     """Pairs whose registry name contains the query (of at least one character), without a nested loop.
 
     A name that contains the query contains the query's first gram, or the whole of a shorter query, so the join is by
-    equality on that.
+    equality on that. Each name is cut into grams once, however many rows have it. Spark takes a table of grams to be as
+    small as its file, so it would send it through the driver: both joins are told to merge.
     """
     left = queries.where(F.length(query) > 0).withColumn("__gram", F.substring(F.upper(query), 1, GRAM))
-    right = registry.withColumn("__gram", F.explode(_grams(F.upper(F.col(name)))))
-    return left.join(right, "__gram").where(F.contains(F.upper(F.col(name)), F.upper(F.col(query)))).drop("__gram")
+    right = registry.select(F.col(name).alias("__name")).distinct().withColumn("__gram", F.explode(_grams(F.upper("__name"))))
+    met = left.join(right.hint("merge"), "__gram").where(F.contains(F.upper("__name"), F.upper(F.col(query)))).drop("__gram")
+    return met.join(registry.withColumn("__name", F.col(name)).hint("merge"), "__name").drop("__name")
 
 
 def best_by_name(pairs: DataFrame, query_id: str, name: str, active: Column, tie: list[str]) -> DataFrame:

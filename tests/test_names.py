@@ -50,3 +50,12 @@ def test_short_queries_are_found_in_names(spark):
 def test_short_queries_begin_names(spark):
     got = {r.q: r.n for r in resolve.prefix_family(*tables(spark), "q", "n", "filed", "q").collect()}
     assert got == {q: min((n for n in NAMES if n and n.upper().startswith(q.upper())), key=lambda n: (len(n), n)) for q in QUERIES if q and any(n and n.upper().startswith(q.upper()) for n in NAMES)}
+
+
+def test_contained_names_never_pass_through_the_driver(spark):
+    """Grams are many times the names; cut by row and sent to every task they took the driver's memory."""
+    registry = spark.createDataFrame([(i, f"Alpha {'beta' if i % 2 else 'gamma'}") for i in range(600)] + [(600, None), (601, "")], "id long, p string")
+    queries = spark.createDataFrame([("BETA",), ("a",), ("",), (None,), ("delta",)], "query string")
+    pairs = resolve.contains_join(queries, registry, "query", "p")
+    assert {r["query"]: r["n"] for r in pairs.groupBy("query").agg(F.count("*").alias("n")).collect()} == {"BETA": 300, "a": 600}
+    assert pairs.columns == ["query", "id", "p"] and "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
