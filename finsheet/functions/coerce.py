@@ -27,6 +27,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def half_even(x: Column, places: int) -> Column:
+    """A double rounded half to even as it is stored, as SQL engines do; ``bround`` rounds its shortest decimal form instead.
+
+    271866.525 is stored as a little more, so two places make it .53 here and .52 there.
+    """
+    scaled = x * (10.0**places)
+    return F.when(F.abs(scaled) < float("inf"), F.rint(scaled) / (10.0**places) + 0.0).otherwise(x)  # no negative zero
+
+
 def real(x) -> Column:
     """Text to a finite double: commas dropped, the blank words and anything unreadable NULL.
 

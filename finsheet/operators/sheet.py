@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finsheet.functions.coerce import half_even
+
 UNIT_FACTORS = {"thousands": 0.001, "millions": 1.0, "billions": 1000.0, "units": 1e-6}
 
 
@@ -50,7 +52,7 @@ def bare_label(label) -> Column:
 
 def _about(gap: Column) -> Column:
     """How far a value may lie from a gap that it explains: one per cent in whole units, one at least."""
-    return F.greatest(F.lit(1.0), F.bround(F.abs(gap) * 0.01, 0))
+    return F.greatest(F.lit(1.0), half_even(F.abs(gap) * 0.01, 0))
 
 
 def nearest_bucket(buckets: DataFrame, gaps: DataFrame, by: list[str], bucket: str, amount: str) -> DataFrame:

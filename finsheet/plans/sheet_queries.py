@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from finsheet.functions.coerce import half_even
 from finsheet.operators import forecast, margin, sheet
 from finsheet.plans.tables import table
 
@@ -36,7 +37,7 @@ def _printed(buckets: DataFrame, lines: DataFrame) -> DataFrame:
     low = lines.groupBy("c_nationkey").agg(F.min("value").alias("low"))
     turn = F.col("c_nationkey") % 5
     total = F.when(turn == 0, F.col("s") - F.coalesce("m", F.lit(0.0))).when(turn == 1, F.col("s") * 1.05).when(turn == 2, F.col("s") + F.least(F.lit(0.0), F.coalesce("low", F.lit(0.0)))).when(turn == 3, F.col("s") - F.coalesce("o", F.lit(0.0))).otherwise(F.col("s"))
-    return sums.join(low, "c_nationkey", "left").select("c_nationkey", "side", F.bround(total, 2).alias("total"))
+    return sums.join(low, "c_nationkey", "left").select("c_nationkey", "side", half_even(total, 2).alias("total"))
 
 
 _LINES_SQL = """
@@ -58,7 +59,7 @@ _CHECK_SQL = f"""
 
 def tally_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _checked(_buckets(spark, sf_dir), _contra_lines(spark, sf_dir))
-    return rows.select("c_nationkey", "side", F.bround("computed", 2).alias("computed"), "total", F.bround("gap", 2).alias("gap"), F.bround("tolerance", 2).alias("tolerance"), "balanced")
+    return rows.select("c_nationkey", "side", half_even(F.col("computed"), 2).alias("computed"), "total", half_even(F.col("gap"), 2).alias("gap"), half_even(F.col("tolerance"), 2).alias("tolerance"), "balanced")
 
 
 TALLY_CHECK = f"""SELECT c_nationkey, side, round_even(computed, 2) AS computed, total, round_even(gap, 2) AS gap, round_even(tolerance, 2) AS tolerance, balanced FROM ({_CHECK_SQL})"""
@@ -70,7 +71,7 @@ def gap_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = checked.where("not balanced").select(*by, "gap")
     rows = sheet.diagnose(checked, sheet.nearest_bucket(buckets, gaps, by, "bucket", "amount"), sheet.contra_line(lines, gaps, by, "side", "label", "value"), by)
     text = sheet.diagnosis_text(F.col("side"), F.col("gap"), F.col("diagnosis"), F.coalesce("suspect", "contra"))
-    return rows.select(*by, "suspect", F.bround("suspect_amount", 2).alias("suspect_amount"), "contra", "contra_value", "diagnosis", text.alias("message"))
+    return rows.select(*by, "suspect", half_even(F.col("suspect_amount"), 2).alias("suspect_amount"), "contra", "contra_value", "diagnosis", text.alias("message"))
 
 
 GAP_DIAGNOSIS = f"""
