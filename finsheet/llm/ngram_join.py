@@ -3,8 +3,8 @@
 A document is its set of hashed five-word shingles. Equal sets are one class, represented by their smallest id, so
 copies are never compared. Each representative has a label of DEPTH minima per tree of the forest. A tree is the trie of
 its labels: a node is a prefix, its members the rows that begin with it, and two documents meet in a tree when they share a
-node. The matched prefix starts at full depth and is shortened until the recall reaches its target over the
-similarities of linked pairs that a sample of these documents holds. Documents that meet anywhere are first put into one candidate component through their tries' nodes (a node with any
+node. The matched prefix starts at full depth and is shortened until pairs just at the threshold, the hardest to find,
+meet as often as the recall asks for, so every more similar pair does whatever the data hold. Documents that meet anywhere are first put into one candidate component through their tries' nodes (a node with any
 number of members costs one row per member, never pairs). Components are then verified exactly: their members are
 dealt into blocks, each pair of blocks is one task's work, and a task counts common shingles by a matrix product.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finsheet.llm.common import drop, hot_join, materialise
@@ -50,9 +50,9 @@ def prefix_length(seen: list[tuple[float, float]], threshold: float, recall: flo
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, set_key, size, probe, labels): labels has a row of DEPTH minima, 4 bytes each, for every tree.
+    """(doc_id, set_key, size, labels): labels has a row of DEPTH minima, 4 bytes each, for every tree.
 
-    Equal prefixes of labels are a trie node; ``probe`` is one more minimum, by which the calibration draws its sample.
+    Equal prefixes of labels are a trie node.
     """
 
     def sketch(batches):
@@ -73,35 +73,12 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
             labels = np.zeros((len(full), TREES * DEPTH), dtype=np.uint32)
             for t in range(TREES * DEPTH):
                 labels[:, t] = mix(np.minimum.reduceat(values * _turn[t], start)) >> np.uint64(32)
-            probe = mix(np.minimum.reduceat(mix(values ^ np.uint64(0x1D872B41)), start))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(full)), pa.array([k.tobytes() for k in key], pa.binary()), pa.array(size[full], pa.int64()), pa.array(probe.view(np.int64)), pa.array([x.tobytes() for x in labels.byteswap()], pa.binary())],
-                names=["doc_id", "set_key", "size", "probe", "labels"],
+                [batch.column("doc_id").take(pa.array(full)), pa.array([k.tobytes() for k in key], pa.binary()), pa.array(size[full], pa.int64()), pa.array([x.tobytes() for x in labels.byteswap()], pa.binary())],
+                names=["doc_id", "set_key", "size", "labels"],
             )
 
-    return docs.mapInArrow(sketch, "doc_id long, set_key binary, size long, probe long, labels binary")
-
-
-def similarities(own: DataFrame, reps: DataFrame, n: int, threshold: float, most: int = 20_000, together: int = 60) -> list[tuple[float, float]]:
-    """(similarity, weight) of the linked pairs in a sample: what the forest has to find in these data.
-
-    The sample takes about ``most`` representatives at most, by a minimum of their shingles, so a pair of similarity s comes
-    in together with a chance in proportion to s, and of one minimum at most ``together`` of them. Only calibration looks at it.
-    """
-    share = min(1.0, most / max(1, reps.count()))
-    drawn = reps.where(F.pmod(F.xxhash64("probe"), F.lit(1_000_003)) < int(1_000_003 * share)).select("doc_id", "probe")
-    drawn = drawn.withColumn("i", F.row_number().over(Window.partitionBy("probe").orderBy(F.xxhash64("doc_id")))).where(F.col("i") <= together).drop("i")
-    drawn = drawn.join(drawn.groupBy("probe").count().where("count > 1").select("probe"), "probe", "left_semi")
-
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in frame["shingles"]]
-        common, size = common_counts(sets, sets), np.array([len(x) for x in sets])
-        s = (common / (size[:, None] + size[None, :] - common))[np.triu_indices(len(sets), 1)]
-        s = np.round(s[(s >= threshold) & (s < 1)], 2)
-        return pd.DataFrame({"s": s, "w": 1 / s})
-
-    found = shingle_sets(own.join(F.broadcast(drawn), "doc_id"), n).groupBy("probe").applyInPandas(compare, "s double, w double")
-    return [(float(r.s), float(r.w)) for r in found.groupBy("s").agg(F.sum("w").alias("w")).collect()]
+    return docs.mapInArrow(sketch, "doc_id long, set_key binary, size long, labels binary")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -200,9 +177,9 @@ def ngram_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: f
     member = materialise(hot_join(sketched.select("doc_id", "set_key", "size"), sets, "set_key", "copies", sketched.count()).select("doc_id", "rep_id", "copies", "size"), "members")
     drop(sets)
     reps = member.where("doc_id = rep_id").dropDuplicates(["doc_id"])
-    signed = materialise(sketched.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "probe", "labels"), "signatures")
+    signed = materialise(sketched.join(reps.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "labels"), "signatures")
     drop(sketched)
-    length = prefix_length(similarities(own, signed, n, threshold), threshold, recall)
+    length = prefix_length([(threshold, 1.0)], threshold, recall)
     # One row per representative and tree; a trie node with a single representative links nothing.
     nodes = trie_nodes(signed, length)
     met = materialise(nodes.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high").drop("high"), "nodes")

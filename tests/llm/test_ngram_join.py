@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from finsheet.llm import ngram_join
 from finsheet.llm.ngram_join import keep_one_per_class, ngram_classes, prefix_length
 
 
@@ -106,3 +107,15 @@ def test_measured_recall_of_pairs_near_the_threshold(spark):
 
 def test_a_column_name_with_a_dot(spark):
     assert [tuple(r) for r in keep_one_per_class(spark.createDataFrame([(1, "x", 7)], "doc_id long, text string, `a.b` int")).collect()] == [(1, "x", 7)]
+
+
+@pytest.mark.parametrize("near", [0, 40])
+def test_prefix_is_the_same_whatever_pairs_the_documents_hold(spark, monkeypatch, near):
+    """Many very similar pairs must not lengthen the prefix at the cost of the few at the threshold."""
+    lengths = []
+    monkeypatch.setattr(ngram_join, "prefix_length", lambda *a, **k: lengths.append(prefix_length(*a, **k)) or lengths[-1])
+    words = [[f"p{i}w{k}" for k in range(200)] for i in range(near)]
+    rows = [(2 * i + j, " ".join([*w[:199], f"x{j}"])) for i, w in enumerate(words) for j in (0, 1)] + [(1000, "some other words of its own")]
+    got = as_dict(ngram_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows)
+    assert ngram_join.met_in_some_tree(0.8, lengths[0]) >= 0.999
