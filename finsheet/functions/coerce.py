@@ -27,6 +27,11 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def bound(x: Column, body) -> Column:
+    """``body`` of ``x``, which is evaluated once however often ``body`` names it; inside lambdas nothing else shares a value."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def half_even(x: Column, places: int) -> Column:
     """A double rounded half to even as it is stored, as SQL engines do; ``bround`` rounds its shortest decimal form instead.
 
@@ -98,11 +103,11 @@ def json_sums(x) -> Column:
     def total(chain: Column) -> Column:
         terms = F.regexp_extract_all(signs_folded(chain), F.lit(rf"([-+]?\s*{_AMOUNT})"), F.lit(1))
         value = F.aggregate(terms, F.lit(0.0), lambda held, t: held + F.regexp_replace(t, r"[\s,+]", "").try_cast("double"))
-        return F.when((value == F.floor(value)) & (F.abs(value) < 9e15), value.cast("long").cast("string")).otherwise(value.cast("string"))
+        return bound(value, lambda v: F.when((v == F.floor(v)) & (F.abs(v) < 9e15), v.cast("long").cast("string")).otherwise(v.cast("string")))
 
     def outside(part: Column) -> Column:
-        sums, rest = F.regexp_extract_all(part, F.lit(_SUM), F.lit(1)), F.split(part, _SUM)
-        return F.when(F.size(sums) == 0, part).otherwise(F.array_join(F.transform(F.arrays_zip(rest.alias("r"), F.concat(F.transform(sums, total), F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["r"], z["s"])), ""))
+        joined = lambda sums: F.array_join(F.transform(F.arrays_zip(F.split(part, _SUM).alias("r"), F.concat(F.transform(sums, total), F.array(F.lit(""))).alias("s")), lambda z: F.concat(z["r"], z["s"])), "")
+        return bound(F.regexp_extract_all(part, F.lit(_SUM), F.lit(1)), lambda sums: F.when(F.size(sums) == 0, part).otherwise(joined(sums)))
 
     return F.when(_c(x).isNotNull(), F.array_join(F.transform(parts, lambda p: F.when(F.startswith(p, F.lit('"')), p).otherwise(outside(p))), ""))
 
