@@ -50,3 +50,16 @@ def test_series_of_a_block_that_stands_anywhere(spark):
     assert [tuple(r) for r in block.collect()] == [("A", "$.data[1].analysis.future")]
     points = tree.series(found, ["id"], block, {"merged_future_revenue": "revenue", "merged_future_eps": "eps"})
     assert sorted(tuple(r) for r in points.collect()) == [("A", "eps", 1798675200000, 2.0), ("A", "revenue", 1798675200000, 5.5)]
+
+
+def test_every_partition_is_walked_where_it_is(spark):
+    """The walk shuffles and gathers nothing, so a task reads no more documents than before."""
+    df = spark.createDataFrame([(i, json.dumps(deep(2))) for i in range(100)], "id int, t string").repartition(40)
+    found = tree.nodes(df, ["id"], F.col("t"))
+    assert found.rdd.getNumPartitions() == 40 and found.count() == 100 * (1 + len(walk(deep(2))))
+
+
+def test_brackets_in_strings_are_no_levels(spark):
+    texts = [json.dumps({"a": '[[{"\\', "[": [1]}), "[[],[[1]]]", "3", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    assert [r[0] for r in df.orderBy("id").select(tree.levels(F.col("t"))).collect()] == [2, 3, 0, 0]
