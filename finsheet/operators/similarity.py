@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from finsheet.functions.coerce import once
 from finsheet.functions.text import key_of_name
 
 
@@ -44,12 +45,17 @@ def prefix_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return keys[0].join(keys[1], "g").select("a", "b").distinct()
 
 
+def spread(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) over all shuffle partitions: they are small and costly to compare, so too few tasks would get them by size."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+
+
 def least_together(length: Column, threshold: float) -> Column:
     """Least length of two forms together, given one of them and a ratio (2 x common / together) of ``threshold``."""
     return 2 * length / (2 - threshold)
 
 
-def _lcs(a: str, b: str) -> int:
+def common_letters(a: str, b: str) -> int:
     """Length of the longest common subsequence, a column of the table per machine word operation."""
     at: dict[str, int] = {}
     for i, c in enumerate(a):
@@ -74,7 +80,7 @@ def set_ratio(a: str, b: str) -> float:
         return 100.0
     gap = int(bool(both))
     one, two = len(both) + gap + len(left), len(both) + gap + len(right)
-    ratios = [200 * (len(both) + gap + _lcs(left, right)) / (one + two)]
+    ratios = [200 * (len(both) + gap + common_letters(left, right)) / (one + two)]
     if both:
         ratios += [200 * len(both) / (len(both) + n) for n in (one, two)]
     return max(ratios)
@@ -87,7 +93,7 @@ def _set_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 def _words(names: DataFrame, name: str) -> DataFrame:
     """(name, key, words, n): the key is the words of the name's plain form, each once, sorted."""
     words = F.array_sort(F.array_distinct(F.filter(F.split(key_of_name("name"), " "), lambda w: w != "")))
-    own = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("words", words)
+    own = once(names.select(F.col(name).alias("name")).where("name is not null").distinct(), words=words)
     return own.where("size(words) > 0").select("name", F.array_join("words", " ").alias("key"), "words")
 
 
@@ -98,9 +104,10 @@ def _alike_by_letters(left: DataFrame, right: DataFrame, t: float) -> DataFrame:
     k <= l - 2m + 1 and at least (1.5 t - 1) l - 1 neighbours are common. At most two of them touch each blank. Where that
     leaves none, as in short forms and at t up to 2/3, single letters are the grams.
     """
-    letters = lambda df: df.select("key", numbered(F.split(F.replace("key", F.lit(" "), F.lit("")), "")).alias("grams"), F.greatest(F.lit(1), F.ceil(t * least_together(F.length("key"), t) / 2 - 1e-9) - (F.size("words") - 1)).cast("int").alias("need"))
+    cut = lambda df, grams: once(df, grams=grams)
+    letters = lambda df: cut(df, F.split(F.replace("key", F.lit(" "), F.lit("")), "")).select("key", numbered(F.col("grams")).alias("grams"), F.greatest(F.lit(1), F.ceil(t * least_together(F.length("key"), t) / 2 - 1e-9) - (F.size("words") - 1)).cast("int").alias("need"))
     need = F.ceil((1.5 * t - 1) * least_together(F.length("key"), t) - 1 - 1e-9) - 2 * (F.size("words") - 1)
-    pairs = lambda df: df.select("key", numbered(F.flatten(F.transform("words", lambda w: runs(w, 2)))).alias("grams"), need.cast("int").alias("need"))
+    pairs = lambda df: cut(df, F.flatten(F.transform("words", lambda w: runs(w, 2)))).select("key", numbered(F.col("grams")).alias("grams"), need.cast("int").alias("need"))
     if 1.5 * t <= 1 + 1e-9:
         return prefix_pairs(letters(left), letters(right))
     long = lambda df: pairs(df).where("need > 0")
@@ -134,7 +141,7 @@ def alike_as_sets(queries: DataFrame, names: DataFrame, query: str, name: str, t
         raise ValueError("threshold is a ratio from 50 to 100")
     left, right, t = _words(queries, query), _words(names, name), threshold / 100
     forms = [df.select("key", "words").distinct() for df in (left, right)]
-    candidates = _alike_by_letters(*forms, t).unionByName(_alike_by_words(*forms, t)).distinct()
+    candidates = spread(_alike_by_letters(*forms, t).unionByName(_alike_by_words(*forms, t)).distinct())
     ratio = F.pandas_udf(_set_ratios, "double")
     scored = candidates.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= threshold - 1e-9)
     met = scored.join(left.select(F.col("key").alias("a"), F.col("name").alias("query")), "a").join(right.select(F.col("key").alias("b"), "name"), "b")
@@ -155,7 +162,8 @@ def candidates_by_ratio(left: DataFrame, right: DataFrame, threshold: float) ->
     fits = 2 * F.least(F.length("a"), F.length("b")) >= threshold * together - 1e-9
     single = F.ceil(threshold * least_together(F.length("key"), threshold) / 2 - 1e-9)
     double = F.ceil((1.5 * threshold - 1) * least_together(F.length("key"), threshold) - 1 - 1e-9)
-    grams = lambda df, n, need: df.select("key", numbered(runs(F.col("key"), n)).alias("grams"), F.greatest(F.lit(1), need).cast("int").alias("need"))
+    cut = lambda df, n: once(df, grams=runs(F.col("key"), n))
+    grams = lambda df, n, need: once(cut(df, n), grams=numbered(F.col("grams")), need=F.greatest(F.lit(1), need).cast("int"))
     of = lambda n, need, x, y: prefix_pairs(grams(x, n, need), grams(y, n, need))
     if alone is None:
         pairs = of(1, single, a, b).where(fits)
@@ -164,4 +172,4 @@ def candidates_by_ratio(left: DataFrame, right: DataFrame, threshold: float) ->
         small = lambda df: df.where(F.length("key") <= limit)
         pairs = of(2, double, a, b).where(fits & (together > limit)).unionByName(of(1, single, small(a), small(b)).where(fits & (together <= limit)))
     pairs = pairs.unionByName(a.where("key = ''").select(F.col("key").alias("a")).join(b.where("key = ''").select(F.col("key").alias("b")), F.col("a") == F.col("b")))
-    return pairs.join(left, "a").join(right, "b").select("query", "a", "name", "b")
+    return spread(pairs.join(left, "a").join(right, "b").select("query", "a", "name", "b"))

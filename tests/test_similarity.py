@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from finsheet.operators import similarity
+from finsheet.operators import approx, similarity
 from finsheet.operators.similarity import alike_as_sets, set_ratio
 
 WORDS = "bank of america amerika group holding holdings siemens siemns energy ag thai oil public company limited petro petroleum nova b c x".split()
@@ -55,3 +56,28 @@ def test_empty_tables(spark):
     assert alike_as_sets(none, none, "x", "x", 80).count() == 0
     with pytest.raises(ValueError, match="50 to 100"):
         alike_as_sets(none, none, "x", "x", 20)
+
+
+def test_a_name_is_folded_once_not_once_a_character(spark):
+    """What makes the form of a name stands in the plan only below the step that holds the form."""
+    names = spark.createDataFrame([("small rod",), ("Small  Rod & Co",), ("smal rod",)], "n string")
+    found = approx.similar_names(names, names.select(F.upper("n").alias("m")), "n", "m", 0.8)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("lower(") for line in plan.splitlines()) == 1
+    assert {(r.query, r.name) for r in found.collect()} == {("small rod", "SMALL ROD"), ("Small  Rod & Co", "SMALL  ROD & CO"), ("smal rod", "SMAL ROD")}
+
+
+def test_the_bound_before_difflib_changes_no_ratio():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 9))) for _ in range(60)]
+    for a in words:
+        for b in words:
+            whole = difflib.SequenceMatcher(None, a, b).ratio()
+            assert approx._ratio(a, b, 0.8) == (whole if whole >= 0.8 else approx._ratio(a, b, 0.8)) and (whole >= 0.8) == (approx._ratio(a, b, 0.8) >= 0.8)
+
+
+def test_pairs_are_compared_in_all_partitions(spark):
+    """Pairs are small and costly; by their size alone they would all be one task's."""
+    frame = spark.createDataFrame([(f"{x} holdings {y}",) for x in "abcdef" for y in "xyzuvw"], "n string")
+    found = alike_as_sets(frame, frame, "n", "n", 80)
+    assert "RepartitionByExpression [a#" in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 36
