@@ -1,4 +1,4 @@
-"""Costly reading of small tables: rows are dealt to all partitions, and patterns are tried only where they can match."""
+"""Costly reading of small tables, whose rows are dealt to all partitions; classes of concepts against their patterns."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ def test_pages_of_one_file_are_read_in_all_partitions(spark):
     assert sorted((r.assets or 0, r.liabilities or 0, r.equity or 0) for r in read.collect()) == [(0, 0, 0), (1234, 5000, 4000)]
 
 
-def test_a_core_is_in_whatever_its_pattern_matches(spark):
+def test_concepts_are_classed_as_by_the_first_pattern_that_matches(spark):
     """Every ending of every concept, in several cases, is classed as by its pattern alone."""
     tables = {"rsu": facts.UNIT_FIELDS, "option": facts.OPTION_FIELDS, "shared": facts.SHARED_FIELDS}
     names = []
