@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
+from finsheet.functions.coerce import bound
 from finsheet.functions.text import squeeze
 
 
@@ -40,26 +41,41 @@ def _first(values: Column) -> Column:
 
 
 def merged(values: Column, kind: DataType, keyed: dict[str, Keyed], path: str = "") -> Column:
-    """One value of type ``kind`` from an array of them in order: structs and maps field by field, at any depth; else the first that is there."""
-    there = F.filter(values, lambda v: v.isNotNull())
+    """One value of type ``kind`` from an array of them in order: structs and maps field by field, at any depth; else the first that is there.
+
+    What several fields or elements read is bound once: nothing else is shared inside lambdas, so it would be made again for each of them.
+    """
     at = lambda name: f"{path}.{name}" if path else name
     field = lambda name: lambda v: v[name]
-    if isinstance(kind, StructType):
+
+    def struct(there: Column) -> Column:
         fields = [merged(F.transform(there, field(f.name)), f.dataType, keyed, at(f.name)).alias(f.name) for f in kind.fields]
         return F.when(F.size(there) > 0, F.struct(*fields))
-    if isinstance(kind, MapType):
+
+    def by_key(there: Column) -> Column:
         keys = F.array_distinct(F.flatten(F.transform(there, F.map_keys)))
         pairs = F.transform(keys, lambda k: F.struct(k.alias("key"), merged(F.transform(there, lambda v: F.try_element_at(v, k)), kind.valueType, keyed, at("*")).alias("value")))
         return F.when(F.size(there) > 0, F.map_from_entries(pairs))
+
+    def by_fields(there: Column, how: Keyed) -> Column:
+        every = F.transform(F.filter(F.flatten(there), lambda e: e.isNotNull()), lambda e: F.struct(how.of(e).alias("k"), e.alias("e")))
+        of_key = lambda every, k: F.transform(F.filter(every, lambda t: t["k"] == k), field("e"))
+        each = lambda every: F.transform(F.array_distinct(F.transform(every, field("k"))), lambda k: merged(of_key(every, k), kind.elementType, keyed, path + "[]"))
+        return F.when(F.size(there) > 0, bound(every, each))
+
+    def appended(there: Column, how: Keyed) -> Column:
+        marked = lambda v: F.transform(v, lambda e: F.struct(how.of(e).alias("k"), how.none(e).alias("free"), e.alias("e")))
+        added = lambda held, more: F.concat(held, F.filter(more, lambda t: t["free"] | ~F.exists(held, lambda h: h["k"] == t["k"])))
+        fold = lambda every: F.transform(F.aggregate(every, F.slice(F.flatten(every), 1, 0), added), field("e"))
+        return F.when(F.size(there) > 0, bound(F.transform(there, marked), fold))
+
+    there = F.filter(values, lambda v: v.isNotNull())
+    if isinstance(kind, StructType):
+        return bound(there, struct)
+    if isinstance(kind, MapType):
+        return bound(there, by_key)
     if isinstance(kind, ArrayType) and path in keyed:
-        how = keyed[path]
-        if how.merge:
-            every = F.filter(F.flatten(there), lambda e: e.isNotNull())
-            keys = F.array_distinct(F.transform(every, how.of))
-            return F.when(F.size(there) > 0, F.transform(keys, lambda k: merged(F.filter(every, lambda e: how.of(e) == k), kind.elementType, keyed, path + "[]")))
-        start = F.slice(F.flatten(there), 1, 0)
-        added = lambda held, more: F.concat(held, F.filter(more, lambda e: how.none(e) | ~F.exists(held, lambda h: how.of(h) == how.of(e))))
-        return F.when(F.size(there) > 0, F.aggregate(there, start, added))
+        return bound(there, lambda held: (by_fields if keyed[path].merge else appended)(held, keyed[path]))
     return _first(values)
 
 

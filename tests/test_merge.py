@@ -7,9 +7,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from finsheet.functions import coerce
-from finsheet.operators.merge import Keyed, merge_records
+from finsheet.operators.merge import Keyed, merge_records, merged
 from finsheet.sources.readers import loose_json
 
 SCHEMA = "f string, batch int, company string, plans array<struct<name:string,type:string,closing:double,inputs:struct<rate:double,more:struct<x:int,y:int>>,notes:map<string,int>,tranches:array<struct<day:string,n:int>>>>, tags array<string>"
@@ -56,6 +57,13 @@ def test_nested_records_merge_field_by_field(spark):
         assert plain({k: v for k, v in got[f].items() if k != "f"}) == plain(want), f
 
 
+def test_keys_of_elements_are_made_once_however_many_fields_are_merged(spark):
+    """Lambdas share nothing by themselves: a key named for each field is made again for each field of each element."""
+    element = lambda n: "struct<" + ",".join(["name:string", *[f"x{i}:struct<y:int,z:int>" for i in range(n)]]) + ">"
+    made = [str(merged(F.col("v"), ArrayType(StructType.fromDDL(f"e {element(n)}")[0].dataType), {"": Keyed("name", merge=True)})).count("regexp_replace") for n in (1, 10)]
+    assert made[0] == made[1] > 0
+
+
 @pytest.mark.parametrize(
     ("raw", "value"),
     [
