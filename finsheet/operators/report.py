@@ -5,6 +5,9 @@ Each function takes the plans (or tranches) of many filings at once; ``by`` name
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +42,15 @@ def description(fields: dict[str, str]) -> Column:
     return F.when(text == "", "No description disclosed.").otherwise(text)
 
 
-def plan_runs(tranches: DataFrame, by: list[str], plan: str, pos: str) -> DataFrame:
-    """First and last row (from 1) of each plan's last run of consecutive tranches: (by, plan, first_row, last_row)."""
-    filing = Window.partitionBy(*by).orderBy(pos)
-    rows = tranches.withColumn("__row", F.row_number().over(filing))
-    rows = rows.withColumn("__run", F.col("__row") - F.row_number().over(Window.partitionBy(*by, plan).orderBy(pos)))
-    runs = rows.groupBy(*by, plan, "__run").agg(F.min("__row").alias("first_row"), F.max("__row").alias("last_row"))
-    last = runs.groupBy(*by, plan).agg(F.max_by(F.struct("first_row", "last_row"), "first_row").alias("r"))
-    return last.select(*by, plan, "r.first_row", "r.last_row")
+def with_last_runs(tranches: DataFrame, by: list[str], plan: str, pos: str) -> DataFrame:
+    """``tranches`` with the first and last row (from 1) of their plan's last run of consecutive tranches; those without a plan count and go.
+
+    Windows over the filing alone, so nothing is joined and rows dealt by filing are not shuffled.
+    """
+    filing, of_plan = Window.partitionBy(*by).orderBy(pos), Window.partitionBy(*by, plan)
+    rows = tranches.withColumns({"__row": F.row_number().over(filing), "__before": F.lag(plan).over(filing)}).where(reduce(and_, [F.col(c).isNotNull() for c in (*by, plan)]))
+    start = F.when((F.col("__row") == 1) | ~F.col("__before").eqNullSafe(F.col(plan)), F.col("__row"))
+    return rows.withColumns({"first_row": F.max(start).over(of_plan), "last_row": F.max("__row").over(of_plan)}).drop("__row", "__before")
 
 
 def reports(plans: DataFrame, tranches: DataFrame, by: list[str]) -> dict[str, DataFrame]:
@@ -63,7 +67,7 @@ def reports(plans: DataFrame, tranches: DataFrame, by: list[str]) -> dict[str, D
     filled = lambda c: F.count(c)
     summary = plans.groupBy(*by).agg(F.count(F.lit(1)).alias("plans"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in flows], F.count_if(F.col("is_nil_cost")).alias("nil_cost_plans"))
     roll = plans.where(has_flows).select(*by, "plan_name", *flows, F.bround(gap, 2).alias("gap"), award.math_check("opening", F.col("granted"), F.col("exercised"), F.col("lapsed"), "closing").alias("check"))
-    rows = tranches.join(plan_runs(tranches, by, "plan_name", "pos"), [*by, "plan_name"]).select(*by, "plan_name", "pos", "grant_date", "outstanding", "price", "first_row", "last_row")
+    rows = with_last_runs(tranches, by, "plan_name", "pos").select(*by, "plan_name", "pos", "grant_date", "outstanding", "price", "first_row", "last_row")
     valued = plans.select(*by, "plan_name", fair_value("option_value", "grant_date_value").alias("fair_value"), *inputs).where(F.coalesce("fair_value", *[F.col(c).cast("double") for c in inputs]).isNotNull())
     told = plans.where(has_value("plan_name") | has_value("description"))
     texts = told.select(*by, F.coalesce("plan_name", F.lit("—")).alias("plan_name"), type_label("plan_type", "is_nil_cost", "is_cash_settled").alias("plan_type"), description({k: k for k in ("description", "vesting", "vesting_years", "conditions", "performance_years", "holding_years", "payout")}).alias("text"))

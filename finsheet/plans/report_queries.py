@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from finsheet.functions import statement
 from finsheet.operators import facts, report, sheet
-from finsheet.plans.tables import table
+from finsheet.plans.tables import dealt, table
 
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,9 @@ _PLANS = """
 def _tranches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items in order; two flags are the plans."""
     pos = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") * 51 + F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", pos.alias("pos")).agg(F.min("l_returnflag").alias("plan_name"), F.min("l_shipdate").alias("grant_date"), F.max("l_quantity").alias("outstanding"), F.max("l_extendedprice").alias("price"))
+    lines = table(spark, sf_dir, "lineitem")
+    own = dealt(lines.select("l_orderkey", pos.alias("pos"), "l_returnflag", "l_shipdate", "l_quantity", "l_extendedprice"), lines, "l_orderkey")
+    return own.groupBy("l_orderkey", "pos").agg(F.min("l_returnflag").alias("plan_name"), F.min("l_shipdate").alias("grant_date"), F.max("l_quantity").alias("outstanding"), F.max("l_extendedprice").alias("price"))
 
 
 def _report(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

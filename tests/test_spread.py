@@ -1,4 +1,4 @@
-"""Costly reading of small tables, whose rows are dealt to all partitions; classes of concepts against their patterns."""
+"""Costly reading of small tables, whose rows are dealt to all partitions; tasks of growing tables; classes of concepts against their patterns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ import re
 from pyspark.sql import functions as F
 
 from finsheet.functions import statement
-from finsheet.operators import facts
+from finsheet.operators import facts, report
+from finsheet.plans.report_queries import report_tranches
+from finsheet.plans.tables import dealt
 
 
 def test_pages_of_one_file_are_read_in_all_partitions(spark):
@@ -17,6 +19,22 @@ def test_pages_of_one_file_are_read_in_all_partitions(spark):
     assert sorted((r.assets or 0, r.liabilities or 0, r.equity or 0) for r in read.collect()) == [(0, 0, 0), (1234, 5000, 4000)]
 
 
+def test_tranches_are_shuffled_once_and_joined_with_nothing(spark, sf):
+    plan = report_tranches(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_rows_are_dealt_to_more_tasks_as_their_table_is_read_in_more_parts(spark):
+    rows = spark.range(100, numPartitions=3)
+    assert dealt(rows, rows, "id").rdd.getNumPartitions() == 12 and dealt(rows.coalesce(1), rows.coalesce(1), "id").rdd.getNumPartitions() == 4
+
+
+def test_last_runs_of_plans_with_and_without_a_name(spark):
+    rows = [("f", i, p) for i, p in enumerate(["a", "a", None, "a", "b", "b", "a", "a", None])] + [("g", 1, "a"), ("g", 2, "a"), (None, 1, "a")]
+    got = report.with_last_runs(spark.createDataFrame(rows, "filing string, pos int, plan string"), ["filing"], "plan", "pos").collect()
+    assert sorted(tuple(r) for r in got) == sorted((f, i, p, *{("f", "a"): (7, 8), ("f", "b"): (5, 6), ("g", "a"): (1, 2)}[f, p]) for f, i, p in rows if f and p)
+
+
 def test_concepts_are_classed_as_by_the_first_pattern_that_matches(spark):
     """Every ending of every concept, in several cases, is classed as by its pattern alone."""
     tables = {"rsu": facts.UNIT_FIELDS, "option": facts.OPTION_FIELDS, "shared": facts.SHARED_FIELDS}
