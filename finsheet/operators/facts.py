@@ -59,9 +59,13 @@ CORE = ("outstanding_number", "granted", "exercised", "forfeited", "expired", "f
 
 def concept_class(concept) -> Column:
     """(family, field) of a concept, or NULL. Unit concepts contain ``OtherThanOptions`` and end like option ones."""
-    name = local_name(concept)
+    return _class_of_name(local_name(concept))
+
+
+def _class_of_name(name: Column) -> Column:
+    """``concept_class`` of a local name; every pattern reads it anew, so a caller has it in a column of its own."""
     pick = lambda family, table: [F.when(name.rlike(f"(?i){p}"), F.struct(F.lit(family).alias("family"), F.lit(f).alias("field"))) for f, p in table.items()]
-    units = F.lower(name).contains("otherthanoptions")
+    units = name.rlike("(?i)otherthanoptions")
     own = F.when(units, F.coalesce(*pick("rsu", UNIT_FIELDS))).otherwise(F.coalesce(*pick("option", OPTION_FIELDS)))
     return F.coalesce(own, *pick("shared", SHARED_FIELDS))
 
@@ -124,22 +128,38 @@ def unanimous(rows: DataFrame, key: list[str], value: str, order: list[str]) ->
     return first_value(rows, key, order).join(agreed, key, "left_semi")
 
 
+def _periods(facts: DataFrame, filings: DataFrame) -> DataFrame:
+    """``period_choice`` of the durations of facts, with the few of a filing beside each other: one grouping, no join of the table with itself."""
+    span = F.struct("period_start", "period_end", F.datediff("period_end", "period_start").alias("days"))
+    timed = facts.where("period_start is not null and period_end is not null and datediff(period_end, period_start) between 20 and 400")
+    rows = timed.groupBy("filing").agg(F.collect_set(span).alias("spans")).join(filings, "filing")
+    ends = F.filter("spans", lambda s: days_apart(s["period_end"], F.col("period_of_report")) <= 15)
+    rows = once(rows, c=F.array_max(F.transform(ends, lambda s: F.struct(s["days"].alias("days"), s["period_end"].alias("end"), s["period_start"].alias("start"))))).where("c is not null")
+    near = lambda s: days_apart(s["period_end"], F.col("c.start"))
+    fits = F.filter("spans", lambda s: (near(s) <= 15) & (F.abs(s["days"] - F.col("c.days")) <= F.greatest(F.lit(30), F.floor(F.col("c.days") / 5))))
+    prior = F.array_min(F.transform(fits, lambda s: F.struct(near(s).alias("near"), s["period_start"].alias("start"), s["period_end"].alias("end"))))
+    rows = once(rows, p=prior)
+    return rows.select("filing", F.col("c.start").alias("cur_start"), F.col("c.end").alias("cur_end"), F.col("p.start").alias("pri_start"), F.col("p.end").alias("pri_end"))
+
+
 def slotted(facts: DataFrame, filings: DataFrame) -> DataFrame:
     """Long table (filing, family, award, plan, field, slot, value, unit_ref), first clean value or unanimous cohort value."""
-    own = once(facts, c=concept_class("concept")).where("c is not null").select("*", "c.family", "c.field").drop("c")
-    periods = period_choice(facts.where("period_start is not null and period_end is not null").join(filings, "filing"), ["filing"], "period_of_report")
-    axis = lambda end: F.element_at(F.map_values(F.map_filter("dims", lambda k, v: k.endswith(end))), 1)
-    has = lambda end: F.size(F.map_filter("dims", lambda k, v: k.endswith(end))) > 0
-    own = own.withColumn("dims", F.coalesce("dims", F.create_map().cast("map<string,string>")))
-    own = own.withColumn("award", F.when(has("AwardTypeAxis"), axis("AwardTypeAxis"))).withColumn("plan", F.when(has("PlanNameAxis"), axis("PlanNameAxis")))
-    extra = F.map_filter("dims", lambda k, v: ~k.endswith("AwardTypeAxis") & ~k.endswith("PlanNameAxis"))
+    read = ["filing", "pos", "value", "numeric_value", "unit_ref", "period_start", "period_end", "period_instant"]
+    named = once(facts.select(*read, "concept", "dims"), concept=local_name("concept"))
+    own = once(named, concept=_class_of_name(F.col("concept"))).where("concept is not null").select(*read, "concept.family", "concept.field", "dims")
+    ending = lambda end: F.get(F.map_values(F.map_filter("dims", lambda k, v: k.endswith(end))), F.lit(0))
+    other = F.map_filter("dims", lambda k, v: ~k.endswith("AwardTypeAxis") & ~k.endswith("PlanNameAxis"))
+    none = F.create_map().cast("map<string,string>")
+    own = once(own, dims=F.coalesce("dims", none))
+    own = once(own, award=F.coalesce(ending("AwardTypeAxis"), F.lit("")), plan=F.coalesce(ending("PlanNameAxis"), F.lit("")), extra=other).drop("dims")
     vesting = F.col("field").isin("vesting_period", "vesting_anniversaries")
     allowed = F.forall(F.map_entries("extra"), lambda e: e["key"].endswith("AwardDateAxis") | (vesting & e["key"].endswith("RangeAxis") & e["value"].endswith("MaximumMember")))
-    own = own.withColumn("extra", extra).where((F.size("extra") == 0) | ((F.col("family") == "shared") & allowed))
+    own = own.where((F.size("extra") == 0) | ((F.col("family") == "shared") & allowed)).withColumn("cohort", F.size("extra") > 0).drop("extra")
     value = F.coalesce(fact_number("numeric_value").cast("string"), F.col("value"))
-    own = own.join(periods, "filing").withColumn("slot", slot()).withColumn("value", value).where("slot is not null and value is not null")
+    own = own.withColumn("value", value).drop("numeric_value").where("value is not null")
+    own = once(own.join(_periods(facts, filings), "filing"), slot=slot()).where("slot is not null")
     key = ["filing", "family", "award", "plan", "field", "slot"]
-    rows = own.select(*key, "value", "unit_ref", "pos", (F.size("extra") > 0).alias("cohort")).na.fill("", ["award", "plan"])
+    rows = own.select(*key, "value", "unit_ref", "pos", "cohort")
     of = lambda cond, c: F.when(cond, F.col(c))
     first = lambda cond: F.min_by(F.struct("value", "unit_ref", "pos"), of(cond, "pos"))
     cohort = F.col("cohort")

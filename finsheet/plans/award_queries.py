@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from finsheet.operators import facts, merge, plans
-from finsheet.plans.tables import table
+from finsheet.plans.tables import dealt, table
 
 def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as plans: flag gives the unit, status and discount whether the award is nil-cost."""
@@ -392,7 +392,9 @@ FROM s LEFT JOIN a ON a.c_nationkey = s_nationkey AND a.c_mktsegment = trade LEF
 
 def dimensional_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as filings whose facts have award and plan axes: details without a plan and shared inputs find their bucket, a fact with an axis too many is left out."""
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.count(F.lit(1)).alias("n"))
+    lines = table(spark, sf_dir, "lineitem")
+    own = dealt(lines.select(F.col("l_orderkey").cast("string").alias("filing"), "l_orderkey", "l_quantity", "l_extendedprice"), lines, "filing")
+    sums = own.groupBy("filing", "l_orderkey").agg(F.sum("l_quantity").alias("q"), F.max("l_extendedprice").alias("high"), F.min("l_extendedprice").alias("low"), F.count(F.lit(1)).alias("n"))
     award, plan = F.lit("us-gaap:AwardTypeAxis"), F.lit("us-gaap:PlanNameAxis")
     units, options = F.lit("us-gaap:RestrictedStockUnitsRSUMember"), F.lit("us-gaap:EmployeeStockOptionMember")
     prefix, day = "us-gaap:ShareBasedCompensationArrangementByShareBasedPaymentAward", lambda s: F.lit(s).cast("date")
@@ -407,8 +409,8 @@ def dimensional_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("OptionsOutstandingWeightedAverageRemainingContractualTerm1", F.lit("P5Y6M"), F.lit(None).cast("double"), False, F.create_map().cast("map<string,string>")),
     ]
     entry = lambda i, c, t, v, instant, dims: F.struct(F.lit(i).cast("long").alias("pos"), F.lit(prefix + c).alias("concept"), F.coalesce(t, v.cast("string")).alias("value") if t is not None else v.cast("string").alias("value"), v.cast("double").alias("numeric_value"), F.lit("shares").alias("unit_ref"), (F.lit(None).cast("date") if instant else day("2025-01-01")).alias("period_start"), (F.lit(None).cast("date") if instant else day("2025-12-31")).alias("period_end"), (day("2025-12-31") if instant else F.lit(None).cast("date")).alias("period_instant"), dims.alias("dims"))
-    tagged = sums.select(F.col("l_orderkey").cast("string").alias("filing"), F.explode(F.array(*[entry(i, *row) for i, row in enumerate(rows)])).alias("f")).select("filing", "f.*")
-    filings = sums.select(F.col("l_orderkey").cast("string").alias("filing"), day("2025-12-31").alias("period_of_report"))
+    tagged = sums.select("filing", F.explode(F.array(*[entry(i, *row) for i, row in enumerate(rows)])).alias("f")).select("filing", "f.*")
+    filings = sums.select("filing", day("2025-12-31").alias("period_of_report"))
     out = facts.plan_rows_of(tagged, filings)
     return out.select("filing", "kind", F.col("rank").cast("long").alias("rank"), F.bround("count_mn", 6).alias("count_mn"), "strike", "maturity_years")
 
@@ -421,14 +423,14 @@ SELECT CAST(k AS VARCHAR) AS filing, kind, row_number() OVER (PARTITION BY k ORD
 
 def facts_to_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from tagged facts to strict rows: each order is a filing, each line item a tagged fact."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag")
-    filing = F.col("l_orderkey").cast("string").alias("filing")
+    lines, filing = table(spark, sf_dir, "lineitem"), F.col("l_orderkey").cast("string").alias("filing")
+    items = dealt(lines.select(filing, "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_linestatus", "l_returnflag"), lines, "filing")
     prefix = "us-gaap:ShareBasedCompensationArrangementByShareBasedPaymentAward"
     concept = F.when((F.col("l_linestatus") == "O") & (F.col("l_returnflag") == "A"), prefix + "OptionsOutstandingWeightedAverageExercisePrice").when(F.col("l_linestatus") == "O", prefix + "OptionsOutstandingNumber").when(F.col("l_returnflag") == "A", prefix + "EquityInstrumentsOtherThanOptionsNonvestedWeightedAverageGrantDateFairValue").otherwise(prefix + "EquityInstrumentsOtherThanOptionsNonvestedNumber")
     amount = F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice")).otherwise(F.col("l_quantity") * 1000)
     day = lambda s: F.lit(s).cast("date")
-    facts_ = items.select(filing, (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") % 10_000).alias("pos"), concept.alias("concept"), amount.cast("string").alias("value"), amount.alias("numeric_value"), F.lit("shares").alias("unit_ref"), F.lit(None).cast("date").alias("period_start"), F.lit(None).cast("date").alias("period_end"), day("2025-12-31").alias("period_instant"), F.lit(None).cast("map<string,string>").alias("dims"))
-    filings = items.select(filing).distinct().withColumn("period_of_report", day("2025-12-31"))
+    facts_ = items.select("filing", (F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") % 10_000).alias("pos"), concept.alias("concept"), amount.cast("string").alias("value"), amount.alias("numeric_value"), F.lit("shares").alias("unit_ref"), F.lit(None).cast("date").alias("period_start"), F.lit(None).cast("date").alias("period_end"), day("2025-12-31").alias("period_instant"), F.lit(None).cast("map<string,string>").alias("dims"))
+    filings = items.select("filing").distinct().withColumn("period_of_report", day("2025-12-31"))
     span = filings.select("filing", F.lit(-1).cast("long").alias("pos"), F.lit("dei:DocumentType").alias("concept"), F.lit("x").alias("value"), F.lit(None).cast("double").alias("numeric_value"), F.lit(None).cast("string").alias("unit_ref"), day("2025-01-01").alias("period_start"), day("2025-12-31").alias("period_end"), F.lit(None).cast("date").alias("period_instant"), F.lit(None).cast("map<string,string>").alias("dims"))
     rows = facts.plan_rows_of(facts_.unionByName(span), filings)
     return rows.select("filing", "kind", F.col("rank").cast("long").alias("rank"), F.bround("count_mn", 6).alias("count_mn"), "strike")

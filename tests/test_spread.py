@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from finsheet.functions import statement
 from finsheet.operators import facts, report
+from finsheet.plans import award_queries
 from finsheet.plans.report_queries import report_tranches
 from finsheet.plans.tables import dealt
 
@@ -24,6 +25,14 @@ def test_tranches_are_shuffled_once_and_joined_with_nothing(spark, sf):
     assert plan.count("Exchange") == 1 and "Join" not in plan
 
 
+def test_facts_are_shuffled_only_by_filing(spark, sf):
+    """Once for the facts and once for the periods, which read the same rows."""
+    for query in (award_queries.dimensional_facts, award_queries.facts_to_rows):
+        plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        keys = {line.split("Exchange hashpartitioning(")[1].split(",")[0].split("#")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line}
+        assert keys == {"filing"} and plan.count("REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning(")
+
+
 def test_rows_are_dealt_to_more_tasks_as_their_table_is_read_in_more_parts(spark):
     rows = spark.range(100, numPartitions=3)
     assert dealt(rows, rows, "id").rdd.getNumPartitions() == 12 and dealt(rows.coalesce(1), rows.coalesce(1), "id").rdd.getNumPartitions() == 4
