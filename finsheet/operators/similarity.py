@@ -142,7 +142,8 @@ def alike_as_sets(queries: DataFrame, names: DataFrame, query: str, name: str, t
     left, right, t = _words(queries, query), _words(names, name), threshold / 100
     forms = [df.select("key", "words").distinct() for df in (left, right)]
     candidates = spread(_alike_by_letters(*forms, t).unionByName(_alike_by_words(*forms, t)).distinct())
-    ratio = F.pandas_udf(_set_ratios, "double")
+    # Not deterministic for the optimizer, which else moves the comparison below the pairs' union, distinct and spreading.
+    ratio = F.pandas_udf(_set_ratios, "double").asNondeterministic()
     scored = candidates.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= threshold - 1e-9)
     met = scored.join(left.select(F.col("key").alias("a"), F.col("name").alias("query")), "a").join(right.select(F.col("key").alias("b"), "name"), "b")
     return met.select("query", "name", "ratio")

@@ -81,3 +81,12 @@ def test_pairs_are_compared_in_all_partitions(spark):
     frame = spark.createDataFrame([(f"{x} holdings {y}",) for x in "abcdef" for y in "xyzuvw"], "n string")
     found = alike_as_sets(frame, frame, "n", "n", 80)
     assert "RepartitionByExpression [a#" in found._jdf.queryExecution().optimizedPlan().toString() and found.count() > 36
+
+
+def test_pairs_are_compared_after_they_are_distinct_and_spread(spark):
+    """The comparison stands above the spreading once, not below it in each join that makes pairs."""
+    frame = spark.createDataFrame([(f"{x} holdings {y}",) for x in "abcdef" for y in "xyzuvw"], "n string")
+    for found in (alike_as_sets(frame, frame, "n", "n", 80), approx.similar_names(frame, frame.select(F.upper("n").alias("m")), "n", "m", 0.8)):
+        lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        compared = [i for i, line in enumerate(lines) if "ArrowEvalPython" in line]
+        assert len(compared) == 1 and compared[0] < next(i for i, line in enumerate(lines) if "RepartitionByExpression" in line)
