@@ -37,7 +37,9 @@ MINIMA = BANDS * ROWS
 #: Lines of a bucket up to which all its pairs are candidates.
 CROWD = 12
 #: Minima over a line's shingles outside the lead, each a bucket of its own.
-DEEPER = 10
+DEEPER = 20
+#: The same from the second round on: what the first one left crowded meets under several leads, so in more than one bucket anyway.
+DEEPEST = 8
 #: Pairs of one line in a task.
 SHARE = 1000
 #: Keys or buckets up to which they are sent to every task (some 20 MB); more are joined.
@@ -85,17 +87,22 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _minima(docs: DataFrame, width: int) -> DataFrame:
+    """(key, m): the minima of every distinct line of ``docs``."""
+    return _minima_of(_texts(docs), width)
+
+
+def _minima_of(texts: DataFrame, width: int) -> DataFrame:
     """(key, m): the minima of every distinct line; texts are hashed where they are read, only minima are shuffled."""
-    forms = _texts(docs).select("key", F.encode("normal", "UTF-16BE").alias("b"))
+    forms = texts.select("key", F.encode("normal", "UTF-16BE").alias("b"))
     each = forms.select("key", "b", F.explode(_starts(width)).alias("i")).select("key", F.xxhash64(_shingle(F.col("i"), width)).alias("h"))
     lines = each.groupBy("key").agg(*[_least(i).alias(f"m{i}") for i in range(MINIMA)])
     return lines.select("key", F.array(*[f"m{i}" for i in range(MINIMA)]).alias("m"))
 
 
-def _forms(docs: DataFrame, keys: DataFrame, minima: DataFrame) -> DataFrame:
+def _forms(texts: DataFrame, keys: DataFrame, minima: DataFrame) -> DataFrame:
     """(key, m, t): minima and normal form of the given lines; the texts are read again and only theirs go further."""
     few = keys.count() <= SENT
-    own = _texts(docs).select("key", F.col("normal").alias("t")).join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    own = texts.select("key", F.col("normal").alias("t")).join(F.broadcast(keys) if few else keys, "key", "left_semi")
     return own.groupBy("key").agg(F.first("t").alias("t")).join(minima, "key").select("key", "m", "t")
 
 
@@ -143,8 +150,8 @@ def _verified(pairs: DataFrame, tested: list[DataFrame], forms: DataFrame, width
     Sets are made of the texts beside the pair, so that no set is written or shuffled.
     """
     pairs = pairs.groupBy("a", "b").agg(F.max("n").alias("n"))
-    for done in tested:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
+    if tested:
+        pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
     agree = F.aggregate(F.zip_with("m_a", "m_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, v: n + v)
     likely = _beside(_beside(pairs, forms, "b", "m"), forms, "a", "m").where(agree >= MINIMA // 2).select("a", "b", "n")
     likely = materialise(likely, "likely")
@@ -171,22 +178,33 @@ def _by_bands(crowded: DataFrame, forms: DataFrame) -> DataFrame:
     return crowded.join(forms.select("key", "m"), "key").select("key", F.explode(other).alias("again")).select(F.col("again").alias("bucket"), "key", F.lit(0).cast("long").alias("group")).distinct()
 
 
+def _by_leads(crowded: DataFrame) -> DataFrame:
+    """(bucket, low, key, group, n): crowded buckets of one group that have the same lead are one bucket from here on.
+
+    What their lines have beside the leads is the same in each, so a line stands there once, not once a bucket.
+    """
+    same = crowded.groupBy("group", "low", "key").agg(F.max("n").alias("n"))
+    return same.withColumn("bucket", F.xxhash64("group", "low"))
+
+
 def _deeper(crowded: DataFrame, rests: DataFrame | None, forms: DataFrame, width: int) -> DataFrame:
     """(group, key, h): the hashes of each line's shingles that neither its bucket's lead nor an earlier one has."""
-    pairs = crowded.select(F.col("low").alias("a"), F.col("key").alias("b"), "bucket", "group", "n")
-    met = _beside(pairs, forms, "a", "t")
+    pairs = _by_leads(crowded).select(F.col("low").alias("a"), F.col("key").alias("b"), "bucket", "group", "n")
+    # A lead's set is made once, not beside each of its lines.
+    leads = forms.join(pairs.select(F.col("a").alias("key")).distinct(), "key", "left_semi").select("key", _set("t", width).alias("s"))
+    met = _beside(pairs, leads, "a", "s")
     if rests is None:
         met = _beside(met, forms, "b", "t").withColumn("left", _set("t_b", width))
     else:
         met = met.join(rests.select("group", F.col("key").alias("b"), F.col("h").alias("left")), ["group", "b"])
-    rest = met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.explode(F.array(F.array_except("left", _set("t_a", width)))).alias("h"))
+    rest = met.select(F.col("bucket").alias("group"), F.col("b").alias("key"), F.explode(F.array(F.array_except("left", "s_a"))).alias("h"))
     return rest.where(F.size("h") > 0)
 
 
-def _redealt(rests: DataFrame) -> DataFrame:
-    """(bucket, key, group): lines of a group that share a least hash of what their leads lack."""
-    least = rests.select("group", "key", F.explode("h").alias("h")).groupBy("group", "key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_anchor(MINIMA + i)))).alias(f"m{i}") for i in range(DEEPER)])
-    buckets = F.array(*[F.xxhash64("group", F.lit(i), f"m{i}") for i in range(DEEPER)])
+def _redealt(rests: DataFrame, n: int) -> DataFrame:
+    """(bucket, key, group): lines of a group that share one of ``n`` least hashes of what their leads lack."""
+    least = rests.select("group", "key", F.explode("h").alias("h")).groupBy("group", "key").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_anchor(MINIMA + i)))).alias(f"m{i}") for i in range(n)])
+    buckets = F.array(*[F.xxhash64("group", F.lit(i), f"m{i}") for i in range(n)])
     return least.select("group", "key", F.explode(buckets).alias("bucket"))
 
 
@@ -194,11 +212,11 @@ def _bands():
     return F.array(*[F.xxhash64(F.lit(b), *[F.col("m")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
 
 
-def similar_lines(docs: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
-    """Verified links (a, b) between distinct keys; ``minima`` (which goes when it is used) are those of ``docs``."""
+def similar_lines(texts: DataFrame, minima: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
+    """Verified links (a, b) between distinct keys; ``minima`` (which goes when it is used) are those of ``texts``."""
     met = _met(minima.select("key", F.col("key").alias("label"), F.posexplode(_bands()).alias("group", "bucket")), written=True)
     keys = materialise(met.select("key").distinct(), "keys")
-    forms = materialise(_forms(docs, keys, minima), "forms")
+    forms = materialise(_forms(texts, keys, minima), "forms")
     drop(keys)
     drop(minima)
     links, tested, rests, turn = [], [], None, 0
@@ -233,7 +251,7 @@ def similar_lines(docs: DataFrame, minima: DataFrame, width: int = 9, threshold:
             break
         done, rests = rests, materialise(_deeper(crowded, rests, forms, width), "rests")
         drop(*[done] * (done is not None))
-        again = _met(_labelled(_redealt(rests), links))
+        again = _met(_labelled(_redealt(rests, DEEPEST if turn else DEEPER), links))
         drop(met)
         met, turn = again, turn + 1
     drop(met, forms, *tested, *[rests] * (rests is not None))
@@ -242,9 +260,9 @@ def similar_lines(docs: DataFrame, minima: DataFrame, width: int = 9, threshold:
 
 def removed_lines(docs: DataFrame, width: int = 9, threshold: float = 0.8) -> DataFrame:
     """(doc_id, row, pos) of each line that repeats or nearly repeats an earlier one."""
-    minima = materialise(_minima(docs, width), "minima")
-    parts = connected_components(similar_lines(docs, minima, width, threshold))
-    lines = materialise(_texts(docs).select("doc_id", "row", "pos", "key"), "lines")
+    lines = materialise(_texts(docs), "lines")  # split and folded once; each later step reads the columns it names
+    minima = materialise(_minima_of(lines, width), "minima")
+    parts = connected_components(similar_lines(lines, minima, width, threshold))
     spot = F.struct("doc_id", "row", "pos")
     keys = lines.groupBy("key").agg(F.min(spot).alias("first"), F.count(F.lit(1)).alias("n"))
     keys = keys.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").where("n > 1 or component is not null")
