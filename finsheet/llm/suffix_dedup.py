@@ -1,4 +1,4 @@
-"""Suffix-array deduplication of byte strings by a hash-compared suffix sort.
+"""Suffix-array deduplication of byte strings by a suffix sort inside content-anchored segments.
 
 Every byte of a document that lies in a string of ``length`` bytes which also starts in a document with a smaller id
 is removed. All strings of that length are covered, none is sampled away:
@@ -9,10 +9,10 @@ is removed. All strings of that length are covered, none is sampled away:
    once, whatever the number of its documents that have them, and learns which of them other documents have, too.
 2. The segments of those anchors are cut from the texts. In a group equal segments are one, with the smallest id that
    has it; their occurrences stay with the group, so that a passage of a third of all documents is one row a group.
-3. Where the segments of an anchor differ, the suffixes that start in them are sorted: a mergesort whose runs double,
-   all pairs of runs at once, and whose comparisons find the common extension of two suffixes by binary search over
-   prefix polynomial hashes. Neighbours whose extension reaches ``length`` are compared byte by byte, and so are segments
-   of equal hash, so a hash collision cannot join them; each class of equal strings knows the smallest id that has it.
+3. Where the segments of an anchor differ, the suffixes that start in them are sorted by their first ``length`` bytes: a
+   round sorts those that are still tied by their next bytes, as many as fit beside the tie's number into 64 bits, so
+   that strings which are tied at the end are equal byte by byte. Segments of equal hash are compared byte by byte, too,
+   so a hash collision cannot join them. Each class of equal strings knows the smallest id that has it.
 4. The smallest ids go back to the groups, where removed runs are merged and cut out.
 
 Defined cases: a null text is the empty text; a text shorter than ``length`` loses nothing; repeated strings inside
@@ -34,6 +34,9 @@ from finsheet.llm.common import drop, materialise, scaled_partitions
 from finsheet.llm.kernel import INVERSE, mix, pieces, powers, prefix_hash, string_buffers
 
 U8 = np.uint64
+TOP = U8(0xFFFFFFFF00000000)
+#: Bytes of text that are hashed at a time; the arrays of so many stay in the processor's cache.
+PIECE = 250_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -41,102 +44,63 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
     Starts are relative to their document.
     """
-    none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     if len(data) < length:
-        return none
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64))
     prefix = prefix_hash(data)
     value = mix((prefix[gram:] - prefix[:-gram]) * powers(INVERSE, len(prefix))[: len(prefix) - gram])
-    low, at = value, np.arange(len(value), dtype=np.int32)
+    low = value & TOP
+    low |= np.arange(len(low), dtype=np.uint64)  # the leftmost of grams with equal upper halves stays, so the text alone decides
     span, width = 1, length - gram + 1  # grams of a string
     while span < width:
         step = min(span, width - span)
-        right = low[step:] < low[:-step]  # the leftmost of equal minima stays
-        at = np.where(right, at[step:], at[:-step])
-        low = np.where(right, low[step:], low[:-step])
+        low = np.minimum(low[step:], low[:-step])
         span += step
-    size = np.diff(offsets)
-    has = np.flatnonzero(size >= length)
-    if not len(has):
-        return none
-    count = size[has] - length + 1
-    doc = np.repeat(has, count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + offsets[doc]
-    anchor = at[start]
-    new = np.ones(len(start), dtype=bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+    anchor = low.astype(np.uint32)  # the lower half, its position
+    new = np.ones(len(anchor), dtype=bool)
+    np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+    new[offsets[:-1][offsets[:-1] < len(new)]] = True
     first = np.flatnonzero(new)
-    runs = np.diff(np.append(first, len(start))) - 1
-    return doc[first], start[first] - offsets[doc[first]], runs, anchor[first] - start[first], value[anchor[first]]
+    doc = np.searchsorted(offsets, first, side="right") - 1
+    runs = np.minimum(np.append(first[1:], len(new)), offsets[doc + 1] - length + 1) - first - 1
+    has = runs >= 0  # else it runs over the document's end
+    doc, first, runs = doc[has], first[has], runs[has]
+    at = anchor[first].astype(np.int64)
+    return doc, first - offsets[doc], runs, at - first, value[at]
 
 
 class Suffixes:
-    """Suffixes of packed segments, compared by prefix hashes."""
+    """Suffixes of packed segments, sorted by their first ``length`` bytes, a few bytes a round."""
 
     def __init__(self, data: np.ndarray, length: int):
-        self.data, self.length = data, length
-        self.prefix = prefix_hash(data)
-        self.inverse = powers(INVERSE, len(self.prefix))
-
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Common extension of suffixes a and b, up to ``length``, by binary search over substring hashes."""
-        low, high = np.zeros(len(a), dtype=np.int64), np.full(len(a), self.length)
-        for _ in range(int(self.length).bit_length()):
-            mid = (low + high + 1) // 2
-            same = (self.prefix[a + mid] - self.prefix[a]) * self.inverse[a] == (self.prefix[b + mid] - self.prefix[b]) * self.inverse[b]
-            low, high = np.where(same, mid, low), np.where(same, high, np.maximum(mid - 1, low))
-        return low
-
-    def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before suffix b; suffixes that agree over ``length`` bytes are equal."""
-        common = self.extension(a, b)
-        end = common >= self.length
-        at = np.minimum(common, self.length - 1)
-        return ~end & (self.data[a + at] < self.data[b + at])
+        self.data, self.length = np.append(data, np.zeros(8, dtype=np.uint8)), length
+        self.words = np.ndarray((len(data) + 1,), ">u8", self.data, strides=(1,))  # the eight bytes from every position on
 
-    def sort(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order that sorts ``start`` within each group; ``group`` is sorted and its values are consecutive runs."""
+    def classes(self, start: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order that sorts ``start`` within each group, class of each place in it): one class is one group's equal strings.
+
+        A round sorts what is still tied by its class and its next bytes, as many as fit beside the class into 64 bits.
+        """
         n = len(start)
-        order = np.arange(n)
-        head = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, dtype=int)
-        size = np.diff(np.append(head, n))
-        base, most = np.repeat(head, size), np.repeat(size, size)
-        run, widest = 1, int(size.max()) if n else 0
-        while run < widest:
-            slot = np.arange(n)
-            inside = slot - base
-            busy = most > run
-            pair = inside // (2 * run) * (2 * run)
-            left = inside - pair < run
-            mine = np.flatnonzero(busy & (pair + run < most))  # pairs with a second run
-            p, l, b, m = pair[mine], left[mine], base[mine], most[mine]
-            # Rank of each suffix in the other run: before equals for the left run, after them for the right one.
-            low = b + np.where(l, p + run, p)
-            begin, high = low.copy(), b + np.where(l, np.minimum(p + 2 * run, m), p + run)
-            own = start[order[mine]]
-            while (open_ := np.flatnonzero(low < high)).size:
-                mid = (low[open_] + high[open_]) // 2
-                other = start[order[mid]]
-                lo = l[open_]
-                x, y = np.where(lo, other, own[open_]), np.where(lo, own[open_], other)
-                smaller = self.less(x, y)  # left: other < own; right: own < other
-                up = np.where(lo, smaller, ~smaller)
-                low[open_[up]] = mid[up] + 1
-                high[open_[~up]] = mid[~up]
-            place = b + p + np.where(l, inside[mine] - p, inside[mine] - p - run) + (low - begin)
-            merged = order.copy()
-            merged[place] = order[mine]
-            order, run = merged, run * 2
-        return order
-
-    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the strings at a and b are equal: by extension, then byte by byte."""
-        out = self.extension(a, b) >= self.length
-        hit = np.flatnonzero(out)
-        for at in range(0, len(hit), 200_000):
-            i = hit[at : at + 200_000]
-            span = np.arange(self.length)
-            out[i] = (self.data[a[i, None] + span] == self.data[b[i, None] + span]).all(axis=1)
-        return out
+        order = np.argsort(group)
+        new = np.append(True, group[order[1:]] != group[order[:-1]]) if n else np.zeros(0, dtype=bool)
+        width = (64 - n.bit_length()) // 8
+        for at in range(0, self.length, width):
+            tied = ~new
+            tied[:-1] |= tied[1:]
+            live = np.flatnonzero(tied)  # places whose class has others
+            if not len(live):
+                break
+            rows, bits = order[live], 8 * min(width, self.length - at)
+            key = self.words[start[rows] + at].astype(np.uint64) >> U8(64 - bits)
+            key |= np.cumsum(new[live]).astype(np.uint64) << U8(bits)
+            by = np.argsort(key)
+            order[live], key = rows[by], key[by]
+            new[live[1:]] |= key[1:] != key[:-1]
+        return order, np.cumsum(new) - 1
+
+    def sort(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Order that sorts ``start`` within each group."""
+        return self.classes(start, group)[0]
 
 
 def string_minima(data: np.ndarray, seg_start: np.ndarray, seg_runs: np.ndarray, anchor_at: np.ndarray, key: np.ndarray, smallest: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,24 +116,31 @@ def string_minima(data: np.ndarray, seg_start: np.ndarray, seg_runs: np.ndarray,
         return out, offsets
     where = np.flatnonzero(mixed)
     group = place[seg[where]] * 64 + (anchor_at[seg[where]] - shift[where])
-    by = np.argsort(group, kind="stable")
-    where, group = where[by], group[by]
     start = seg_start[seg[where]] + shift[where]
-    suffixes = Suffixes(data, length)
-    order = suffixes.sort(start, group)
-    where, start = where[order], start[order]
-    joined = np.zeros(len(start), dtype=bool)
-    joined[1:] = group[1:] == group[:-1]
-    at = np.flatnonzero(joined)
-    joined[at] = suffixes.same(start[at - 1], start[at])
-    classes = np.cumsum(~joined) - 1
-    low = np.minimum.reduceat(out[where], np.flatnonzero(~joined))
+    order, classes = Suffixes(data, length).classes(start, group)
+    where = where[order]
+    low = np.minimum.reduceat(out[where], np.flatnonzero(np.append(True, classes[1:] != classes[:-1])))
     out[where] = low[classes]
     return out, offsets
 
 
-def _blob(x: np.ndarray, dtype) -> bytes:
-    return np.ascontiguousarray(x, dtype=dtype).tobytes()
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary cells that lie one after another in ``data``; ``ends`` has 0 and each cell's end, in items."""
+    item = np.ascontiguousarray(data)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.asarray(ends * item.itemsize, dtype=np.int64)), pa.py_buffer(item)]).cast(pa.binary())
+
+
+def _cells(value: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """(every value once, for each column one binary cell a value with its items, in their order)."""
+    order = _order(value)
+    value = value[order]
+    ends = np.append(np.flatnonzero(np.append(True, value[1:] != value[:-1])), len(value)) if len(value) else np.zeros(1, dtype=np.int64)
+    return value[ends[:-1]].astype(np.int64), [_binary(c[order], ends) for c in columns]
+
+
+def _order(value: np.ndarray) -> np.ndarray:
+    """Stable order of values that are not negative; small ones are sorted by their digits."""
+    return np.argsort(value.astype(np.uint16) if len(value) and value.max() < 1 << 16 else value, kind="stable")
 
 
 def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
@@ -251,10 +222,10 @@ class Group:
         self.texts = pa.table({"text": text.take(pa.array(self.row))})
 
     def parts(self):
-        """(first row, bytes, offsets) of stretches of about 1 MB."""
+        """(first row, bytes, offsets) of stretches of about ``PIECE`` bytes."""
         at = 0
         for batch in self.texts.to_batches():
-            for piece in pieces(iter([batch]), most=1_000_000):
+            for piece in pieces(iter([batch]), most=PIECE):
                 data, offsets = string_buffers(piece.column("text"))
                 yield at, data, offsets
                 at += piece.num_rows
@@ -266,6 +237,7 @@ def _own(docs: DataFrame, n_groups: int) -> DataFrame:
 
 
 SEGMENTS = {"bucket": pa.int64(), "g": pa.int64(), **dict.fromkeys(("key", "ext", "bytes", "low", "seg", "row", "first"), pa.binary())}
+SCHEMA = pa.schema(SEGMENTS)
 
 
 def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_buckets: int) -> DataFrame:
@@ -275,7 +247,7 @@ def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_bucket
     def deal(batches):
         """Each group's anchors once, packed by bucket; the lowest bit says whether several of its documents have it."""
         parts, held = [], 0
-        for piece in pieces(batches, most=1_000_000):
+        for piece in pieces(batches, most=PIECE):
             data, offsets = string_buffers(piece.column("text"))
             doc, _, _, _, key = anchors(data, offsets, length, gram)
             new = np.ones(len(doc), dtype=bool)
@@ -283,20 +255,20 @@ def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_bucket
             parts.append((key[new], piece.column("g").to_numpy()[doc[new]], (np.int64(held) << 32) + doc[new]))
             held += int(new.sum())
             if held > 1_000_000:
-                yield from packed(parts)
+                yield packed(parts)
                 parts, held = [], 0
         if held:
-            yield from packed(parts)
+            yield packed(parts)
 
     def packed(parts):
         key, group, doc = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((group, key))
+        order = np.argsort(key ^ mix(group.astype(np.uint64)))  # equal pairs of anchor and group come together; should others come between, one is named twice
         key, group, doc = key[order], group[order], doc[order]
         head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])))
         several = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head)
         key, mark = key[head], (group[head] * 2 + several).astype(np.uint32)
-        for bucket, rows in _split((key >> U8(32)).astype(np.int64) % n_buckets):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([_blob(key[rows], "u8")], pa.binary()), pa.array([_blob(mark[rows], "u4")], pa.binary())], names=["bucket", "key", "grp"])
+        bucket, cells = _cells((key >> U8(32)).astype(np.int64) % n_buckets, key, mark)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), *cells], names=["bucket", "key", "grp"])
 
     def repeated(table: pa.Table) -> pa.Table:
         """The anchors of each group that more than one document has."""
@@ -308,11 +280,14 @@ def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_bucket
         several = (size > 1) | (np.maximum.reduceat(mark & 1, head) > 0) if len(head) else np.zeros(0, dtype=bool)
         keep = np.repeat(several, size)
         key, group = key[keep], (mark[keep] >> 1).astype(np.int64)
-        out = _split(group)
-        return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), "key": pa.array([_blob(np.unique(key[r]), "u8") for _, r in out], pa.binary())})
+        order = _order(group)
+        key, group = key[order], group[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (group[1:] != group[:-1]))[: len(key)]
+        groups, cells = _cells(group[new], key[new])
+        return pa.table([pa.array(groups), *cells], names=["g", "key"])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = {c: [] for c in SEGMENTS}
+        out = []
         wanted = np.unique(_column(right, "key", "u8"))
         if left.num_rows and len(wanted):
             group, g = Group(left), int(left.column("g")[0].as_py())
@@ -331,14 +306,16 @@ def occurrences(docs: DataFrame, length: int, gram: int, n_groups: int, n_bucket
             one, seg = distinct_segments(data, start, size, key, ext)
             low = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(low, seg, group.ids[row])
-            for bucket, segs in _split((key[one] >> U8(32)).astype(np.int64) % n_buckets):
-                i = one[segs]
-                take = np.repeat(start[i] - np.cumsum(size[i]) + size[i], size[i]) + np.arange(size[i].sum())
-                for name, value in (("bucket", bucket), ("g", g), ("key", _blob(key[i], "u8")), ("ext", _blob(ext[i], "u2")), ("bytes", data[take].tobytes()), ("low", _blob(low[segs], "i8")), ("seg", _blob(segs, "u4")), ("row", None), ("first", None)):
-                    columns[name].append(value)
-            for name, value in (("bucket", None), ("g", g), ("key", None), ("ext", None), ("bytes", None), ("low", None), ("seg", _blob(seg, "u4")), ("row", _blob(row, "u4")), ("first", _blob(first, "u4"))):
-                columns[name].append(value)
-        return pa.table({c: pa.array(v, SEGMENTS[c]) for c, v in columns.items()})
+            segs = _order(bucket := (key[one] >> U8(32)).astype(np.int64) % n_buckets)
+            i = one[segs]
+            ends = np.cumsum(size[i])
+            take = np.repeat(start[i] - ends + size[i], size[i]) + np.arange(size[i].sum())
+            buckets, cells = _cells(bucket[segs], key[i], ext[i].astype(np.uint16), low[segs], segs.astype(np.uint32))
+            last = np.searchsorted(bucket[segs], buckets, side="right")
+            cells.append(_binary(data[take], np.append(0, ends[last - 1])))
+            out.append(dict(zip(("key", "ext", "low", "seg", "bytes"), cells, strict=True)) | {"bucket": pa.array(buckets), "g": pa.array(np.full(len(buckets), g))})
+            out.append({"g": pa.array([g])} | {n: _binary(x.astype(np.uint32), np.array([0, len(x)])) for n, x in (("seg", seg), ("row", row), ("first", first))})
+        return pa.concat_tables([pa.table({c: rows[c] if c in rows else pa.nulls(len(rows["g"]), t) for c, t in SEGMENTS.items()}) for rows in out] or [SCHEMA.empty_table()])
 
     dealt = own.repartition("g").mapInArrow(deal, "bucket long, key binary, grp binary")
     again = materialise(dealt.groupBy("bucket").applyInArrow(lambda t: repeated(t), "g long, key binary"), "anchors")
@@ -367,8 +344,8 @@ def smallest_ids(segments: DataFrame, length: int) -> DataFrame:
         own = count[same]
         take = np.repeat(begin[same] - np.cumsum(own) + own, own) + np.arange(own.sum())
         group, seg = np.repeat(group, own), np.repeat(seg, own)
-        out = _split(group)
-        return pa.table({"g": pa.array([g for g, _ in out], pa.int64()), **{n: pa.array([_blob(x[r], t) for _, r in out], pa.binary()) for n, x, t in (("seg", seg, "u4"), ("a", a[take], "u1"), ("b", b[take], "u1"), ("low", value[take], "i8"))}})
+        groups, cells = _cells(group, seg, a[take].astype(np.uint8), b[take].astype(np.uint8), value[take])
+        return pa.table([pa.array(groups), *cells], names=["g", "seg", "a", "b", "low"])
 
     return segments.groupBy("bucket").applyInArrow(lambda t: decide(t), "g long, seg binary, a binary, b binary, low binary")
 
